@@ -48,22 +48,54 @@ def hook_in_claim(hook: Column, claim: Column) -> Column:
     return (F.length(probe) >= 3) & F.contains(plain(claim), probe)
 
 
+# Character entities that pages use, and what they stand for (fixed values);
+# the ampersand comes last so that no entity is unescaped twice.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def unescape(col: Column) -> Column:
+    for entity, char in _ENTITIES:
+        col = F.replace(col, F.lit(entity), F.lit(char))
+    return col
+
+
 def html_title(html: Column, url: Column) -> Column:
     """Text of the title element, or the url when there is none."""
-    title = strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    title = strip(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
     return F.when(title == "", url).otherwise(title)
 
 
-def html_text(html: Column, cap: int = vocab.MAX_TEXT) -> Column:
-    """Visible text: scripts and page furniture dropped, tags and entities gone."""
+def drop_elements(html: Column, tags) -> Column:
+    """Markup without comments and without the given elements."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in vocab.DROPPED_TAGS:
+    for tag in tags:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.left(squash(out), F.lit(cap))
+    return out
+
+
+def html_text(html: Column, cap: int = vocab.MAX_TEXT) -> Column:
+    """Visible text: scripts and page furniture dropped, tags and entities gone."""
+    bare = F.regexp_replace(drop_elements(html, vocab.DROPPED_TAGS), r"(?s)<[^>]+>", " ")
+    return F.left(squash(unescape(bare)), F.lit(cap))
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """A link of a page as an absolute url without fragment.
+
+    Null when it has another scheme; dot segments are kept as written.
+    """
+    link = F.substring_index(href, "#", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
+    folder = F.when(F.rlike(page, F.lit(r"^[^:]+://[^/]*/")), F.regexp_replace(page, r"[^/]*$", "")) \
+        .otherwise(F.concat(origin, F.lit("/")))
+    return (F.when(F.rlike(link, F.lit(r"^(?i)https?://")), link)
+            .when(F.startswith(link, F.lit("//")), F.concat(F.substring_index(base, ":", 1), F.lit(":"), link))
+            .when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None))
+            .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+            .when(link == "", page)
+            .otherwise(F.concat(folder, link)))
 
 
 def host_of(url: Column) -> Column:

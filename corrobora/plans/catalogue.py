@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from corrobora.plans import q_admission, q_graph, q_provenance  # noqa: F401
+from corrobora.plans import q_admission, q_audit, q_graph, q_intake, q_provenance  # noqa: F401
 from corrobora.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -155,8 +155,8 @@ def _(t):
     return refusals_by_rule(gap_ledger(t))
 
 
-RISK_EDGES = """SELECT DISTINCT concat('R-', CAST(nation_key AS STRING), '-', segment) AS owner_id,
-  concat('F-', CAST(scope AS STRING)) AS finding_id FROM evidence"""
+RISK_EDGES = """SELECT DISTINCT concat('R-', CAST(CASE WHEN scope % 4 = 0 THEN scope - 1 ELSE scope END AS STRING)) AS owner_id,
+  concat('F-', CAST(scope AS STRING)) AS finding_id FROM evidence WHERE segment <> 'FURNITURE' OR env_layer = 'UAE'"""
 FINDING_SIGNALS = "SELECT from_id AS signal_id, to_id AS finding_id FROM links WHERE to_type = 'finding'"
 
 
@@ -362,7 +362,7 @@ def _(t):
     return S.admit_implications(t.sql(IMPLICATIONS), t.findings).select("proposal_id", "actor", "raised_by")
 
 
-OPTIONS = """SELECT o_orderkey AS proposal_id, o_orderkey AS pos, o_custkey AS scope, o_orderstatus AS status,
+OPTIONS = """SELECT o_orderkey AS proposal_id, o_orderkey AS pos, o_custkey AS scope,
  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat(' ', lower(o_orderstatus), 'x') END AS letter, o_orderpriority AS name FROM orders"""
 OPTION_REFS = """SELECT l_orderkey AS proposal_id, l_suppkey AS ref FROM lineitem WHERE l_returnflag = 'A'"""
 OPTIONS_CTE = f"""o AS ({OPTIONS}), okay AS (SELECT DISTINCT proposal_id FROM ({OPTION_REFS}) WHERE ref IN ({UNCERTAINTIES})),

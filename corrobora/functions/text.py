@@ -12,6 +12,15 @@ _FANCY = "‘’“”–— "
 _PLAIN = "''\"\"-- "
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    A Column is an expression, not a variable: used twice, it runs twice.  The
+    one-element transform binds it.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(col, r"^\s+|\s+$", "")
@@ -144,17 +153,17 @@ def env_layer(quote: Column, proposed: Column) -> Column:
     """
     quote = F.coalesce(quote, F.lit(""))
     wanted = F.upper(F.when(F.coalesce(proposed, F.lit("")) == "", "GLOBAL").otherwise(proposed))
-    national = F.rlike(quote, F.lit("(?i)" + vocab.NATIONAL_TERMS))
-    listed = is_listed_with_region(quote)
-    regional = F.rlike(quote, F.lit("(?i)" + vocab.REGION_TERMS))
-    reason = (F.when(wanted != "UAE", "")
-              .when(national & ~listed, "")
-              .when(listed, "UAE named only within a regional list")
-              .when(regional, "quote names a region, not the UAE")
-              .otherwise("quote does not name the UAE or an Emirate"))
-    changed = reason != ""
-    return F.struct(F.when(changed, "REGIONAL").otherwise(wanted).alias("layer"),
-                    changed.alias("changed"), reason.alias("reason"))
+    found = F.struct(F.rlike(quote, F.lit("(?i)" + vocab.NATIONAL_TERMS)).alias("national"),
+                     is_listed_with_region(quote).alias("listed"),
+                     F.rlike(quote, F.lit("(?i)" + vocab.REGION_TERMS)).alias("regional"))
+    reason = let(found, lambda f: F.when(f["national"] & ~f["listed"], "")
+                 .when(f["listed"], "UAE named only within a regional list")
+                 .when(f["regional"], "quote names a region, not the UAE")
+                 .otherwise("quote does not name the UAE or an Emirate"))
+    reason = F.when(wanted != "UAE", "").otherwise(reason)
+    return let(reason, lambda r: F.struct(
+        F.when(r != "", "REGIONAL").otherwise(wanted).alias("layer"),
+        (r != "").alias("changed"), r.alias("reason")))
 
 
 def platitude(text: Column) -> Column:

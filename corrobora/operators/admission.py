@@ -106,14 +106,15 @@ def admit_findings(proposals: DataFrame, resolved: DataFrame, signal_evidence: D
               .withColumn("strong", F.lit(True)))
     out = proposals.join(n, "proposal_id", "left").join(strong, "proposal_id", "left") \
         .na.fill(0, ["signals"])
-    thin = text.platitude(F.col("statement"))
+    out = out.withColumn("thin", text.platitude(F.col("statement")))
+    thin = F.col("thin")
     why = (F.when(F.col("signals") < 1, "no admitted signal behind it")
            .when(thin != "", thin)
            .when(F.col("strong").isNull(), "rests only on Class C/D evidence — a hypothesis, not a finding"))
     rule = (F.when(F.col("signals") < 1, "finding_admission")
             .when(thin != "", "finding_substance")
             .when(F.col("strong").isNull(), "finding_class"))
-    return out.withColumn("raised_by", rule).withColumn("why", why).drop("strong")
+    return out.withColumn("raised_by", rule).withColumn("why", why).drop("strong", "thin")
 
 
 def evidence_behind(owner_edges: DataFrame, finding_signals: DataFrame,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora import vocab
 from corrobora.functions import audit as A, text
+from corrobora.session import ensure_checkpoint_dir, small
 
 
 # --- splitting ---------------------------------------------------------------------
@@ -99,25 +100,26 @@ def class_violations(flags: DataFrame, evidence: DataFrame) -> DataFrame:
     return per.select(*KEY, F.inline(found))
 
 
-def first_open_gate(pillars: DataFrame, gates: DataFrame) -> DataFrame:
-    """(pillar, gate_id): the first open gate that binds a pillar.
+def with_first_gate(claims: DataFrame, gates: DataFrame) -> DataFrame:
+    """Claims (with a ``pillar``) bound by an open gate, and the first such gate.
 
     A gate binds by the two letters in its id, or by naming the pillar among
-    the words of what it blocks; both are equi-joins.
+    the words of what it blocks.  Both lookups hold one row per code or word.
     """
     live = gates.where(F.col("status") == "OPEN")
-    by_id = live.select("gate_id", F.regexp_extract("gate_id", "^VG-(..)-", 1).alias("code"))
-    by_word = live.select("gate_id", F.explode(F.split("blocks", r"[^A-Za-z0-9_]+")).alias("pillar"))
-    names = pillars.select("pillar").distinct()
-    hits = (names.withColumn("code", F.left("pillar", F.lit(2))).join(by_id, "code").select("pillar", "gate_id")
-            .unionByName(names.join(by_word, "pillar").select("pillar", "gate_id")))
-    return hits.groupBy("pillar").agg(F.min("gate_id").alias("gate_id"))
+    by_code = (live.groupBy(F.regexp_extract("gate_id", "^VG-(..)-", 1).alias("code"))
+               .agg(F.min("gate_id").alias("g1")))
+    by_word = (live.select("gate_id", F.explode(F.split("blocks", r"[^A-Za-z0-9_]+")).alias("pillar"))
+               .groupBy("pillar").agg(F.min("gate_id").alias("g2")))
+    out = (claims.withColumn("code", F.left("pillar", F.lit(2))).join(small(by_code), "code", "left")
+           .join(small(by_word), "pillar", "left"))
+    return out.withColumn("gate_id", F.least("g1", "g2")).where("gate_id IS NOT NULL").drop("code", "g1", "g2")
 
 
 def gate_violations(flags: DataFrame, gates: DataFrame) -> DataFrame:
     """National gap claims made while a gate of the report's pillar is open."""
     claims = flags.where(F.col("gap_claim") & ~F.col("in_references")).select(*KEY, "pillar")
-    return claims.join(first_open_gate(claims, gates), "pillar").select(*KEY, "gate_id")
+    return with_first_gate(claims, gates).select(*KEY, "gate_id")
 
 
 def content_words(sentence: Column) -> Column:
@@ -146,13 +148,58 @@ def verdict_violations(checked: DataFrame, verdicts: DataFrame) -> DataFrame:
     return checked.join(verdicts.where(~F.col("supported")), list(KEY)).select(*KEY, "reason")
 
 
+def sentence_findings(flags: DataFrame, graph: DataFrame, gates: DataFrame, keep: tuple = ()) -> DataFrame:
+    """One row per offending sentence: ``bad_ids`` and ``found(check, severity)``.
+
+    All checks share one pass.  Each sentence travels once per cited id, with its
+    flags but without its text; one that cites nothing gets a key of its own, so
+    uncited sentences do not pile up on a null key.  The regexes run once.
+    """
+    body_cites = F.when(F.col("in_references"), F.array().cast("array<string>")).otherwise(F.col("cites"))
+    # The generator is a fence: a filter behind it is not pushed into the flags,
+    # which would evaluate every regex twice.
+    once = F.struct("hedged", "construct", "unsourced", "bracketed",
+                    (F.col("gap_claim") & ~F.col("in_references")).alias("gap"), body_cites.alias("ids"))
+    slim = (flags.select(*KEY, "pillar", *keep, F.inline(F.array(once)))
+            .where((F.size("ids") > 0) | F.col("unsourced") | F.col("gap")))
+    rows = slim.select("*", F.explode_outer("ids").alias("id")).drop("ids")
+    alone = F.concat_ws("~", F.lit(""), *KEY)
+    rows = (rows.withColumn("cited_id", F.coalesce("id", alone))
+            .withColumn("boxed", F.array_contains("bracketed", F.col("cited_id"))).drop("bracketed"))
+    known = graph.select("cited_id", "kind", "class")
+    rows = rows.join(known, "cited_id", "left")
+    ev = F.col("boxed") & (F.col("kind") == "evidence")
+    carried = ["pillar", "hedged", "construct", "unsourced", "gap", *keep]
+    per = rows.groupBy(*KEY).agg(
+        *[F.first(c).alias(c) for c in carried],
+        F.collect_list(F.when(F.col("kind").isNull(), F.col("id"))).alias("bad_ids"),
+        F.bool_and(F.when(ev, F.col("class") == "C")).alias("only_c"),
+        F.bool_or(F.when(ev, F.col("class") == "D")).alias("any_d"))
+    live = gates.where(F.col("status") == "OPEN")
+    listed = live.select(F.explode(F.split("blocks", r"[^A-Za-z0-9_]+")).alias("pillar")).distinct() \
+        .withColumn("gated", F.lit(True))
+    by_code = live.select(F.regexp_extract("gate_id", "^VG-(..)-", 1).alias("code")).distinct() \
+        .withColumn("coded", F.lit(True))
+    per = (per.withColumn("code", F.left("pillar", F.lit(2)))
+           .join(small(listed), "pillar", "left").join(small(by_code), "code", "left"))
+    gated = F.col("gap") & (F.col("gated").isNotNull() | F.col("coded").isNotNull())
+
+    def finding(test: Column, check: str, severity: str = "BLOCKER") -> Column:
+        return F.when(test, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity")))
+
+    found = F.array_compact(F.array(
+        finding(F.size("bad_ids") > 0, "CITATION"), finding(F.col("unsourced"), "UNSOURCED"),
+        finding(F.col("only_c") & ~F.col("hedged"), "CLASS_C"),
+        finding(F.col("any_d") & ~F.col("construct"), "CLASS_D", "WARNING"), finding(gated, "GATE")))
+    return per.select(*KEY, *keep, "bad_ids", found.alias("found")).where(F.size("found") > 0)
+
+
 def violations(flags: DataFrame, graph: DataFrame, gates: DataFrame) -> DataFrame:
-    """All blocking and warning findings of the deterministic checks."""
-    ids = citation_violations(flags, graph).select(*KEY, F.lit("CITATION").alias("check"), F.lit("BLOCKER").alias("severity"))
-    bare = flags.where("unsourced").select(*KEY, F.lit("UNSOURCED").alias("check"), F.lit("BLOCKER").alias("severity"))
-    classes = class_violations(flags, graph.where("kind = 'evidence'"))
-    gate = gate_violations(flags, gates).select(*KEY, F.lit("GATE").alias("check"), F.lit("BLOCKER").alias("severity"))
-    return ids.unionByName(bare).unionByName(classes).unionByName(gate)
+    """One row per violation; an unresolved citation counts once per id."""
+    per = sentence_findings(flags, graph, gates)
+    times = lambda f: F.when(f["check"] == "CITATION", F.size("bad_ids")).otherwise(1)
+    each = F.flatten(F.transform("found", lambda f: F.array_repeat(f, times(f))))
+    return per.select(*KEY, F.inline(each))
 
 
 def report_verdicts(reports: DataFrame, found: DataFrame) -> DataFrame:
@@ -233,11 +280,14 @@ def section_verdicts(sections_df: DataFrame, found: DataFrame, openers: DataFram
 def remove_sentences(body: Column, bad: Column) -> Column:
     """Body without the given sentences, tidied of what they leave behind."""
     cut = F.aggregate(bad, body, lambda acc, s: F.replace(acc, s, F.lit("")))
-    def tidy(line: Column) -> Column:
-        line = F.regexp_replace(F.regexp_replace(line, r"[ \t]{2,}", " "), r"\s+$", "")
-        line = F.when(F.rlike(line, F.lit(r"^\s+([-*+]|\d+[.)])\s")), line).otherwise(F.regexp_replace(line, r"^\s+", ""))
-        return F.regexp_replace(line, r"\s+([.,;:])", "$1")
-    lines = F.filter(F.transform(F.split(cut, "\n"), tidy), lambda l: ~F.rlike(l, F.lit(r"^\s*([-*+]|\d+[.)])\s*$")))
+    steps = (
+        lambda l: F.regexp_replace(F.regexp_replace(l, r"[ \t]{2,}", " "), r"\s+$", ""),
+        lambda l: F.when(F.rlike(l, F.lit(r"^\s+([-*+]|\d+[.)])\s")), l).otherwise(F.regexp_replace(l, r"^\s+", "")),
+        lambda l: F.regexp_replace(l, r"\s+([.,;:])", "$1"))
+    lines = F.split(cut, "\n")
+    for step in steps:
+        lines = F.transform(lines, step)
+    lines = F.filter(lines, lambda l: ~F.rlike(l, F.lit(r"^\s*([-*+]|\d+[.)])\s*$")))
     return text.strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -255,37 +305,43 @@ def drop_orphan_references(body: Column) -> Column:
                   F.concat(prose, F.lit("\n## References"), F.array_join(keep, "\n"))).otherwise(body)
 
 
+def sentence_count(body: Column) -> Column:
+    """Sentences of a body outside its reference list; row-local."""
+    blocks = F.filter(A.heading_blocks(body, F.lit("")), lambda b: ~b["in_references"])
+    return F.size(F.flatten(F.transform(blocks, lambda b: A.sentences_of(b["text"]))))
+
+
 def prune(reports: DataFrame, templates: DataFrame, graph: DataFrame, gates: DataFrame,
           rounds: int = 2) -> DataFrame:
     """Cut the sentences that block a report, drop orphaned references, audit again.
 
     A report keeps its pruned body only if at least max(3, 60 %) of its sentences
     remain; ``removed`` counts the sentences cut.  The sentences gathered per
-    report are bounded by the report itself.
+    report are bounded by the report itself.  Bodies are checkpointed between
+    rounds, so a later round never repeats the audit of an earlier one.
     """
-    body = reports.withColumn("original", F.col("body_md")).withColumn("removed", F.lit(0))
-    before = None
-    for _ in range(rounds):
+    ensure_checkpoint_dir(reports.sparkSession)
+    body = reports.select("report_id", "pillar", "body_md", F.col("body_md").alias("original"), F.lit(0).alias("removed"))
+    for turn in range(rounds):
         flags = flagged(sentences(sections(body.select("report_id", "pillar", "body_md"), templates)))
-        if before is None:
-            before = (flags.where(~F.col("in_references")).groupBy("report_id").agg(F.count("*").alias("n_before")))
-        bad_keys = violations(flags, graph, gates).where("severity = 'BLOCKER'").select(*KEY).distinct()
-        bad = (flags.select(*KEY, "sentence").join(bad_keys, list(KEY), "left_semi")
-               .groupBy("report_id").agg(F.array_sort(F.collect_set("sentence")).alias("bad")))
-        joined = body.join(bad, "report_id", "left")
-        here = F.filter("bad", lambda s: F.contains(F.col("body_md"), s))
-        some = F.coalesce(F.size(here) > 0, F.lit(False))
+        hard = F.exists("found", lambda f: f["severity"] == "BLOCKER")
+        bad = (sentence_findings(flags, graph, gates, keep=("sentence",)).where(hard)
+               .groupBy("report_id").agg(F.collect_set("sentence").alias("bad")))
+        # Staged columns: each is computed once, however often the next one uses it.
+        body = (body.join(bad, "report_id", "left")
+                .withColumn("here", F.filter("bad", lambda s: F.contains(F.col("body_md"), s)))
+                .withColumn("n", F.coalesce(F.size("here"), F.lit(0))).withColumn("n", F.greatest("n", F.lit(0))))
         # Longer sentences first, so none is cut inside another.
-        order = F.transform(F.array_sort(F.transform(here, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda p: p["s"])
-        cut = drop_orphan_references(remove_sentences(F.col("body_md"), order))
-        body = (joined.withColumn("new_body", F.when(some, cut).otherwise(F.col("body_md")))
-                .withColumn("removed", F.col("removed") + F.when(some, F.size(here)).otherwise(0))
-                .drop("bad", "body_md").withColumnRenamed("new_body", "body_md"))
-    after = (sentences(sections(body.select("report_id", "pillar", "body_md"), templates))
-             .where(~F.col("in_references")).groupBy("report_id").agg(F.count("*").alias("n_after")))
-    out = body.join(before, "report_id", "left").join(after, "report_id", "left").na.fill(0, ["n_before", "n_after"])
-    floor = F.greatest(F.lit(3), F.bround(F.col("n_before") * 0.6).cast("int"))
-    kept = F.col("n_after") >= floor
+        ranked = F.array_sort(F.transform("here", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
+        body = body.withColumn("cut", F.when(F.col("n") > 0, remove_sentences(
+            F.col("body_md"), F.transform(ranked, lambda p: p["s"]))))
+        body = body.select("report_id", "pillar", "original", (F.col("removed") + F.col("n")).alias("removed"),
+                           F.when(F.col("n") > 0, drop_orphan_references(F.col("cut"))).otherwise(F.col("body_md")).alias("body_md"))
+        if turn + 1 < rounds:
+            body = body.checkpoint()
+    out = (body.withColumn("n_before", sentence_count(F.col("original")))
+           .withColumn("n_after", sentence_count(F.col("body_md"))))
+    kept = F.col("n_after") >= F.greatest(F.lit(3), F.bround(F.col("n_before") * 0.6).cast("int"))
     return (out.withColumn("kept", kept)
             .withColumn("body_md", F.when(kept, F.col("body_md")).otherwise(F.col("original"))).drop("original"))
 
@@ -305,15 +361,19 @@ def check_edits(edits: DataFrame, reports: DataFrame, graph: DataFrame, gates: D
     pillar = edits.select("edit_id", "report_id").join(reports.select("report_id", "pillar"), "report_id").select("edit_id", "pillar")
     whole = edits.select("edit_id", F.explode(F.array_distinct(F.regexp_extract_all(
         "proposed_text", F.lit(vocab.OBJECT_REF), F.lit(1)))).alias("cited_id"))
-    unresolved = whole.join(graph.select("cited_id"), "cited_id", "left_anti").select("edit_id", F.lit("unresolved").alias("why"))
-    bare = flags.where("unsourced").select("edit_id", F.lit("unsourced").alias("why"))
+    unresolved = whole.join(graph.select("cited_id"), "cited_id", "left_anti") \
+        .select("edit_id", F.lit("unresolved").alias("why")).distinct()
     # The passage check exempts only sentences that say validation is required.
     low = F.lower("sentence")
     gap = (F.rlike("sentence", F.lit(vocab.GAP_LANGUAGE)) & ~F.contains(low, F.lit("customer validation"))
            & ~F.contains(low, F.lit("validation required")))
-    claims = flags.where(gap).select("edit_id").join(pillar, "edit_id")
-    gated = claims.join(first_open_gate(claims, gates), "pillar").select("edit_id", F.lit("gate").alias("why"))
-    bad = (unresolved.unionByName(bare).unionByName(gated).distinct()
+    whys = F.array_compact(F.array(F.when(F.col("unsourced"), "unsourced"), F.when(gap, "gate")))
+    raised = flags.select("edit_id", F.explode(whys).alias("why")).distinct()
+    gated = pillar.withColumn("why", F.lit("gate"))
+    bound = with_first_gate(gated, gates).select("edit_id", "why")
+    bare = (raised.where("why = 'unsourced'")
+            .unionByName(raised.where("why = 'gate'").join(bound.select("edit_id"), "edit_id", "left_semi")))
+    bad = (unresolved.unionByName(bare)
            .groupBy("edit_id").agg(F.array_sort(F.collect_set("why")).alias("problems")))
     out = edits.join(reports.select("report_id", "body_md"), "report_id", "left").join(bad, "edit_id", "left")
     at = F.instr("body_md", F.col("original_text"))

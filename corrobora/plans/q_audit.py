@@ -68,7 +68,7 @@ def flags(t):
 @query("h1_sections", f"WITH {SENT} SELECT report_id, section_no, title, section_key, length(text) AS chars FROM secs")
 def _(t):
     # The line break before the next heading is no part of the section.
-    text = F.regexp_replace("text", "\n$", "")
+    text = F.regexp_replace("text", r"\n\z", "")
     return secs(t).select("report_id", "section_no", "title", "section_key", F.length(text).alias("chars"))
 
 
@@ -269,9 +269,9 @@ og AS (SELECT DISTINCT r_name AS pillar FROM region JOIN gates g ON g.status = '
 pr AS (SELECT edit_id, 'unresolved' AS why FROM un UNION SELECT report_id, 'unsourced' FROM fl WHERE raw
    UNION SELECT report_id, 'gate' FROM fl JOIN og USING (pillar) WHERE regexp_matches(sentence, '{vocab.GAP_LANGUAGE}') AND NOT contains(lower(sentence), 'customer validation') AND NOT contains(lower(sentence), 'validation required')),
 pp AS (SELECT edit_id, string_agg(why, ',' ORDER BY why) AS problems FROM pr GROUP BY 1),
-j AS (SELECT e.edit_id, e.report_id, coalesce(problems, '') AS problems, instr(r.body_md, e.original_text) AS at, e.original_text, e.proposed_text, r.body_md FROM edits e JOIN reports r USING (report_id) LEFT JOIN pp USING (edit_id)),
-s AS (SELECT *, CASE WHEN problems <> '' THEN 'REJECTED' WHEN original_text = '' OR at = 0 THEN 'SUPERSEDED' ELSE 'APPLIED' END AS status FROM j)
-SELECT edit_id, report_id, problems, status, md5(CASE WHEN status = 'APPLIED' THEN left(body_md, at - 1) || proposed_text || substr(body_md, at + length(original_text)) END) AS body_hash FROM s""")
+j AS (SELECT e.edit_id, e.report_id, coalesce(problems, '') AS problems, instr(r.body_md, e.original_text) AS spot, e.original_text, e.proposed_text, r.body_md FROM edits e JOIN reports r USING (report_id) LEFT JOIN pp USING (edit_id)),
+s AS (SELECT *, CASE WHEN problems <> '' THEN 'REJECTED' WHEN original_text = '' OR spot = 0 THEN 'SUPERSEDED' ELSE 'APPLIED' END AS status FROM j)
+SELECT edit_id, report_id, problems, status, md5(CASE WHEN status = 'APPLIED' THEN left(body_md, spot - 1) || proposed_text || substr(body_md, spot + length(original_text)) END) AS body_hash FROM s""")
 def _(t):
     out = U.check_edits(t.edits, t.reports, graph(t), t.gates)
     return out.withColumn("body_hash", F.md5("new_body")).drop("new_body")

@@ -12,9 +12,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corrobora.sources.readers import spread
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# Tables whose rows are long texts: work per row, not per byte, dominates.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 SPARK: dict[str, str] = {}
 DUCK: dict[str, str] = {}
 
@@ -282,6 +287,8 @@ class Tables:
         if name not in self._known:
             if name in BASE:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if name in TEXT_TABLES:
+                    df = spread(df)
             elif name in SPARK:
                 df = self.sql(SPARK[name])
             else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # AQE picks broadcast joins from *measured* sizes, splits skewed join partitions
 # and merges small ones, so the library never hints a broadcast by hand.
@@ -42,3 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark ``df`` for broadcast, but only after counting that it is small.
+
+    For lookups whose key is an enum, where shuffling the large side by that key
+    would gather it in a few tasks.  The count stops at the bound; above it the
+    frame comes back unmarked and the join is planned as usual.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

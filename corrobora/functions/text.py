@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora import vocab
 
@@ -258,3 +258,15 @@ def lead_snippet(text: Column, cap: int = 220) -> Column:
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"\s+([.,;:])", "$1"))
     cut = F.concat(F.regexp_replace(F.left(plain, F.lit(cap)), r"\s\S*$", ""), F.lit("…"))
     return F.when(F.length(plain) > cap, cut).otherwise(plain)
+
+
+def merge_counts(old: Column, new: Column) -> Column:
+    """Two count maps as one; the newer value of a shared key wins."""
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return F.map_concat(kept, new)
+
+
+def first_mention(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row per key by ``order``: a combined ``min_by``, not a window."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, "r.*")

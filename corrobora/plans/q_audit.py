@@ -154,6 +154,17 @@ def _(t):
     return U.entailment(flags(t), t.sql(QUOTES))
 
 
+VERDICTS = """SELECT doc_id AS report_id, CAST(pos % 6 AS INT) AS section_no, CAST(pos % 5 AS INT) AS pos, min(pos) % 3 > 0 AS supported, min(source) AS reason FROM doc_sentences GROUP BY 1, 2, 3"""
+
+
+@query("h9_verdict_violations", f"""WITH {FLAGS}, v AS ({VERDICTS.replace('GROUP BY 1, 2, 3', 'GROUP BY doc_id, doc_sentences.pos % 6, doc_sentences.pos % 5').replace('min(pos)', 'min(doc_sentences.pos)')})
+SELECT report_id, section_no, pos, reason FROM v JOIN (SELECT report_id, section_no, pos FROM fl WHERE len(bracketed) > 0 AND NOT in_references) USING (report_id, section_no, pos) WHERE NOT supported""")
+def _(t):
+    v = VERDICTS.replace("GROUP BY 1, 2, 3", "GROUP BY doc_id, pos % 6, pos % 5")
+    checked = flags(t).where((F.size("bracketed") > 0) & ~F.col("in_references")).select("report_id", "section_no", "pos")
+    return U.verdict_violations(checked, t.sql(v))
+
+
 @query("e42_faithfulness", f"""WITH {FLAGS}, q AS ({QUOTES}),
 c AS (SELECT report_id, section_no, pos, any_value({WORDS.format('sentence')}) AS w, flatten(list({WORDS.format('quote')})) AS qw
   FROM (SELECT report_id, section_no, pos, sentence, unnest(bracketed) AS cited_id FROM fl WHERE NOT in_references) JOIN q USING (cited_id) GROUP BY 1, 2, 3)

@@ -9,7 +9,10 @@ from corrobora.functions import text
 
 REVIEW_SCHEMA = ("evidence_id STRING, action STRING, old_pillar STRING, old_topic STRING, new_pillar STRING, "
                  "new_topic STRING, new_topic_name STRING, reason STRING, ew_hook STRING, claim STRING")
-ITEM_SCHEMA = "title STRING, link STRING, description STRING, summary STRING, pubDate STRING"
+_ITEM = "ARRAY<STRUCT<title STRING, link STRING, description STRING, pubDate STRING>>"
+_ENTRY = ("ARRAY<STRUCT<title STRING, link ARRAY<STRUCT<_href STRING>>, summary STRING, published STRING, "
+          "updated STRING>>")
+FEED_SCHEMA = f"channel STRUCT<item {_ITEM}>, item {_ITEM}, entry {_ENTRY}"
 STIX_SCHEMA = ("objects ARRAY<STRUCT<type STRING, id STRING, name STRING, description STRING, revoked BOOLEAN, "
                "x_mitre_deprecated BOOLEAN, aliases ARRAY<STRING>, "
                "external_references ARRAY<STRUCT<source_name STRING, external_id STRING>>>>")
@@ -30,19 +33,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Entries of feed files, each with the file it came from."""
-    raw = (spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true")
-           .schema(ITEM_SCHEMA).load(path).withColumn("feed", F.input_file_name()))
-    return raw.select(
-        "feed", text.strip(F.col("link")).alias("link"), text.strip(F.col("title")).alias("title"),
-        text.squash(text.unescape(F.regexp_replace(
-            F.coalesce("summary", "description", F.lit("")), "(?s)<[^>]+>", " "))).alias("summary"),
-        F.coalesce(F.try_to_timestamp(F.regexp_extract("pubDate", r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1), F.lit("d MMM yyyy")),
-                   F.try_to_timestamp(F.left("pubDate", F.lit(10)), F.lit("yyyy-MM-dd"))).cast("date").alias("published_on"))
-
-
-def first_entries(entries: DataFrame, n: int, order: str = "link", key: str = "feed") -> DataFrame:
+def feed_entries(feeds: DataFrame) -> DataFrame:
+    """Entries of ``feeds(feed, xml)``: RSS items or Atom entries, in feed order."""
+    x = F.col("x")
+    items = F.coalesce(x["channel"]["item"], x["item"], F.array().cast(_ITEM))
+    rss = F.transform(items, lambda i: F.struct(
+        i["title"].alias("title"), i["link"].alias("link"), i["description"].alias("summary"), i["pubDate"].alias("date")))
+    atom = F.transform(F.coalesce(x["entry"], F.array().cast(_ENTRY)), lambda e: F.struct(
+        e["title"].alias("title"), F.try_element_at(e["link"], F.lit(1))["_href"].alias("link"),
+        e["summary"].alias("summary"), F.coalesce(e["published"], e["updated"]).alias("date")))
+    rows = (feeds.select("feed", F.from_xml("xml", FEED_SCHEMA, {"ignoreNamespace": "true"}).alias("x"))
+            .select("feed", F.posexplode(F.concat(rss, atom)).alias("pos", "e")).select("feed", "pos", "e.*"))
+    plain = text.squash(text.unescape(F.regexp_replace(F.coalesce("summary", F.lit("")), "(?s)<[^>]+>", " ")))
+    day = F.coalesce(
+        F.try_to_timestamp(F.regexp_extract("date", r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1), F.lit("d MMM yyyy")),
+        F.try_to_timestamp(F.left("date", F.lit(10)), F.lit("yyyy-MM-dd"))).cast("date")
+    return rows.select("feed", "pos", text.strip(F.col("link")).alias("link"), text.strip(F.col("title")).alias("title"),
+                       plain.alias("summary"), day.alias("published_on"))
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of feed files; a feed is one small file."""
+    raw = spark.read.option("wholetext", "true").text(path)
+    return feed_entries(raw.select(F.input_file_name().alias("feed"), F.col("value").alias("xml")))
+
+
+def first_entries(entries: DataFrame, n: int, order: str = "pos", key: str = "feed") -> DataFrame:
     """First ``n`` entries per feed; the rank limit is applied before the shuffle."""
     from pyspark.sql import Window
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
@@ -108,7 +124,7 @@ def seed_lines(lines: DataFrame) -> DataFrame:
     The note behind ``#`` holds the four fields, separated by middle dots.
     """
     rows = lines.where(F.rlike("value", F.lit(r"^\s*https?://\S+")))
-    note = F.regexp_extract("value", r"#\s*(.*)$", 1)
+    note = F.regexp_extract("value", r"\s#\s*(.*)$", 1)
     parts = F.transform(F.split(note, "·"), text.strip)
     part = lambda i: F.nullif(F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit("")), F.lit(""))
     return rows.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("url"), part(1).alias("tier"),

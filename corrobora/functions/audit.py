@@ -82,16 +82,16 @@ def is_condition(sentence: Column) -> Column:
     return F.rlike(s, F.lit(vocab.CONDITIONAL_OPENER)) | F.rlike(s, F.lit(vocab.FALSIFIER_CLAUSE))
 
 
-def is_unsourced(sentence: Column, simple: bool = False) -> Column:
+def is_unsourced(sentence: Column, cited: Column | None = None, simple: bool = False) -> Column:
     """A factual assertion with no citation and no exemption.
 
+    The tests run from cheap to dear and stop at the first that settles it.
     ``simple`` is the form used on benchmark texts: the exemptions for
     statements about the document and for conditions do not apply.
     """
-    bare = (is_assertive(sentence) & ~is_hedged(sentence) & ~is_recommendation(sentence))
-    if simple:
-        return bare
-    return bare & ~is_cited(sentence) & ~is_meta(sentence) & ~is_condition(sentence)
+    cited = is_cited(sentence) if cited is None else cited
+    bare = ~cited & is_assertive(sentence) & ~is_hedged(sentence) & ~is_recommendation(sentence)
+    return bare if simple else bare & ~is_meta(sentence) & ~is_condition(sentence)
 
 
 def unknown_opener(sentence: Column) -> Column:
@@ -115,7 +115,8 @@ def is_gate_disclosure(sentence: Column) -> Column:
 
 def is_gap_claim(sentence: Column) -> Column:
     """Deficit language within reach of a national subject."""
-    return F.rlike(sentence, F.lit(vocab.GAP_LANGUAGE)) & ~is_gate_disclosure(sentence)
+    subject = contains_any(F.lower(sentence), vocab.NATIONAL_SUBJECTS)
+    return subject & F.rlike(sentence, F.lit(vocab.GAP_LANGUAGE)) & ~is_gate_disclosure(sentence)
 
 
 def marks_construct(sentence: Column) -> Column:

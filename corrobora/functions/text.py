@@ -21,9 +21,25 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with costly columns that run once per row.
+
+    A later filter on an ordinary column is pushed below it, which evaluates the
+    expression twice; a generator is a fence the filter does not cross.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def attach(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of one-row frames, as scalar subqueries (no join)."""
+    for i, other in enumerate(one_row):
+        df = df.withColumn(f"_r{i}", other.select(F.struct("*")).scalar()).select("*", f"_r{i}.*").drop(f"_r{i}")
+    return df
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(" \t\n\r\f\x0b"))
 
 
 def squash(col: Column) -> Column:

@@ -49,18 +49,22 @@ def flagged(sentences_df: DataFrame) -> DataFrame:
     """Every sentence-level rule as one column each, in one pass."""
     s = F.col("sentence")
     epistemic = F.coalesce(F.col("section_key").isin(*vocab.EPISTEMIC_SECTIONS), F.lit(False))
-    return (sentences_df
-            .withColumn("cites", A.citations(s)).withColumn("bracketed", A.bracketed(s))
-            .withColumn("assertive", A.is_assertive(s)).withColumn("hedged", A.is_hedged(s))
-            .withColumn("recommendation", A.is_recommendation(s))
-            .withColumn("meta", A.is_meta(s)).withColumn("condition", A.is_condition(s))
-            .withColumn("construct", A.marks_construct(s)).withColumn("gap_claim", A.is_gap_claim(s))
-            .withColumn("cited", F.size("cites") > 0)
-            .withColumn("unsourced_raw", F.col("assertive") & ~F.col("cited") & ~F.col("hedged")
-                        & ~F.col("recommendation") & ~F.col("meta") & ~F.col("condition")
-                        & ~F.col("inner_references"))
-            .withColumn("unsourced", F.col("unsourced_raw") & ~epistemic)
-            .withColumn("exempt", F.col("unsourced_raw") & epistemic))
+    # The lower-case form and the ids are columns of their own, computed once.
+    # ``unsourced_raw`` repeats the predicates instead of naming their columns:
+    # flags nobody asks for are pruned, and a cited sentence skips the regexes.
+    staged = (sentences_df.withColumn("low", F.lower(s)).withColumn("cites", A.citations(s)))
+    hedged = text.contains_any(F.col("low"), vocab.HEDGES)
+    bare = ((F.size("cites") == 0) & ~F.col("inner_references") & A.is_assertive(s) & ~hedged
+            & ~A.is_recommendation(s) & ~A.is_meta(s) & ~A.is_condition(s))
+    flags = {
+        "bracketed": A.bracketed(s), "cited": F.size("cites") > 0, "assertive": A.is_assertive(s), "hedged": hedged,
+        "recommendation": A.is_recommendation(s), "meta": A.is_meta(s), "condition": A.is_condition(s),
+        "construct": text.contains_any(F.col("low"), vocab.CONSTRUCT_MARKERS),
+        "gap_claim": text.contains_any(F.col("low"), vocab.NATIONAL_SUBJECTS) & A.is_gap_claim(s),
+        "unsourced_raw": bare}
+    out = staged.withColumns(flags)
+    return out.withColumns({"unsourced": F.col("unsourced_raw") & ~epistemic,
+                            "exempt": F.col("unsourced_raw") & epistemic}).drop("low")
 
 
 KEY = ("report_id", "section_no", "pos")
@@ -158,9 +162,9 @@ def sentence_findings(flags: DataFrame, graph: DataFrame, gates: DataFrame, keep
     body_cites = F.when(F.col("in_references"), F.array().cast("array<string>")).otherwise(F.col("cites"))
     # The generator is a fence: a filter behind it is not pushed into the flags,
     # which would evaluate every regex twice.
-    once = F.struct("hedged", "construct", "unsourced", "bracketed",
-                    (F.col("gap_claim") & ~F.col("in_references")).alias("gap"), body_cites.alias("ids"))
-    slim = (flags.select(*KEY, "pillar", *keep, F.inline(F.array(once)))
+    needed = F.struct("hedged", "construct", "unsourced", "bracketed",
+                      (F.col("gap_claim") & ~F.col("in_references")).alias("gap"), body_cites.alias("ids"))
+    slim = (flags.select(*KEY, "pillar", *keep, F.inline(F.array(needed)))
             .where((F.size("ids") > 0) | F.col("unsourced") | F.col("gap")))
     rows = slim.select("*", F.explode_outer("ids").alias("id")).drop("ids")
     alone = F.concat_ws("~", F.lit(""), *KEY)

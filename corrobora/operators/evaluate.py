@@ -59,7 +59,7 @@ def text_metrics(sentences: DataFrame, key: str, citation: str = vocab.OBJECT_RE
     s = F.col("sentence")
     words = F.size(F.filter(F.split(text.squash(s), " "), lambda w: w != ""))
     cited = F.rlike(s, F.lit(citation))
-    base = sentences.select(key, words.alias("w"), cited.alias("c"), (~cited & A.is_unsourced(s, simple=True)).alias("u"))
+    base = sentences.select(key, words.alias("w"), cited.alias("c"), A.is_unsourced(s, cited, simple=True).alias("u"))
     out = base.groupBy(key).agg(F.count("*").alias("sentences"), F.sum("w").alias("words"),
                                 F.count_if("c").alias("cited"), F.count_if("u").alias("unsourced"))
     return (out.withColumn("cites_per_10k", rules.ratio(F.col("cited"), F.greatest("words", F.lit(1)), 10000))

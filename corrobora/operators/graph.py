@@ -33,7 +33,7 @@ def closure(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
         if level.isEmpty():
             break
         out = out.unionByName(level.drop("parent_id"))
-    return out
+    return out.checkpoint()
 
 
 def subtree(nodes: DataFrame, root: str) -> DataFrame:

@@ -274,6 +274,6 @@ def dataset_row(records: DataFrame, matching: Column, name: str, claim: str, sam
     counts = records.agg(F.count("*").alias("active"), F.count_if(matching).alias("matching"))
     top = records.where(matching).select(F.col(name).alias("name")).orderBy("name").limit(sample)
     quote = top.agg(F.array_join(F.array_sort(F.collect_list("name")), separator).alias("quote"))
-    return (counts.withColumn("one", F.lit(1)).join(quote.withColumn("one", F.lit(1)), "one")
+    return (text.attach(counts, quote)
             .select("active", "matching", F.left(F.format_string(claim, F.col("active"), F.col("matching")), F.lit(500)).alias("claim"),
                     F.left(F.when(F.col("quote") == "", empty).otherwise(F.col("quote")), F.lit(400)).alias("quote")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora import vocab
 from corrobora.functions import text
+from corrobora.session import ensure_checkpoint_dir
 
 
 # --- relevance to a brief -------------------------------------------------------------
@@ -58,10 +59,10 @@ def shingle_matches(benchmark: DataFrame, documents: DataFrame, k: int = 5, thre
     so a passage repeated within one text moves once.  The benchmark side is
     small and AQE broadcasts it; when it is not, the join is on the shingle.
     """
-    items = (benchmark.withColumn("w", words_of(F.col("text"))).withColumn("s", shingles(F.col("w"), k))
-             .select("item_id", F.size("s").alias("total"), F.explode("s").alias("shingle")))
-    docs = (documents.withColumn("w", words_of(F.col("text")))
-            .select("doc_id", F.explode(shingles(F.col("w"), k)).alias("shingle")))
+    items = text.once(text.once(benchmark.select("item_id", "text"), w=words_of(F.col("text"))), s=shingles(F.col("w"), k))
+    items = items.select("item_id", F.size("s").alias("total"), F.explode("s").alias("shingle"))
+    docs = text.once(documents.select("doc_id", "text"), w=words_of(F.col("text")))
+    docs = docs.select("doc_id", F.explode(shingles(F.col("w"), k)).alias("shingle"))
     shared = docs.join(items, "shingle").groupBy("item_id", "doc_id").agg(
         F.count("*").alias("shared"), F.first("total").alias("total"))
     return shared.where(F.col("shared") >= F.col("total") * threshold)
@@ -100,24 +101,35 @@ def same_fact_pairs(rows: DataFrame, group: list[str], row_id: str, claim: str,
       are ordered long words first, since these are the rare ones;
     * a pair must agree on length within the threshold before it is verified.
     """
-    sets = (rows.select(*group, F.col(row_id).alias("id"), token_set(F.col(claim)).alias("t"))
-            .where(F.size("t") > 0))
-    distinct = sets.groupBy(*group, "t").agg(F.min("id").alias("id"))
-    copies = (sets.join(distinct.withColumnRenamed("id", "a_id"), [*group, "t"]).where("id <> a_id")
-              .select("a_id", F.col("id").alias("b_id"), F.size("t").alias("shared"), F.size("t").alias("total")))
+    # A digest stands for the set in keys, so no array is hashed or sorted in a shuffle.
+    sets = text.once(rows.select(*group, F.col(row_id).alias("id"), F.col(claim).alias("c")), t=token_set(F.col("c")))
+    sets = sets.where(F.size("t") > 0).select(*group, "id", "t", F.md5(F.array_join("t", " ")).alias("d"))
+    # Read by five branches below; written once, the texts are split once.
+    ensure_checkpoint_dir(rows.sparkSession)
+    sets = sets.checkpoint()
+    distinct = sets.groupBy(*group, "d").agg(F.min("id").alias("id"), F.first("t").alias("t"))
+    copies = (sets.select(*group, "d", "id", F.size("t").alias("n"))
+              .join(distinct.select(*group, "d", F.col("id").alias("a_id")), [*group, "d"]).where("id <> a_id")
+              .select("a_id", F.col("id").alias("b_id"), F.col("n").alias("shared"), F.col("n").alias("total")))
     n = F.size("t")
     ordered = F.transform(F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
     prefix = F.slice(ordered, F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))
-    keyed = distinct.withColumn("n", n).withColumn("p", F.explode(prefix))
-    left = keyed.select(*group, "p", F.col("id").alias("a_id"), F.col("t").alias("ta"), F.col("n").alias("na"))
-    right = keyed.select(*group, "p", F.col("id").alias("b_id"), F.col("t").alias("tb"), F.col("n").alias("nb"))
-    near = (left.join(right, [*group, "p"])
-            .where((F.col("a_id") < F.col("b_id"))
-                   & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)))
+    # Candidates carry ids, sizes and a token hash only; the sets join back for the
+    # pairs that are left, so a hash that collides costs a check, not a result.
+    keyed = distinct.select(*group, "id", n.alias("n"), F.explode(prefix).alias("p")) \
+        .select(*group, "id", "n", F.xxhash64("p").alias("p"))
+    left = keyed.select(*group, "p", F.col("id").alias("a_id"), F.col("n").alias("na"))
+    right = keyed.select(*group, "p", F.col("id").alias("b_id"), F.col("n").alias("nb"))
+    pairs = (left.join(right, [*group, "p"])
+             .where((F.col("a_id") < F.col("b_id"))
+                    & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)))
+             .select("a_id", "b_id", "na", "nb").distinct())
+    near = (pairs.join(distinct.select(F.col("id").alias("a_id"), F.col("t").alias("ta")), "a_id")
+            .join(distinct.select(F.col("id").alias("b_id"), F.col("t").alias("tb")), "b_id")
             .select("a_id", "b_id", F.size(F.array_intersect("ta", "tb")).alias("shared"), "na", "nb"))
     close = (near.withColumn("total", F.col("na") + F.col("nb") - F.col("shared"))
              .where(F.col("shared") >= F.col("total") * F.lit(threshold))
-             .select("a_id", "b_id", "shared", "total").distinct())
+             .select("a_id", "b_id", "shared", "total"))
     return copies.unionByName(close)
 
 

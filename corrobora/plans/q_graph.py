@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corrobora.operators import graph as G, readiness as R
+from corrobora.functions.text import attach
 from corrobora.plans.q_provenance import rows
 from corrobora.plans.registry import query
 
@@ -270,8 +271,7 @@ def _(t):
     pubs = used.agg(F.count("*").alias("publishers"), F.count_if(F.col("tier") == 1).alias("tier1_publishers"))
     risks = t.risks.agg(F.count_if(F.col("likelihood") * F.col("impact") >= 6).alias("high_risks"))
     gates = t.gates.agg(F.count_if(F.col("status") == "OPEN").alias("gates_open"))
-    one = [x.withColumn("one", F.lit(1)) for x in (ev, pubs, risks, gates)]
-    return one[0].join(one[1], "one").join(one[2], "one").join(one[3], "one").drop("one")
+    return attach(ev, pubs, risks, gates)
 
 
 @query("f4_signal_home", """

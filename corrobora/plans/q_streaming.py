@@ -121,13 +121,14 @@ def _(t):
 
 
 # --- readers --------------------------------------------------------------------------------------
-view("feed_xml", """
+_FEED = """
 SELECT concat('https://', CAST(doc_id AS STRING), '.example.com/', CAST(pos AS STRING)) AS link, concat('Story ', CAST(pos AS STRING)) AS title,
-       regexp_replace(lower(sentence), '[^a-z ]', '') AS words, CAST(pos AS INT) AS pos, doc_id FROM doc_sentences
-""")
+       regexp_replace(lower(sentence), '[^a-z ]', ''%s) AS words, CAST(pos AS INT) AS pos, doc_id FROM doc_sentences
+"""
+view("feed_xml", _FEED % "", _FEED % ", 'g'")
 
 
-@query("a3_feed_entries", r"""SELECT link, title, trim(regexp_replace(words, '\s+', ' ', 'g')) || ' & more' AS summary, CAST(DATE '2024-03-01' + pos % 28 AS VARCHAR) AS published_on FROM feed_xml""")
+@query("a3_feed_entries", r"""SELECT link, title, trim(regexp_replace(words || ' & more', '\s+', ' ', 'g')) AS summary, CAST(DATE '2024-03-01' + pos % 28 AS VARCHAR) AS published_on FROM feed_xml""")
 def _(t):
     f = t.feed_xml
     day = F.date_add(F.lit("2024-03-01").cast("date"), (F.col("pos") % 28).cast("int"))
@@ -170,7 +171,7 @@ CVES = """SELECT l_partkey AS part, l_suppkey AS k, l_orderkey AS o, l_linenumbe
 
 
 @query("a5_cve_records", f"""
-WITH r AS (SELECT 'CVE-' || part AS cve_id, k, ln, CASE WHEN q < 10 THEN q / 10 WHEN q < 30 THEN q / 5 WHEN q < 45 THEN q / 8 END AS score,
+WITH r AS (SELECT 'CVE-' || part AS cve_id, k, o, ln, CASE WHEN q < 10 THEN q / 10 WHEN q < 30 THEN q / 5 WHEN q < 45 THEN q / 8 END AS score,
   CASE WHEN ln % 3 = 0 THEN '' ELSE 'Flaw in part ' || part END AS description FROM ({CVES}) WHERE ts BETWEEN TIMESTAMP '1998-06-30 00:00:00' - INTERVAL 120 DAY AND TIMESTAMP '1998-06-30 00:00:00')
 SELECT cve_id, arg_min('k' || k, k * 100000000 + o * 10 + ln) AS keyword, arg_min(description, k * 100000000 + o * 10 + ln) AS description, round(min_by_score, 4) AS score FROM (
   SELECT *, first_value(score) OVER (PARTITION BY cve_id ORDER BY k * 100000000 + o * 10 + ln) AS min_by_score FROM r) GROUP BY cve_id, min_by_score""")

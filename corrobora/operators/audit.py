@@ -25,7 +25,7 @@ def sections(reports: DataFrame, templates: DataFrame) -> DataFrame:
     out = reports.select(*[c for c in reports.columns if c in ("report_id", "pillar")],
                          F.posexplode(raw).alias("section_no", "s"))
     out = out.select("*", F.col("s.title").alias("title"), F.col("s.text").alias("text")).drop("s")
-    return out.withColumn("low", F.lower("title")).join(keys, "low", "left").drop("low")
+    return out.withColumn("low", F.lower("title")).join(small(keys), "low", "left").drop("low")
 
 
 def sentences(sections_df: DataFrame) -> DataFrame:

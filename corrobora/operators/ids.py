@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corrobora import vocab
+from corrobora.session import ensure_checkpoint_dir
 
 
 def high_water(texts: DataFrame, column: str) -> DataFrame:
@@ -20,26 +21,26 @@ def high_water(texts: DataFrame, column: str) -> DataFrame:
             .groupBy("prefix").agg(F.max("n").cast("long").alias("top")))
 
 
-def mint(rows: DataFrame, order: str, top: DataFrame, buckets: int = 512, width: int = 2) -> DataFrame:
+def mint(rows: DataFrame, order: str, top: DataFrame, buckets: int | None = None, width: int = 2) -> DataFrame:
     """Number ``rows(prefix, <order>)`` per prefix above ``top``, by ``order``.
 
-    ``order`` is a unique number within its prefix.  Rows fall into buckets of
-    its range, each bucket is numbered on its own and starts after the rows of
-    the buckets before it, so one huge prefix is spread over many tasks.  The
-    buckets are a function of the data, so a lost task recomputes the same ids.
+    ``order`` is unique within its prefix.  Rows are range-partitioned on (prefix,
+    order), so ranges are even however they are spread; each range is numbered
+    on its own and starts after the rows of the ranges before it.  The ranges are
+    frozen in a checkpoint: a task that runs again sees the same ones.
     """
-    span = rows.groupBy("prefix").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / buckets)).cast("long")
-    placed = (rows.join(span, "prefix")
-              .withColumn("bucket", F.call_function("div", F.col(order) - F.col("lo"), step)).drop("lo", "hi"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    parts = [buckets] if buckets else []
+    placed = (rows.repartitionByRange(*parts, "prefix", order)
+              .withColumn("bucket", F.spark_partition_id()).checkpoint())
     sizes = placed.groupBy("prefix", "bucket").agg(F.count("*").alias("n"))
-    # At most ``buckets`` rows per prefix reach this window.
+    # One row per range and prefix reaches this window.
     before = Window.partitionBy("prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("prefix", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = starts.join(top, "prefix", "left").select(
+        "prefix", "bucket", (F.col("start") + F.coalesce("top", F.lit(0))).alias("start"))
     within = F.row_number().over(Window.partitionBy("prefix", "bucket").orderBy(order))
-    number = F.coalesce(F.col("top"), F.lit(0)) + F.col("start") + F.col("rk")
-    digits = number.cast("string")
+    digits = (F.col("start") + F.col("rk")).cast("string")
     padded = F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
     return (placed.withColumn("rk", within).join(starts, ["prefix", "bucket"])
-            .join(top, "prefix", "left").withColumn("id", F.concat("prefix", padded))
-            .drop("bucket", "rk", "start", "top"))
+            .withColumn("id", F.concat("prefix", padded)).drop("bucket", "rk", "start"))

@@ -13,6 +13,17 @@ from pyspark.sql import DataFrame, functions as F
 from corrobora.functions import rules
 
 
+def _with_publisher(left: DataFrame, registry: DataFrame) -> DataFrame:
+    """Left join on the publisher; rows without one are spread over all tasks.
+
+    Unresolved publishers share one null key, which would gather them in one
+    task; here each gets a key of its own that matches nothing.
+    """
+    key = F.coalesce(F.col("registry_id").cast("string"), F.concat(F.lit("~"), F.col("document_id").cast("string")))
+    right = registry.withColumn("_k", F.col("registry_id").cast("string")).drop("registry_id")
+    return left.withColumn("_k", key).join(right, "_k", "left").drop("_k")
+
+
 def provenance_rows(evidence_sources: DataFrame, documents: DataFrame,
                     registry: DataFrame) -> DataFrame:
     """One row per (evidence, document) with its publisher and tier.
@@ -23,9 +34,8 @@ def provenance_rows(evidence_sources: DataFrame, documents: DataFrame,
     """
     docs = documents.select("document_id", "registry_id")
     tiers = registry.select("registry_id", "tier")
-    return (evidence_sources.select("evidence_id", "document_id")
-            .join(docs, "document_id", "left")
-            .join(tiers, "registry_id", "left"))
+    known = evidence_sources.select("evidence_id", "document_id").join(docs, "document_id", "left")
+    return _with_publisher(known, tiers)
 
 
 def publishers_of(rows: DataFrame, key: str) -> DataFrame:
@@ -131,4 +141,4 @@ def changed_rows(stored: DataFrame, computed: DataFrame, key: str, columns: list
 def document_reference(documents: DataFrame, registry: DataFrame) -> DataFrame:
     """Document reference view: documents with publisher and tier, no body."""
     ref = registry.select("registry_id", "publisher", "tier")
-    return documents.drop("raw_text", "text").join(ref, "registry_id", "left")
+    return _with_publisher(documents.drop("raw_text", "text"), ref)

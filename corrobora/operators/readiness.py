@@ -13,16 +13,18 @@ def readiness_measures(membership: DataFrame, key: str, live_evidence: DataFrame
                     signals: DataFrame, as_of: Column, aggregator=None) -> tuple:
     """The measures behind readiness per branch (or topic): ``membership(key, topic_id)``.
 
-    Class mix and layers come from evidence; publishers, documents and signals
+    Class mix and layers add up from topic counts; publishers, documents and signals
     are each reduced to distinct (key, id) on their own path before counting.
     The aggregator is not a publisher here.
     """
-    ev = membership.select(key, "topic_id").distinct().join(
-        live_evidence.select("evidence_id", "topic_id", "class", "env_layer"), "topic_id")
-    mix = ev.groupBy(key).agg(
+    member = membership.select(key, "topic_id").distinct()
+    per_topic = live_evidence.groupBy("topic_id").agg(
         F.count("*").alias("evidence"),
         *[F.count_if(F.col("class") == c).alias(f"class_{c.lower()}") for c in vocab.CLASSES],
         F.count_if(F.col("env_layer") == "UAE").alias("national"))
+    measures = [c for c in per_topic.columns if c != "topic_id"]
+    mix = member.join(per_topic, "topic_id").groupBy(key).agg(*[F.sum(c).alias(c) for c in measures]) \
+        if key != "topic_id" else member.join(per_topic, "topic_id")
     # Topic grain first: the branch join then moves distinct ids, not rows.
     by_topic = live_evidence.select("evidence_id", "topic_id")
     topic_pubs = (by_topic.join(provenance_rows, "evidence_id")
@@ -33,7 +35,6 @@ def readiness_measures(membership: DataFrame, key: str, live_evidence: DataFrame
         .select("topic_id", "document_id").distinct()
     topic_sigs = by_topic.join(signal_evidence.select("evidence_id", "signal_id"), "evidence_id") \
         .select("topic_id", "signal_id").distinct()
-    member = membership.select(key, "topic_id").distinct()
     pubs = member.join(topic_pubs, "topic_id").select(key, "registry_id").distinct() \
         .groupBy(key).agg(F.count("*").alias("publishers"))
     age = F.date_diff(as_of, F.col("retrieved_on"))

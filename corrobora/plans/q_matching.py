@@ -84,7 +84,7 @@ FROM doc_sentences WHERE length(sentence) > 90
 
 @query("d15_pair_space", f"""
 WITH s AS (SELECT doc_id, {TOK} AS t FROM claims), d AS (SELECT doc_id, t, count(*) AS c FROM s WHERE len(t) > 0 GROUP BY 1, 2)
-SELECT doc_id, sum(c) AS "rows", count(*) AS distinct_rows, count(*) * (count(*) - 1) // 2 AS pairs, sum(c) - count(*) AS copies FROM d GROUP BY 1""")
+SELECT doc_id, sum(c) AS "rows", count(*) AS distinct_rows, count(*) * (count(*) - 1) // 2 AS pairs, sum(c) - count(*) AS copies FROM d GROUP BY 1""", longs=('rows', 'copies'))
 def _(t):
     return M.pair_space(t.claims, ["doc_id"], "sentence")
 
@@ -142,7 +142,7 @@ KEYWORDS = {
 WITH k AS ({KEYWORDS['duck']}), w AS (SELECT DISTINCT proposal_id, unnest(regexp_extract_all(lower(statement), '[a-z0-9]+')) AS word FROM statements),
 s AS (SELECT proposal_id, topic_id, sum(weight) AS score FROM w JOIN k USING (word) GROUP BY 1, 2),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY proposal_id ORDER BY score DESC, topic_id) = 1)
-SELECT proposal_id AS claim_id, coalesce(topic_id, 'NONE') AS topic_id, coalesce(score, 0) AS score FROM statements LEFT JOIN b USING (proposal_id)""")
+SELECT proposal_id AS claim_id, coalesce(topic_id, 'NONE') AS topic_id, coalesce(score, 0) AS score FROM statements LEFT JOIN b USING (proposal_id)""", longs=('score',))
 def _(t):
     claims = t.statements.select(F.col("proposal_id").alias("claim_id"), F.col("statement").alias("claim"))
     return M.best_topic(claims, t.sql(KEYWORDS["spark"]))
@@ -298,13 +298,13 @@ m1 AS (SELECT {key}, count(*) AS sentences, sum(w) AS words, count(*) FILTER (c)
 SELECT *, CAST(round_even(cited * 10000.0 / greatest(words, 1), 0) AS BIGINT) AS cites_per_10k, CAST(round_even(unsourced * 1000.0 / greatest(sentences, 1), 0) AS BIGINT) AS unsourced_milli FROM m1"""
 
 
-@query("e35_report_text_metrics", f"WITH {SENT}, {_metrics_sql('SELECT report_id, sentence FROM sent WHERE NOT in_references', 'report_id', OBJ)}")
+@query("e35_report_text_metrics", f"WITH {SENT}, {_metrics_sql('SELECT report_id, sentence FROM sent WHERE NOT in_references', 'report_id', OBJ)}", longs=('words',))
 def _(t):
     s = U.sentences(secs(t)).where(~F.col("in_references"))
     return E.text_metrics(s, "report_id")
 
 
-@query("e35_benchmark_text_metrics", "WITH " + _metrics_sql("SELECT source, line AS sentence FROM bench_lines WHERE length(line) > 40 AND NOT starts_with(line, '•')", "source", vocab.NUMERIC_CITATION))
+@query("e35_benchmark_text_metrics", "WITH " + _metrics_sql("SELECT source, line AS sentence FROM bench_lines WHERE length(line) > 40 AND NOT starts_with(line, '•')", "source", vocab.NUMERIC_CITATION), longs=('words',))
 def _(t):
     lines = E.benchmark_sentences(t.bench_lines).withColumnRenamed("line", "sentence")
     return E.text_metrics(lines, "source", vocab.NUMERIC_CITATION)
@@ -358,13 +358,13 @@ view("ledger",
  string_split(o_orderpriority, '-') AS citations FROM orders""")
 
 
-@query("e32_ledger_totals", """SELECT report_id, count(*) AS sections, sum(retries) AS redrafts, count(*) FILTER (withheld) AS withheld, sum(len(citations)) AS citations FROM ledger GROUP BY 1""")
+@query("e32_ledger_totals", """SELECT report_id, count(*) AS sections, sum(retries) AS redrafts, count(*) FILTER (withheld) AS withheld, sum(len(citations)) AS citations FROM ledger GROUP BY 1""", longs=('redrafts', 'citations'))
 def _(t):
     return R.ledger_totals(t.ledger)
 
 
 @query("e32_ledger_inputs", """WITH p AS (SELECT unnest(map_keys(rows_passed)) AS input, unnest(map_values(rows_passed)) AS passed, 0 AS held FROM ledger
- UNION ALL SELECT unnest(map_keys(rows_withheld)), 0, unnest(map_values(rows_withheld)) FROM ledger) SELECT input, sum(passed) AS passed, sum(held) AS held FROM p GROUP BY 1""")
+ UNION ALL SELECT unnest(map_keys(rows_withheld)), 0, unnest(map_values(rows_withheld)) FROM ledger) SELECT input, sum(passed) AS passed, sum(held) AS held FROM p GROUP BY 1""", longs=('passed', 'held'))
 def _(t):
     return R.ledger_inputs(t.ledger)
 

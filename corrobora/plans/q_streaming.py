@@ -248,7 +248,7 @@ def _(t):
 
 @query("i_payload_size", """
 WITH j AS (SELECT pillar, length('{"id":' || evidence_id || ',"class":"' || class || '","topic":"' || topic_id || '"}') AS n FROM live_evidence),
-s AS (SELECT pillar, 1 + sum(n + 1) AS chars FROM j GROUP BY 1) SELECT pillar, chars, chars > 260000 AS over_budget FROM s""")
+s AS (SELECT pillar, 1 + sum(n + 1) AS chars FROM j GROUP BY 1) SELECT pillar, chars, chars > 260000 AS over_budget FROM s""", longs=('chars',))
 def _(t):
     # Length of the JSON array from the lengths of its rows: nothing is collected.
     row = F.to_json(F.struct(F.col("evidence_id").alias("id"), "class", F.col("topic_id").alias("topic")))

@@ -12,13 +12,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under a name, with its DuckDB text."""
+def query(name: str, sql: str | None = None, longs: tuple = ()):
+    """Register ``fn(tables) -> DataFrame`` under a name, with its DuckDB text.
+
+    ``longs`` are sums, which DuckDB widens to 128 bits; they are cast back.
+    """
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in longs)
+            ORACLES[name] = oracle(f"SELECT * REPLACE ({casts}) FROM ({sql}) x" if longs else sql)
         return fn
     return add

@@ -146,7 +146,12 @@ def clear_set(evidence: DataFrame, signal_evidence: DataFrame, links: DataFrame,
 
 
 def remove_links(links: DataFrame, cleared: DataFrame) -> DataFrame:
-    """Links left when every object of ``cleared(id)`` is gone, on either end."""
+    """Links left when every object of ``cleared(id)`` is gone, on either end.
+
+    The cascade behind ``cleared`` is read twice, so it is written once first.
+    """
+    ensure_checkpoint_dir(links.sparkSession)
+    cleared = cleared.checkpoint()
     return (links.join(cleared.select(F.col("id").alias("from_id")), "from_id", "left_anti")
             .join(cleared.select(F.col("id").alias("to_id")), "to_id", "left_anti"))
 

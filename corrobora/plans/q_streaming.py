@@ -104,7 +104,11 @@ def _(t):
 
 
 # Each signup is a request of its own; the same user's first view after it starts it.
-@query("l6_stale_request_stream")
+@query("l6_stale_request_stream", """
+WITH e AS (SELECT * FROM events WHERE event_type IN ('signup', 'purchase')),
+r AS (SELECT user_id, min(ts) FILTER (event_type = 'signup') AS q, min(ts) FILTER (event_type = 'purchase') AS s FROM e GROUP BY 1)
+SELECT user_id AS request_id, 'abandoned — queued over 120 minutes' AS reason FROM r
+WHERE q IS NOT NULL AND (s IS NULL OR s > q + INTERVAL 120 MINUTE) AND q + INTERVAL 120 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM e)""")
 def _(t):
     ev = event_stream(t).where("event_type IN ('signup', 'purchase')")
     kind = F.when(F.col("event_type") == "signup", "queued").otherwise("started")

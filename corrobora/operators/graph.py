@@ -79,7 +79,10 @@ def levels(nodes: DataFrame) -> DataFrame:
 
 
 def shared_function_neighbours(topics: DataFrame) -> DataFrame:
-    """(topic_id, neighbour_id) of live topics sharing a function, both ways."""
+    """(topic_id, neighbour_id) of live topics sharing a function, both ways.
+
+    Topics are a catalogue; the neighbours themselves are the result.
+    """
     uses = topics.where(~F.col("retired")).select("topic_id", F.explode("functions").alias("f")).distinct()
     other = uses.select(F.col("topic_id").alias("neighbour_id"), "f")
     return (uses.join(other, "f").where("topic_id <> neighbour_id")
@@ -181,7 +184,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (both.where("v > u").join(lowest, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")))   # repeats go with the last distinct
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(small_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(small_min.select("u", F.col("m").alias("v"))).where("u <> v").distinct())

@@ -100,12 +100,15 @@ def match_scenarios(names: DataFrame, scenarios: DataFrame) -> DataFrame:
     exact = want.join(kept.groupBy("scope", "slug").agg(F.max_by("scenario_id", "pos").alias("exact_id")),
                       ["scope", "slug"], "left")
     short = lambda c: F.left(c, F.lit(12))
-    by_key = kept.withColumn("p", short(F.col("slug"))).select("scope", "p", "pos", "scenario_id")
-    by_key_prefix = kept.withColumn("p", F.explode(_prefixes(F.col("slug")))).select("scope", "p", "pos", "scenario_id")
+    # The earliest scenario per prefix is settled before the join, so a short
+    # name meets one row per prefix instead of every scenario it opens.
+    first = lambda df: df.groupBy("scope", "p").agg(F.min(F.struct("pos", "scenario_id")).alias("b"))
+    by_key = first(kept.withColumn("p", short(F.col("slug"))))
+    by_key_prefix = first(kept.withColumn("p", F.explode(_prefixes(F.col("slug")))))
     left = want.select("name_id", "scope", "slug")
-    hits = (left.withColumn("p", F.explode(_prefixes(F.col("slug")))).join(by_key, ["scope", "p"])
-            .unionByName(left.withColumn("p", short(F.col("slug"))).join(by_key_prefix, ["scope", "p"])))
-    loose = hits.groupBy("name_id").agg(F.min_by("scenario_id", F.struct("pos", "scenario_id")).alias("loose_id"))
+    hits = (left.withColumn("p", F.explode(_prefixes(F.col("slug")))).join(by_key, ["scope", "p"]).select("name_id", "b")
+            .unionByName(left.withColumn("p", short(F.col("slug"))).join(by_key_prefix, ["scope", "p"]).select("name_id", "b")))
+    loose = hits.groupBy("name_id").agg(F.min("b").alias("b")).select("name_id", F.col("b.scenario_id").alias("loose_id"))
     return (exact.join(loose, "name_id", "left")
             .select("name_id", "scope", "name", F.coalesce("exact_id", "loose_id").alias("scenario_id")))
 

@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. One pass turns a text into its set of four-word shingles (64-bit hashes), a
+1. One pass turns a text into its set of word shingles (64-bit hashes), a
    128-bit fingerprint of the set and ``bands * rows`` minhash values.
 2. Equal sets are one class, held by its smallest doc_id.
 3. Each band of the signature is a bucket.  First every member is paired with the
@@ -41,7 +41,7 @@ from corrobora.operators.graph import connected_components
 class DedupSpec:
     """``words`` to a shingle; links at ``100 * both >= percent * either``."""
 
-    words: int = 4
+    words: int = 5
     percent: int = 80
     bands: int = 24
     rows: int = 4

@@ -6,12 +6,13 @@ coded as eight binary choices, and each of the 255 choices has a context tree ov
 the last ``depth`` bytes.  A node holds a Krichevsky-Trofimov estimate and is mixed
 with its children, ``P_w = P_kt / 2 + prod(P_w of children) / 2``, over all depths.
 
-All counts come from the whole training part.  A context has a node of its own
-when it holds at least a ``1 / nodes`` part of all coded bytes, so a depth has at
-most ``nodes`` nodes whatever the corpus; the others of a parent share one node.
-The trees of one last byte are built in one task, and the frozen mixture becomes
-a table of code lengths per (node, byte) and of the node that follows: at most
-``(depth - 1) * nodes + 257`` rows of 2 KB, which is what is broadcast.
+All counts come from the whole training part.  The contexts of the highest counts
+have nodes of their own, at most ``nodes`` over all depths whatever the corpus; the
+others of a parent share one node.  A context never counts more than the shorter
+one it ends in, so the nodes form trees.  The trees of one last byte are built in
+one task, and the frozen mixture becomes a table of code lengths per (node, byte)
+and of the node that follows: at most ``nodes + 1`` rows of 2 KB, which is what is
+broadcast.
 
 The unigram base counts every word of the training part.  The words of the
 highest counts, at most ``frequent``, are broadcast; all others are joined.
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora.llm.kernel import LOWER, SPACE, flat, mixed, runs, word_bounds, word_hashes
 from corrobora.llm.storage import stored
@@ -42,7 +43,7 @@ _HALF = np.log(0.5)
 @dataclass(frozen=True)
 class TreeSpec:
     depth: int = 5
-    nodes: int = 8_192
+    nodes: int = 49_152
     frequent: int = 1 << 19
     held_out_of: int = 5
     held_out: int = 1
@@ -265,20 +266,35 @@ class Model:
         return total[row_ends] - total[np.concatenate([[0], row_ends[:-1]])]
 
 
+def _level(count: Column) -> Column:
+    """Quarter octave of a count."""
+    return F.floor(F.log2(count) * 4).cast("int")
+
+
+def _lowest(levels: list[tuple[int, int]], most: int) -> int:
+    """Lowest level that, with all above it, holds at most ``most`` rows."""
+    lowest, held = 1 << 30, 0
+    for value, many in sorted(levels, reverse=True):
+        held += many
+        if held > most:
+            break
+        lowest = value
+    return lowest
+
+
 def train(counts: DataFrame, spec: TreeSpec) -> Model:
     """Build the trees from the gram counts of the training part."""
     gram = counts.where("kind = 0").select((F.shiftright("key", 8)).alias("long_context"), F.col("key").bitwiseAND(255).cast("int").alias("byte"), "n")
-    total = gram.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, -(-int(total) // spec.nodes))
     cut = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("long_context").bitwiseAND((1 << 8 * d) - 1).alias("context")) for d in range(1, spec.depth + 1)])
     by_byte = (gram.select(F.explode(cut).alias("at"), "byte", "n").select("at.depth", "at.context", "byte", "n")
                .groupBy("depth", "context", "byte").agg(F.sum("n").alias("n")))
-    kept = stored(by_byte.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("byte", "n")).alias("next"))
-                  .where(F.col("total") >= least)
-                  .select("depth", "context", F.col("next.byte").alias("bytes"), F.col("next.n").alias("counts")))
+    contexts = stored(by_byte.groupBy("depth", "context").agg(_level(F.sum("n")).alias("level"), F.collect_list(F.struct("byte", "n")).alias("next"))
+                      .select("depth", "context", "level", F.col("next.byte").alias("bytes"), F.col("next.n").alias("counts")))
+    levels = contexts.groupBy("level").agg(F.count("*")).collect()
+    kept = contexts.where(F.col("level") >= _lowest(levels, spec.nodes)).drop("level")
     built = kept.withColumn("last", F.col("context").bitwiseAND(255)).groupBy("last").applyInArrow(
         _subtree(spec.depth), "depth int, context long, choice binary, log_weighted binary")
-    rows = stored(built).collect()      # at most (depth - 1) * nodes + 256 rows
+    rows = stored(built).collect()      # at most ``nodes`` rows of 1 KB
     root_counts = np.zeros((1, 256))
     for byte, n in gram.groupBy("byte").agg(F.sum("n")).collect():
         root_counts[0, byte] = n
@@ -342,16 +358,11 @@ def score_documents(docs: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
 
     words = counts.where("kind = 1")
     n_rows = int(counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    level = F.floor(F.log2("n") * 4).cast("int")        # a quarter octave of counts
-    by_level = sorted(words.groupBy(level.alias("level")).agg(F.count("*"), F.sum("n")).collect(), reverse=True)
+    level = _level(F.col("n"))
+    by_level = words.groupBy(level.alias("level")).agg(F.count("*"), F.sum("n")).collect()
     n_train = sum(r[2] for r in by_level) + n_rows
     distinct = sum(r[1] for r in by_level) + (n_rows > 0)
-    lowest, held = 1 << 30, 0
-    for value, many, _ in by_level:
-        held += many
-        if held > spec.frequent:
-            break
-        lowest = value
+    lowest = _lowest([(r[0], r[1]) for r in by_level], spec.frequent)
     table = words.where(level >= lowest).select("key", "n").toPandas()       # at most ``frequent`` rows
     keys = table["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)

@@ -1,6 +1,7 @@
 """Quality from overlapping heuristic labellers, without hand labels.
 
-Nine labellers look at statistics of a whole text and vote good, bad or nothing.
+Nine labellers look at statistics of a whole text and vote good, bad or nothing;
+those that look for one kind of fault never vote good.
 Votes of all rows are counted by pattern; expectation-maximisation over the
 pattern counts estimates how often each labeller votes and is right, given a
 good and a bad text, and with it the probability that a pattern's text is good.
@@ -27,7 +28,8 @@ from corrobora.llm.kernel import LOWER, SPACE, flat, runs, word_bounds, word_has
 
 @dataclass(frozen=True)
 class QualitySpec:
-    """``prior`` is where the share of good texts starts; ``sample`` bounds the rows the scorer is fitted on."""
+    """``prior`` is where the share of good texts starts; ``sample`` bounds the rows the scorer
+    is fitted on; a text is rejected below ``threshold``, on the side of keeping."""
 
     prior: float = 0.85
     rounds: int = 100
@@ -35,7 +37,7 @@ class QualitySpec:
     bits: int = 11
     steps: int = 300
     ridge: float = 1e-5
-    threshold: float = 0.5
+    threshold: float = 0.3
 
 
 LABELLERS = ("repeats", "symbols", "capitals", "bars", "tails", "lengths", "variety", "digits", "sentences")
@@ -52,11 +54,18 @@ _STOP[np.frombuffer(b".,;:?", np.uint8)] = True
 #: Bytes by shape: letters, capitals and digits as one sign each, the rest as they are.
 _SHAPE = np.where(SPACE, 0x20, np.where(_UPPER, 65, np.where(_ALPHA, 97, np.where(_DIGIT, 48, LOWER)))).astype(np.uint32)
 _TIMES = np.uint32(0x9E3779B1)
+#: Added to the number of features of a text: a short text says little and stays near the bias.
+SMOOTH = 40.0
 
 
-def _votes(value: np.ndarray, bad_from: float, good_to: float) -> np.ndarray:
-    """1 (bad) from ``bad_from``, 2 (good) up to ``good_to``, 0 between."""
-    return np.where(value >= bad_from, 1, np.where(value <= good_to, 2, 0))
+def _bad(flags: np.ndarray) -> np.ndarray:
+    """1 (bad) or 0 (no vote): a text free of one fault may have another."""
+    return np.where(flags, 1, 0)
+
+
+def _either(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """1 (bad), 2 (good) or 0 (no vote)."""
+    return np.where(bad, 1, np.where(good, 2, 0))
 
 
 def read_rows(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -89,10 +98,10 @@ def read_rows(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndar
         variety = distinct / np.sqrt(words)      # of its own length, as long texts repeat words
         stops = per_row(_STOP[last] & (size > 1), first) / words
         votes = np.stack([
-            _votes(repeats, 0.30, 0.05), _votes(symbols, 0.06, 0.01), _votes(capitals, 0.50, 0.20), _votes(bars, 0.20, 0.02),
-            _votes(per_row(tails, first) / words, 0.30, 0.03), _votes(np.abs(mean_length - 8), 8, 5),
-            np.where(n < 20, 0, _votes(-variety, -2.0, -3.0)), _votes(per_row(_DIGIT[part], bounds) / lengths, 0.30, 0.10),
-            np.where(n < 20, 0, _votes(-stops, -0.005, -0.02))], 1)
+            _bad(repeats >= 0.30), _bad(symbols >= 0.06), _bad(capitals >= 0.50), _bad(bars >= 0.20),
+            _bad(per_row(tails, first) / words >= 0.30), _bad(np.abs(mean_length - 8) >= 8),
+            _either((n >= 20) & (variety < 2.0), (variety > 3.0) | ((n < 20) & (distinct > 0.6 * n))), _bad(per_row(_DIGIT[part], bounds) / lengths >= 0.30),
+            _either((n >= 20) & (stops < 0.005), (stops > 0.02) & ((stops < 0.5) | (n < 20)))], 1)
 
         shape = _SHAPE[part]
         change = np.ones(len(shape), bool)
@@ -144,11 +153,11 @@ def estimate_labellers(patterns: np.ndarray, counts: np.ndarray, spec: QualitySp
     """(posterior of good by pattern, accuracy of each labeller) by expectation-maximisation.
 
     ``vote[c, j, v]`` is the probability that labeller ``j`` votes ``v`` on a text of
-    class ``c`` (0 bad, 1 good); it starts at labellers that are right twice as
-    often as wrong when they vote.
+    class ``c`` (0 bad, 1 good).  It starts at labellers that find a third of the
+    bad texts and rarely blame a good one.
     """
     votes = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    vote = np.array([[[0.4, 0.4, 0.2]] * len(LABELLERS), [[0.3, 0.05, 0.65]] * len(LABELLERS)])
+    vote = np.array([[[0.47, 0.33, 0.2]] * len(LABELLERS), [[0.48, 0.02, 0.5]] * len(LABELLERS)])
     prior = np.array([1 - spec.prior, spec.prior])
     labeller = np.arange(len(LABELLERS))
     good = np.zeros(len(patterns))
@@ -164,16 +173,15 @@ def estimate_labellers(patterns: np.ndarray, counts: np.ndarray, spec: QualitySp
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, spec: QualitySpec) -> tuple[np.ndarray, float, np.ndarray]:
-    """Logistic regression on soft labels, both classes weighing alike: (weights, bias, scale)."""
+    """Logistic regression on soft labels: (weights, bias, scale)."""
     scale = 1 / np.sqrt((x ** 2).mean(0) + 1e-6)
     x = x * scale
-    share = (y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)) / 2
+    share = np.full(len(y), 1 / max(1, len(y)))
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     mean, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    target = (y / max(y.sum(), 1e-9) / 2) / np.maximum(share, 1e-12)
     for t in range(1, spec.steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        error = share * (p - target)
+        error = share * (p - y)
         gradient = np.append(error @ x + spec.ridge * w, error.sum())
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient ** 2
         move = 0.05 * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.99 ** t)) + 1e-8)
@@ -190,7 +198,7 @@ def _scored(tables, spec: QualitySpec):
             scores, weak = [], []
             for votes, n, slots, at in read_rows(batch.column("text"), spec.bits):
                 total = np.concatenate([[0.0], np.cumsum(weights[slots], dtype=np.float64)])
-                margin = (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1) + bias
+                margin = (total[at[1:]] - total[at[:-1]]) / (np.diff(at) + SMOOTH) + bias
                 scores.append(np.where(n > 0, 1 / (1 + np.exp(-np.clip(margin, -30, 30))), 0.0))
                 weak += [posterior.get(p, 0.0) if k else 0.0 for p, k in zip(_pattern_of(votes).tolist(), n.tolist())]
             score = np.concatenate(scores) if scores else np.zeros(0)
@@ -214,7 +222,7 @@ def scored(docs: DataFrame, spec: QualitySpec = QualitySpec(), columns: tuple[st
     x, y = np.zeros((len(rows), 1 << spec.bits), np.float32), np.zeros(len(rows))
     for i, r in enumerate(rows):
         c = np.frombuffer(r["counts"], np.float32)
-        x[i, np.frombuffer(r["slots"], np.uint16)] = c / max(1.0, float(c.sum()))
+        x[i, np.frombuffer(r["slots"], np.uint16)] = c / (float(c.sum()) + SMOOTH)
         y[i] = posterior[r["pattern"]]
     weights, bias, _ = fit_scorer(x, y, spec) if len(rows) else (np.zeros(1 << spec.bits), 0.0, None)
     tables = spark.sparkContext.broadcast((weights.astype(np.float64), bias, posterior))

@@ -6,8 +6,10 @@
 3. Each band of the signature is a bucket.  First every member is paired with the
    smallest member of its bucket, so a group of copies gives one pair per
    member.  Members that this leaves in different components are then compared
-   with each other, block by block, until no two members of a bucket in
-   different components are untested.
+   with each other, block by block: first each with its likeliest partners, which
+   joins what belongs together, then all that are still in different
+   components.  In the end no two members of a bucket in different components
+   are untested.
 4. A pair's signatures are compared batch by batch.  With a uniform prior on the
    similarity, ``P(similarity >= threshold | m of n equal)`` is
    ``P(Binomial(n + 1, threshold) <= m)``; below ``miss`` the pair is pruned.
@@ -46,8 +48,9 @@ class DedupSpec:
     bands: int = 24
     rows: int = 4
     batch: int = 32
-    miss: float = 1e-6
+    miss: float = 1e-5
     chunk: int = 512
+    best: int = 8
 
 
 _U64 = np.uint64
@@ -156,35 +159,77 @@ def _confirmed(percent: int):
     return task
 
 
-def _sets(words: int):
+def id_filter(ids: DataFrame, most_bits: int = 28) -> np.ndarray:
+    """Bloom filter of ``ids(doc_id)`` with two places in 16 bits an id, 32 MB at most.
+
+    A fuller filter lets more rows pass, it never loses one.
+    """
+    size = 1 << min(most_bits, max(16, (16 * ids.count()).bit_length()))
+    place = F.explode(F.array(*[F.pmod(h, F.lit(size)) for h in (F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id"))]))
+    words = (ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas())
+    out = np.zeros(size >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def _sets(words: int, wanted):
+    """Task function: the sets of the rows whose id may be wanted."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value.view(np.uint64)
         for batch in batches:
-            for i, s in enumerate(shingle_sets(batch.column("text"), words)):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([s.tobytes()], pa.binary())], names=["doc_id", "shingles"])
+            keep = np.ones(batch.num_rows, bool)
+            for c in ("place_a", "place_b"):
+                at = batch.column(c).to_numpy()
+                keep &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & _U64(1) == 1
+            rows = batch.filter(pa.array(keep))
+            sets, size = [], 0
+            for i, s in enumerate(shingle_sets(rows.column("text"), words)):
+                sets.append(s.tobytes())
+                size += len(sets[-1])
+                if size > 1 << 24 or i == rows.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(i + 1 - len(sets), len(sets)), pa.array(sets, pa.binary())],
+                                                     names=["doc_id", "shingles"])
+                    sets, size = [], 0
     return task
 
 
-def links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, spec: DedupSpec, pruned: bool = False) -> DataFrame:
-    """The pairs (a_id, b_id) of ``pairs`` that are similar: pruned by signature, then confirmed on full sets."""
+def links(pairs: DataFrame, docs: DataFrame, spec: DedupSpec) -> DataFrame:
+    """The pairs (a_id, b_id) whose full sets are similar enough.
+
+    The texts stay where they are: a filter of the wanted ids goes to them, and
+    only sets of shingles are joined.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     two = f"a_id {kind}, b_id {kind}"
-    if not pruned:
-        sig = classes.select("rep", "signature")
-        pairs = (pairs.join(sig.withColumnsRenamed({"rep": "a_id", "signature": "sig_a"}), "a_id")
-                 .join(sig.withColumnsRenamed({"rep": "b_id", "signature": "sig_b"}), "b_id")
-                 .select("a_id", "b_id", "sig_a", "sig_b").mapInArrow(_pruned(spec), two))
-    pairs = stored(pairs)
     wanted = pairs.select(F.col("a_id").alias("doc_id")).union(pairs.select("b_id")).distinct()
-    # Rows that share an id are one document; its first text by order stands for it, as in classes().
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = stored(texts.mapInArrow(_sets(spec.words), f"doc_id {kind}, shingles binary"))
+    tables = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    size = 64 * len(tables.value)
+    places = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("place_a"),
+                                                            F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(size)).alias("place_b"))
+    # Rows that share an id are one document; the smallest of their sets stands for it.
+    sets = stored(places.mapInArrow(_sets(spec.words, tables), f"doc_id {kind}, shingles binary")
+                  .groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
     both = (pairs.join(sets.withColumnsRenamed({"doc_id": "a_id", "shingles": "set_a"}), "a_id")
             .join(sets.withColumnsRenamed({"doc_id": "b_id", "shingles": "set_b"}), "b_id"))
     return stored(both.select("a_id", "b_id", "set_a", "set_b").mapInArrow(_confirmed(spec.percent), two))
 
 
-def _compared(spec: DedupSpec):
-    """Task function on one block of a bucket: pairs in different components that may be similar."""
+def likely(pairs: DataFrame, classes: DataFrame, spec: DedupSpec) -> DataFrame:
+    """The pairs (a_id, b_id) whose signatures do not rule a link out."""
+    kind = classes.schema["rep"].dataType.simpleString()
+    sig = classes.select("rep", "signature")
+    return stored(pairs.join(sig.withColumnsRenamed({"rep": "a_id", "signature": "sig_a"}), "a_id")
+                  .join(sig.withColumnsRenamed({"rep": "b_id", "signature": "sig_b"}), "b_id")
+                  .select("a_id", "b_id", "sig_a", "sig_b").mapInArrow(_pruned(spec), f"a_id {kind}, b_id {kind}"))
+
+
+def _compared(spec: DedupSpec, best: int | None):
+    """Task function on one block of a bucket: pairs in different components that may be similar.
+
+    With ``best``, only the so many likeliest partners of each row.
+    """
     plan = _batches(spec)
 
     def task(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -200,6 +245,8 @@ def _compared(spec: DedupSpec):
                 equal = equal + (sig[rest, i:j] == sig[x, i:j]).sum(axis=1)
                 good = equal >= least
                 rest, equal = rest[good], equal[good]
+            if best is not None and len(rest) > best:
+                rest = rest[np.lexsort((rep[rest], -equal))[:best]]
             a_ids.append(np.full(len(rest), rep[x]))
             b_ids.append(rep[rest])
         a, b = (np.concatenate(v) if v else rep[:0] for v in (a_ids, b_ids))
@@ -207,7 +254,7 @@ def _compared(spec: DedupSpec):
     return task
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, spec: DedupSpec) -> DataFrame:
+def open_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, spec: DedupSpec, best: int | None) -> DataFrame:
     """Pairs of one bucket in different components, the bucket's first member aside, that may be similar.
 
     Members outside the bucket's largest component meet all members, in blocks of
@@ -224,7 +271,8 @@ def open_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, spec: D
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.where("label <> most").select("bucket", F.col("own").alias("i"), every.alias("j"), "rep", "label", "signature", F.lit(True).alias("is_left"))
     right = rows.select("bucket", every.alias("i"), F.col("own").alias("j"), "rep", "label", "signature", F.lit(False).alias("is_left"))
-    return (left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(_compared(spec), f"a_id {kind}, b_id {kind}").distinct())
+    return stored(left.unionByName(right).groupBy("bucket", "i", "j")
+                  .applyInArrow(_compared(spec, best), f"a_id {kind}, b_id {kind}").distinct())
 
 
 def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame:
@@ -238,11 +286,13 @@ def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader <> other")
     members = stored(banded.join(shared.select("bucket", "leader"), "bucket"))
     stars = members.where("rep <> leader").select(F.col("leader").alias("a_id"), F.col("rep").alias("b_id")).distinct()
-    linked = links(stars, docs, classes, spec)
+    linked = links(likely(stars, classes, spec), docs, spec)
     roots = stored(connected_components(linked))
-    more = links(open_pairs(members, roots, classes, spec), docs, classes, spec, pruned=True)
-    if more.limit(1).count():
-        roots = stored(connected_components(linked.unionByName(more)))
+    for best in (spec.best, None):
+        pairs = open_pairs(members, roots, classes, spec, best)
+        if pairs.limit(1).count():
+            linked = linked.unionByName(links(pairs, docs, spec))
+            roots = stored(connected_components(linked))
     by_class = (classes.join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
                 .select("print_a", "print_b", "n_shingles", F.coalesce("root", "rep").alias("component")))
     out = prints.drop("signature").join(by_class, ["print_a", "print_b", "n_shingles"], "left")

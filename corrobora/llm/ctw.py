@@ -43,7 +43,7 @@ _HALF = np.log(0.5)
 @dataclass(frozen=True)
 class TreeSpec:
     depth: int = 5
-    nodes: int = 49_152
+    nodes: int = 32_768
     frequent: int = 1 << 19
     held_out_of: int = 5
     held_out: int = 1
@@ -197,14 +197,13 @@ def _subtree(depth: int):
 class Model:
     """The frozen mixture as tables: code length in log10 and next node by (node, byte)."""
 
-    def __init__(self, depth: int, rows: list[tuple[int, int, bytes]], root: np.ndarray):
-        order = sorted(rows, key=lambda r: (r[0], r[1]))
-        p = np.vstack([root[None, :], *([np.frombuffer(b"".join(r[2] for r in order), np.float32).reshape(-1, 255)] if order else [])]).astype(np.float32)
+    def __init__(self, depth: int, depths: np.ndarray, contexts: np.ndarray, chance: np.ndarray):
+        """``chance[i + 1]`` holds the 255 choices of node ``i``, ordered by depth and context; row 0 is the root."""
         self.depth = depth
-        self.cost = np.empty((len(p), 256), np.float32)
-        for i in range(0, len(p), 4_096):
-            self.cost[i:i + 4_096] = self._bytes(p[i:i + 4_096].astype(np.float64))
-        self.ids = {d: np.array([r[1] for r in order if r[0] == d], np.int64) for d in range(1, depth + 1)}
+        self.cost = np.empty((len(chance), 256), np.float32)
+        for i in range(0, len(chance), 1_024):
+            self.cost[i:i + 1_024] = self._bytes(chance[i:i + 1_024].astype(np.float64))
+        self.ids = {d: contexts[depths == d] for d in range(1, depth + 1)}
         self.base = {d: 1 + sum(len(self.ids[e]) for e in range(1, d)) for d in range(1, depth + 1)}
         self.follow = self._follow()
         history = sum(END << 8 * j for j in range(depth))
@@ -236,8 +235,8 @@ class Model:
         letters = np.arange(256)
         out[0] = self._deepest(letters, np.ones(256, int))
         for d in range(1, self.depth + 1):
-            for i in range(0, len(self.ids[d]), 4_096):
-                ids = self.ids[d][i:i + 4_096]
+            for i in range(0, len(self.ids[d]), 1_024):
+                ids = self.ids[d][i:i + 1_024]
                 context = (ids[:, None] << 8 | letters).ravel()
                 out[self.base[d] + i:self.base[d] + i + len(ids)] = self._deepest(context, np.full(len(context), d + 1)).reshape(-1, 256)
         return out
@@ -294,17 +293,28 @@ def train(counts: DataFrame, spec: TreeSpec) -> Model:
     kept = contexts.where(F.col("level") >= _lowest(levels, spec.nodes)).drop("level")
     built = kept.withColumn("last", F.col("context").bitwiseAND(255)).groupBy("last").applyInArrow(
         _subtree(spec.depth), "depth int, context long, choice binary, log_weighted binary")
-    rows = stored(built).collect()      # at most ``nodes`` rows of 1 KB
+    built = stored(built)
     root_counts = np.zeros((1, 256))
     for byte, n in gram.groupBy("byte").agg(F.sum("n")).collect():
         root_counts[0, byte] = n
     child = np.zeros((1, 256))
     for bytes_, ns in kept.where("depth = 1").select("bytes", "counts").collect():
         child[0, bytes_] += ns
-    logs = [np.frombuffer(r["log_weighted"]) for r in rows if r["log_weighted"] is not None]
+    logs = [np.frombuffer(r[0]) for r in built.where("depth = 1").select("log_weighted").collect()]
     _, share, own, rest = _node(root_counts, child, np.sum(logs, axis=0)[None, :] if logs else np.zeros((1, 255)), np.array([bool(logs)]))
-    mix = lambda below: (share[0] * own[0] + (1 - share[0]) * below).astype(np.float32)
-    return Model(spec.depth, [(r["depth"], r["context"], mix(np.frombuffer(r["choice"], np.float32)).tobytes()) for r in rows], mix(rest[0]))
+    nodes = built.select("depth", "context", "choice").toArrow()      # at most ``nodes`` rows of 1 KB
+    depths, contexts = nodes.column("depth").to_numpy(), nodes.column("context").to_numpy()
+    order = np.lexsort((contexts, depths))
+    chance = np.empty((len(order) + 1, 255), np.float32)
+    chance[0] = rest[0]
+    place, at = np.argsort(order) + 1, 0
+    for part in nodes.column("choice").chunks:
+        chance[place[at:at + len(part)]] = np.frombuffer(flat(part)[0], np.float32).reshape(-1, 255)
+        at += len(part)
+    del nodes
+    for i in range(0, len(chance), 4_096):
+        chance[i:i + 4_096] = share[0] * own[0] + (1 - share[0]) * chance[i:i + 4_096]
+    return Model(spec.depth, depths[order], contexts[order], chance)
 
 
 # --- scores ---------------------------------------------------------------------------

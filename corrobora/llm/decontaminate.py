@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora.llm.kernel import LOWER, flat, runs
-from corrobora.llm.storage import stored
+from corrobora.llm.storage import shielded, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -138,7 +138,7 @@ class Searcher:
 def plain_text(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows as ``\\0 w1 w2 ... wn `` one after the other, and where each begins."""
     n = len(offsets) - 1
-    wide = np.full(len(data) + 3 * n, 0x20, np.uint8)
+    wide = np.full(len(data) + 3 * n + 1, 0x20, np.uint8)
     marks = offsets[:-1] + 3 * np.arange(n) + 1
     for i in range(n):
         wide[marks[i] + 2:marks[i] + 2 + offsets[i + 1] - offsets[i]] = _PLAIN[data[offsets[i]:offsets[i + 1]]]
@@ -227,8 +227,6 @@ def contamination(hits: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, in their own columns."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    renamed = {c: f"own_{i}" for i, c in enumerate(others) if c != "text"}
-    rows = docs.withColumnsRenamed(renamed)
+    rows, back = shielded(docs, "doc_id", "text")
     hits = find_hits(rows, items, carry=tuple(c for c in rows.columns if c != "doc_id"))
-    return hits.where(F.col("hit_words").isNull()).withColumnsRenamed({v: k for k, v in renamed.items()}).select(*docs.columns)
+    return hits.where(F.col("hit_words").isNull()).select(*rows.columns).withColumnsRenamed(back)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corrobora.llm.storage import stored
+from corrobora.llm.storage import shielded, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -169,8 +169,8 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     A document appears once per whole copy, as it is; a partly taken one appears
     once more for each range, its words joined by single spaces.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    rows = mix(docs, spec, carry=others)
+    inner, back = shielded(docs, "doc_id", "source", "text")
+    rows = mix(inner, spec, carry=tuple(c for c in inner.columns if c not in ("doc_id", "source")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = lambda a, b: F.when(
         F.col(b) > F.col(a),
@@ -178,5 +178,5 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
         .otherwise(F.array_join(F.slice(words, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " ")))
     texts = F.concat(F.array_repeat(F.col("text"), F.col("copies").cast("int")),
                      F.filter(F.array(cut("first_from", "first_to"), cut("again_from", "again_to")), lambda x: x.isNotNull()))
-    return (rows.where("taken > 0").withColumn("pieces", texts).withColumn("piece", F.explode("pieces"))
-            .withColumn("text", F.col("piece")).select(*docs.columns))
+    return (rows.where("taken > 0").withColumn("piece", F.explode(texts)).withColumn("text", F.col("piece"))
+            .select(*inner.columns).withColumnsRenamed(back))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.llm.kernel import LOWER, SPACE, flat, runs, word_bounds, word_hashes
+from corrobora.llm.storage import shielded
 
 
 @dataclass(frozen=True)
@@ -240,6 +241,6 @@ def classify(docs: DataFrame, spec: QualitySpec = QualitySpec()) -> DataFrame:
 
 def good_documents(docs: DataFrame, spec: QualitySpec = QualitySpec()) -> DataFrame:
     """The rows of ``docs`` that the scorer keeps, in their own columns."""
-    renamed = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    rows = scored(docs.withColumnsRenamed(renamed), spec, columns=tuple(renamed.get(c, c) for c in docs.columns))
-    return (rows.where(F.col("quality_score") >= spec.threshold).withColumnsRenamed({v: k for k, v in renamed.items()}).select(*docs.columns))
+    rows, back = shielded(docs, "doc_id", "text")
+    return (scored(rows, spec, columns=tuple(rows.columns)).where(F.col("quality_score") >= spec.threshold)
+            .select(*rows.columns).withColumnsRenamed(back))

@@ -25,6 +25,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, *named: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rename all columns but ``named`` out of the way of an operator's own; the map leads back."""
+    away = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in named}
+    return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; call it when results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))

@@ -22,9 +22,9 @@ def shingles(text, words=4):
     return frozenset(tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1)))
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, words=4):
     """{doc_id: (n_shingles, component_id, kept)} by comparing all texts that share a shingle."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, words) for i, t in rows}
     holders = {}
     for i, s in sets.items():
         for x in s:

@@ -6,10 +6,8 @@
 3. Each band of the signature is a bucket.  First every member is paired with the
    smallest member of its bucket, so a group of copies gives one pair per
    member.  Members that this leaves in different components are then compared
-   with each other, block by block: first each with its likeliest partners, which
-   joins what belongs together, then all that are still in different
-   components.  In the end no two members of a bucket in different components
-   are untested.
+   with each other, block by block, so that in the end no two members of a bucket
+   in different components are untested.
 4. A pair's signatures are compared batch by batch.  With a uniform prior on the
    similarity, ``P(similarity >= threshold | m of n equal)`` is
    ``P(Binomial(n + 1, threshold) <= m)``; below ``miss`` the pair is pruned.
@@ -50,7 +48,6 @@ class DedupSpec:
     batch: int = 32
     miss: float = 1e-5
     chunk: int = 512
-    best: int = 8
 
 
 _U64 = np.uint64
@@ -141,19 +138,23 @@ def _pruned(spec: DedupSpec):
     return task
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link: 100 * both >= percent * either."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(percent: int):
     """Task function on pairs with both sets: keep those that are similar."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                    for x, y in zip(batch.column("set_a"), batch.column("set_b"))]
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a_id", "b_id")], names=["a_id", "b_id"])
     return task
@@ -195,25 +196,28 @@ def _sets(words: int, wanted):
     return task
 
 
-def links(pairs: DataFrame, docs: DataFrame, spec: DedupSpec) -> DataFrame:
-    """The pairs (a_id, b_id) whose full sets are similar enough.
+def shingle_table(docs: DataFrame, wanted: DataFrame, spec: DedupSpec) -> DataFrame:
+    """doc_id and shingles (sorted hashes) of at least the ids in ``wanted``.
 
-    The texts stay where they are: a filter of the wanted ids goes to them, and
-    only sets of shingles are joined.
+    The texts stay where they are: a filter of the wanted ids goes to them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    two = f"a_id {kind}, b_id {kind}"
-    wanted = pairs.select(F.col("a_id").alias("doc_id")).union(pairs.select("b_id")).distinct()
     tables = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
     size = 64 * len(tables.value)
     places = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("place_a"),
                                                             F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(size)).alias("place_b"))
     # Rows that share an id are one document; the smallest of their sets stands for it.
-    sets = stored(places.mapInArrow(_sets(spec.words, tables), f"doc_id {kind}, shingles binary")
+    return stored(places.mapInArrow(_sets(spec.words, tables), f"doc_id {kind}, shingles binary")
                   .groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+
+
+def links(pairs: DataFrame, docs: DataFrame, spec: DedupSpec) -> DataFrame:
+    """The pairs (a_id, b_id) whose full sets are similar enough."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = shingle_table(docs, pairs.select(F.col("a_id").alias("doc_id")).union(pairs.select("b_id")).distinct(), spec)
     both = (pairs.join(sets.withColumnsRenamed({"doc_id": "a_id", "shingles": "set_a"}), "a_id")
             .join(sets.withColumnsRenamed({"doc_id": "b_id", "shingles": "set_b"}), "b_id"))
-    return stored(both.select("a_id", "b_id", "set_a", "set_b").mapInArrow(_confirmed(spec.percent), two))
+    return stored(both.select("a_id", "b_id", "set_a", "set_b").mapInArrow(_confirmed(spec.percent), f"a_id {kind}, b_id {kind}"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, spec: DedupSpec) -> DataFrame:
@@ -225,54 +229,60 @@ def likely(pairs: DataFrame, classes: DataFrame, spec: DedupSpec) -> DataFrame:
                   .select("a_id", "b_id", "sig_a", "sig_b").mapInArrow(_pruned(spec), f"a_id {kind}, b_id {kind}"))
 
 
-def _compared(spec: DedupSpec, best: int | None):
-    """Task function on one block of a bucket: pairs in different components that may be similar.
+def _compared(spec: DedupSpec):
+    """Task function on one block of a bucket: links between members of different components.
 
-    With ``best``, only the so many likeliest partners of each row.
+    A pair is looked at in the first of its buckets only; its signatures are compared
+    in batches, and what they do not rule out is decided on the full sets.
     """
     plan = _batches(spec)
 
     def task(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
+        band = table.column("band")[0].as_py()
         side = table.column("is_left").to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
         left, right = np.flatnonzero(side), np.flatnonzero(~side)
-        a_ids, b_ids = [], []
+        found: list[tuple] = []
         for x in left.tolist():
-            rest = right[(label[right] != label[x])]
+            rest = right[label[right] != label[x]]
+            if band:
+                before = (sig[rest, :band * spec.rows] == sig[x, :band * spec.rows]).reshape(len(rest), band, spec.rows)
+                rest = rest[~before.all(axis=2).any(axis=1)]
             equal = np.zeros(len(rest), np.int64)
             for i, j, least in plan:
                 equal = equal + (sig[rest, i:j] == sig[x, i:j]).sum(axis=1)
                 good = equal >= least
                 rest, equal = rest[good], equal[good]
-            if best is not None and len(rest) > best:
-                rest = rest[np.lexsort((rep[rest], -equal))[:best]]
-            a_ids.append(np.full(len(rest), rep[x]))
-            b_ids.append(rep[rest])
-        a, b = (np.concatenate(v) if v else rep[:0] for v in (a_ids, b_ids))
+            found += [(rep[x], rep[y]) for y in rest.tolist() if similar(sets[x], sets[y], spec.percent)]
+        a, b = (np.array(v, rep.dtype) for v in zip(*found)) if found else (rep[:0], rep[:0])
         return pa.table({"a_id": np.minimum(a, b), "b_id": np.maximum(a, b)})
     return task
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, spec: DedupSpec, best: int | None) -> DataFrame:
-    """Pairs of one bucket in different components, the bucket's first member aside, that may be similar.
+def open_links(members: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, spec: DedupSpec) -> DataFrame:
+    """Links inside buckets between different components; the first members are known and left aside.
 
     Members outside the bucket's largest component meet all members, in blocks of
-    ``chunk`` by ``chunk`` rows, so that no task holds a whole bucket.
+    ``chunk`` by ``chunk`` rows, so that no task holds a whole bucket.  Only links
+    leave a block, never the pairs it compares.
     """
     kind = classes.schema["rep"].dataType.simpleString()
-    labelled = (members.where("rep <> leader").join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
-                .select("bucket", "rep", F.coalesce("root", "rep").alias("label")))
+    labelled = stored(members.where("rep <> leader").join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
+                      .select("bucket", "band", "rep", F.coalesce("root", "rep").alias("label")))
     state = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                             F.mode("label", True).alias("most"), F.count("*").alias("n")).where("low <> high"))
-    rows = (labelled.join(state, "bucket").join(classes.select("rep", "signature"), "rep")
-            .withColumn("blocks", F.ceil(F.col("n") / spec.chunk).cast("int"))
-            .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    rows = stored(labelled.join(state, "bucket").withColumn("blocks", F.ceil(F.col("n") / spec.chunk).cast("int"))
+                  .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    sets = shingle_table(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), spec)
+    rows = rows.join(classes.select("rep", "signature"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.where("label <> most").select("bucket", F.col("own").alias("i"), every.alias("j"), "rep", "label", "signature", F.lit(True).alias("is_left"))
-    right = rows.select("bucket", every.alias("i"), F.col("own").alias("j"), "rep", "label", "signature", F.lit(False).alias("is_left"))
+    shared = ("bucket", "band", "rep", "label", "signature", "shingles")
+    left = rows.where("label <> most").select(*shared, F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("is_left"))
+    right = rows.select(*shared, every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"))
     return stored(left.unionByName(right).groupBy("bucket", "i", "j")
-                  .applyInArrow(_compared(spec, best), f"a_id {kind}, b_id {kind}").distinct())
+                  .applyInArrow(_compared(spec), f"a_id {kind}, b_id {kind}").distinct())
 
 
 def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame:
@@ -282,17 +292,15 @@ def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame
                      .agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")))
     width = 4 * spec.rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width)) for i in range(spec.bands)])
-    banded = classes.where("rep IS NOT NULL").select("rep", F.explode(keys).alias("bucket"))
+    banded = classes.where("rep IS NOT NULL").select("rep", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader <> other")
     members = stored(banded.join(shared.select("bucket", "leader"), "bucket"))
     stars = members.where("rep <> leader").select(F.col("leader").alias("a_id"), F.col("rep").alias("b_id")).distinct()
     linked = links(likely(stars, classes, spec), docs, spec)
     roots = stored(connected_components(linked))
-    for best in (spec.best, None):
-        pairs = open_pairs(members, roots, classes, spec, best)
-        if pairs.limit(1).count():
-            linked = linked.unionByName(links(pairs, docs, spec))
-            roots = stored(connected_components(linked))
+    more = open_links(members, roots, classes, docs, spec)
+    if more.limit(1).count():
+        roots = stored(connected_components(linked.unionByName(more)))
     by_class = (classes.join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
                 .select("print_a", "print_b", "n_shingles", F.coalesce("root", "rep").alias("component")))
     out = prints.drop("signature").join(by_class, ["print_a", "print_b", "n_shingles"], "left")

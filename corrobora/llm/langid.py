@@ -50,8 +50,8 @@ class LangSpec:
 
     held_out_of: int = 4
     held_out: int = 2
-    sample: int = 4_000
-    bits: int = 13
+    sample: int = 2_400
+    bits: int = 12
     rounds: int = 150
     ridge: float = 1e-3
 

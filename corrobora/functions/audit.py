@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 from corrobora import vocab
 from corrobora.functions.text import contains_any, strip
 
 
-def imperative_openers() -> list[str]:
-    """The imperative verbs, each -ise verb also in its -ize spelling."""
-    out = []
-    for word in vocab.IMPERATIVES:
-        out.append(word)
-        if re.search("(al|ard|ern|it|on|or)ise$", word):
-            out.append(word[:-3] + "ize")
-    return out
-
-
 def citations(sentence: Column) -> Column:
     """Distinct ids a sentence cites: bracketed ids and bare object references."""
     bracketed = F.regexp_extract_all(sentence, F.lit(vocab.CITATION), F.lit(1))
@@ -66,7 +54,7 @@ def first_word(sentence: Column) -> Column:
 
 def is_recommendation(sentence: Column) -> Column:
     """An imperative opener, or a modal such as should or must anywhere."""
-    opener = first_word(sentence).isin(*imperative_openers())
+    opener = first_word(sentence).isin(*vocab.IMPERATIVES)
     return opener | F.rlike(sentence, F.lit(vocab.MODAL_RECOMMENDATION))
 
 
@@ -99,7 +87,7 @@ def unknown_opener(sentence: Column) -> Column:
     bare = F.regexp_replace(strip(sentence), vocab.LIST_PREFIX, "")
     word = F.element_at(F.split(F.lower(bare), r"[\s,:;]+"), 1)
     word = F.regexp_replace(word, r"""^[*_.()"']+|[*_.()"']+$""", "")
-    known = word.isin(*imperative_openers())
+    known = word.isin(*vocab.IMPERATIVES)
     return F.when(F.rlike(word, F.lit(r"^\p{L}+$")) & ~known, word)
 
 

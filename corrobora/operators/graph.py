@@ -14,26 +14,34 @@ from corrobora.session import ensure_checkpoint_dir
 
 # --- tree -------------------------------------------------------------------------
 
-def closure(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(root_id, node_id, kind, depth) for every ancestor/descendant pair.
+def closure(nodes: DataFrame) -> DataFrame:
+    """(root_id, node_id, kind, depth) for every ancestor/descendant pair, however deep.
 
-    Ancestors are climbed one level per round, all nodes at once, until no node
-    has a parent left; the depth bound makes a cyclic input end.
+    Reach doubles each round: every node knows its ancestor ``2 ** k`` levels up and
+    takes over what that one has found, so a tree of depth d needs log2(d) rounds.
+    The rounds end when they find no new pair.  On a cycle each ancestor counts
+    once, at its smallest distance, and a node of the cycle is its own ancestor.
     """
-    spark = nodes.sparkSession
-    up = nodes.select("node_id", "parent_id", "kind")
-    parents = nodes.select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("next_id"))
-    level = up.select(F.col("node_id").alias("root_id"), "node_id", "kind", F.lit(0).alias("depth"), "parent_id")
-    out = level.drop("parent_id")
-    ensure_checkpoint_dir(spark)
-    for depth in range(1, max_depth + 1):
-        level = (level.where("parent_id IS NOT NULL").join(parents, "parent_id")
-                 .select(F.col("parent_id").alias("root_id"), "node_id", "kind",
-                         F.lit(depth).alias("depth"), F.col("next_id").alias("parent_id"))).checkpoint()
-        if level.isEmpty():
+    ensure_checkpoint_dir(nodes.sparkSession)
+    # Nodes without a row of their own are not climbed through, as in a join on nodes.
+    up = (nodes.where("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("root_id"))
+          .join(nodes.select(F.col("node_id").alias("root_id")), "root_id", "left_semi"))
+    found = up.select("node_id", "root_id", F.lit(1).cast("long").alias("depth")).checkpoint()
+    jump = up.select("node_id", "root_id").checkpoint()
+    step, known = 1, found.count()
+    while True:
+        via = jump.select("node_id", F.col("root_id").alias("via"))
+        more = (via.join(found.select(F.col("node_id").alias("via"), "root_id", "depth"), "via")
+                .select("node_id", "root_id", (F.col("depth") + step).alias("depth")))
+        found = found.unionByName(more).groupBy("node_id", "root_id").agg(F.min("depth").alias("depth")).checkpoint()
+        now = found.count()
+        if now == known:
             break
-        out = out.unionByName(level.drop("parent_id"))
-    return out.checkpoint()
+        jump = via.join(jump.select(F.col("node_id").alias("via"), "root_id"), "via").select("node_id", "root_id").checkpoint()
+        step, known = 2 * step, now
+    own = nodes.select(F.col("node_id").alias("root_id"), "node_id", "kind", F.lit(0).alias("depth"))
+    above = found.join(nodes.select("node_id", "kind"), "node_id").select("root_id", "node_id", "kind", F.col("depth").cast("int").alias("depth"))
+    return own.unionByName(above)
 
 
 def subtree(nodes: DataFrame, root: str) -> DataFrame:
@@ -60,9 +68,9 @@ def node_topics(nodes: DataFrame, topics: DataFrame) -> DataFrame:
             .agg(F.min("via").alias("via")))
 
 
-def tree_violations(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(node_id, problem): cycles, roots with a parent, nodes with a lost parent."""
-    climbed = closure(nodes, max_depth)
+def tree_violations(nodes: DataFrame) -> DataFrame:
+    """(node_id, problem): cycles of any length, roots with a parent, nodes with a lost parent."""
+    climbed = closure(nodes)
     cycle = climbed.where((F.col("depth") > 0) & (F.col("root_id") == F.col("node_id"))) \
         .select("node_id", F.lit("cycle").alias("problem")).distinct()
     rooted = nodes.where((F.col("kind") == "root") != F.col("parent_id").isNull()) \

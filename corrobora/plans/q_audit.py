@@ -36,7 +36,7 @@ OBJ = (r"\b(EV-[A-Z0-9-]+|SIG-[A-Z]{2}-\d+|F-[A-Z]{2}-\d+|R-[A-Z]{2}-\d+|TR-[A-Z
        r"|S\d{1,2}|OPT-[A-Z]|IMP-[A-Z]{3}-\d+|DRV-\d+|CI-\d+|INIT-\d+|ACT-\d+|PDC-\d+|IND-[A-Z]{2}-\d+|O\d{1,2}|VG-[A-Z]{2}-\d{2}|[A-Z]{2}-T\d+|[A-Z]{2}-\d{2})\b")
 # Word boundaries are ASCII in both engines' patterns here.
 ASSERT_ = vocab.ASSERTIVE
-VERBS = ", ".join("'%s'" % w for w in A.imperative_openers())
+VERBS = ", ".join("'%s'" % w for w in vocab.IMPERATIVES)
 
 
 def any_of(c: str, words) -> str:

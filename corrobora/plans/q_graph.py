@@ -60,15 +60,14 @@ CHAIN = """SELECT CAST(c_custkey AS STRING) AS node_id,
 
 @query("f3_tree_violations", f"""
 WITH RECURSIVE n AS ({CHAIN}),
-up AS (SELECT node_id, parent_id AS anc, 1 AS depth FROM n WHERE parent_id IS NOT NULL
-       UNION ALL
-       SELECT up.node_id, n.parent_id, depth + 1 FROM up JOIN n ON n.node_id = up.anc
-       WHERE n.parent_id IS NOT NULL AND depth < 12)
+up AS (SELECT node_id, parent_id AS anc FROM n WHERE parent_id IS NOT NULL
+       UNION
+       SELECT up.node_id, n.parent_id FROM up JOIN n ON n.node_id = up.anc WHERE n.parent_id IS NOT NULL)
 SELECT DISTINCT up.node_id, 'cycle' AS problem FROM up WHERE up.node_id = up.anc
 UNION ALL SELECT node_id, 'root_parent' FROM n WHERE (kind = 'root') <> (parent_id IS NULL)
 UNION ALL SELECT node_id, 'lost_parent' FROM n WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT node_id FROM n)""")
 def _(t):
-    return G.tree_violations(t.sql(CHAIN), max_depth=12)
+    return G.tree_violations(t.sql(CHAIN))
 
 
 @query("f3_levels", f"WITH RECURSIVE {CLOSURE} SELECT node_id, max(depth) AS level FROM closure GROUP BY 1")
@@ -128,13 +127,24 @@ gone_r AS (SELECT to_id AS id FROM links WHERE from_type = 'finding' GROUP BY 1
 cleared AS (SELECT 'signal' AS kind, id FROM gone_s UNION ALL SELECT kind, id FROM gone_d UNION ALL SELECT 'risk', id FROM gone_r)"""
 
 
+# The same set with joins and materialized steps, which suits large link tables.
+CLEARED_JOINS = f"""gone_e AS MATERIALIZED (SELECT evidence_id FROM evidence SEMI JOIN ({BRANCH}) b USING (topic_id)),
+gone_s AS MATERIALIZED (SELECT signal_id AS id FROM signal_evidence LEFT JOIN (SELECT evidence_id, TRUE AS gone FROM gone_e) g USING (evidence_id)
+           GROUP BY 1 HAVING bool_and(gone IS NOT NULL)),
+gone_d AS MATERIALIZED (SELECT to_type AS kind, to_id AS id FROM links LEFT JOIN (SELECT id AS from_id, TRUE AS gone FROM gone_s) g USING (from_id)
+           WHERE from_type = 'signal' GROUP BY 1, 2 HAVING bool_and(gone IS NOT NULL)),
+gone_r AS MATERIALIZED (SELECT to_id AS id FROM links LEFT JOIN (SELECT id AS from_id, TRUE AS gone FROM gone_d WHERE kind = 'finding') g USING (from_id)
+           WHERE from_type = 'finding' GROUP BY 1 HAVING bool_and(gone IS NOT NULL)),
+cleared AS MATERIALIZED (SELECT id FROM gone_s UNION SELECT id FROM gone_d UNION SELECT id FROM gone_r)"""
+
+
 @query("e23_branch_clear_set", f"WITH {CLEARED} SELECT kind, id FROM cleared")
 def _(t):
     return G.clear_set(t.evidence, t.signal_evidence, t.links, t.sql(BRANCH))
 
 
-@query("e23_links_left", f"""WITH {CLEARED}
-SELECT from_id, to_id, rel FROM links WHERE from_id NOT IN (SELECT id FROM cleared) AND to_id NOT IN (SELECT id FROM cleared)""")
+@query("e23_links_left", f"""WITH {CLEARED_JOINS}
+SELECT l.from_id, l.to_id, l.rel FROM links l ANTI JOIN cleared c ON l.from_id = c.id ANTI JOIN cleared d ON l.to_id = d.id""")
 def _(t):
     cleared = G.clear_set(t.evidence, t.signal_evidence, t.links, t.sql(BRANCH))
     return G.remove_links(t.links, cleared).select("from_id", "to_id", "rel")

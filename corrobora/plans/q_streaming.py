@@ -25,7 +25,7 @@ def drain(t, stream, keys, order, mode="append"):
     """Run a stream over what is there and return the newest row per key."""
     root = S.work_dir(t.spark, "stream")
     S.upsert_batches(stream, keys, order, f"{root}/table", f"{root}/log", mode).awaitTermination()
-    return S.current_rows(t.spark, f"{root}/table", keys)
+    return S.current_rows(t.spark, f"{root}/table", keys, order)
 
 
 @query("l1_incremental_intake", """
@@ -103,12 +103,13 @@ def _(t):
     return S.next_waiting(status(t), AS_OF).select("request_id")
 
 
-# Each signup is a request of its own; the same user's first view after it starts it.
+# A user's first signup is a request; a purchase within two hours after it starts it.
 @query("l6_stale_request_stream", """
 WITH e AS (SELECT * FROM events WHERE event_type IN ('signup', 'purchase')),
-r AS (SELECT user_id, min(ts) FILTER (event_type = 'signup') AS q, min(ts) FILTER (event_type = 'purchase') AS s FROM e GROUP BY 1)
+r AS (SELECT user_id, min(ts) AS q FROM e WHERE event_type = 'signup' GROUP BY 1)
 SELECT user_id AS request_id, 'abandoned — queued over 120 minutes' AS reason FROM r
-WHERE q IS NOT NULL AND (s IS NULL OR s > q + INTERVAL 120 MINUTE) AND q + INTERVAL 120 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM e)""")
+WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = r.user_id AND event_type = 'purchase' AND ts BETWEEN q AND q + INTERVAL 120 MINUTE)
+  AND q + INTERVAL 120 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM e)""")
 def _(t):
     ev = event_stream(t).where("event_type IN ('signup', 'purchase')")
     kind = F.when(F.col("event_type") == "signup", "queued").otherwise("started")

@@ -46,17 +46,20 @@ def upsert_batches(stream: DataFrame, keys: list[str], order: str, root: str, ch
             .trigger(availableNow=True).foreachBatch(write).start())
 
 
-def current_rows(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
-    """The newest row per key over all batches: a combined aggregate, no window."""
+def current_rows(spark: SparkSession, root: str, keys: list[str], order: str) -> DataFrame:
+    """The newest row per key over all batches, whichever batch brought it: a combined aggregate.
+
+    ``order`` decides; between rows of equal order the later batch does.
+    """
     table = spark.read.option("basePath", root).parquet(root)
     columns = [c for c in table.columns if c not in keys and c != "batch"]
-    return (table.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col("batch").cast("long")).alias("r"))
+    return (table.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(F.col(order), F.col("batch").cast("long"))).alias("r"))
             .select(*keys, "r.*"))
 
 
-def compact(spark: SparkSession, root: str, target: str, keys: list[str]) -> None:
+def compact(spark: SparkSession, root: str, target: str, keys: list[str], order: str) -> None:
     """Fold all batches into one new folder that starts a fresh table."""
-    current_rows(spark, root, keys).write.mode("overwrite").parquet(f"{target}/batch=0")
+    current_rows(spark, root, keys, order).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
 def daily_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -79,45 +82,51 @@ def read_markers(events: DataFrame, consumer: str, item: str, delay: str = "60 d
 def stale_requests(requests: DataFrame, minutes: int = 120, delay: str = "10 minutes") -> DataFrame:
     """Requests nobody started within ``minutes``, as a stream with event-time timers.
 
-    ``requests(request_id, ts, kind)`` with kind 'queued' or 'started'.  State is
-    one timestamp per open request and goes away when it starts or is abandoned.
+    ``requests(request_id, ts, kind)`` with kind 'queued' or 'started'.  The first
+    queue row counts, and a start from then until the limit.  State holds the
+    queue time and the starts seen, in whatever order they arrive; a start without
+    a queue row waits until the watermark has passed it, when no queue row before
+    it can come any more.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
     import pandas as pd
 
+    wait = minutes * 60_000_000
+
+    def abandoned(key: tuple, queued: int) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": [key[0]], "queued_at": [pd.Timestamp(queued, unit="us")],
+                             "reason": [f"abandoned — queued over {minutes} minutes"]})
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        queued, starts = (state.get[0], list(state.get[1])) if state.exists else (None, [])
         if state.hasTimedOut:
-            queued = state.get[0]
             state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "queued_at": [pd.Timestamp(queued, unit="us")],
-                                "reason": [f"abandoned — queued over {minutes} minutes"]})
+            if queued is not None:
+                yield abandoned(key, queued)
             return
-        queued, started = (state.get[0] if state.exists else None), None
         for frame in frames:
-            opened, begun = frame[frame.kind == "queued"].ts, frame[frame.kind == "started"].ts
-            if len(opened):
-                first = int(opened.min().value // 1000)
-                queued = first if queued is None else min(queued, first)
-            if len(begun):
-                first = int(begun.min().value // 1000)
-                started = first if started is None else min(started, first)
-        limit = None if queued is None else queued + minutes * 60_000_000
-        if queued is None or (started is not None and started <= limit):
-            if state.exists:
-                state.remove()
-            return
+            opened = [int(t.value // 1000) for t in frame[frame.kind == "queued"].ts]
+            queued = min([*opened, *([] if queued is None else [queued])], default=None)
+            starts += [int(t.value // 1000) for t in frame[frame.kind == "started"].ts]
+        watermark = state.getCurrentWatermarkMs()
+        if queued is None:
+            starts = sorted(s for s in set(starts) if s // 1000 > watermark)
+            due = starts[-1] // 1000 if starts else None
+        else:
+            starts = sorted(s for s in set(starts) if queued <= s <= queued + wait)
+            due = None if starts else (queued + wait) // 1000
         # A timer must lie ahead of the watermark; one already behind it is due now.
-        if limit // 1000 <= state.getCurrentWatermarkMs():
+        if due is None or due <= watermark:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"request_id": [key[0]], "queued_at": [pd.Timestamp(queued, unit="us")],
-                                "reason": [f"abandoned — queued over {minutes} minutes"]})
+            if queued is not None and not starts:
+                yield abandoned(key, queued)
             return
-        state.update((queued,))
-        state.setTimeoutTimestamp(limit // 1000)
+        state.update((queued, starts))
+        state.setTimeoutTimestamp(due)
 
     return (requests.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(
-        step, "request_id LONG, queued_at TIMESTAMP, reason STRING", "queued LONG", "append",
+        step, "request_id LONG, queued_at TIMESTAMP, reason STRING", "queued LONG, starts ARRAY<LONG>", "append",
         GroupStateTimeout.EventTimeTimeout))
 
 

@@ -103,18 +103,40 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     events.repartitionByRange(5, "id").write.parquet(str(tmp_path / "in"))
     stream = S.read_table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
     S.upsert_batches(stream.select("url", "id"), ["url"], "id", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    got = {tuple(r) for r in S.current_rows(spark, str(tmp_path / "t"), ["url"]).collect()}
+    got = {tuple(r) for r in S.current_rows(spark, str(tmp_path / "t"), ["url"], "id").collect()}
     seen = {}
     for r in spark.read.parquet(str(tmp_path / "in")).withColumn("f", F.input_file_name()).orderBy("f", "id").collect():
         seen[r.url] = max(seen.get(r.url, -1), r.id)
     assert {u for u, _ in got} == set(seen) and len(got) == 37
     daily = S.daily_counts(stream, "400 days")
     S.upsert_batches(daily, ["day", "event_type"], "n", str(tmp_path / "d"), str(tmp_path / "dc"), "update").awaitTermination()
-    got = {(str(r.day)[:10], r.event_type, r.n) for r in S.current_rows(spark, str(tmp_path / "d"), ["day", "event_type"]).collect()}
+    got = {(str(r.day)[:10], r.event_type, r.n) for r in S.current_rows(spark, str(tmp_path / "d"), ["day", "event_type"], "n").collect()}
     want = {(str(r.day), r.event_type, r["count"]) for r in events.groupBy(F.to_date("ts").alias("day"), "event_type").count().collect()}
     assert got == want
 
 
+def test_late_older_row_does_not_replace_a_newer_one(spark, tmp_path):
+    for seq, text in ((10, "new"), (5, "old")):
+        spark.createDataFrame([("k", seq, text)], "k STRING, seq INT, v STRING").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = S.read_table_stream(spark, str(tmp_path / "in"))
+        S.upsert_batches(stream, ["k"], "seq", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    assert [tuple(r) for r in S.current_rows(spark, str(tmp_path / "t"), ["k"], "seq").collect()] == [("k", 10, "new")]
+    S.compact(spark, str(tmp_path / "t"), str(tmp_path / "u"), ["k"], "seq")
+    assert [tuple(r) for r in S.current_rows(spark, str(tmp_path / "u"), ["k"], "seq").collect()] == [("k", 10, "new")]
+
+
+def test_start_may_arrive_before_its_queue_row(spark, tmp_path):
+    """Arrival order is not event order: 1 starts in time, 2 starts before it queues, 3 both, 9 moves the clock."""
+    arrivals = [[(1, 20, "started"), (2, 5, "started"), (3, 4, "started"), (3, 30, "started")],
+                [(1, 10, "queued"), (2, 10, "queued"), (3, 10, "queued")], [(9, 900, "queued")], [(9, 901, "started")]]
+    for rows in arrivals:
+        df = spark.createDataFrame(rows, "request_id LONG, m INT, kind STRING").withColumn("ts", F.timestamp_seconds(F.col("m") * 60 + 86400))
+        df.coalesce(1).drop("m").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = S.stale_requests(S.read_table_stream(spark, str(tmp_path / "in")), minutes=120, delay="30 minutes")
+        S.upsert_batches(stream, ["request_id"], "queued_at", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    assert {r.request_id for r in S.current_rows(spark, str(tmp_path / "t"), ["request_id"], "queued_at").collect()} == {2}
+
+
 def test_stale_request_stream(spark, tmp_path):
     rows = [(1, 0, "queued"), (2, 0, "queued"), (2, 60, "started"), (3, 50, "queued"), (3, 300, "started"), (9, 900, "queued")]
     df = spark.createDataFrame(rows, "request_id LONG, m INT, kind STRING").withColumn("ts", F.timestamp_seconds(F.col("m") * 60 + 86400))
@@ -123,7 +145,7 @@ def test_stale_request_stream(spark, tmp_path):
     stream = S.read_table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
     out = S.stale_requests(stream, minutes=120)
     S.upsert_batches(out, ["request_id"], "queued_at", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert {r.request_id for r in S.current_rows(spark, str(tmp_path / "t"), ["request_id"]).collect()} == {1, 3}
+    assert {r.request_id for r in S.current_rows(spark, str(tmp_path / "t"), ["request_id"], "queued_at").collect()} == {1, 3}
 
 
 def test_request_status_batch(spark):

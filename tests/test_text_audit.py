@@ -2,35 +2,27 @@
 
 from pyspark.sql import functions as F
 
+from corrobora import vocab
 from corrobora.functions import audit as AF, text as T
 from corrobora.operators import audit as U, evaluate as E, intake as I
 
-CLAIMS = [
-    "Hostile crews have targeted three harbour masts since the spring.",
-    "The force operates the widest sensor belt on the whole coast.",
-    "Losses increased by a third across the fleet during last year.",
-    "So what: Hostile crews have breached three of the masts.",
-    "This report shows crews breached the harbour gate twice.",
-    "**Bold words that also say** that two masts were breached at night.",
-    "3. **Context**: Two masts were breached in the last quarter.",
-    "The falsifier was triggered and two masts were breached in June.",
-]
-EXEMPT = [
-    "**Crews Show Intent And Means Along The Whole Coast**",
-    "So what: Ensure crews are held to the strictest standards.",
-    "Trigger: Observed increase in gaps across the second tier of masts.",
-    "Falsifier: No mast reports an incident within two years of now.",
-    "Two claims are blocked by an open gate and are excluded from this assessment.",
-    "The evidence base does not establish a rate of loss for the coast.",
-    "Crews may target exposed devices at the harbour [EV-001].",
-    "4. **Raise readiness**: Address gaps in the tooling of the masts.",
-    "Mandate clauses now. Trigger: Increased incidents linked to tooling.",
-    "The falsifier is a rate of adoption below half of all offices.",
-    "What would refute this: no mast is reported lost before the autumn.",
-    "However, if the move slips past the year, the exposure is on old masts.",
-    "Standardize and enforce the rules that are in place for masts.",
-    "Reassess if no working system is fielded by the end of 2027.",
-]
+# Sentences are put together from the branches of each rule: a claim (subject x verb)
+# that must name a source, and the same claim with one exemption at a time.
+VERBS = ("is", "was", "has", "shows", "grew", "fell", "reached", "remains", "holds", "required", "operates", "accounts for")
+CLAIMS = [f"Depot {n} of the northern line {verb} well below the yearly plan." for n, verb in enumerate(VERBS)]
+PLAIN = "depot nine of the line was late on most days"
+CLAIMS += [f"{label}: Depot nine of the line was late on most days." for label in ("So what", "**Owner**", "4. **Context**", "- **Bold mark**")]
+CLAIMS += ["This section says that depot nine was late on most days."]        # about the document, but nothing is withheld
+EXEMPT = [f"Depot nine of the line was late on most days [{cited}]." for cited in ("EV-001", "F-CS-02", "SIG-EW-11")]
+EXEMPT += [f"Depot nine was late, and {hedge} that more depots were." for hedge in ("it may be", "a forecast", "one source suggests", "it is possible")]
+EXEMPT += [f"{opener} each depot that was late on most days." for opener in ("Inspect", "1. **Standardize", "standardise", "Reassess,")]
+EXEMPT += [f"Each depot that was late {modal} be moved to the coast." for modal in ("should", "must", "ought to")]
+EXEMPT += [f"{subject} {said}, so it was left out." for subject in ("This report", "An open gate", "The evidence") for said in
+           ("was excluded", "does not establish that it was late")]
+EXEMPT += [f"{opener} {PLAIN}, the plan was too tight." for opener in ("If", "However, if", "Unless", "Yet should", "By contrast, so long as")]
+EXEMPT += [f"{clause} {PLAIN} for a whole year." for clause in ("The falsifier is that", "What would refute it:", "A count would disconfirm this:")]
+EXEMPT += [f"{label} {PLAIN} in two years of three." for label in ("Trigger:", "Falsifier:", "**Indicator** —", "What would refute this:")]
+EXEMPT += [f"**{PLAIN}**", f"# {PLAIN}", f"| {PLAIN} |", f"{PLAIN} https://example.com", "It was late."]
 
 
 def unsourced(spark, texts):
@@ -48,17 +40,18 @@ def test_structure_and_proposals_do_not(spark):
 
 
 def test_openers_in_both_spellings():
-    words = AF.imperative_openers()
+    words = vocab.IMPERATIVES
     assert len(words) == len(set(words)) == 212
     assert {"standardise", "standardize", "prioritise", "prioritize", "exercise", "revise"} <= set(words)
     assert not {"exercize", "revize", "raize"} & set(words)
 
 
 def test_gate_disclosures_and_gap_claims(spark):
-    fine = ["Validation gates are open for any UAE capability gap; such claims are withheld.", "UAE gap claims await customer validation first.",
-            "The open gate means UAE gap claims require validation by the owner."]
-    bad = ["The UAE lacks cover against wired drones.", "Tawazun faces a shortfall in effectors.",
-           "The UAE lacks cover, although the open gate requires validation of that.", "The UAE is behind while the gate stays open."]
+    deficits = ("lacks spare depots", "has a shortfall of depots", "is behind on depots", "is unable to run depots")
+    bad = [f"{who} {deficit} this year." for who in ("The UAE", "Tawazun", "An Emirati unit") for deficit in deficits]
+    bad += [f"The UAE {deficits[0]}, {gate}." for gate in ("while the gate stays open", "although the gate requires it to be validated")]
+    fine = [f"Gap claims on the UAE {state}." for state in ("stay withheld while a gate is open", "wait for customer validation", "are marked validation required")]
+    fine += [f"A neighbour {deficit} this year." for deficit in deficits] + ["The UAE runs forty depots on the coast."]
     df = spark.createDataFrame([(s, False) for s in fine] + [(s, True) for s in bad], "s STRING, want BOOLEAN")
     assert all(r.want == r.got for r in df.select("want", AF.is_gap_claim(F.col("s")).alias("got")).collect())
 

@@ -58,7 +58,9 @@ def learning_rows(docs: DataFrame, labels: DataFrame, spec: ToxicSpec) -> list:
     sizes = {bool(r["toxic"]): r["n"] for r in marks.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") > 0, spec.sample / 2 / max(1, sizes.get(True, 0))).otherwise(spec.sample / 2 / max(1, sizes.get(False, 0)))
-    chosen = docs.select("doc_id", "text").join(marks.where(draw < share), "doc_id").select("toxic", "text").limit(2 * spec.sample)
+    # At most twice ``sample`` ids and marks go to the texts, which stay in place.
+    drawn = F.broadcast(marks.where(draw < share).limit(2 * spec.sample))
+    chosen = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

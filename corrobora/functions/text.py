@@ -99,10 +99,11 @@ def drop_elements(html: Column, tags) -> Column:
     return out
 
 
-def html_text(html: Column, cap: int = vocab.MAX_TEXT) -> Column:
-    """Visible text: scripts and page furniture dropped, tags and entities gone."""
+def html_text(html: Column, cap: int | None = None) -> Column:
+    """Visible text: scripts and page furniture dropped, tags and entities gone; whole unless ``cap`` is given."""
     bare = F.regexp_replace(drop_elements(html, vocab.DROPPED_TAGS), r"(?s)<[^>]+>", " ")
-    return F.left(squash(unescape(bare)), F.lit(cap))
+    whole = squash(unescape(bare))
+    return whole if cap is None else F.left(whole, F.lit(cap))
 
 
 def absolute_url(base: Column, href: Column) -> Column:

@@ -143,7 +143,7 @@ def band_scores(behind: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.withColumn("score", F.col("likelihood") * F.col("impact"))
 
 
-def gap_rows(refused: DataFrame, pillar: Column, gap: Column, rule: Column, cap: int = 500) -> DataFrame:
+def gap_rows(refused: DataFrame, pillar: Column, gap: Column, rule: Column, cap: int | None = None) -> DataFrame:
     """Refusals in the shape of the gap ledger."""
-    return refused.select(pillar.alias("pillar"), F.left(gap, F.lit(cap)).alias("gap"),
+    return refused.select(pillar.alias("pillar"), (gap if cap is None else F.left(gap, F.lit(cap))).alias("gap"),
                           rule.alias("raised_by"))

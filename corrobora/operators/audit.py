@@ -402,8 +402,8 @@ def embed_figures(reports: DataFrame, figures: DataFrame) -> DataFrame:
     good = figures.where("admitted AND reachable")
     caption = F.regexp_replace(text.strip(F.coalesce(F.nullif("caption", F.lit("")), F.col("describes"), F.lit(""))), r"\.+$", "")
     alt = F.replace(F.coalesce(F.nullif("describes", F.lit("")), F.nullif(caption, F.lit("")), F.col("cited_id")), F.lit("]"), F.lit(")"))
-    drawn = F.concat(F.lit("!["), F.left(alt, F.lit(300)), F.lit("]("), F.col("url"), F.lit(")\n\n*"), F.col("cited_id"),
-                     F.lit(" — "), F.left(caption, F.lit(300)), F.lit(". "), F.coalesce("credit_line", F.lit("")), F.lit("* <"),
+    drawn = F.concat(F.lit("!["), alt, F.lit("]("), F.col("url"), F.lit(")\n\n*"), F.col("cited_id"),
+                     F.lit(" — "), caption, F.lit(". "), F.coalesce("credit_line", F.lit("")), F.lit("* <"),
                      F.coalesce("doc_url", F.lit("")), F.lit(">"))
     placed = (cites.join(good, "cited_id").select("report_id", "pos", "k", drawn.alias("para")))
     parts = paras.select("report_id", "pos", F.lit(-1).alias("k"), "para").unionByName(placed)

@@ -16,9 +16,8 @@ def pattern_registers(lines: DataFrame, minimum: int = 4) -> DataFrame:
     """
     found = []
     for kind, pattern in vocab.REGISTER_PATTERNS.items():
-        cap = 300 if kind in ("findings", "uncertainties") else 100_000_000
         item = F.regexp_extract("line", pattern, 1)
-        body = F.left(text.strip(F.regexp_extract("line", pattern, 2)), F.lit(cap))
+        body = text.strip(F.regexp_extract("line", pattern, 2))
         found.append(F.when(item != "", F.struct(F.lit(kind).alias("kind"), item.alias("id"), body.alias("text"))))
     rows = lines.select("source", "line_no", F.inline(F.array_compact(F.array(*found))))
     first = rows.groupBy("source", "kind", "id").agg(F.min_by("text", "line_no").alias("text"))

@@ -14,6 +14,12 @@ from corrobora.session import ensure_checkpoint_dir
 
 # --- tree -------------------------------------------------------------------------
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` behind a checkpoint, with columns of its own: a union of two readings of
+    one checkpoint must not share them."""
+    return df.checkpoint().select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def closure(nodes: DataFrame) -> DataFrame:
     """(root_id, node_id, kind, depth) for every ancestor/descendant pair, however deep.
 
@@ -26,18 +32,20 @@ def closure(nodes: DataFrame) -> DataFrame:
     # Nodes without a row of their own are not climbed through, as in a join on nodes.
     up = (nodes.where("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("root_id"))
           .join(nodes.select(F.col("node_id").alias("root_id")), "root_id", "left_semi"))
-    found = up.select("node_id", "root_id", F.lit(1).cast("long").alias("depth")).checkpoint()
-    jump = up.select("node_id", "root_id").checkpoint()
+    up = _cut(up.select("node_id", "root_id"))
+    found = up.select("node_id", "root_id", F.lit(1).cast("long").alias("depth"))
+    jump = up
     step, known = 1, found.count()
     while True:
         via = jump.select("node_id", F.col("root_id").alias("via"))
         more = (via.join(found.select(F.col("node_id").alias("via"), "root_id", "depth"), "via")
                 .select("node_id", "root_id", (F.col("depth") + step).alias("depth")))
-        found = found.unionByName(more).groupBy("node_id", "root_id").agg(F.min("depth").alias("depth")).checkpoint()
+        found = found.unionByName(more).groupBy("node_id", "root_id").agg(F.min("depth").alias("depth"))
+        found = _cut(found)
         now = found.count()
         if now == known:
             break
-        jump = via.join(jump.select(F.col("node_id").alias("via"), "root_id"), "via").select("node_id", "root_id").checkpoint()
+        jump = _cut(via.join(jump.select(F.col("node_id").alias("via"), "root_id"), "via").select("node_id", "root_id"))
         step, known = 2 * step, now
     own = nodes.select(F.col("node_id").alias("root_id"), "node_id", "kind", F.lit(0).alias("depth"))
     above = found.join(nodes.select("node_id", "kind"), "node_id").select("root_id", "node_id", "kind", F.col("depth").cast("int").alias("depth"))

@@ -43,8 +43,8 @@ def feed_documents(items: DataFrame) -> DataFrame:
     return out.where(F.length(F.coalesce("text", F.lit(""))) >= F.col("floor")).drop("floor")
 
 
-def child_links(pages: DataFrame, keywords=vocab.LINK_KEYWORDS, limit: int = 8) -> DataFrame:
-    """First ``limit`` distinct same-site links per page that look like documents.
+def child_links(pages: DataFrame, keywords=vocab.LINK_KEYWORDS, limit: int | None = None) -> DataFrame:
+    """Distinct same-site links, the first ``limit`` or all, per page that look like documents.
 
     All of it is array work inside the page row: nothing is shuffled.
     """
@@ -63,7 +63,7 @@ def child_links(pages: DataFrame, keywords=vocab.LINK_KEYWORDS, limit: int = 8)
                           F.lit(False))
 
     links = F.array_distinct(F.transform(F.filter(F.transform(anchors, parse), keep), lambda a: a["link"]))
-    return pages.select("page_id", F.posexplode(F.slice(links, 1, limit)).alias("pos", "link"))
+    return pages.select("page_id", F.posexplode(links if limit is None else F.slice(links, 1, limit)).alias("pos", "link"))
 
 
 def figure_candidates(pages: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def figure_candidates(pages: DataFrame) -> DataFrame:
     def image(tag: Column, caption: Column) -> Column:
         src = attr(tag, "src")
         return F.struct(F.when(src != "", src).otherwise(largest(attr(tag, "srcset"))).alias("src"),
-                        F.left(text.strip(attr(tag, "alt")), F.lit(400)).alias("alt"),
-                        F.left(caption, F.lit(600)).alias("caption"),
+                        text.strip(attr(tag, "alt")).alias("alt"),
+                        caption.alias("caption"),
                         size(tag, "width").alias("width"), size(tag, "height").alias("height"))
 
     figures = F.regexp_extract_all(html, F.lit(r"(?is)<figure\b.*?</figure>"), F.lit(0))
@@ -275,5 +275,5 @@ def dataset_row(records: DataFrame, matching: Column, name: str, claim: str, sam
     top = records.where(matching).select(F.col(name).alias("name")).orderBy("name").limit(sample)
     quote = top.agg(F.array_join(F.array_sort(F.collect_list("name")), separator).alias("quote"))
     return (text.attach(counts, quote)
-            .select("active", "matching", F.left(F.format_string(claim, F.col("active"), F.col("matching")), F.lit(500)).alias("claim"),
-                    F.left(F.when(F.col("quote") == "", empty).otherwise(F.col("quote")), F.lit(400)).alias("quote")))
+            .select("active", "matching", F.format_string(claim, F.col("active"), F.col("matching")).alias("claim"),
+                    F.when(F.col("quote") == "", empty).otherwise(F.col("quote")).alias("quote")))

@@ -132,7 +132,7 @@ def _(t):
     return findings(t).select("proposal_id", "signals", "raised_by", "why")
 
 
-GAPS = """gaps AS (SELECT pillar, left(concat('Finding rejected — ', why, ': ', statement), 500) AS gap, raised_by
+GAPS = """gaps AS (SELECT pillar, concat('Finding rejected — ', why, ': ', statement) AS gap, raised_by
   FROM f WHERE raised_by IS NOT NULL)"""
 
 

@@ -21,7 +21,7 @@ def text_sql(c: str) -> str:
     for tag in ("script", "style", "nav", "footer", "header", "form", "aside", "noscript"):
         out = rf"regexp_replace({out}, '(?is)<{tag}\b.*?</{tag}>', ' ', 'g')"
     out = unescape_sql(f"regexp_replace({out}, '(?s)<[^>]+>', ' ', 'g')")
-    return rf"left(trim(regexp_replace({out}, '\s+', ' ', 'g')), 60000)"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
 
 
 def title_sql(html: str, url: str) -> str:
@@ -109,7 +109,7 @@ l AS (SELECT *, CASE WHEN regexp_matches(h, '^(?i)https?://') THEN h WHEN h LIKE
 k AS (SELECT page_id, link, min(rn) AS rn FROM l WHERE link LIKE 'http%' AND {HOST.format('link')} = {HOST.format('url')}
    AND (lower(link) LIKE '%.pdf' OR {" OR ".join(f"contains(lower(link || ' ' || label), '{w}')" for w in
         ("cyber", "security", "strategy", "policy", "framework", "advisory", "alert", "guideline", "regulation", "defence", "defense", "digital", "ai", "report"))}) GROUP BY 1, 2)
-SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY rn) - 1 AS pos FROM k QUALIFY pos < 8""".replace("''''", "''"))
+SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY rn) - 1 AS pos FROM k""".replace("''''", "''"))
 def _(t):
     return I.child_links(t.pages)
 
@@ -373,7 +373,7 @@ def _(t):
 @query("e43_dataset_row", """
 WITH c AS (SELECT count(*) AS active, count(*) FILTER (p_size <= 5) AS matching FROM part),
 q AS (SELECT string_agg(n, '; ' ORDER BY n) AS q FROM (SELECT concat(p_name, ' ', p_partkey) AS n FROM part WHERE p_size <= 5 ORDER BY n LIMIT 12))
-SELECT active, matching, left(format('The list holds {} active sets, of which {} match.', active, matching), 500) AS claim, left(coalesce(q, 'no records'), 400) AS quote FROM c, q""")
+SELECT active, matching, format('The list holds {} active sets, of which {} match.', active, matching) AS claim, coalesce(q, 'no records') AS quote FROM c, q""")
 def _(t):
     parts = t.part.withColumn("name", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")))
     return I.dataset_row(parts, F.col("p_size") <= 5, "name", "The list holds %d active sets, of which %d match.", 12)

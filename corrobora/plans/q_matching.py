@@ -272,9 +272,9 @@ FROM doc_sentences
 
 @query("a8_pattern_registers", rf"""
 WITH r AS (SELECT source, line_no, 'signals' AS kind, regexp_extract(line, '^(SIG-\d+)\s*\|\s*([^|]+)\|', 1) AS id, trim(regexp_extract(line, '^(SIG-\d+)\s*\|\s*([^|]+)\|', 2)) AS text FROM bench_lines
- UNION ALL SELECT source, line_no, 'findings', regexp_extract(line, 'Finding (F-\d+):\s*(.+)', 1), left(trim(regexp_extract(line, 'Finding (F-\d+):\s*(.+)', 2)), 300) FROM bench_lines
+ UNION ALL SELECT source, line_no, 'findings', regexp_extract(line, 'Finding (F-\d+):\s*(.+)', 1), trim(regexp_extract(line, 'Finding (F-\d+):\s*(.+)', 2)) FROM bench_lines
  UNION ALL SELECT source, line_no, 'risks', regexp_extract(line, '^(R\d+)\s*—\s*(.+?)\s*—\s*Score', 1), trim(regexp_extract(line, '^(R\d+)\s*—\s*(.+?)\s*—\s*Score', 2)) FROM bench_lines
- UNION ALL SELECT source, line_no, 'uncertainties', regexp_extract(line, '^(CU-\d+)\s*—\s*(.+)', 1), left(trim(regexp_extract(line, '^(CU-\d+)\s*—\s*(.+)', 2)), 300) FROM bench_lines),
+ UNION ALL SELECT source, line_no, 'uncertainties', regexp_extract(line, '^(CU-\d+)\s*—\s*(.+)', 1), trim(regexp_extract(line, '^(CU-\d+)\s*—\s*(.+)', 2)) FROM bench_lines),
 f AS (SELECT source, kind, id, arg_min(text, line_no) AS text FROM r WHERE id <> '' GROUP BY 1, 2, 3)
 SELECT * FROM f WHERE source IN (SELECT source FROM f GROUP BY 1 HAVING count(*) >= 4)""")
 def _(t):

@@ -177,7 +177,7 @@ CVES = """SELECT l_partkey AS part, l_suppkey AS k, l_orderkey AS o, l_linenumbe
 
 @query("a5_cve_records", f"""
 WITH r AS (SELECT 'CVE-' || part AS cve_id, k, o, ln, CASE WHEN q < 10 THEN q / 10 WHEN q < 30 THEN q / 5 WHEN q < 45 THEN q / 8 END AS score,
-  CASE WHEN ln % 3 = 0 THEN '' ELSE 'Flaw in part ' || part END AS description FROM ({CVES}) WHERE ts BETWEEN TIMESTAMP '1998-06-30 00:00:00' - INTERVAL 120 DAY AND TIMESTAMP '1998-06-30 00:00:00')
+  CASE WHEN ln % 3 = 0 THEN '' ELSE 'Flaw in part ' || part END AS description FROM ({CVES}) WHERE ts BETWEEN TIMESTAMP '1998-06-30 00:00:00' - INTERVAL 400 DAY AND TIMESTAMP '1998-06-30 00:00:00')
 SELECT cve_id, arg_min('k' || k, k * 100000000 + o * 10 + ln) AS keyword, arg_min(description, k * 100000000 + o * 10 + ln) AS description, round(min_by_score, 4) AS score FROM (
   SELECT *, first_value(score) OVER (PARTITION BY cve_id ORDER BY k * 100000000 + o * 10 + ln) AS min_by_score FROM r) GROUP BY cve_id, min_by_score""")
 def _(t):

@@ -79,7 +79,7 @@ def stix_groups(bundles: DataFrame) -> DataFrame:
             .where((o["type"] == "intrusion-set") & ~F.coalesce(o["revoked"], F.lit(False))
                    & ~F.coalesce(o["x_mitre_deprecated"], F.lit(False)))
             .select(F.try_element_at(refs, F.lit(1))["external_id"].alias("attack_id"), o["name"].alias("name"),
-                    o["aliases"].alias("aliases"), F.left(o["description"], F.lit(2000)).alias("description"),
+                    o["aliases"].alias("aliases"), o["description"].alias("description"),
                     terms.alias("matched_terms"), (F.size(terms) > 0).alias("regional")))
 
 
@@ -91,7 +91,7 @@ def cve_records(payloads: DataFrame, as_of: Column, days: int = 120) -> DataFram
     """One row per CVE: first keyword that found it, first known score, English text.
 
     ``payloads(keyword, keyword_pos, vulnerabilities)``; the publication window
-    ends at ``as_of`` and is capped at 120 days.
+    of ``days`` days ends at ``as_of``.
     """
     c = F.col("v.cve")
     score = lambda m: F.try_element_at(c["metrics"][m], F.lit(1))["cvssData"]["baseScore"]
@@ -101,7 +101,7 @@ def cve_records(payloads: DataFrame, as_of: Column, days: int = 120) -> DataFram
             .select(c["id"].alias("cve_id"), c["published"].alias("published"), "keyword", "keyword_pos",
                     F.coalesce(score("cvssMetricV31"), score("cvssMetricV30"), score("cvssMetricV2")).alias("score"),
                     F.coalesce(english, F.lit("")).alias("description"))
-            .where(F.col("published").between(as_of - F.make_dt_interval(F.lit(min(days, 120))), as_of)))
+            .where(F.col("published").between(as_of - F.make_dt_interval(F.lit(days)), as_of)))
     first = F.min_by(F.struct("keyword", "score", "description", "published"), "keyword_pos")
     return rows.groupBy("cve_id").agg(first.alias("r")).select("cve_id", "r.*")
 

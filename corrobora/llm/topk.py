@@ -4,8 +4,8 @@ Vectors become integer vectors.  An added component gives all of them the same
 norm ``R``, so a larger inner product is a smaller distance:
 ``d(q, x)^2 = |q|^2 + R^2 - 2 q.x``.  Distances from every vector to ``pivots``
 vectors are computed once; ``max |d(q, p) - d(x, p)|`` bounds ``d(q, x)`` from below.
-Candidates are evaluated in the order of their bounds until the k-th best score
-reaches the best score that the next bound still allows.
+Candidates are evaluated in the order of their bounds, until no score that a
+remaining bound allows reaches the k-th best.
 
 Queries and candidates meet block by block.  A block pair is one task's work, so
 memory is bounded by the block sizes; the best k of every block are merged per
@@ -36,9 +36,10 @@ class TopSpec:
     scale: int = 64
     every: int = 20
     pivots: int = 32
-    query_block: int = 2_048
-    candidate_block: int = 8_192
-    step: int = 512
+    query_block: int = 512
+    candidate_block: int = 32_768
+    first: int = 512
+    run: int = 64
 
 
 def whole_vectors(vectors: DataFrame, spec: TopSpec) -> DataFrame:
@@ -62,9 +63,25 @@ def _to_pivots(x: np.ndarray, lift: np.ndarray, pivots: np.ndarray, pivot_lift:
     return np.sqrt(np.maximum(square - 2 * (x @ pivots.T + np.outer(lift, pivot_lift)), 0))
 
 
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, ties to the smaller id."""
+    if len(score) > k:
+        least = np.partition(score, len(score) - k)[len(score) - k]
+        near = np.flatnonzero(score >= least)
+        ids, score = ids[near], score[near]
+    keep = np.lexsort((ids, -score))[:k]
+    return ids[keep], score[keep]
+
+
 def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, spec: TopSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score): the k best of a block for each of its queries."""
-    exact = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * q.shape[1] < 2 ** 52
+    """(query, candidate, score): the k best of a block for each of its queries.
+
+    The ``first`` candidates by bound are scored for every query alone.  Candidates
+    whose bound still reaches the k-th of these scores come next; a run of
+    queries scores them with one matrix product.  Below that bound nothing can
+    enter, so the search stops there.
+    """
+    exact = float(max(np.abs(q).max(initial=0), np.abs(x).max(initial=0))) ** 2 * q.shape[1] < 2 ** 52
     order = np.argsort(x_ids, kind="stable")
     x_ids, x = x_ids[order], x[order]
     qf, xf = q.astype(np.float64), x.astype(np.float64)
@@ -72,34 +89,37 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarra
     radius = norms.max()
     lift = np.sqrt(radius - norms)
     pivots = np.linspace(0, len(x) - 1, min(spec.pivots, len(x))).astype(int)
-    table = _to_pivots(xf, lift, xf[pivots], lift[pivots])
-    to_query = _to_pivots(qf, np.zeros(len(q)), xf[pivots], lift[pivots])
+    table = np.ascontiguousarray(_to_pivots(xf, lift, xf[pivots], lift[pivots]).T, np.float32)
+    to_query = _to_pivots(qf, np.zeros(len(q)), xf[pivots], lift[pivots]).astype(np.float32)
     q_norm = (qf ** 2).sum(1)
+    if exact:
+        q, x = qf, xf
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(len(q)):
-        near = np.abs(table - to_query[i]).max(axis=1)
-        most = (q_norm[i] + radius - near ** 2) / 2
-        most += 1e-9 * (q_norm[i] + radius) + 1          # the bounds are rounded, the scores are not
-        best_ids, best = x_ids[:0], np.zeros(0, np.int64)
-        size = spec.step
-        left = np.argsort(-most) if len(most) <= size else np.argpartition(-most, size)
-        done = 0
-        while done < len(left):
-            if done:
-                rest = left[done:]
-                floor = best[spec.k - 1] if len(best) >= spec.k else None
-                rest = rest if floor is None else rest[most[rest] >= floor]
-                if not len(rest):
-                    break
-                left, done = (rest[np.argpartition(-most[rest], size)] if len(rest) > size else rest), 0
-            take = left[done:done + size]
-            done += len(take)
-            take = take[x_ids[take] != q_ids[i]]
-            score = (xf[take] @ qf[i]).astype(np.int64) if exact else (x[take] * q[i]).sum(1)
-            best_ids, best = np.concatenate([best_ids, x_ids[take]]), np.concatenate([best, score])
-            keep = np.lexsort((best_ids, -best))[:spec.k]
-            best_ids, best = best_ids[keep], best[keep]
-        out.append((np.full(len(best), q_ids[i]), best_ids, best))
+    first = max(spec.first, spec.k + 1)
+    for low in range(0, len(q), spec.run):
+        run = range(low, min(low + spec.run, len(q)))
+        open_rows, known, floors = [], [], []
+        for i in run:
+            near = np.abs(table[0] - to_query[i, 0])
+            for p in range(1, len(pivots)):
+                np.maximum(near, np.abs(table[p] - to_query[i, p]), out=near)
+            # Distances are rounded to single precision, scores are exact: the bounds get the slack.
+            near = np.maximum(near - np.float32(4e-6) * np.float32(np.sqrt(q_norm[i]) + 2 * np.sqrt(radius) + 1), 0)
+            most = (q_norm[i] + radius - near.astype(np.float64) ** 2) / 2 + 1
+            top = np.argpartition(-most, first)[:first] if len(most) > first else np.arange(len(most))
+            top = top[x_ids[top] != q_ids[i]]
+            ids, score = _best(x_ids[top], (x[top] @ q[i]).astype(np.int64), spec.k)
+            known.append((ids, score))
+            allowed = most >= score[-1] if len(score) == spec.k else np.ones(len(most), bool)
+            allowed[top] = False
+            allowed[x_ids == q_ids[i]] = False
+            open_rows.append(allowed)
+        together = np.flatnonzero(np.logical_or.reduce(open_rows))
+        scores = (q[run.start:run.stop] @ x[together].T).astype(np.int64)
+        for i, allowed, (ids, score), row in zip(run, open_rows, known, scores):
+            mine = allowed[together]
+            ids, score = _best(np.concatenate([ids, x_ids[together[mine]]]), np.concatenate([score, row[mine]]), spec.k)
+            out.append((np.full(len(ids), q_ids[i]), ids, score))
     return tuple(np.concatenate(v) for v in zip(*out)) if out else (q_ids[:0], x_ids[:0], np.zeros(0, np.int64))
 
 

@@ -100,7 +100,7 @@ def test_top_k(spark, blocks):
     rows += [(200, None), (220, []), (240, [None] * 8), (260, [float("nan")] * 8), (280, [float("inf")] * 8), (None, rows[0][1]), (300, [1.0, 2.0])]
     rows += [rows[7], rows[20]]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
-    spec = topk.TopSpec(query_block=blocks[0], candidate_block=blocks[1], step=16)
+    spec = topk.TopSpec(query_block=blocks[0], candidate_block=blocks[1], first=16, run=3)
     got = by_id(topk.top_k(df, spec), "query_id", "rank", "vec_id", "score")
     usable = [(i, np.floor(64 * np.array(np.array(v, np.float32), np.float64)).astype(int)) for i, v in rows
               if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]

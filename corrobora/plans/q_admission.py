@@ -330,7 +330,8 @@ view("scenario_proposals", """
 SELECT p_partkey AS proposal_id, p_partkey AS pos, p_brand AS scope, concat(p_name, ' -- ', p_type) AS name,
        CASE p_size % 5 WHEN 0 THEN 'H0_3' WHEN 1 THEN 'H3_5' WHEN 2 THEN 'LATER' ELSE 'H5_10' END AS horizon FROM part
 """)
-SCENARIO_REFS = """SELECT l_partkey AS proposal_id, l_suppkey AS ref FROM lineitem WHERE l_quantity < 8"""
+# Large lines refer to uncertainties that do not exist.
+SCENARIO_REFS = """SELECT l_partkey AS proposal_id, CASE WHEN l_quantity < 8 THEN l_suppkey ELSE -l_suppkey END AS ref FROM lineitem"""
 UNCERTAINTIES = "SELECT s_suppkey AS ref FROM supplier WHERE s_acctbal > 2000"
 SLUG = "coalesce(nullif(left(trim(regexp_replace(upper(name), '[^A-Z0-9]+', '-', 'g'), '-'), 28), ''), 'X')"
 SCENARIOS = f"""r AS (SELECT DISTINCT proposal_id, ref FROM ({SCENARIO_REFS}) WHERE ref IN ({UNCERTAINTIES})),
@@ -364,7 +365,7 @@ def _(t):
 
 OPTIONS = """SELECT o_orderkey AS proposal_id, o_orderkey AS pos, o_custkey AS scope,
  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat(' ', lower(o_orderstatus), 'x') END AS letter, o_orderpriority AS name FROM orders"""
-OPTION_REFS = """SELECT l_orderkey AS proposal_id, l_suppkey AS ref FROM lineitem WHERE l_returnflag = 'A'"""
+OPTION_REFS = """SELECT l_orderkey AS proposal_id, CASE WHEN l_returnflag = 'A' THEN l_suppkey ELSE -l_suppkey END AS ref FROM lineitem"""
 OPTIONS_CTE = f"""o AS ({OPTIONS}), okay AS (SELECT DISTINCT proposal_id FROM ({OPTION_REFS}) WHERE ref IN ({UNCERTAINTIES})),
 kept AS (SELECT scope, coalesce(nullif(left(upper(trim(letter)), 1), ''), 'X') AS l, proposal_id, name, pos FROM o WHERE proposal_id IN (SELECT proposal_id FROM okay)),
 opts AS (SELECT scope, concat('OPT-', l) AS option_id, proposal_id, name FROM kept QUALIFY row_number() OVER (PARTITION BY scope, l ORDER BY pos DESC) = 1)"""

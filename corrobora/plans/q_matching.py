@@ -212,7 +212,8 @@ def _(t):
     return L.freeze(t.reports, objects(t))
 
 
-FROZEN = "SELECT DISTINCT doc_id AS report_id, concat('EV-', CAST(doc_id * 7 + pos * 13 AS STRING)) AS cited_id, concat('as issued: ', substr(sentence, 1, 9)) AS text FROM doc_sentences WHERE source <> 'src1' AND length(sentence) % 2 = 0"
+# Snapshots of other reports lie beside those of the reports at hand.
+FROZEN = "SELECT DISTINCT CASE WHEN source <> 'src1' AND length(sentence) % 2 = 0 THEN doc_id ELSE -1 - doc_id END AS report_id, concat('EV-', CAST(doc_id * 7 + pos * 13 AS STRING)) AS cited_id, concat('as issued: ', substr(sentence, 1, 9)) AS text FROM doc_sentences"
 
 
 @query("f9_unfrozen_reports", f"SELECT report_id FROM reports WHERE report_id NOT IN (SELECT report_id FROM ({FROZEN}))")
@@ -227,10 +228,10 @@ def _(t):
     return L.current_citations(L.cited_in_prose(t.reports), t.sql(FROZEN), objects(t))
 
 
-@query("b5_citation_snapshot", f"""WITH {OBJECTS}, {CITED}, fz AS (SELECT report_id, cited_id, text FROM ({FROZEN})), nw AS (SELECT report_id, cited_id, text FROM ci JOIN ob USING (cited_id) WHERE report_id % 2 = 0)
+@query("b5_citation_snapshot", f"""WITH {OBJECTS}, {CITED}, fz AS (SELECT report_id, cited_id, text FROM ({FROZEN})), nw AS (SELECT report_id, cited_id, text FROM ci JOIN ob USING (cited_id) WHERE report_id IN (SELECT report_id FROM reports WHERE length(body_md) > 1500))
 SELECT * FROM nw UNION ALL SELECT * FROM fz WHERE report_id NOT IN (SELECT report_id FROM nw)""")
 def _(t):
-    fresh = L.freeze(t.reports.where("report_id % 2 = 0"), objects(t)).select("report_id", "cited_id", "text")
+    fresh = L.freeze(t.reports.where("length(body_md) > 1500"), objects(t)).select("report_id", "cited_id", "text")
     return sinks.bucketed_merge(t.sql(FROZEN), fresh)
 
 
@@ -388,7 +389,7 @@ def _(t):
 
 # --- sinks as queries ---------------------------------------------------------------------------------------------------
 STORED = "SELECT user_id AS url, event_type AS title, CAST(event_id AS DOUBLE) AS score, CASE WHEN event_id % 3 = 0 THEN event_id END AS published, event_id AS seq FROM events WHERE event_type IN ('view', 'signup')"
-FRESH = "SELECT user_id + 20 AS url, event_type AS title, value AS score, CASE WHEN event_id % 2 = 0 THEN event_id END AS published, event_id AS seq FROM events WHERE event_type IN ('purchase', 'click')"
+FRESH = "SELECT user_id + 20 AS url, event_type AS title, value AS score, CASE WHEN event_id % 2 = 0 THEN event_id END AS published, event_id AS seq FROM events WHERE event_type NOT IN ('view', 'signup')"
 
 
 @query("b1_upsert", f"""
@@ -402,9 +403,9 @@ def _(t):
     return sinks.upsert(base, t.sql(FRESH), ["url"], "seq", keep=("published",))
 
 
-REG_OLD = "SELECT s_suppkey AS registry_id, s_name AS publisher, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2023-05-01' END AS archived_on FROM supplier WHERE s_nationkey < 20"
-REG_NEW = "SELECT s_suppkey AS registry_id, concat(s_name, ' v2') AS publisher FROM supplier WHERE s_suppkey % 3 > 0"
-REG_GONE = "SELECT s_suppkey AS registry_id, DATE '2024-01-01' AS archived_on FROM supplier WHERE s_suppkey % 10 = 0 OR s_suppkey % 7 = 0"
+REG_OLD = "SELECT CASE WHEN s_nationkey < 20 THEN s_suppkey ELSE 1000000 + s_suppkey END AS registry_id, s_name AS publisher, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2023-05-01' END AS archived_on FROM supplier"
+REG_NEW = "SELECT CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey ELSE 2000000 + s_suppkey END AS registry_id, concat(s_name, ' v2') AS publisher FROM supplier"
+REG_GONE = "SELECT CASE WHEN s_suppkey % 10 = 0 OR s_suppkey % 7 = 0 THEN s_suppkey ELSE -s_suppkey END AS registry_id, DATE '2024-01-01' AS archived_on FROM supplier"
 
 
 @query("b2_registry_sync", f"""

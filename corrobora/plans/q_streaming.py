@@ -14,7 +14,7 @@ from corrobora.sources import readers, sinks
 from corrobora.streaming import intake as S
 from corrobora.vocab import QUESTION_STOPWORDS, REGIONAL_TERMS
 
-AS_OF = "2024-01-15 12:00:00"
+AS_OF = "2024-01-30 23:59:59"
 
 
 def event_stream(t):
@@ -81,10 +81,10 @@ def _(t):
     return drain(t, stream, ["event_type", "user_id"], "one").select("user_id", "event_type")
 
 
-REQ = """rq AS (SELECT event_id AS request_id, user_id, ts FROM events WHERE event_type = 'signup' AND ts <= TIMESTAMP '2024-01-15 12:00:00'),
+REQ = f"""rq AS (SELECT event_id AS request_id, user_id, ts FROM events WHERE event_type = 'signup' AND ts <= TIMESTAMP '{AS_OF}'),
 st AS (SELECT request_id, user_id, ts, CASE WHEN EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'view' AND v.user_id = rq.user_id AND v.ts >= rq.ts
-   AND v.ts <= rq.ts + INTERVAL 120 MINUTE AND v.ts <= TIMESTAMP '2024-01-15 12:00:00') THEN 'STARTED'
-   WHEN ts < TIMESTAMP '2024-01-15 10:00:00' THEN 'FAILED' ELSE 'QUEUED' END AS status FROM rq)"""
+   AND v.ts <= rq.ts + INTERVAL 120 MINUTE AND v.ts <= TIMESTAMP '{AS_OF}') THEN 'STARTED'
+   WHEN ts < TIMESTAMP '{AS_OF}' - INTERVAL 120 MINUTE THEN 'FAILED' ELSE 'QUEUED' END AS status FROM rq)"""
 
 
 def status(t):
@@ -98,7 +98,7 @@ def _(t):
     return status(t).select("request_id", "user_id", "status")
 
 
-@query("l6_next_waiting", f"WITH {REQ} SELECT request_id FROM st WHERE status = 'QUEUED' AND ts < TIMESTAMP '2024-01-15 11:57:00' AND ts > TIMESTAMP '2024-01-15 10:00:00' ORDER BY ts, request_id LIMIT 1")
+@query("l6_next_waiting", f"WITH {REQ} SELECT request_id FROM st WHERE status = 'QUEUED' AND ts < TIMESTAMP '{AS_OF}' - INTERVAL 3 MINUTE AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 120 MINUTE ORDER BY ts, request_id LIMIT 1")
 def _(t):
     return S.next_waiting(status(t), AS_OF).select("request_id")
 
@@ -172,7 +172,7 @@ def _(t):
     return readers.stix_groups(bundles).select("attack_id", "name", F.array_join("matched_terms", ",").alias("terms"), "regional")
 
 
-CVES = """SELECT l_partkey AS part, l_suppkey AS k, l_orderkey AS o, l_linenumber AS ln, l_quantity AS q, l_shipdate AS ts FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'"""
+CVES = """SELECT l_partkey AS part, l_suppkey AS k, l_orderkey AS o, l_linenumber AS ln, l_quantity AS q, l_shipdate AS ts FROM lineitem"""
 
 
 @query("a5_cve_records", f"""

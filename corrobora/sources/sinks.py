@@ -1,13 +1,15 @@
 """Sinks: keyed upserts, the registry sync, append-only ledgers and snapshots.
 
-No table format is assumed.  An upsert is a new snapshot directory; a ledger is
-appended; a citation snapshot overwrites the partitions it holds.
+No table format is assumed.  An upsert is a new snapshot directory; a ledger
+takes numbered batches; a citation snapshot merges into the folders it touches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corrobora.session import ensure_checkpoint_dir
+
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], order: str, keep: tuple = ()) -> DataFrame:
     """Base with the delta's rows on top: last write per key wins.
@@ -44,9 +46,19 @@ def sync_registry(base: DataFrame, incoming: DataFrame, archive: DataFrame) -> D
     return out.select("registry_id", *pick, retired.alias("archived_on"))
 
 
-def append_gaps(gaps: DataFrame, path: str) -> None:
-    """Append refusals to the gap ledger, one folder per rule."""
-    gaps.write.mode("append").partitionBy("raised_by").parquet(path)
+def _names(spark, path: str) -> list[str]:
+    """Names in a folder of any file system Spark knows, none if it is not there; reads no file."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def append_gaps(gaps: DataFrame, path: str, batch: int) -> None:
+    """Add a batch of refusals to the gap ledger, one folder per batch and rule.
+
+    A batch that is written again replaces itself, so a retry leaves no row twice.
+    """
+    gaps.write.mode("overwrite").partitionBy("raised_by").parquet(f"{path.rstrip('/')}/batch={int(batch)}")
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:
@@ -57,26 +69,30 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
 
 
 def read_latest(spark, root: str) -> DataFrame:
-    """The newest snapshot below ``root`` (by its partition value)."""
-    table = spark.read.parquet(root)
-    return table.where(F.col("v") == table.agg(F.max("v")).scalar()).drop("v")
+    """The newest snapshot below ``root``, found by folder name."""
+    versions = [n for n in _names(spark, root) if n.startswith("v=")]
+    if not versions:
+        raise ValueError(f"no snapshot below {root}")
+    return spark.read.parquet(f"{root.rstrip('/')}/{max(versions)}")
 
 
 def write_citations(frozen: DataFrame, path: str, buckets: int = 256) -> None:
-    """Freeze citations: rewrite only the report buckets the frame holds.
+    """Freeze citations: replace the reports of the frame, keep all others.
 
     Reports hash into a fixed number of folders, since a folder per report
-    would be millions of small files.  The frame must hold whole buckets; use
-    :func:`bucketed_merge` to bring in what a bucket already has.
+    would be millions of small files.  Only folders that the frame touches are
+    read, merged and written; the merged rows are cut from what they replace
+    with a checkpoint.
     """
     spark = frozen.sparkSession
-    out = frozen.withColumn("bucket", F.pmod(F.xxhash64("report_id"), F.lit(buckets)))
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    bucket = F.pmod(F.xxhash64("report_id"), F.lit(buckets))
+    out = frozen
+    if any(n.startswith("bucket=") for n in _names(spark, path)):
+        ensure_checkpoint_dir(spark)
+        touched = frozen.select(bucket.alias("bucket")).distinct()
+        out = bucketed_merge(spark.read.parquet(path).join(touched, "bucket", "left_semi"), frozen).checkpoint()
+    (out.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 
 def bucketed_merge(stored: DataFrame, frozen: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def test_snapshots_ledgers_and_citations(spark, tmp_path):
     sinks.write_snapshot(b, str(tmp_path / "t"), 2)
     assert sinks.read_latest(spark, str(tmp_path / "t")).count() == 5
     gaps = spark.createDataFrame([("AI", "no source", "rule_a")], "pillar STRING, gap STRING, raised_by STRING")
-    for _ in range(2):
-        sinks.append_gaps(gaps, str(tmp_path / "gaps"))
+    for batch in (1, 2, 2):                                                   # the second batch is retried
+        sinks.append_gaps(gaps, str(tmp_path / "gaps"), batch)
     assert spark.read.parquet(str(tmp_path / "gaps")).where("raised_by = 'rule_a'").count() == 2
     frozen = spark.createDataFrame([(r, f"EV-{i}", "old") for r in range(6) for i in range(2)], "report_id LONG, cited_id STRING, text STRING")
     path = str(tmp_path / "cites")
@@ -76,6 +76,12 @@ def test_snapshots_ledgers_and_citations(spark, tmp_path):
     fresh = spark.createDataFrame([(3, "EV-7", "new")], "report_id LONG, cited_id STRING, text STRING")
     merged = sinks.bucketed_merge(spark.read.parquet(path), fresh)
     assert merged.count() == 11 and [r.cited_id for r in merged.where("report_id = 3").collect()] == ["EV-7"]
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    sinks.write_citations(fresh, path, buckets=4)                              # keeps the reports it does not hold
+    again = spark.read.parquet(path)
+    assert again.count() == 11 and {r.report_id for r in again.collect()} == set(range(6))
+    assert [r.text for r in again.where("report_id = 3").collect()] == ["new"]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
 
 
 def test_feed_reader_takes_rss_and_atom(spark, tmp_path):

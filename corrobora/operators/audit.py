@@ -319,35 +319,45 @@ def prune(reports: DataFrame, templates: DataFrame, graph: DataFrame, gates: Dat
           rounds: int = 2) -> DataFrame:
     """Cut the sentences that block a report, drop orphaned references, audit again.
 
-    A report keeps its pruned body only if at least max(3, 60 %) of its sentences
-    remain; ``removed`` counts the sentences cut.  The sentences gathered per
+    A report keeps its pruned body only if no sentence blocks it any more and at
+    least max(3, 60 %) of its sentences remain; else the original comes back with
+    the ``reason``: 'not verbatim' (a blocking sentence is not in the body as it
+    stands), 'failures left' (the audit after the last round) or 'too little
+    left'.  ``removed`` counts the sentences cut.  The sentences gathered per
     report are bounded by the report itself.  Bodies are checkpointed between
     rounds, so a later round never repeats the audit of an earlier one.
     """
     ensure_checkpoint_dir(reports.sparkSession)
-    body = reports.select("report_id", "pillar", "body_md", F.col("body_md").alias("original"), F.lit(0).alias("removed"))
-    for turn in range(rounds):
+    body = reports.select("report_id", "pillar", "body_md", F.col("body_md").alias("original"), F.lit(0).alias("removed"), F.lit(0).alias("missed"))
+
+    def blocking(body: DataFrame) -> DataFrame:
         flags = flagged(sentences(sections(body.select("report_id", "pillar", "body_md"), templates)))
         hard = F.exists("found", lambda f: f["severity"] == "BLOCKER")
-        bad = (sentence_findings(flags, graph, gates, keep=("sentence",)).where(hard)
-               .groupBy("report_id").agg(F.collect_set("sentence").alias("bad")))
+        return (sentence_findings(flags, graph, gates, keep=("sentence",)).where(hard)
+                .groupBy("report_id").agg(F.collect_set("sentence").alias("bad")))
+
+    for _ in range(rounds):
+        bad = blocking(body)
         # Staged columns: each is computed once, however often the next one uses it.
         body = (body.join(bad, "report_id", "left")
                 .withColumn("here", F.filter("bad", lambda s: F.contains(F.col("body_md"), s)))
-                .withColumn("n", F.coalesce(F.size("here"), F.lit(0))).withColumn("n", F.greatest("n", F.lit(0))))
+                .withColumn("n", F.coalesce(F.size("here"), F.lit(0))).withColumn("n", F.greatest("n", F.lit(0)))
+                .withColumn("lost", F.greatest(F.coalesce(F.size("bad"), F.lit(0)), F.lit(0)) - F.col("n")))
         # Longer sentences first, so none is cut inside another.
         ranked = F.array_sort(F.transform("here", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
         body = body.withColumn("cut", F.when(F.col("n") > 0, remove_sentences(
             F.col("body_md"), F.transform(ranked, lambda p: p["s"]))))
         body = body.select("report_id", "pillar", "original", (F.col("removed") + F.col("n")).alias("removed"),
+                           (F.col("missed") + F.col("lost")).alias("missed"),
                            F.when(F.col("n") > 0, drop_orphan_references(F.col("cut"))).otherwise(F.col("body_md")).alias("body_md"))
-        if turn + 1 < rounds:
-            body = body.checkpoint()
-    out = (body.withColumn("n_before", sentence_count(F.col("original")))
+        body = body.checkpoint()
+    left = blocking(body).select("report_id", F.lit(True).alias("blocked"))
+    out = (body.join(left, "report_id", "left").withColumn("n_before", sentence_count(F.col("original")))
            .withColumn("n_after", sentence_count(F.col("body_md"))))
-    kept = F.col("n_after") >= F.greatest(F.lit(3), F.bround(F.col("n_before") * 0.6).cast("int"))
-    return (out.withColumn("kept", kept)
-            .withColumn("body_md", F.when(kept, F.col("body_md")).otherwise(F.col("original"))).drop("original"))
+    enough = F.col("n_after") >= F.greatest(F.lit(3), F.bround(F.col("n_before") * 0.6).cast("int"))
+    reason = (F.when(F.col("missed") > 0, "not verbatim").when(F.col("blocked"), "failures left").when(~enough, "too little left"))
+    return (out.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
+            .withColumn("body_md", F.when(F.col("kept"), F.col("body_md")).otherwise(F.col("original"))).drop("original", "missed", "blocked"))
 
 
 def check_edits(edits: DataFrame, reports: DataFrame, graph: DataFrame, gates: DataFrame) -> DataFrame:

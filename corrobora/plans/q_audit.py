@@ -256,7 +256,7 @@ def _(t):
 @query("h11_prune")
 def _(t):
     return U.prune(t.reports.select("report_id", "pillar", "body_md"), t.template_sections, graph(t), t.gates) \
-        .select("report_id", "removed", "n_before", "n_after", "kept", "body_md")
+        .select("report_id", "removed", "n_before", "n_after", "kept", "reason", "body_md")
 
 
 view("edits", """

@@ -104,7 +104,10 @@ def test_prune_leaves_clean_markdown(spark):
     assert "[EV-2; EV-7] Two" in body
     # Too little would remain of the shorter body, so it stays as it was.
     kept = U.prune(reports.withColumn("body_md", F.lit("## Findings\nHostile crews were seen at every mast last year.")), templates, graph, gates).first()
-    assert not kept.kept and "Hostile crews" in kept.body_md
+    assert not kept.kept and kept.reason == "too little left" and "Hostile crews" in kept.body_md
+    # One round leaves what the cut brings to light; then nothing is issued half mended.
+    once = {r.reason for r in U.prune(more, templates, graph, gates, rounds=0).collect()}
+    assert once == {"failures left"}
 
 
 def test_env_layers(spark):

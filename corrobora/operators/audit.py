@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora import vocab
 from corrobora.functions import audit as A, text
-from corrobora.session import ensure_checkpoint_dir, small
+from corrobora.session import ensure_checkpoint_dir
 
 
 # --- splitting ---------------------------------------------------------------------
@@ -25,7 +25,7 @@ def sections(reports: DataFrame, templates: DataFrame) -> DataFrame:
     out = reports.select(*[c for c in reports.columns if c in ("report_id", "pillar")],
                          F.posexplode(raw).alias("section_no", "s"))
     out = out.select("*", F.col("s.title").alias("title"), F.col("s.text").alias("text")).drop("s")
-    return out.withColumn("low", F.lower("title")).join(small(keys), "low", "left").drop("low")
+    return out.withColumn("low", F.lower("title")).join(keys, "low", "left").drop("low")
 
 
 def sentences(sections_df: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ def with_first_gate(claims: DataFrame, gates: DataFrame) -> DataFrame:
                .agg(F.min("gate_id").alias("g1")))
     by_word = (live.select("gate_id", F.explode(F.split("blocks", r"[^A-Za-z0-9_]+")).alias("pillar"))
                .groupBy("pillar").agg(F.min("gate_id").alias("g2")))
-    out = (claims.withColumn("code", F.left("pillar", F.lit(2))).join(small(by_code), "code", "left")
-           .join(small(by_word), "pillar", "left"))
+    out = (claims.withColumn("code", F.left("pillar", F.lit(2))).join(by_code, "code", "left")
+           .join(by_word, "pillar", "left"))
     return out.withColumn("gate_id", F.least("g1", "g2")).where("gate_id IS NOT NULL").drop("code", "g1", "g2")
 
 
@@ -185,7 +185,7 @@ def sentence_findings(flags: DataFrame, graph: DataFrame, gates: DataFrame, keep
     by_code = live.select(F.regexp_extract("gate_id", "^VG-(..)-", 1).alias("code")).distinct() \
         .withColumn("coded", F.lit(True))
     per = (per.withColumn("code", F.left("pillar", F.lit(2)))
-           .join(small(listed), "pillar", "left").join(small(by_code), "code", "left"))
+           .join(listed, "pillar", "left").join(by_code, "code", "left"))
     gated = F.col("gap") & (F.col("gated").isNotNull() | F.col("coded").isNotNull())
 
     def finding(test: Column, check: str, severity: str = "BLOCKER") -> Column:
@@ -389,7 +389,9 @@ def check_edits(edits: DataFrame, reports: DataFrame, graph: DataFrame, gates: D
             .unionByName(raised.where("why = 'gate'").join(bound.select("edit_id"), "edit_id", "left_semi")))
     bad = (unresolved.unionByName(bare)
            .groupBy("edit_id").agg(F.array_sort(F.collect_set("why")).alias("problems")))
-    out = edits.join(reports.select("report_id", "body_md"), "report_id", "left").join(bad, "edit_id", "left")
+    # Bodies go to the edits that are left, keyed by report; a rejected edit asks for none.
+    judged = edits.join(bad, "edit_id", "left").withColumn("wants", F.when(F.col("problems").isNull(), F.col("report_id")))
+    out = judged.join(reports.select(F.col("report_id").alias("wants"), "body_md"), "wants", "left").drop("wants")
     at = F.instr("body_md", F.col("original_text"))
     present = (F.coalesce("original_text", F.lit("")) != "") & (F.coalesce(at, F.lit(0)) > 0)
     status = (F.when(F.col("problems").isNotNull(), "REJECTED").when(~present, "SUPERSEDED").otherwise("APPLIED"))

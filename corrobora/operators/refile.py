@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.functions import text
-from corrobora.session import small
 
 
 def refile_plan(evidence: DataFrame, placements: DataFrame, topics: DataFrame) -> DataFrame:
@@ -19,7 +18,7 @@ def refile_plan(evidence: DataFrame, placements: DataFrame, topics: DataFrame) -
     """
     live = topics.select(F.col("topic_id").alias("proposed"), F.col("pillar").alias("new_pillar"))
     p = placements.withColumn("proposed", text.strip(F.col("proposed")))
-    out = evidence.join(p, "evidence_id", "left").join(small(live), "proposed", "left")
+    out = evidence.join(p, "evidence_id", "left").join(live, "proposed", "left")
     valid = (F.col("proposed") == "NONE") | F.col("new_pillar").isNotNull()
     none = F.col("proposed") == "NONE"
     hooked = text.hook_in_claim(F.col("hook"), F.col("claim"))
@@ -38,7 +37,7 @@ def apply_plan(evidence: DataFrame, plan: DataFrame, topics: DataFrame, now) ->
     """Evidence after a reviewed plan, with ``applied``: what was done to each row."""
     live = topics.select(F.col("topic_id").alias("new_topic"), F.col("pillar").alias("live_pillar"))
     rows = (plan.select("evidence_id", text.strip(F.col("action")).alias("action"),
-                        text.strip(F.col("new_topic")).alias("new_topic"), "reason").join(small(live), "new_topic", "left"))
+                        text.strip(F.col("new_topic")).alias("new_topic"), "reason").join(live, "new_topic", "left"))
     out = evidence.join(rows, "evidence_id", "left")
     move = (F.col("action") == "refile") & F.col("live_pillar").isNotNull()
     retire = F.col("action") == "archive"

@@ -11,8 +11,8 @@ have nodes of their own, at most ``nodes`` over all depths whatever the corpus;
 others of a parent share one node.  A context never counts more than the shorter
 one it ends in, so the nodes form trees.  The trees of one last byte are built in
 one task, and the frozen mixture becomes a table of code lengths per (node, byte)
-and of the node that follows: at most ``nodes + 1`` rows of 2 KB, which is what is
-broadcast.
+and of the node that follows: at most ``nodes + 1`` rows of 1.5 KB, which is what
+is broadcast.
 
 The unigram base counts every word of the training part.  The words of the
 highest counts, at most ``frequent``, are broadcast; all others are joined.
@@ -37,13 +37,14 @@ from corrobora.llm.storage import stored
 END = 0x0A
 _LINE = np.where(SPACE, 0x20, LOWER).astype(np.uint8)
 _STRETCH = 2_048
+_SLICE = 1 << 20        # bytes of text handled at once
 _HALF = np.log(0.5)
 
 
 @dataclass(frozen=True)
 class TreeSpec:
     depth: int = 5
-    nodes: int = 32_768
+    nodes: int = 24_576
     frequent: int = 1 << 19
     held_out_of: int = 5
     held_out: int = 1
@@ -97,14 +98,14 @@ def _counted(depth: int):
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             n_rows += batch.num_rows
-            for low, high in runs(offsets):
+            for low, high in runs(offsets, _SLICE):
                 part = data[offsets[low]:offsets[high]]
                 text, row_ends, (starts, ends, _) = stream(part, offsets[low:high + 1] - offsets[low])
                 for kind, keys in ((0, grams(text, row_ends, depth)), (1, word_hashes(part, starts, ends))):
                     parts[kind].append(np.unique(keys, return_counts=True))
-                    if sum(len(k) for k, _ in parts[kind]) > 3_000_000:
+                    if sum(len(k) for k, _ in parts[kind]) > 1_500_000:
                         parts[kind] = [_merged(parts[kind])]
-                        if len(parts[kind][0][0]) > 1_500_000:
+                        if len(parts[kind][0][0]) > 750_000:
                             yield from rows(kind, *parts[kind].pop())
         for kind in (0, 1):
             if parts[kind]:
@@ -209,6 +210,8 @@ class Model:
         history = sum(END << 8 * j for j in range(depth))
         self.start = int(self._deepest(np.array([history]), np.array([depth]))[0])
         self.follow[:, END] = self.start
+        if len(self.follow) <= 1 << 16:
+            self.follow = self.follow.astype(np.uint16)
         self.cost, self.follow = self.cost.ravel(), self.follow.ravel()
 
     @staticmethod
@@ -260,7 +263,7 @@ class Model:
             at = (node << 8) + steps[t]
             if t >= lead:
                 np.take(self.cost, at, out=gained[t - lead])
-            node = self.follow[at]
+            node = self.follow[at].astype(np.int32)
         total = np.concatenate([[0.0], np.cumsum(gained.T.ravel()[:n], dtype=np.float64)])
         return total[row_ends] - total[np.concatenate([[0], row_ends[:-1]])]
 
@@ -329,7 +332,7 @@ def _scored(tables):
             n = batch.num_rows
             score, base, known, tokens = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             print_a, rare = np.zeros(n, np.uint64), []
-            for low, high in runs(offsets):
+            for low, high in runs(offsets, _SLICE):
                 part = data[offsets[low]:offsets[high]]
                 text, row_ends, (starts, ends, first) = stream(part, offsets[low:high + 1] - offsets[low])
                 score[low:high] = model.log10(text, row_ends)

@@ -64,7 +64,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE)
 def _powers(kind: str, n: int) -> np.ndarray:
     have = _POWERS.get(kind)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 21), _BASE if kind == "up" else _UNBASE, np.uint64)
+        steps = np.full(max(n, 1 << 20), _BASE if kind == "up" else _UNBASE, np.uint64)
         steps[0] = 1
         _POWERS[kind] = have = np.multiply.accumulate(steps)
     return have[:n]

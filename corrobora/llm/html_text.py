@@ -42,10 +42,12 @@ newsletter notice notification pagination pager popup promo promoted promotion r
 social sponsor sponsored sponsor-box subscribe teaser toolbar topbar widget alert alertdialog complementary contentinfo dialog
 reader-comments replies reply respond outbrain taboola site-header site-footer page-header page-footer""".split())
 
+OWN = frozenset({"header"})
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = re.compile(r"(?i)</(script|style|textarea|title|noscript|iframe|template)\s*>")
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_GAP = re.compile(r"[\s ​]+")
+_GAP = re.compile(r"\s+")
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,9 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key in ("class", "id", "role"):
             for word in value.split():
-                if word in FURNITURE_WORDS or not FURNITURE_WORDS.isdisjoint(re.split(r"[-_:]+", word)):
+                parts = {word, *re.split(r"[-_:]+", word)}
+                # An article's own header holds its title.
+                if parts & (FURNITURE_WORDS - OWN if in_article else FURNITURE_WORDS):
                     return True
     return False
 

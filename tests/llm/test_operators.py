@@ -74,6 +74,7 @@ PAGES = {
     "<div class='cookie-notice'>We use cookies</div><div><p>First paragraph of a long enough text here.</p><p>Second one.</p></div>":
         "First paragraph of a long enough text here.\nSecond one.",
     "<article><p>never closed": "never closed",
+    "<div class='site-header'>S</div><article><div class='entry-header'><h1>H</h1></div><p>a&nbsp;b</p><ul class='share-links'><li>x</li></ul></article>": "H\na b",
     "<script>never closed": "",
 }
 

@@ -142,3 +142,14 @@ def document_reference(documents: DataFrame, registry: DataFrame) -> DataFrame:
     """Document reference view: documents with publisher and tier, no body."""
     ref = registry.select("registry_id", "publisher", "tier")
     return _with_publisher(documents.drop("raw_text", "text"), ref)
+
+
+def publisher_lists(rows: DataFrame, registry: DataFrame, key: str = "evidence_id") -> DataFrame:
+    """(key, publishers): the distinct publisher names behind each row, sorted, comma-joined.
+
+    Names are made distinct before they are gathered, so a list is as long as its
+    row has publishers.
+    """
+    named = rows.where("registry_id IS NOT NULL").join(registry.select("registry_id", "publisher"), "registry_id")
+    return (named.select(key, "publisher").distinct().groupBy(key)
+            .agg(F.array_join(F.array_sort(F.collect_list("publisher")), ", ").alias("publishers")))

@@ -99,13 +99,17 @@ def source_coverage(registry: DataFrame, documents: DataFrame, topic_sources: Da
             .withColumn("silent", F.col("documents") == 0))
 
 
-def refusals_by_rule(gaps: DataFrame) -> DataFrame:
-    """Count, stage and one sample per refusing rule; an unknown rule is synthesize's."""
-    pairs = [F.lit(x) for kv in vocab.REFUSAL_STAGE.items() for x in kv]
+def refusals_by_rule(gaps: DataFrame, stages: DataFrame | None = None) -> DataFrame:
+    """Count, stage and one sample per refusing rule; an unknown rule is synthesize's.
+
+    ``stages(raised_by, stage)`` replaces the fixed map of rules to stages.
+    """
     rule = F.coalesce("raised_by", F.lit("unattributed"))
-    return (gaps.groupBy(rule.alias("raised_by")).agg(F.count("*").alias("n"), F.min("gap").alias("sample"))
-            .withColumn("stage", F.coalesce(F.element_at(F.create_map(*pairs), F.col("raised_by")),
-                                            F.lit("synthesize"))))
+    out = gaps.groupBy(rule.alias("raised_by")).agg(F.count("*").alias("n"), F.min("gap").alias("sample"))
+    if stages is None:
+        pairs = [F.lit(x) for kv in vocab.REFUSAL_STAGE.items() for x in kv]
+        return out.withColumn("stage", F.coalesce(F.element_at(F.create_map(*pairs), F.col("raised_by")), F.lit("synthesize")))
+    return out.join(stages.select("raised_by", "stage"), "raised_by", "left").withColumn("stage", F.coalesce("stage", F.lit("synthesize")))
 
 
 def stage_funnel(counts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corrobora import vocab
 from corrobora.operators import admission as A, forecast as FC, ids, strategy as S
 from corrobora.operators.provenance import publishers_of
 from corrobora.plans.q_provenance import CLASSES, classes, rows
@@ -454,3 +455,24 @@ d AS (SELECT pos, n.prefix, CAST(coalesce(top, 0) + k AS VARCHAR) AS digits FROM
 SELECT pos, concat(prefix, CASE WHEN length(digits) >= 2 THEN digits ELSE lpad(digits, 2, '0') END) AS id FROM d""")
 def _(t):
     return ids.mint(t.sql(NEW_OBJECTS), "pos", ids.high_water(t.sql(SEEN), "seen")).select("pos", "id")
+
+
+# --- refusals of all stages ------------------------------------------------------------------
+STAGES = ", ".join(f"('{rule}', '{stage}')" for rule, stage in vocab.REFUSAL_STAGE.items())
+
+
+@query("e30_stage_map", f"""
+WITH im AS (SELECT CASE WHEN upper(trim(coalesce(actor, ''))) NOT IN ('MOD', 'TAWAZUN') THEN 'implication_actor'
+       WHEN finding_id NOT IN (SELECT finding_id FROM findings) THEN 'implication_admission' END AS raised_by FROM ({IMPLICATIONS})),
+g AS (SELECT raised_by FROM (WITH {FINDINGS}, {GAPS} SELECT raised_by FROM gaps) UNION ALL SELECT raised_by FROM (WITH {SCENARIOS} SELECT raised_by FROM sc)
+  WHERE raised_by IS NOT NULL UNION ALL SELECT raised_by FROM im WHERE raised_by IS NOT NULL
+  UNION ALL SELECT concat('edit.', lower(o_orderstatus)) FROM orders)
+SELECT raised_by, coalesce(stage, 'synthesize') AS stage, count(*) AS n FROM g LEFT JOIN (VALUES {STAGES}) m(rule, stage) ON rule = raised_by GROUP BY 1, 2""")
+def _(t):
+    from corrobora.operators.readiness import refusals_by_rule
+    refused = lambda df: df.where("raised_by IS NOT NULL").select("raised_by", F.lit("").alias("gap"))
+    gaps = (gap_ledger(t).select("raised_by", "gap").unionByName(refused(scenarios(t)))
+            .unionByName(refused(S.admit_implications(t.sql(IMPLICATIONS), t.findings)))
+            .unionByName(refused(t.sql("SELECT concat('edit.', lower(o_orderstatus)) AS raised_by FROM orders"))))
+    stages = t.spark.createDataFrame(list(vocab.REFUSAL_STAGE.items()), "raised_by STRING, stage STRING")
+    return refusals_by_rule(gaps, stages).select("raised_by", "stage", "n")

@@ -143,3 +143,10 @@ FROM live_evidence e JOIN classes c USING (evidence_id)
 WHERE e.class IS DISTINCT FROM c.class OR e.confidence IS DISTINCT FROM c.confidence""")
 def _(t):
     return P.changed_rows(t.live_evidence, classes(t), "evidence_id", ["class", "confidence"])
+
+
+@query("i_publisher_list", """
+SELECT evidence_id, string_agg(DISTINCT publisher, ', ' ORDER BY publisher) AS publishers
+FROM evidence_sources JOIN graph_docs USING (document_id) JOIN registry USING (registry_id) GROUP BY 1""")
+def _(t):
+    return P.publisher_lists(rows(t).select("evidence_id", "registry_id"), t.registry)

@@ -6,13 +6,20 @@ coded as eight binary choices, and each of the 255 choices has a context tree ov
 the last ``depth`` bytes.  A node holds a Krichevsky-Trofimov estimate and is mixed
 with its children, ``P_w = P_kt / 2 + prod(P_w of children) / 2``, over all depths.
 
-All counts come from the whole training part.  The contexts of the highest counts
-have nodes of their own, at most ``nodes`` over all depths whatever the corpus; the
-others of a parent share one node.  A context never counts more than the shorter
-one it ends in, so the nodes form trees.  The trees of one last byte are built in
-one task, and the frozen mixture becomes a table of code lengths per (node, byte)
-and of the node that follows: at most ``nodes + 1`` rows of 1.5 KB, which is what
-is broadcast.
+All counts come from the whole training part, and every context has a node of its
+own.  The counts are one row per gram (context and byte); a gram that only held-out
+texts hold has a row of count 0.  Tasks get the grams sorted by their last
+``_CUT`` bytes and handle whole subtrees of these, a slice at a time.  The shorter
+contexts are mixed on the driver: at most 255 choices of 256 ** (_CUT - 1) contexts,
+whatever the corpus.  This gives the code length of each gram.  The texts lie in
+chunks of about ``_CHUNK`` bytes; a chunk's distinct grams are joined with the code
+lengths and meet its texts again, so that no table of the whole tree is held anywhere.
+
+With ``nodes`` set, only the contexts of the highest counts have nodes of their own,
+at most ``nodes`` over all depths; the others of a parent share one node.  A context
+never counts more than the shorter one it ends in, so the nodes form trees.  The
+trees of one last byte are built in one task, and the frozen mixture becomes a table
+of code lengths per (node, byte) and of the node that follows, which is broadcast.
 
 The unigram base counts every word of the training part.  The words of the
 highest counts, at most ``frequent``, are broadcast; all others are joined.
@@ -24,11 +31,12 @@ scored one by one, repeated rows too; without training texts every byte costs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora.llm.kernel import LOWER, SPACE, flat, mixed, runs, word_bounds, word_hashes
@@ -39,12 +47,15 @@ _LINE = np.where(SPACE, 0x20, LOWER).astype(np.uint8)
 _STRETCH = 2_048
 _SLICE = 1 << 20        # bytes of text handled at once
 _HALF = np.log(0.5)
+_CUT = 3                # contexts of this many bytes are never split over tasks
+_CHUNK = 1 << 23        # bytes of text whose grams are looked up together
+_GRAMS = 1 << 16        # grams whose subtrees are handled at once
 
 
 @dataclass(frozen=True)
 class TreeSpec:
     depth: int = 5
-    nodes: int = 24_576
+    nodes: int | None = None
     frequent: int = 1 << 19
     held_out_of: int = 5
     held_out: int = 1
@@ -114,6 +125,68 @@ def _counted(depth: int):
     return task
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: number the chunks of the texts."""
+    first, done = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        _, offsets = flat(batch.column("text"))
+        chunk = first + (done + offsets[:-1]) // _CHUNK
+        done += int(offsets[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], names=["chunk", *batch.schema.names])
+
+
+def _counted_chunks(depth: int):
+    """Task function: (kind, chunk, key, n) of all grams by chunk (0), and of words (1) and rows (2) of training texts.
+
+    ``n`` counts training texts only, a gram of held-out texts alone has 0.
+    """
+
+    def rows(kind: int, chunk: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 100_000):
+            k = keys[i:i + 100_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), chunk, np.int64)), pa.array(k),
+                                              pa.array(n[i:i + 100_000])], names=["kind", "chunk", "key", "n"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram_parts, word_parts, current, n_rows = [], [], None, 0
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            chunks = batch.column("chunk").to_numpy()
+            learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            n_rows += int(learn.sum())
+            edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if gram_parts and chunks[a] != current:
+                    yield from rows(0, current, *_merged(gram_parts))
+                    gram_parts = []
+                current = int(chunks[a])
+                for low, high in runs(offsets[a:b + 1] - offsets[a], _SLICE):
+                    low, high = low + a, high + a
+                    part = data[offsets[low]:offsets[high]]
+                    text, row_ends, (starts, ends, first) = stream(part, offsets[low:high + 1] - offsets[low])
+                    keys = grams(text, row_ends, depth)
+                    of_byte = np.repeat(learn[low:high], np.diff(row_ends, prepend=0))
+                    gram_parts.append(np.unique(keys[of_byte], return_counts=True))
+                    rest = np.unique(keys[~of_byte])
+                    gram_parts.append((rest, np.zeros(len(rest), np.int64)))
+                    words = word_hashes(part, starts, ends)[np.repeat(learn[low:high], np.diff(first))]
+                    word_parts.append(np.unique(words, return_counts=True))
+                    if sum(len(k) for k, _ in gram_parts) > 1_500_000:
+                        gram_parts = [_merged(gram_parts)]
+                    if sum(len(k) for k, _ in word_parts) > 1_500_000:
+                        word_parts = [_merged(word_parts)]
+                        if len(word_parts[0][0]) > 750_000:
+                            yield from rows(1, 0, *word_parts.pop())
+        if gram_parts:
+            yield from rows(0, current, *_merged(gram_parts))
+        if word_parts:
+            yield from rows(1, 0, *_merged(word_parts))
+        yield from rows(2, 0, np.zeros(1, np.uint64), np.array([n_rows], np.int64))
+    return task
+
+
 # --- trees ----------------------------------------------------------------------------
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -268,6 +341,110 @@ class Model:
         return total[row_ends] - total[np.concatenate([[0], row_ends[:-1]])]
 
 
+# --- the whole tree, gram by gram -----------------------------------------------------
+
+class _Mixture:
+    """The choices that some grams meet in their contexts of ``low`` to ``high`` bytes.
+
+    A choice is the number ``context << 8 | place``, its place in the tree of the 255
+    choices counted from 1.  Choices without a gram have no counts and need no row.
+    """
+
+    def __init__(self, choice: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, low: int, high: int):
+        """``below`` is the log P_w product of the children of the choices of ``high`` bytes, None if they have none."""
+        self.low, self.high = low, high
+        self.ids, self.inverse, self.own, self.share, self.log = {}, {}, {}, {}, {}
+        place, context = choice & 255, choice >> 8
+        above = None
+        for d in range(high, low - 1, -1):
+            ids, first, inverse = np.unique((context & (1 << 8 * d) - 1) << 8 | place, return_index=True, return_inverse=True)
+            n0, n1 = np.bincount(inverse, zeros, len(ids)), np.bincount(inverse, ones, len(ids))
+            own = log_kt(n0, n1)
+            child = np.bincount(inverse[above], self.log[d + 1], len(ids)) if d < high else None if below is None else np.bincount(inverse, below, len(ids))
+            total = own if child is None else np.logaddexp(own, child) + _HALF
+            self.share[d] = np.ones(len(ids)) if child is None else np.exp(np.minimum(0, _HALF + own - total))
+            self.ids[d], self.inverse[d], self.own[d], self.log[d] = ids, inverse, _kt(n0, n1), total
+            self.zeros, self.ones, above = n0, n1, first
+
+    def down(self, up: np.ndarray, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimate so far, share left to the children) of each given choice in its context of ``high`` bytes.
+
+        ``up`` and ``into`` are the same of each given choice in its context of ``low - 1`` bytes.
+        """
+        for d in range(self.low, self.high + 1):
+            at, share = self.inverse[d], self.share[d][self.inverse[d]]
+            up, into = up + into * share * self.own[d][at], into * (1 - share)
+        return up, into
+
+
+def _choices_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(choice, bit) of the eight choices of each gram, (n, 8)."""
+    level = np.arange(8)
+    byte, context = keys[:, None] & 255, keys[:, None] >> 8
+    return context << 8 | 1 << level | byte >> 8 - level, byte >> 7 - level & 1
+
+
+def _whole_subtrees(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, n) of rows sorted by the last ``cut`` bytes, in slices that split no such context."""
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        keys, n = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([n, batch.column("n").to_numpy()])
+        if len(keys) >= _GRAMS:
+            context = keys >> 8 & (1 << 8 * cut) - 1
+            at = int(np.argmax(context == context[-1]))
+            if at:
+                yield keys[:at], n[:at]
+                keys, n = keys[at:], n[at:]
+    if len(keys):
+        yield keys, n
+
+
+def _grown(keys: np.ndarray, n: np.ndarray, cut: int, depth: int) -> tuple[_Mixture, np.ndarray, np.ndarray]:
+    choice, bit = _choices_of(keys)
+    times = np.repeat(n, 8).astype(np.float64)
+    return _Mixture(choice.ravel(), np.where(bit.ravel(), 0, times), np.where(bit.ravel(), times, 0), None, cut, depth), choice, bit
+
+
+def _stumps(cut: int, depth: int):
+    """Task function: sums over the choices of ``cut`` bytes by their choice of ``cut - 1`` bytes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _whole_subtrees(batches, cut):
+            tree, _, _ = _grown(keys, n, cut, depth)
+            ids = tree.ids[cut]
+            shorter, inverse = np.unique((ids >> 8 & (1 << 8 * (cut - 1)) - 1) << 8 | ids & 255, return_inverse=True)
+            sums = [pa.array(np.bincount(inverse, v, len(shorter))) for v in (tree.log[cut], tree.zeros, tree.ones)]
+            yield pa.RecordBatch.from_arrays([pa.array(shorter), *sums], names=["choice", "log", "zeros", "ones"])
+    return task
+
+
+def _costs(cut: int, depth: int, shorter):
+    """Task function: log10 probability of each gram."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, up, into = shorter.value
+        for keys, n in _whole_subtrees(batches, cut):
+            tree, choice, bit = _grown(keys, n, cut, depth)
+            at = np.searchsorted(ids, ((choice >> 8 & (1 << 8 * (cut - 1)) - 1) << 8 | choice & 255).ravel())
+            one = np.clip(tree.down(up[at], into[at])[0].reshape(-1, 8), 1e-12, 1 - 1e-12)
+            cost = np.log10(np.where(bit, one, 1 - one)).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cost)], names=["key", "cost"])
+    return task
+
+
+def gram_costs(counts: DataFrame, depth: int) -> DataFrame:
+    """(key, cost): log10 probability of every gram of ``counts(key, n)`` under the frozen mixture of the whole tree."""
+    cut = min(_CUT, depth)
+    last = F.shiftright("key", 8).bitwiseAND((1 << 8 * cut) - 1)
+    sorted_ = stored(counts).repartition(last).sortWithinPartitions(last)
+    table = (sorted_.mapInArrow(_stumps(cut, depth), "choice long, log double, zeros double, ones double")
+             .groupBy("choice").agg(*[F.sum(c).alias(c) for c in ("log", "zeros", "ones")]).orderBy("choice").toArrow())
+    choice, log, zeros, ones = (table.column(c).to_numpy() for c in ("choice", "log", "zeros", "ones"))
+    top = _Mixture(choice, zeros, ones, log, 0, cut - 1)
+    shorter = counts.sparkSession.sparkContext.broadcast((choice, *top.down(np.zeros(len(choice)), np.ones(len(choice)))))
+    return stored(sorted_.mapInArrow(_costs(cut, depth, shorter), "key long, cost double"))
+
+
 def _level(count: Column) -> Column:
     """Quarter octave of a count."""
     return F.floor(F.log2(count) * 4).cast("int")
@@ -322,41 +499,64 @@ def train(counts: DataFrame, spec: TreeSpec) -> Model:
 
 # --- scores ---------------------------------------------------------------------------
 
+def _rows_scored(batch: pa.RecordBatch | pa.Table, log10: Callable[[np.ndarray, np.ndarray], np.ndarray], words: np.ndarray, logs: np.ndarray) -> list[pa.Array]:
+    """Columns of ``_SCORED``: code length, sums over frequent words, and the other words of each row."""
+    data, offsets = flat(batch.column("text"))
+    n = batch.num_rows
+    score, base, known, tokens = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    print_a, rare = np.zeros(n, np.uint64), []
+    for low, high in runs(offsets, _SLICE):
+        part = data[offsets[low]:offsets[high]]
+        text, row_ends, (starts, ends, first) = stream(part, offsets[low:high + 1] - offsets[low])
+        score[low:high] = log10(text, row_ends)
+        h = word_hashes(part, starts, ends)
+        unique, place = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(words, unique), max(len(words) - 1, 0))
+        found = words[at] == unique if len(words) else np.zeros(len(unique), bool)
+        gain = np.where(found, logs[at], 0.0) if len(words) else np.zeros(len(unique))
+        hit = found[place]
+        sums = np.concatenate([[0.0], np.cumsum(gain[place])])
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        base[low:high], known[low:high] = sums[first[1:]] - sums[first[:-1]], hits[first[1:]] - hits[first[:-1]]
+        tokens[low:high] = np.diff(first) + 1
+        order = np.arange(len(h), dtype=np.uint64)
+        spread = mixed(h + mixed(order - first[np.searchsorted(first, np.arange(len(h)), "right") - 1].astype(np.uint64))) if len(h) else h
+        marks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
+        print_a[low:high] = marks[first[1:]] - marks[first[:-1]]
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            rare.append(h[a:b][~hit[a:b]].view(np.int64))
+    return [batch.column("doc_id"), pa.array(print_a.view(np.int64)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)),
+                                     pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))]
+
+
+_SCORED = ["doc_id", "words_print", "n_tokens", "frequent_known", "frequent_log", "score", "others"]
+
+
 def _scored(tables):
-    """Task function: code length, sums over frequent words, and the other words of each row."""
+    """Task function on texts, with the table of a bounded model."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words, logs = tables.value
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            n = batch.num_rows
-            score, base, known, tokens = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            print_a, rare = np.zeros(n, np.uint64), []
-            for low, high in runs(offsets, _SLICE):
-                part = data[offsets[low]:offsets[high]]
-                text, row_ends, (starts, ends, first) = stream(part, offsets[low:high + 1] - offsets[low])
-                score[low:high] = model.log10(text, row_ends)
-                h = word_hashes(part, starts, ends)
-                unique, place = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(words, unique), max(len(words) - 1, 0))
-                found = words[at] == unique if len(words) else np.zeros(len(unique), bool)
-                gain = np.where(found, logs[at], 0.0) if len(words) else np.zeros(len(unique))
-                hit = found[place]
-                sums = np.concatenate([[0.0], np.cumsum(gain[place])])
-                hits = np.concatenate([[0], np.cumsum(hit)])
-                base[low:high], known[low:high] = sums[first[1:]] - sums[first[:-1]], hits[first[1:]] - hits[first[:-1]]
-                tokens[low:high] = np.diff(first) + 1
-                order = np.arange(len(h), dtype=np.uint64)
-                spread = mixed(h + mixed(order - first[np.searchsorted(first, np.arange(len(h)), "right") - 1].astype(np.uint64))) if len(h) else h
-                marks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
-                print_a[low:high] = marks[first[1:]] - marks[first[:-1]]
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    rare.append(h[a:b][~hit[a:b]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(print_a.view(np.int64)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)),
-                                          pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))],
-                names=["doc_id", "words_print", "n_tokens", "frequent_known", "frequent_log", "score", "others"])
+            yield pa.RecordBatch.from_arrays(_rows_scored(batch, model.log10, words, logs), names=_SCORED)
+    return task
+
+
+def _chunk_scored(tables, depth: int):
+    """Task function on a chunk's texts and the code lengths of its grams."""
+
+    def task(texts: pa.Table, costs: pa.Table) -> pa.Table:
+        words, logs = tables.value
+        keys, cost = costs.column("key").to_numpy(), costs.column("cost").to_numpy()
+        order = np.argsort(keys)
+        keys, cost = keys[order].view(np.uint64), cost[order]
+
+        def log10(text: np.ndarray, row_ends: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0.0], np.cumsum(cost[np.searchsorted(keys, grams(text, row_ends, depth))])])
+            return total[row_ends] - total[np.concatenate([[0], row_ends[:-1]])]
+
+        return pa.table(_rows_scored(texts, log10, words, logs), names=_SCORED)
     return task
 
 
@@ -365,9 +565,16 @@ def score_documents(docs: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % spec.held_out_of == spec.held_out, F.lit(False))
-    counts = stored(docs.where(~held_out).select("text").mapInArrow(_counted(spec.depth), "kind int, key long, n long")
-                    .groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    model = train(counts, spec)
+    if spec.nodes is None:
+        texts = stored(docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(
+            _chunked, f"chunk long, doc_id {kind}, text string, held_out boolean"))
+        in_chunks = stored(texts.select("chunk", "text", "held_out").mapInArrow(_counted_chunks(spec.depth), "kind int, chunk long, key long, n long"))
+        costs = gram_costs(in_chunks.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), spec.depth)
+        counts = stored(in_chunks.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    else:
+        counts = stored(docs.where(~held_out).select("text").mapInArrow(_counted(spec.depth), "kind int, key long, n long")
+                        .groupBy("kind", "key").agg(F.sum("n").alias("n")))
+        model = train(counts, spec)
 
     words = counts.where("kind = 1")
     n_rows = int(counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
@@ -380,9 +587,14 @@ def score_documents(docs: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     keys = table["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     logs = np.log10(table["n"].to_numpy(np.float64)[order] + 0.5)
-    tables = spark.sparkContext.broadcast((model, keys[order], logs))
-    rows = stored(docs.select("doc_id", "text").mapInArrow(
-        _scored(tables), f"doc_id {kind}, words_print long, n_tokens long, frequent_known long, frequent_log double, score double, others array<long>"))
+    columns = f"doc_id {kind}, words_print long, n_tokens long, frequent_known long, frequent_log double, score double, others array<long>"
+    if spec.nodes is None:
+        tables = spark.sparkContext.broadcast((keys[order], logs))
+        found = in_chunks.where("kind = 0").select("chunk", "key").join(costs, "key").groupBy("chunk")
+        rows = stored(texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(found).applyInArrow(_chunk_scored(tables, spec.depth), columns))
+    else:
+        tables = spark.sparkContext.broadcast((model, keys[order], logs))
+        rows = stored(docs.select("doc_id", "text").mapInArrow(_scored(tables), columns))
 
     # Texts with equal words look their rarer words up once.
     others = (rows.where("size(others) > 0").groupBy("words_print", "n_tokens").agg(F.min("others").alias("others"))

@@ -181,6 +181,23 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose((10.0 ** model.cost.reshape(-1, 256)).sum(1), 1, atol=1e-3)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_default_tree_is_whole(spark, monkeypatch, depth):
+    """Without a bound every text scores as with room for all contexts, which are more than 24,576."""
+    monkeypatch.setattr(ctw, "_CHUNK", 1 << 16)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(None, None), (7, ""), (7, "unseen \u4e00\u4e8c bytes")], docs.schema))
+    if depth == 5:
+        texts = [" ".join(brute.SPACE_WORD.findall(brute.low(r.text))).encode() for r in docs.collect()]
+        assert len({t[i - d:i] for t in texts for d in range(1, 6) for i in range(d, len(t))}) > 24_576
+    else:
+        docs = docs.limit(40)
+    got = by_id(ctw.score_documents(docs, ctw.TreeSpec(depth=depth)), "doc_id", "n_known", "n_tokens", "base_score", "score")
+    want = by_id(ctw.score_documents(docs, ctw.TreeSpec(depth=depth, nodes=1 << 20)), "doc_id", "n_known", "n_tokens", "base_score", "score")
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3:] for g in got], [w[3:] for w in want], rtol=2e-4)
+
+
 def test_scores_empty(none):
     assert ctw.score_documents(none).count() == 0
 

@@ -1,14 +1,17 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element.  A line's length is its
-number of code points, 0 where it lies in a menu, header, footer, sidebar, notice,
-advert, form, comment section or other furniture, or where most of it is link
-text; on a page that marks its article, lines outside count 0 as well.  Lengths
-are summed over a window of ``window`` lines that slides down the page.  Text
-surges at the first line whose window holds more than ``surge`` code points and
-dives where a window falls to 0; the lines with text between a surge and its dive
-are kept.  Without markers, stretches below ``least_share`` of the longest one
-are left out: these are the captions and notes scattered over the page.
+number of code points without those of its links, 0 where it lies in a menu, header,
+footer, sidebar, notice, advert, form, comment section or other furniture, or where
+most of it is link text; on a page that marks its article, lines outside count 0 as
+well.  Lengths are summed over a window of ``window`` lines that slides down the page.
+Text surges at the first line whose window holds more than ``surge`` code points, on
+pages of little text more than half of their fullest window, and dives where a window
+falls to 0.  A stretch from surge to dive is kept with its link lines, and extended
+back over up to ``window`` short lines or to a heading.  A stretch that never surges
+is kept if it lies next to one that does and holds a heading or a full sentence: a
+title above the menu, a short lead or closing section.  Other short stretches,
+captions and notes scattered over the page, are left out.
 
 Defined results: null and empty pages, and pages without text, give an empty
 text; a markup that never closes ends with the page; equal rows give equal
@@ -43,18 +46,19 @@ social sponsor sponsored sponsor-box subscribe teaser toolbar topbar widget aler
 reader-comments replies reply respond outbrain taboola site-header site-footer page-header page-footer""".split())
 
 OWN = frozenset({"header"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = re.compile(r"(?i)</(script|style|textarea|title|noscript|iframe|template)\s*>")
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _GAP = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964][\"'\u201d\u2019\u00bb)\]]*$")
 
 
 @dataclass(frozen=True)
 class ExtractSpec:
     window: int = 3
-    surge: int = 0
-    least_share: float = 0.2
+    surge: int = 86
     most_links: float = 0.5
 
 
@@ -64,6 +68,7 @@ class _Line:
     linked: int = 0
     furniture: bool = False
     article: bool = False
+    heading: bool = False
 
 
 def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
@@ -101,6 +106,7 @@ def lines(page: str) -> list[_Line]:
         if text and not silent:
             if not line.parts:
                 line.furniture, line.article = furniture > 0, article > 0
+                line.heading = any(x[0] in HEADINGS for x in stack)
             line.parts.append(text)
             if links:
                 line.linked += len(_GAP.sub("", html.unescape(text)))
@@ -163,25 +169,31 @@ def main_text(page: str | None, spec: ExtractSpec = ExtractSpec()) -> str:
     if not found:
         return ""
     marked = any(x.article and not x.furniture for _, x in found)
-    length = np.array([0 if x.furniture or (marked and not x.article) or (not marked and x.linked > spec.most_links * len(_GAP.sub("", t)))
-                       else len(t) for t, x in found])
+    away = np.array([x.furniture or (marked and not x.article) for _, x in found])
+    solid = np.array([len(_GAP.sub("", t)) for t, _ in found])
+    linked = np.array([x.linked for _, x in found])
+    length = np.where(away | (linked > spec.most_links * solid), 0, [max(0, len(t) - x.linked) for t, x in found])
     sums = np.convolve(length, np.ones(spec.window, int))[:len(length) + spec.window - 1]   # sums[i]: lines i - window + 1 to i
     ahead = sums[spec.window - 1:]                                                         # lines i to i + window - 1
-    kept: list[list[int]] = []
-    inside = False
-    for i, n in enumerate(length):
-        if not inside and n > 0 and ahead[i] > spec.surge:
-            inside = True
-            kept.append([])
-        elif inside and ahead[i] == 0:
-            inside = False
-        if inside and n > 0:
-            kept[-1].append(i)
-    if not kept:
-        return ""
-    masses = [int(length[k].sum()) for k in kept]
-    least = 0 if marked else spec.least_share * max(masses)
-    return "\n".join(found[i][0] for k, mass in zip(kept, masses) if mass >= least for i in k)
+    surge = min(spec.surge, int(ahead.max()) // 2)
+    stretches: list[tuple[int, int]] = []       # from a line with text to the dive
+    start = None
+    for i in range(len(length) + 1):
+        if start is not None and (i == len(length) or ahead[i] == 0):
+            stretches.append((start, i))
+            start = None
+        if start is None and i < len(length) and length[i] > 0:
+            start = i
+    surges = [next((i for i in range(a, b) if length[i] > 0 and ahead[i] > surge), None) for a, b in stretches]
+    kept: list[int] = []
+    for k, ((a, b), at) in enumerate(zip(stretches, surges)):
+        if at is not None:
+            titles = [i for i in range(a, at) if found[i][1].heading and length[i] > 0]
+            kept += range(min([max(a, at - spec.window), *titles]), b)
+        elif any(x is not None for x in [*surges[max(0, k - 1):k], *surges[k + 1:k + 2]]):
+            if any(length[i] > 0 and (found[i][1].heading or _SENTENCE.search(found[i][0])) for i in range(a, b)):
+                kept += range(a, b)
+    return "\n".join(found[i][0] for i in kept if not away[i])
 
 
 def extract(pages: DataFrame, spec: ExtractSpec = ExtractSpec()) -> DataFrame:

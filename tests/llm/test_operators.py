@@ -84,6 +84,21 @@ def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
+LONG = "A paragraph that is long enough to surge by itself, with many words, one after the other, to its end."
+MENU = "<ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ("one", "two", "three")) + "</ul>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<h1>Title</h1>{MENU}<p>{LONG}</p><p>{LONG}</p>", f"Title\n{LONG}\n{LONG}"),
+    (f"<p>A short lead.</p>{'<div class=ad>buy</div>' * 3}<p>{LONG * 4}</p>{'<div class=ad>buy</div>' * 3}<p>The end.</p>", f"A short lead.\n{LONG * 4}\nThe end."),
+    (f"<article><h1>T</h1><p>{LONG}</p>{MENU}<p>stray note</p></article>", f"T\n{LONG}"),
+    (f"<article><p>{LONG}</p><p><a href=x>a link</a></p><p>{LONG}</p></article>", f"{LONG}\na link\n{LONG}"),
+    (f"<div>Site</div>{MENU}<h1>T</h1><p>1 May</p><p>by X</p><p>in Y</p><p>{LONG}</p>", f"T\n1 May\nby X\nin Y\n{LONG}"),
+], ids=range(5))
+def test_windows_decide(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_extract_rows(spark):
     rows = [(i, None if i % 2 else "u", p, "x") for i, p in enumerate([*PAGES, *PAGES])]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

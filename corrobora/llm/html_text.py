@@ -13,6 +13,10 @@ is kept if it lies next to one that does and holds a heading or a full sentence:
 title above the menu, a short lead or closing section.  Other short stretches,
 captions and notes scattered over the page, are left out.
 
+Furniture is told by element names, by whole names in class, id and role, and by
+compounds of a fixed list.  An element so named that holds the page's article, or on a
+page without one most of the text, is no furniture.
+
 Defined results: null and empty pages, and pages without text, give an empty
 text; a markup that never closes ends with the page; equal rows give equal
 results; columns beside page_id, url and html are ignored.
@@ -38,12 +42,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCKS - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
-# Words in class, id and role attributes that name furniture.
+# Names in class, id and role attributes of furniture, as whole names.
 FURNITURE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs byline-links comment comments comentarios
 commentaires kommentare disqus cookie cookies consent copyright footer gdpr header hidden login masthead menu menubar modal nav navbar navigation
 newsletter notice notification pagination pager popup promo promoted promotion recommended related search share sharing sidebar signup skip
 social sponsor sponsored sponsor-box subscribe teaser toolbar topbar widget alert alertdialog complementary contentinfo dialog
-reader-comments replies reply respond outbrain taboola site-header site-footer page-header page-footer""".split())
+reader-comments replies reply respond outbrain taboola""".split())
+# Compounds of two such parts, the first of one list and the second of the other.
+_COMPOUNDS = (
+    ("ad ads advert banner sponsor promo google", "ad ads bar banner block box container label slot space unit wrapper"),
+    ("cookie cookies consent gdpr privacy", "alert bar banner box consent dialog info message modal notice notification popup"),
+    ("share sharing social", "bar box buttons icons links list media menu share sharing tools widget"),
+    ("site page main global top bottom left right primary secondary mobile sub", "ad ads banner bar footer header menu nav navbar navigation sidebar"),
+    ("nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar", "bar container inner items left links list main menu nav primary right top widget wrapper"),
+    ("comment comments reply replies", "area box container form list section thread wrapper"),
+    ("related recommended promoted sponsored popular more", "articles content items links news posts products reading stories"),
+    ("newsletter login search signup subscribe subscription", "bar box form modal popup signup widget"),
+    ("popup modal alert notification toast", "banner bar box container content dialog overlay"),
+    ("skip", "link links nav"), ("copyright", "notice text"), ("widget", "area container"),
+)
+FURNITURE_NAMES = FURNITURE_WORDS | {f"{x}-{y}" for first, second in _COMPOUNDS for x in first.split() for y in second.split()}
 
 OWN = frozenset({"header"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,6 +78,7 @@ class ExtractSpec:
     window: int = 3
     surge: int = 86
     most_links: float = 0.5
+    most_text: float = 0.5
 
 
 @dataclass
@@ -67,33 +86,56 @@ class _Line:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     furniture: bool = False
+    inside: tuple[int, ...] = ()        # numbers of the elements around it that are named as furniture
     article: bool = False
     heading: bool = False
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in FURNITURE or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("body", "html") or name in ARTICLE:
-        return False
+def _is_hidden(attributes: str) -> bool:
+    """Whether an element says itself that it is not shown."""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if key in ("class", "id", "role"):
-            for word in value.split():
-                parts = {word, *re.split(r"[-_:]+", word)}
-                # An article's own header holds its title.
-                if parts & (FURNITURE_WORDS - OWN if in_article else FURNITURE_WORDS):
-                    return True
     return False
 
 
-def lines(page: str) -> list[_Line]:
+def _is_named(attributes: str, in_article: bool) -> bool:
+    """Whether class, id or role name an element as furniture."""
+    # An article's own header holds its title.
+    names = FURNITURE_NAMES - OWN if in_article else FURNITURE_NAMES
+    return any(m[1].lower() in ("class", "id", "role") and any(re.sub(r"[-_:]+", "-", word).strip("-") in names
+                                                               for word in (m[2] or "").strip("\"'").lower().split())
+               for m in _ATTRIBUTE.finditer(attributes))
+
+
+def _settle(found: list[_Line], most: float) -> None:
+    """Set ``furniture`` of each line; named elements around the article or most of the text do not count.
+
+    Elements that are furniture by their element name have negative numbers and
+    give way to an article only.
+    """
+    size = [0 if x.furniture else len("".join(x.parts)) for x in found]
+    whole = sum(n for n, x in zip(size, found) if x.article)
+    clear = sum(n for n, x in zip(size, found) if not x.inside)
+    free_article = any(n and x.article and not x.inside for n, x in zip(size, found))
+    held: dict[int, int] = {}
+    marked: dict[int, int] = {}
+    for n, x in zip(size, found):
+        for k in x.inside:
+            held[k] = held.get(k, 0) + n
+            marked[k] = marked.get(k, 0) + n * x.article
+    void = {k for k in held if (whole and marked[k] == whole >= clear) or (k > 0 and not free_article and held[k] > most * sum(size))}
+    for x in found:
+        x.furniture |= any(k not in void for k in x.inside)
+
+
+def lines(page: str, most_text: float = 0.5) -> list[_Line]:
     """The page as lines of text, one per block element, each with its place."""
     out, line = [], _Line()
-    stack: list[tuple[str, bool, bool]] = []     # (name, furniture from here, article from here)
-    furniture = article = silent = links = 0
+    stack: list[tuple[str, bool, bool, bool]] = []     # (name, hidden from here, named as furniture, article from here)
+    inside: list[int] = []
+    hidden = article = silent = links = named = 0
     at = 0
 
     def flush() -> None:
@@ -105,16 +147,18 @@ def lines(page: str) -> list[_Line]:
     def add(text: str) -> None:
         if text and not silent:
             if not line.parts:
-                line.furniture, line.article = furniture > 0, article > 0
+                line.furniture, line.inside, line.article = hidden > 0, tuple(inside), article > 0
                 line.heading = any(x[0] in HEADINGS for x in stack)
             line.parts.append(text)
             if links:
                 line.linked += len(_GAP.sub("", html.unescape(text)))
 
     def leave() -> None:
-        nonlocal furniture, article, silent, links
-        name, was_furniture, was_article = stack.pop()
-        furniture -= was_furniture
+        nonlocal hidden, article, silent, links
+        name, was_hidden, was_named, was_article = stack.pop()
+        hidden -= was_hidden
+        if was_named:
+            inside.pop()
         article -= was_article
         silent -= name in SILENT
         links -= name == "a"
@@ -148,9 +192,15 @@ def lines(page: str) -> list[_Line]:
                         leave()
             elif name in ("li", "dd", "dt", "option") and stack and stack[-1][0] == name:
                 leave()
-            starts = _is_furniture(name, m[3], article > 0)
-            stack.append((name, starts, name in ARTICLE))
-            furniture += starts
+            own = m[3] and name not in ("body", "html") and name not in ARTICLE
+            hides = bool(own) and _is_hidden(m[3])
+            firm = name in FURNITURE - {"form"} or (name == "header" and not article)
+            starts = firm or name == "form" or (bool(own) and _is_named(m[3], article > 0))
+            stack.append((name, hides, starts, name in ARTICLE))
+            hidden += hides
+            if starts:
+                named += 1
+                inside.append(-named if firm else named)
             article += name in ARTICLE
             silent += name in SILENT
             links += name == "a"
@@ -159,12 +209,13 @@ def lines(page: str) -> list[_Line]:
                 at = end.end() if end else len(page)
                 leave()
     flush()
+    _settle(out, most_text)
     return out
 
 
 def main_text(page: str | None, spec: ExtractSpec = ExtractSpec()) -> str:
     """Kept lines of a page, one per line."""
-    found = [(_GAP.sub(" ", html.unescape("".join(x.parts))).strip(), x) for x in lines(page or "")]
+    found = [(_GAP.sub(" ", html.unescape("".join(x.parts))).strip(), x) for x in lines(page or "", spec.most_text)]
     found = [(t, x) for t, x in found if t]
     if not found:
         return ""

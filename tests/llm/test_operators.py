@@ -99,6 +99,22 @@ def test_windows_decide(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("around", ["class='has-sidebar'", "class=with-sidebar", "class='page no-ads'", "class=header-fixed", "class=widget", "id=search", "class='site-header'"])
+def test_names_around_the_article(around):
+    """A name on a wrapper hides neither an article nor most of the text; furniture beside and inside stays out."""
+    body = f"<h1>T</h1><p>{LONG}</p><div class='share-links'>share this</div><p>{LONG}</p>"
+    menu = "<nav><a href=x>Home</a></nav><div class=sidebar>side</div>"
+    for page in (f"<div {around}>{menu}<article>{body}</article></div>", f"<body>{menu}<div {around}>{body}</div></body>", f"<form {around}>{menu}{body}</form>"):
+        assert html_text.main_text(page) == f"T\n{LONG}\n{LONG}"
+
+
+def test_names_inside_the_article():
+    page = f"<article><h1>T</h1><section id='social-history'><p>{LONG}</p></section><p class='notice-of-appeal'>{LONG}</p><div id='comments'><article>nice</article></div></article>"
+    assert html_text.main_text(page) == f"T\n{LONG}\n{LONG}"
+    page = f"<article><p>{LONG}</p></article><div id=comments>" + f"<article class=comment-body><p>{LONG}</p></article>" * 5 + "</div>"
+    assert html_text.main_text(page) == LONG
+
+
 def test_extract_rows(spark):
     rows = [(i, None if i % 2 else "u", p, "x") for i, p in enumerate([*PAGES, *PAGES])]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

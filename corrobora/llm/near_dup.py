@@ -2,7 +2,9 @@
 
 1. One pass turns a text into its set of word shingles (64-bit hashes), a
    128-bit fingerprint of the set and ``bands * rows`` minhash values.
-2. Equal sets are one class, held by its smallest doc_id.
+2. Equal sets are one class, named by its smallest row key.  A row's key is a 64-bit
+   hash of its doc_id and text, so neither null nor repeated ids matter; two of
+   10 ** 7 rows share a key by chance with probability 3e-6.
 3. Each band of the signature is a bucket.  First every member is paired with the
    smallest member of its bucket, so a group of copies gives one pair per
    member.  Members that this leaves in different components are then compared
@@ -18,8 +20,10 @@ A pair at the threshold itself is missed by all buckets with probability
 ``batches * miss``.
 
 Defined results: null and wordless texts have an empty set and are linked with
-nothing; rows with a null id link like others, their class keeps a null
-component if it has no other id; rows that share an id share a component.
+nothing; rows with a null id link like others, their component has a null id if
+it holds no other; texts that share an id are documents of their own.  ``kept``
+marks the rows that bear their component's id; the stage keeps one row of each
+component, the smallest id first and null ids last.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora.llm.kernel import flat, mixed, runs, word_bounds, word_hashes
 from corrobora.llm.storage import stored
@@ -95,16 +99,21 @@ def _prints(spec: DedupSpec):
                 low.append(int(mixed(s ^ _PLACE[21]).sum(dtype=np.uint64).view(np.int64)))
                 signatures.append(signature(s, spec.bands * spec.rows).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                 pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "print_a", "print_b", "signature"])
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()),
+                 pa.array(signatures, pa.binary())], names=["doc_id", "row_key", "n_shingles", "print_a", "print_b", "signature"])
     return task
 
 
+def row_key() -> Column:
+    """Key of a row from its doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def fingerprints(docs: DataFrame, spec: DedupSpec) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b and signature of every row."""
+    """doc_id, row_key, n_shingles, print_a, print_b and signature of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        _prints(spec), f"doc_id {kind}, n_shingles long, print_a long, print_b long, signature binary")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(
+        _prints(spec), f"doc_id {kind}, row_key long, n_shingles long, print_a long, print_b long, signature binary")
 
 
 def least_matches(compared: int, spec: DedupSpec) -> int:
@@ -161,12 +170,12 @@ def _confirmed(percent: int):
 
 
 def id_filter(ids: DataFrame, most_bits: int = 28) -> np.ndarray:
-    """Bloom filter of ``ids(doc_id)`` with two places in 16 bits an id, 32 MB at most.
+    """Bloom filter of ``ids(row_key)`` with two places in 16 bits an id, 32 MB at most.
 
     A fuller filter lets more rows pass, it never loses one.
     """
     size = 1 << min(most_bits, max(16, (16 * ids.count()).bit_length()))
-    place = F.explode(F.array(*[F.pmod(h, F.lit(size)) for h in (F.xxhash64("doc_id"), F.xxhash64(F.lit(1), "doc_id"))]))
+    place = F.explode(F.array(*[F.pmod(h, F.lit(size)) for h in (F.xxhash64("row_key"), F.xxhash64(F.lit(1), "row_key"))]))
     words = (ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas())
     out = np.zeros(size >> 6, np.int64)
@@ -175,7 +184,7 @@ def id_filter(ids: DataFrame, most_bits: int = 28) -> np.ndarray:
 
 
 def _sets(words: int, wanted):
-    """Task function: the sets of the rows whose id may be wanted."""
+    """Task function: the sets of the rows whose key may be wanted."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value.view(np.uint64)
@@ -184,49 +193,49 @@ def _sets(words: int, wanted):
             for c in ("place_a", "place_b"):
                 at = batch.column(c).to_numpy()
                 keep &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & _U64(1) == 1
-            rows = batch.filter(pa.array(keep))
+            first = np.zeros(batch.num_rows, bool)
+            first[np.unique(batch.column("row_key").to_numpy(), return_index=True)[1]] = True
+            rows = batch.filter(pa.array(keep & first))
             sets, size = [], 0
             for i, s in enumerate(shingle_sets(rows.column("text"), words)):
                 sets.append(s.tobytes())
                 size += len(sets[-1])
                 if size > 1 << 24 or i == rows.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(i + 1 - len(sets), len(sets)), pa.array(sets, pa.binary())],
-                                                     names=["doc_id", "shingles"])
+                    yield pa.RecordBatch.from_arrays([rows.column("row_key").slice(i + 1 - len(sets), len(sets)), pa.array(sets, pa.binary())],
+                                                     names=["row_key", "shingles"])
                     sets, size = [], 0
     return task
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, spec: DedupSpec) -> DataFrame:
-    """doc_id and shingles (sorted hashes) of at least the ids in ``wanted``.
+    """row_key and shingles (sorted hashes) of at least the keys in ``wanted``.
 
-    The texts stay where they are: a filter of the wanted ids goes to them.
+    The texts stay where they are: a filter of the wanted keys goes to them.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     tables = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
     size = 64 * len(tables.value)
-    places = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("place_a"),
-                                                            F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(size)).alias("place_b"))
-    # Rows that share an id are one document; the smallest of their sets stands for it.
-    return stored(places.mapInArrow(_sets(spec.words, tables), f"doc_id {kind}, shingles binary")
-                  .groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+    places = (docs.select(row_key().alias("row_key"), "text")
+              .select("row_key", "text", F.pmod(F.xxhash64("row_key"), F.lit(size)).alias("place_a"),
+                      F.pmod(F.xxhash64(F.lit(1), "row_key"), F.lit(size)).alias("place_b")))
+    # Rows that share a key have equal texts.
+    return stored(places.mapInArrow(_sets(spec.words, tables), "row_key long, shingles binary")
+                  .groupBy("row_key").agg(F.min("shingles").alias("shingles")))
 
 
 def links(pairs: DataFrame, docs: DataFrame, spec: DedupSpec) -> DataFrame:
     """The pairs (a_id, b_id) whose full sets are similar enough."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = shingle_table(docs, pairs.select(F.col("a_id").alias("doc_id")).union(pairs.select("b_id")).distinct(), spec)
-    both = (pairs.join(sets.withColumnsRenamed({"doc_id": "a_id", "shingles": "set_a"}), "a_id")
-            .join(sets.withColumnsRenamed({"doc_id": "b_id", "shingles": "set_b"}), "b_id"))
-    return stored(both.select("a_id", "b_id", "set_a", "set_b").mapInArrow(_confirmed(spec.percent), f"a_id {kind}, b_id {kind}"))
+    sets = shingle_table(docs, pairs.select(F.col("a_id").alias("row_key")).union(pairs.select("b_id")).distinct(), spec)
+    both = (pairs.join(sets.withColumnsRenamed({"row_key": "a_id", "shingles": "set_a"}), "a_id")
+            .join(sets.withColumnsRenamed({"row_key": "b_id", "shingles": "set_b"}), "b_id"))
+    return stored(both.select("a_id", "b_id", "set_a", "set_b").mapInArrow(_confirmed(spec.percent), "a_id long, b_id long"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, spec: DedupSpec) -> DataFrame:
     """The pairs (a_id, b_id) whose signatures do not rule a link out."""
-    kind = classes.schema["rep"].dataType.simpleString()
     sig = classes.select("rep", "signature")
     return stored(pairs.join(sig.withColumnsRenamed({"rep": "a_id", "signature": "sig_a"}), "a_id")
                   .join(sig.withColumnsRenamed({"rep": "b_id", "signature": "sig_b"}), "b_id")
-                  .select("a_id", "b_id", "sig_a", "sig_b").mapInArrow(_pruned(spec), f"a_id {kind}, b_id {kind}"))
+                  .select("a_id", "b_id", "sig_a", "sig_b").mapInArrow(_pruned(spec), "a_id long, b_id long"))
 
 
 def _compared(spec: DedupSpec):
@@ -268,31 +277,31 @@ def open_links(members: DataFrame, roots: DataFrame, classes: DataFrame, docs: D
     ``chunk`` by ``chunk`` rows, so that no task holds a whole bucket.  Only links
     leave a block, never the pairs it compares.
     """
-    kind = classes.schema["rep"].dataType.simpleString()
     labelled = stored(members.where("rep <> leader").join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
                       .select("bucket", "band", "rep", F.coalesce("root", "rep").alias("label")))
     state = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                             F.mode("label", True).alias("most"), F.count("*").alias("n")).where("low <> high"))
     rows = stored(labelled.join(state, "bucket").withColumn("blocks", F.ceil(F.col("n") / spec.chunk).cast("int"))
                   .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    sets = shingle_table(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), spec)
-    rows = rows.join(classes.select("rep", "signature"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    sets = shingle_table(docs, rows.select(F.col("rep").alias("row_key")).distinct(), spec)
+    rows = rows.join(classes.select("rep", "signature"), "rep").join(sets.withColumnRenamed("row_key", "rep"), "rep")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     shared = ("bucket", "band", "rep", "label", "signature", "shingles")
     left = rows.where("label <> most").select(*shared, F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("is_left"))
     right = rows.select(*shared, every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("is_left"))
     return stored(left.unionByName(right).groupBy("bucket", "i", "j")
-                  .applyInArrow(_compared(spec), f"a_id {kind}, b_id {kind}").distinct())
+                  .applyInArrow(_compared(spec), "a_id long, b_id long").distinct())
 
 
-def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``."""
+def components(docs: DataFrame, spec: DedupSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prints of all rows, classes with their root, first row of each root)."""
     prints = stored(fingerprints(docs, spec))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     classes = stored(prints.where("n_shingles > 0").groupBy("print_a", "print_b", "n_shingles")
-                     .agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")))
+                     .agg(F.min("row_key").alias("rep"), F.min("signature").alias("signature"), F.min(row).alias("first")))
     width = 4 * spec.rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width)) for i in range(spec.bands)])
-    banded = classes.where("rep IS NOT NULL").select("rep", F.posexplode(keys).alias("band", "bucket"))
+    banded = classes.select("rep", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("other")).where("leader <> other")
     members = stored(banded.join(shared.select("bucket", "leader"), "bucket"))
     stars = members.where("rep <> leader").select(F.col("leader").alias("a_id"), F.col("rep").alias("b_id")).distinct()
@@ -301,8 +310,15 @@ def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame
     more = open_links(members, roots, classes, docs, spec)
     if more.limit(1).count():
         roots = stored(connected_components(linked.unionByName(more)))
-    by_class = (classes.join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
-                .select("print_a", "print_b", "n_shingles", F.coalesce("root", "rep").alias("component")))
+    rooted = (classes.join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
+              .select("print_a", "print_b", "n_shingles", "first", F.coalesce("root", "rep").alias("root")))
+    return prints, rooted, rooted.groupBy("root").agg(F.min("first").alias("head"))
+
+
+def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``."""
+    prints, rooted, heads = components(docs, spec)
+    by_class = rooted.join(heads, "root").select("print_a", "print_b", "n_shingles", F.col("head.doc_id").alias("component"))
     out = prints.drop("signature").join(by_class, ["print_a", "print_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return (out.withColumn("component_id", component)
@@ -310,6 +326,20 @@ def near_duplicates(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame
 
 
 def first_of_each_group(docs: DataFrame, spec: DedupSpec = DedupSpec()) -> DataFrame:
-    """The rows of ``docs`` that are first of their component, in their own columns."""
-    kept = near_duplicates(docs, spec).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The one row of ``docs`` that is first of each component, and all wordless rows, in their own columns."""
+    prints, _, heads = components(docs, spec)
+    heads = stored(heads.select("head.row_key"))
+    repeated = stored(prints.where("n_shingles > 0").groupBy("row_key").count().where("count > 1").select("row_key"))
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, row_key())
+    single = heads.join(repeated, "row_key", "left_anti").union(prints.where("n_shingles = 0").select("row_key"))
+    out = keyed.join(single, keyed[key] == single["row_key"], "left_semi").drop(key)
+    several = heads.join(repeated, "row_key", "left_semi")
+    if repeated.limit(1).count():
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        again = (keyed.join(several, keyed[key] == several["row_key"], "left_semi").groupBy(key, "doc_id", "text")
+                 .agg(F.min_by(whole, F.to_json(whole)).alias("whole")).select("whole.*"))
+        out = out.unionByName(again)
+    return out

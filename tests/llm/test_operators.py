@@ -50,6 +50,21 @@ def test_near_duplicates_large_group(spark):
     assert got == brute.near_duplicates(rows, words=4)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, null ids and texts that share an id: by row, not by id."""
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    near = lambda c: text(c) + " more"
+    rows = [(1, text("a"), "x"), (1, text("a"), "x"), (1, text("a"), "y"), (None, near("a"), "x"), (None, None, "x"), (2, "", "x"),
+            (None, text("b"), "x"), (None, near("b"), "x"), (None, text("b"), "x"),       # a group of null ids alone
+            (3, text("c"), "x"), (3, text("d"), "x"), (4, near("c"), "x"), (5, near("d"), "x"), (3, text("e"), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = by_id(near_dup.first_of_each_group(df), *df.columns)
+    of_b = [r for r in got if r[1] and r[1].startswith("b0")]
+    assert len(of_b) == 1 and of_b[0] in rows
+    want = [(1, text("a"), "x"), (None, None, "x"), (2, "", "x"), (3, text("c"), "x"), (3, text("d"), "x"), (3, text("e"), "x")]
+    assert [r for r in got if r not in of_b] == sorted(want, key=repr)
+
+
 def test_bayes_bound():
     spec = near_dup.DedupSpec()
     for compared in (32, 64, 96):

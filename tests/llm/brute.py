@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -77,3 +78,40 @@ def contamination(docs, items):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def runs(words, shortest=24, periods=3):
+    """(start, length, period) of every run, by trying every period at every word."""
+    out, seen = [], set()
+    for q in range(1, len(words) // periods + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if length >= max(shortest, periods * q) and (i, length) not in seen:    # else a shorter period has it
+                seen.add((i, length))
+                out.append((i, length, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_digest(doc_id, text, planted=True):
+    """The row of op12 for one document."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if planted and doc_id is not None and words:
+        h = zlib.crc32(str(doc_id).encode())
+        if h % 10 == 0:
+            n, g = len(words), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found, drop = runs(words), set()
+    for start, length, period in found:
+        drop.update(range(start + period, start + length))
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in drop)
+    return (doc_id, len(found), *best, 1000 * best[1] // best[2] if found else None,
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrobora.llm import (ctw, decontaminate, html_text, langid, mixing, near_dup, oracles, periodic, quality,
-                           sharding, topk, toxicity, whitening)
+from corrobora.llm import (ctw, decontaminate, html_text, langid, mixing, near_dup, oracles, periodic, pii,
+                           quality, sharding, topk, toxicity, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +62,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.with_planted_runs(_table(spark, sf_dir, "documents")))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_html_extraction, op3_exact_top_k, op4_language_model_scores, op5_toxicity,
     op6_benchmark_decontamination, op7_language_id, op8_quality, op9_source_mixing, op10_sharding,
-    op11_embedding_whitening, op12_periodic_runs)}
+    op11_embedding_whitening, op12_periodic_runs, op13_personal_data)}
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": oracles.near_duplicates(),
     "op3_exact_top_k": oracles.top_k(),

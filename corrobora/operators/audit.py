@@ -281,9 +281,26 @@ def section_verdicts(sections_df: DataFrame, found: DataFrame, openers: DataFram
 
 # --- repair --------------------------------------------------------------------------------
 
+def any_of_literals(words: Column) -> Column:
+    """Pattern that matches any of the given texts as they stand, the first listed first.
+
+    Positions that begin none of them are passed by after one look at the letter.
+    """
+    quoted = lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    begins = F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(1))))
+    return F.concat(F.lit("(?=[\\Q"), F.array_join(F.filter(begins, lambda c: c != "\\"), ""), F.lit("\\E\\\\])(?:"),
+                    F.array_join(F.transform(words, quoted), "|"), F.lit(")"))
+
+
 def remove_sentences(body: Column, bad: Column) -> Column:
-    """Body without the given sentences, tidied of what they leave behind."""
-    cut = F.aggregate(bad, body, lambda acc, s: F.replace(acc, s, F.lit("")))
+    """Body without the given sentences, tidied of what they leave behind.
+
+    All occurrences of all sentences go in one pass, the leftmost first and at one place the
+    longest, so a sentence is never cut inside a longer one and no text that only the
+    removal brought together is taken for one.  Sentences also go from the reference list.
+    """
+    ranked = F.array_sort(F.transform(F.filter(bad, lambda s: s != ""), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
+    cut = F.when(F.size(bad) > 0, F.regexp_replace(body, any_of_literals(F.transform(ranked, lambda p: p["s"])), F.lit(""))).otherwise(body)
     steps = (
         lambda l: F.regexp_replace(F.regexp_replace(l, r"[ \t]{2,}", " "), r"\s+$", ""),
         lambda l: F.when(F.rlike(l, F.lit(r"^\s+([-*+]|\d+[.)])\s")), l).otherwise(F.regexp_replace(l, r"^\s+", "")),
@@ -343,10 +360,7 @@ def prune(reports: DataFrame, templates: DataFrame, graph: DataFrame, gates: Dat
                 .withColumn("here", F.filter("bad", lambda s: F.contains(F.col("body_md"), s)))
                 .withColumn("n", F.coalesce(F.size("here"), F.lit(0))).withColumn("n", F.greatest("n", F.lit(0)))
                 .withColumn("lost", F.greatest(F.coalesce(F.size("bad"), F.lit(0)), F.lit(0)) - F.col("n")))
-        # Longer sentences first, so none is cut inside another.
-        ranked = F.array_sort(F.transform("here", lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))
-        body = body.withColumn("cut", F.when(F.col("n") > 0, remove_sentences(
-            F.col("body_md"), F.transform(ranked, lambda p: p["s"]))))
+        body = body.withColumn("cut", F.when(F.col("n") > 0, remove_sentences(F.col("body_md"), F.col("here"))))
         body = body.select("report_id", "pillar", "original", (F.col("removed") + F.col("n")).alias("removed"),
                            (F.col("missed") + F.col("lost")).alias("missed"),
                            F.when(F.col("n") > 0, drop_orphan_references(F.col("cut"))).otherwise(F.col("body_md")).alias("body_md"))

@@ -243,17 +243,62 @@ def _(t):
                               U.density(f, EVIDENCE_SECTIONS), U.structure(s, ["findings", "actions"]))
 
 
-@query("h12_orphan_references", rf"""
-WITH b AS (SELECT report_id, string_split(body_md, chr(10) || '## References') AS p FROM reports),
-pr AS (SELECT report_id, p[1] AS prose, p[2] AS refs, list_distinct(regexp_extract_all(p[1], '{CITE}', 1) || regexp_extract_all(p[1], '{OBJ}', 1)
-   || flatten(list_transform(regexp_extract_all(p[1], '\[([^\]]+)\]', 1), lambda g: regexp_split_to_array(g, '\s*[;,]\s*')))) AS cited FROM b)
-SELECT report_id, prose || chr(10) || '## References' || array_to_string(list_filter(string_split(refs, chr(10)), lambda l: NOT regexp_matches(trim(l), '^\[[^\]]+\]')
-   OR list_has_any(regexp_split_to_array(regexp_extract(trim(l), '^\[([^\]]+)\]', 1), '\s*[;,]\s*'), cited)), chr(10)) AS body_md FROM pr""")
+def _without_orphans(body: str) -> str:
+    """A body whose reference lines that nothing in the prose cites are gone."""
+    return rf"""(SELECT CASE WHEN contains({body}, chr(10) || '## References') THEN prose || chr(10) || '## References' || array_to_string(list_filter(string_split(refs, chr(10)),
+   lambda l: NOT regexp_matches(trim(l), '^\[[^\]]+\]') OR list_has_any(regexp_split_to_array(regexp_extract(trim(l), '^\[([^\]]+)\]', 1), '\s*[;,]\s*'), cited)), chr(10)) ELSE {body} END
+ FROM (SELECT p[1] AS prose, p[2] AS refs, list_distinct(regexp_extract_all(p[1], '{CITE}', 1) || regexp_extract_all(p[1], '{OBJ}', 1)
+   || flatten(list_transform(regexp_extract_all(p[1], '\[([^\]]+)\]', 1), lambda g: regexp_split_to_array(g, '\s*[;,]\s*')))) AS cited
+   FROM (SELECT string_split({body}, chr(10) || '## References') AS p)))"""
+
+
+@query("h12_orphan_references", f"SELECT report_id, {_without_orphans('body_md')} AS body_md FROM reports")
 def _(t):
     return t.reports.select("report_id", U.drop_orphan_references(F.col("body_md")).alias("body_md"))
 
 
-@query("h11_prune")
+def _cut(body: str, bad: str) -> str:
+    """A body without the listed sentences: one pattern of all, longest first, then the lines tidied."""
+    pattern = f"array_to_string(list_transform(list_reverse_sort(list_transform({bad}, lambda s: {{'n': length(s), 's': s}})), lambda p: regexp_escape(p.s)), '|')"
+    lines = f"string_split(regexp_replace({body}, {pattern}, '', 'g'), chr(10))"
+    tidy = (r"list_transform({0}, lambda l: regexp_replace(regexp_replace(l, '[ \t]{{2,}}', ' ', 'g'), '\s+$', ''))",
+            r"list_transform({0}, lambda l: CASE WHEN regexp_matches(l, '^\s+([-*+]|\d+[.)])\s') THEN l ELSE regexp_replace(l, '^\s+', '') END)",
+            r"list_transform({0}, lambda l: regexp_replace(l, '\s+([.,;:])', '\1', 'g'))",
+            r"list_filter({0}, lambda l: NOT regexp_matches(l, '^\s*([-*+]|\d+[.)])\s*$'))")
+    for step in tidy:
+        lines = step.format(lines)
+    return rf"regexp_replace(regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {W})"
+
+
+def _blocking(bodies: str) -> str:
+    """Blocking sentences of each body: the whole audit over another table of bodies."""
+    audit = f"{FLAGS}, {ALLV}".replace("AS x FROM reports)", f"AS x FROM {bodies})")
+    return f"""(WITH {audit} SELECT report_id, list_sort(list(DISTINCT sentence)) AS bad FROM av JOIN fl USING (report_id, section_no, pos)
+   WHERE severity = 'BLOCKER' GROUP BY 1)"""
+
+
+def _round(bodies: str) -> str:
+    """One round: what blocks, what of it stands in the body, and the body without it."""
+    return f"""(SELECT report_id, pillar, original, removed + len(here) AS removed, missed + len(bad) - len(here) AS missed,
+   CASE WHEN len(here) > 0 THEN {_without_orphans("cut")} ELSE body_md END AS body_md
+   FROM (SELECT *, CASE WHEN len(here) > 0 THEN {_cut("body_md", "here")} END AS cut
+     FROM (SELECT r.*, coalesce(bad, []) AS bad, list_filter(coalesce(bad, []), lambda s: contains(body_md, s)) AS here
+       FROM {bodies} r LEFT JOIN {_blocking(bodies)} b USING (report_id))))"""
+
+
+def _sentence_count(bodies: str, column: str) -> str:
+    """Sentences of each body outside its reference list."""
+    split = SENT[:SENT.index(",\nsent AS")].replace("SELECT report_id, pillar, string_split(body_md, chr(10)) AS x FROM reports)", f"SELECT report_id, pillar, string_split({column}, chr(10)) AS x FROM {bodies})")
+    return f"(WITH {split} SELECT report_id, count(*) AS n FROM l8 WHERE length(sentence) > 25 AND NOT in_references GROUP BY 1)"
+
+
+@query("h11_prune", f"""WITH r0 AS MATERIALIZED (SELECT report_id, pillar, body_md, body_md AS original, 0 AS removed, 0 AS missed FROM reports),
+r1 AS MATERIALIZED {_round("r0")}, r2 AS MATERIALIZED {_round("r1")},
+j AS (SELECT r2.*, bad IS NOT NULL AS blocked, coalesce(nb.n, 0) AS n_before, coalesce(na.n, 0) AS n_after FROM r2 LEFT JOIN {_blocking("r2")} b USING (report_id)
+  LEFT JOIN {_sentence_count("r2", "original")} nb USING (report_id) LEFT JOIN {_sentence_count("r2", "body_md")} na USING (report_id)),
+k AS (SELECT *, CASE WHEN missed > 0 THEN 'not verbatim' WHEN blocked THEN 'failures left'
+  WHEN n_after < greatest(3, CAST(round_even(n_before * 0.6, 0) AS INT)) THEN 'too little left' END AS reason FROM j)
+SELECT report_id, removed, n_before, n_after, reason IS NULL AS kept, reason, CASE WHEN reason IS NULL THEN body_md ELSE original END AS body_md FROM k""")
 def _(t):
     return U.prune(t.reports.select("report_id", "pillar", "body_md"), t.template_sections, graph(t), t.gates) \
         .select("report_id", "removed", "n_before", "n_after", "kept", "reason", "body_md")

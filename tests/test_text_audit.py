@@ -143,3 +143,34 @@ def test_text_metrics_and_registers(spark):
     df = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)] + [("short", 0, lines[0])], "source STRING, line_no INT, line STRING")
     got = {(r.kind, r.id, r.text) for r in E.pattern_registers(df).collect()}
     assert got == {("signals", "SIG-01", "Masts fall"), ("findings", "F-02", "Crews rise"), ("risks", "R7", "Loss of masts"), ("uncertainties", "CU-03", "What next?")}
+
+
+def _cut_plainly(body, bad):
+    """All occurrences of all texts in one walk from the left, at each place the longest."""
+    out, i, bad = [], 0, sorted((b for b in bad if b), key=len, reverse=True)
+    while i < len(body):
+        hit = next((b for b in bad if body.startswith(b, i)), None)
+        out.append("" if hit else body[i])
+        i += len(hit) if hit else 1
+    return "".join(out)
+
+
+def test_removal_is_one_pass(spark):
+    """Texts inside each other, overlapping, made by the removal itself, with signs of patterns, repeated in the references."""
+    cases = [("Masts fell. Masts fell. Crews rose.", ["Masts fell.", "Masts fell. Masts fell."]), ("abcabc", ["abc", "bca"]), ("abXcd", ["X", "abcd"]),
+             ("Cost (a|b)* of $5 \\E+ [x] rose", ["(a|b)*", "\\E", "$5"]), ("a^b-c]d[e&&f", ["^b", "-c", "]d", "[e", "&&"]), ("x\\y", ["\\y"]),
+             ("One fact.\n## References\n[EV-1] One fact. Again", ["One fact."]), ("keep", ["lost"]), ("é ü ñ", ["ü"]), ("same", []), ("a", ["", "a"])]
+    df = spark.createDataFrame([(i, b, s) for i, (b, s) in enumerate(cases)], "i INT, body STRING, bad ARRAY<STRING>")
+    got = {r.i: r.out for r in df.select("i", U.remove_sentences(F.col("body"), F.col("bad")).alias("out")).collect()}
+    tidy = lambda s: "\n".join(" ".join(line.split()) for line in s.split("\n")).strip()
+    for i, (body, bad) in enumerate(cases):
+        assert tidy(got[i]) == tidy(_cut_plainly(body, bad)), (body, bad, got[i])
+
+
+def test_removal_grows_with_the_body(spark):
+    """A thousand sentences leave a body of thousands in one pass."""
+    body = "\n".join(f"Sentence number {i} says that depot {i * 7} was late on most days." for i in range(6_000))
+    bad = [f"Sentence number {i} says that depot {i * 7} was late on most days." for i in range(0, 6_000, 6)]
+    df = spark.createDataFrame([(body, bad)], "body STRING, bad ARRAY<STRING>")
+    out = df.select(U.remove_sentences(F.col("body"), F.col("bad")).alias("out")).first().out
+    assert len([line for line in out.split("\n") if line]) == 5_000

@@ -143,36 +143,74 @@ def lose_all_support(edges: DataFrame, removed: DataFrame) -> DataFrame:
             .where("all_gone").select("to_id"))
 
 
+def cascade(supports: DataFrame, removed: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """(id, round): the removed objects (round 0) and all that lose their last support, however deep.
+
+    ``supports(from_id, to_id)`` says that ``to_id`` rests on ``from_id``; ``removed(id)``.
+    Each round follows only the supports of what the round before took, and takes
+    them off the target's counter: a target goes when its counter reaches the number of its
+    supports.  So every support is read once in all rounds.  What only holds itself
+    up in a circle stays; an object without supports goes only by name.
+    """
+    ensure_checkpoint_dir(supports.sparkSession)
+    edges = supports.where("from_id IS NOT NULL AND to_id IS NOT NULL").select("from_id", "to_id").distinct().checkpoint()
+    need = edges.groupBy("to_id").agg(F.count("*").alias("need"))
+    new = removed.where("id IS NOT NULL").select("id", F.lit(0).alias("round")).distinct().checkpoint()
+    gone, lost = new, None
+    for depth in range(1, max_rounds + 1):
+        hit = edges.join(new.select(F.col("id").alias("from_id")), "from_id").groupBy("to_id").agg(F.count("*").alias("lost"))
+        lost = hit if lost is None else lost.unionByName(hit).groupBy("to_id").agg(F.sum("lost").alias("lost"))
+        lost = _cut(lost)
+        fallen = lost.join(need, "to_id").where("lost = need").select(F.col("to_id").alias("id"))
+        new = _cut(fallen.join(gone.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("round")))
+        if new.isEmpty():
+            return gone
+        gone = gone.unionByName(new)
+    raise RuntimeError("the cascade did not settle; raise max_rounds")
+
+
 def clear_set(evidence: DataFrame, signal_evidence: DataFrame, links: DataFrame,
-              topics: DataFrame) -> DataFrame:
+              topics: DataFrame, uncertainties: DataFrame | None = None) -> DataFrame:
     """(kind, id) of the synthesis objects that rest on the given topics alone.
 
     Signals go when all their evidence is in the topics; trends and findings
-    when all their signals go; risks when all their findings go.
+    when all their signals go; risks when all their findings go; with
+    ``uncertainties(uncertainty_id, topic_id)``, those of the topics go too.  The kinds
+    lie in three layers, so this is ``cascade`` unrolled, without a job of its own.
     """
     inside = evidence.join(topics.select("topic_id"), "topic_id", "left_semi") \
         .select(F.col("evidence_id").alias("from_id"))
     se = signal_evidence.select(F.col("evidence_id").alias("from_id"), F.col("signal_id").alias("to_id"))
     signals = lose_all_support(se, inside).select(F.col("to_id").alias("from_id"))
-    from_signals = links.where(F.col("from_type") == "signal")
+    from_signals = links.where("from_type = 'signal' AND to_type IN ('trend', 'finding')")
     derived = (lose_all_support(from_signals, signals)
                .join(from_signals.select("to_id", "to_type").distinct(), "to_id"))
     findings = derived.where("to_type = 'finding'").select(F.col("to_id").alias("from_id"))
     risks = lose_all_support(links.where("from_type = 'finding' AND to_type = 'risk'"), findings)
-    return (signals.select(F.lit("signal").alias("kind"), F.col("from_id").alias("id"))
-            .unionByName(derived.select(F.col("to_type").alias("kind"), F.col("to_id").alias("id")))
-            .unionByName(risks.select(F.lit("risk").alias("kind"), F.col("to_id").alias("id"))))
+    out = (signals.select(F.lit("signal").alias("kind"), F.col("from_id").alias("id"))
+           .unionByName(derived.select(F.col("to_type").alias("kind"), F.col("to_id").alias("id")))
+           .unionByName(risks.select(F.lit("risk").alias("kind"), F.col("to_id").alias("id"))))
+    if uncertainties is not None:
+        open_ = uncertainties.join(topics.select("topic_id"), "topic_id", "left_semi")
+        out = out.unionByName(open_.select(F.lit("uncertainty").alias("kind"), F.col("uncertainty_id").alias("id")))
+    return out
 
 
-def remove_links(links: DataFrame, cleared: DataFrame) -> DataFrame:
-    """Links left when every object of ``cleared(id)`` is gone, on either end.
+def without_cleared(rows: DataFrame, refers: dict[str, str | None], cleared: DataFrame) -> DataFrame:
+    """Rows left when every object of ``cleared(kind, id)`` is gone.
 
-    The cascade behind ``cleared`` is read twice, so it is written once first.
+    ``refers`` names the columns that point at objects, and their kind (None: any); a row
+    goes with any of them, and a null points nowhere.
     """
-    ensure_checkpoint_dir(links.sparkSession)
-    cleared = cleared.checkpoint()
-    return (links.join(cleared.select(F.col("id").alias("from_id")), "from_id", "left_anti")
-            .join(cleared.select(F.col("id").alias("to_id")), "to_id", "left_anti"))
+    for column, kind in refers.items():
+        ids = cleared if kind is None else cleared.where(F.col("kind") == kind)
+        rows = rows.join(ids.select(F.col("id").alias(column)), column, "left_anti").select(*rows.columns)
+    return rows
+
+
+def remove_links(links: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Links left when every object of ``cleared(kind, id)`` is gone, on either end."""
+    return without_cleared(links, {"from_id": None, "to_id": None}, cleared)
 
 
 def links_within(links: DataFrame, present: DataFrame) -> DataFrame:

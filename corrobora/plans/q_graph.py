@@ -118,36 +118,64 @@ def _(t):
 
 
 BRANCH = "SELECT DISTINCT topic_id FROM topics WHERE nation_key < 12 AND NOT retired"
-CLEARED = f"""gone_e AS (SELECT evidence_id FROM evidence WHERE topic_id IN ({BRANCH})),
-gone_s AS (SELECT signal_id AS id FROM signal_evidence GROUP BY 1 HAVING bool_and(evidence_id IN (SELECT evidence_id FROM gone_e))),
-gone_d AS (SELECT to_type AS kind, to_id AS id FROM links WHERE from_type = 'signal' GROUP BY 1, 2
-           HAVING bool_and(from_id IN (SELECT id FROM gone_s))),
-gone_r AS (SELECT to_id AS id FROM links WHERE from_type = 'finding' GROUP BY 1
-           HAVING bool_and(from_id IN (SELECT id FROM gone_d WHERE kind = 'finding'))),
-cleared AS (SELECT 'signal' AS kind, id FROM gone_s UNION ALL SELECT kind, id FROM gone_d UNION ALL SELECT 'risk', id FROM gone_r)"""
-
-
-# The same set with joins and materialized steps, which suits large link tables.
-CLEARED_JOINS = f"""gone_e AS MATERIALIZED (SELECT evidence_id FROM evidence SEMI JOIN ({BRANCH}) b USING (topic_id)),
-gone_s AS MATERIALIZED (SELECT signal_id AS id FROM signal_evidence LEFT JOIN (SELECT evidence_id, TRUE AS gone FROM gone_e) g USING (evidence_id)
+CLEARED = f"""gone_t AS ({BRANCH}), gone_e AS (SELECT evidence_id FROM evidence WHERE topic_id IN (SELECT topic_id FROM gone_t)),
+gone_s AS (SELECT signal_id AS id FROM signal_evidence LEFT JOIN (SELECT evidence_id, TRUE AS gone FROM gone_e) g USING (evidence_id)
            GROUP BY 1 HAVING bool_and(gone IS NOT NULL)),
-gone_d AS MATERIALIZED (SELECT to_type AS kind, to_id AS id FROM links LEFT JOIN (SELECT id AS from_id, TRUE AS gone FROM gone_s) g USING (from_id)
+gone_d AS (SELECT to_type AS kind, to_id AS id FROM links LEFT JOIN (SELECT id AS from_id, TRUE AS gone FROM gone_s) g USING (from_id)
            WHERE from_type = 'signal' GROUP BY 1, 2 HAVING bool_and(gone IS NOT NULL)),
-gone_r AS MATERIALIZED (SELECT to_id AS id FROM links LEFT JOIN (SELECT id AS from_id, TRUE AS gone FROM gone_d WHERE kind = 'finding') g USING (from_id)
+gone_r AS (SELECT to_id AS id FROM links LEFT JOIN (SELECT id AS from_id, TRUE AS gone FROM gone_d WHERE kind = 'finding') g USING (from_id)
            WHERE from_type = 'finding' GROUP BY 1 HAVING bool_and(gone IS NOT NULL)),
-cleared AS MATERIALIZED (SELECT id FROM gone_s UNION SELECT id FROM gone_d UNION SELECT id FROM gone_r)"""
+cleared AS (SELECT 'signal' AS kind, id FROM gone_s UNION ALL SELECT kind, id FROM gone_d UNION ALL SELECT 'risk', id FROM gone_r
+            UNION ALL SELECT 'uncertainty', uncertainty_id FROM uncertainties WHERE topic_id IN (SELECT topic_id FROM gone_t))"""
+
+
+def _cleared(t):
+    return G.clear_set(t.evidence, t.signal_evidence, t.links, t.sql(BRANCH), t.uncertainties)
 
 
 @query("e23_branch_clear_set", f"WITH {CLEARED} SELECT kind, id FROM cleared")
 def _(t):
-    return G.clear_set(t.evidence, t.signal_evidence, t.links, t.sql(BRANCH))
+    return _cleared(t)
+
+
+@query("e23_links_left", f"""WITH {CLEARED}, ids AS (SELECT DISTINCT id FROM cleared)
+SELECT l.from_id, l.to_id, l.rel FROM links l LEFT JOIN ids a ON l.from_id = a.id LEFT JOIN ids b ON l.to_id = b.id
+WHERE a.id IS NULL AND b.id IS NULL""")
+def _(t):
+    return G.remove_links(t.links, _cleared(t)).select("from_id", "to_id", "rel")
+
+
+@query("e23_dependents_left", f"""WITH {CLEARED}, f AS (SELECT id FROM cleared WHERE kind = 'finding'), tr AS (SELECT id FROM cleared WHERE kind = 'trend'),
+u AS (SELECT id FROM cleared WHERE kind = 'uncertainty')
+SELECT 'implication' AS kind, implication_id AS id, finding_id AS rests_on FROM implications WHERE finding_id NOT IN (SELECT id FROM f)
+UNION ALL SELECT 'cross_impact', from_trend, to_trend FROM trend_impacts WHERE from_trend NOT IN (SELECT id FROM tr) AND to_trend NOT IN (SELECT id FROM tr)
+UNION ALL SELECT 'scenario_uncertainty', scenario_id, uncertainty_id FROM scenario_uncertainties WHERE uncertainty_id NOT IN (SELECT id FROM u)""")
+def _(t):
+    cleared = _cleared(t)
+    left = lambda rows, **refers: G.without_cleared(rows, refers, cleared)
+    shape = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("id"), F.col(b).alias("rests_on"))
+    return (shape(left(t.implications, finding_id="finding"), "implication", "implication_id", "finding_id")
+            .unionByName(shape(left(t.trend_impacts, from_trend="trend", to_trend="trend"), "cross_impact", "from_trend", "to_trend"))
+            .unionByName(shape(left(t.scenario_uncertainties, uncertainty_id="uncertainty"), "scenario_uncertainty", "scenario_id", "uncertainty_id")))
+
+
+# Sales leads rest on the customers under them; a lead goes when all of those go.
+LOST = """SELECT CAST(c_custkey AS STRING) AS id FROM customer WHERE c_custkey % 10 > 0 AND (c_nationkey < 20 OR c_acctbal < 0 OR c_custkey % 500 > 250)"""
 
 
-@query("e23_links_left", f"""WITH {CLEARED_JOINS}
-SELECT l.from_id, l.to_id, l.rel FROM links l ANTI JOIN cleared c ON l.from_id = c.id ANTI JOIN cleared d ON l.to_id = d.id""")
+@query("e23_deep_cascade", f"""
+WITH RECURSIVE n AS ({CHAIN}), lost AS ({LOST}),
+stay AS (SELECT node_id, parent_id FROM n WHERE node_id NOT IN (SELECT id FROM lost)),
+up AS (SELECT node_id, parent_id AS anc FROM stay WHERE parent_id IS NOT NULL
+       UNION SELECT up.node_id, s.parent_id FROM up JOIN stay s ON s.node_id = up.anc WHERE s.parent_id IS NOT NULL),
+held AS (SELECT node_id FROM stay WHERE node_id NOT IN (SELECT parent_id FROM n WHERE parent_id IS NOT NULL)
+         UNION SELECT node_id FROM up WHERE node_id = anc
+         UNION SELECT s.parent_id FROM held h JOIN stay s ON s.node_id = h.node_id JOIN stay p ON p.node_id = s.parent_id)
+SELECT node_id AS id FROM n WHERE node_id NOT IN (SELECT node_id FROM held)""")
 def _(t):
-    cleared = G.clear_set(t.evidence, t.signal_evidence, t.links, t.sql(BRANCH))
-    return G.remove_links(t.links, cleared).select("from_id", "to_id", "rel")
+    edges = t.sql(CHAIN).select(F.col("node_id").alias("from_id"), F.col("parent_id").alias("to_id"))
+    known = t.sql(CHAIN).select(F.col("node_id").alias("to_id"))
+    return G.cascade(edges.join(known, "to_id", "left_semi"), t.sql(LOST)).select("id")
 
 
 PRESENT = """SELECT signal_id AS id FROM signals WHERE strength IN ('STRONG', 'EMERGING')

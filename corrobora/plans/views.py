@@ -108,6 +108,26 @@ SELECT DISTINCT concat('F-', CAST(scope AS STRING)), 'finding',
        concat('R-', CAST(nation_key AS STRING), '-', segment), 'risk', 'feeds' FROM evidence
 """)
 
+# What hangs off synthesis objects: it goes with them.
+view("uncertainties", """
+SELECT concat('CU-', topic_id) AS uncertainty_id, min(topic_id) AS topic_id, concat('What next in ', min(topic_id), '?') AS question
+FROM evidence GROUP BY topic_id
+""")
+
+view("implications", """
+SELECT DISTINCT concat('IMP-', CAST(scope AS STRING), '-', env_layer) AS implication_id,
+       concat('F-', CAST(scope AS STRING)) AS finding_id, env_layer FROM evidence
+""")
+
+view("trend_impacts", """
+SELECT DISTINCT concat('TR-', CAST(nation_key AS STRING), '-', segment) AS from_trend,
+       concat('TR-', CAST((nation_key * 3 + o.scope) % 25 AS STRING), '-', segment) AS to_trend FROM evidence o
+""")
+
+view("scenario_uncertainties", """
+SELECT DISTINCT concat('SC-', pillar, '-', segment) AS scenario_id, concat('CU-', topic_id) AS uncertainty_id FROM evidence
+""")
+
 view("gates", """
 SELECT concat('VG-', substr(r_name, 1, 2), '-', lpad(CAST(n_nationkey AS STRING), 2, '0')) AS gate_id,
        r_name AS pillar, CASE WHEN n_nationkey % 3 = 0 THEN 'PASSED' ELSE 'OPEN' END AS status,

@@ -9,17 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corrobora.session import ensure_checkpoint_dir
+from corrobora.operators.distinct import bitmaps, counts_above
+from corrobora.session import ensure_checkpoint_dir, written
 
 
 # --- tree -------------------------------------------------------------------------
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` behind a checkpoint, with columns of its own: a union of two readings of
-    one checkpoint must not share them."""
-    return df.checkpoint().select(*[F.col(c).alias(c) for c in df.columns])
-
-
 def closure(nodes: DataFrame) -> DataFrame:
     """(root_id, node_id, kind, depth) for every ancestor/descendant pair, however deep.
 
@@ -28,11 +23,10 @@ def closure(nodes: DataFrame) -> DataFrame:
     The rounds end when they find no new pair.  On a cycle each ancestor counts
     once, at its smallest distance, and a node of the cycle is its own ancestor.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
     # Nodes without a row of their own are not climbed through, as in a join on nodes.
     up = (nodes.where("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("root_id"))
           .join(nodes.select(F.col("node_id").alias("root_id")), "root_id", "left_semi"))
-    up = _cut(up.select("node_id", "root_id"))
+    up = written(up.select("node_id", "root_id"))
     found = up.select("node_id", "root_id", F.lit(1).cast("long").alias("depth"))
     jump = up
     step, known = 1, found.count()
@@ -41,11 +35,11 @@ def closure(nodes: DataFrame) -> DataFrame:
         more = (via.join(found.select(F.col("node_id").alias("via"), "root_id", "depth"), "via")
                 .select("node_id", "root_id", (F.col("depth") + step).alias("depth")))
         found = found.unionByName(more).groupBy("node_id", "root_id").agg(F.min("depth").alias("depth"))
-        found = _cut(found)
+        found = written(found)
         now = found.count()
         if now == known:
             break
-        jump = _cut(via.join(jump.select(F.col("node_id").alias("via"), "root_id"), "via").select("node_id", "root_id"))
+        jump = written(via.join(jump.select(F.col("node_id").alias("via"), "root_id"), "via").select("node_id", "root_id"))
         step, known = 2 * step, now
     own = nodes.select(F.col("node_id").alias("root_id"), "node_id", "kind", F.lit(0).alias("depth"))
     above = found.join(nodes.select("node_id", "kind"), "node_id").select("root_id", "node_id", "kind", F.col("depth").cast("int").alias("depth"))
@@ -110,9 +104,8 @@ def node_rollup(nodes: DataFrame, topics: DataFrame, live_evidence: DataFrame,
     """Distinct topics, evidence, homed evidence, documents and signals per node.
 
     Evidence belongs to one topic, so evidence adds up over topics.  Documents
-    and signals may repeat across topics: each bridge is reduced to distinct
-    (topic, id) before the join, then counted distinct per node, separately, so
-    documents and signals never multiply each other.
+    and signals may repeat across topics: each gets a bit once, topics hold bitmaps,
+    and a node ORs those of its topics, so no row per (node, document) is made.
     """
     reach = node_topics(nodes, topics)
     per_topic = live_evidence.groupBy("topic_id").agg(F.count("*").alias("n"))
@@ -123,9 +116,8 @@ def node_rollup(nodes: DataFrame, topics: DataFrame, live_evidence: DataFrame,
         F.coalesce(F.sum(F.when(F.col("via") == "home", F.col("n"))), F.lit(0)).alias("evidence_home")))
 
     def bridge(edges: DataFrame, column: str, name: str) -> DataFrame:
-        per = by_topic.join(edges.select("evidence_id", column), "evidence_id").select("topic_id", column).distinct()
-        return (reach.select("node_id", "topic_id").join(per, "topic_id")
-                .select("node_id", column).distinct().groupBy("node_id").agg(F.count("*").alias(name)))
+        pairs = by_topic.join(edges.select("evidence_id", column), "evidence_id")
+        return counts_above(reach, "node_id", "topic_id", bitmaps(pairs, "topic_id", column), name)
 
     out = (nodes.select("node_id", "kind").join(counts, "node_id", "left")
            .join(bridge(evidence_sources, "document_id", "documents"), "node_id", "left")
@@ -152,17 +144,17 @@ def cascade(supports: DataFrame, removed: DataFrame, max_rounds: int = 1_000) ->
     supports.  So every support is read once in all rounds.  What only holds itself
     up in a circle stays; an object without supports goes only by name.
     """
-    ensure_checkpoint_dir(supports.sparkSession)
-    edges = supports.where("from_id IS NOT NULL AND to_id IS NOT NULL").select("from_id", "to_id").distinct().checkpoint()
+    edges = written(supports.where("from_id IS NOT NULL AND to_id IS NOT NULL").select("from_id", "to_id").distinct())
     need = edges.groupBy("to_id").agg(F.count("*").alias("need"))
-    new = removed.where("id IS NOT NULL").select("id", F.lit(0).alias("round")).distinct().checkpoint()
+    new = removed.where("id IS NOT NULL").select("id", F.lit(0).alias("round")).distinct()
+    new = written(new)
     gone, lost = new, None
     for depth in range(1, max_rounds + 1):
         hit = edges.join(new.select(F.col("id").alias("from_id")), "from_id").groupBy("to_id").agg(F.count("*").alias("lost"))
         lost = hit if lost is None else lost.unionByName(hit).groupBy("to_id").agg(F.sum("lost").alias("lost"))
-        lost = _cut(lost)
+        lost = written(lost)
         fallen = lost.join(need, "to_id").where("lost = need").select(F.col("to_id").alias("id"))
-        new = _cut(fallen.join(gone.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("round")))
+        new = written(fallen.join(gone.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("round")))
         if new.isEmpty():
             return gone
         gone = gone.unionByName(new)

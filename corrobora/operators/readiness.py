@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora import vocab
 from corrobora.functions import rules
+from corrobora.operators.distinct import bitmaps, counts_above
 
 
 def readiness_measures(membership: DataFrame, key: str, live_evidence: DataFrame,
@@ -13,8 +14,8 @@ def readiness_measures(membership: DataFrame, key: str, live_evidence: DataFrame
                     signals: DataFrame, as_of: Column, aggregator=None) -> tuple:
     """The measures behind readiness per branch (or topic): ``membership(key, topic_id)``.
 
-    Class mix and layers add up from topic counts; publishers, documents and signals
-    are each reduced to distinct (key, id) on their own path before counting.
+    Class mix and layers add up from topic counts; publishers are reduced to distinct
+    (key, id); documents and signals are counted from bitmaps per topic, ORed per key.
     The aggregator is not a publisher here.
     """
     member = membership.select(key, "topic_id").distinct()
@@ -31,25 +32,19 @@ def readiness_measures(membership: DataFrame, key: str, live_evidence: DataFrame
                   .where("registry_id IS NOT NULL").select("topic_id", "registry_id").distinct())
     if aggregator is not None:
         topic_pubs = topic_pubs.where(F.col("registry_id") != F.lit(aggregator))
-    topic_docs = by_topic.join(provenance_rows.select("evidence_id", "document_id"), "evidence_id") \
-        .select("topic_id", "document_id").distinct()
-    topic_sigs = by_topic.join(signal_evidence.select("evidence_id", "signal_id"), "evidence_id") \
-        .select("topic_id", "signal_id").distinct()
     pubs = member.join(topic_pubs, "topic_id").select(key, "registry_id").distinct() \
         .groupBy(key).agg(F.count("*").alias("publishers"))
     age = F.date_diff(as_of, F.col("retrieved_on"))
-    docs = (member.join(topic_docs, "topic_id").select(key, "document_id").distinct()
-            .join(documents.select("document_id", "retrieved_on"), "document_id")
-            .groupBy(key).agg(F.count_if(age.between(0, 7)).alias("docs_7d"),
-                              F.count_if(age.between(0, 30)).alias("docs_30d")))
-    sigs = (member.join(topic_sigs, "topic_id").select(key, "signal_id").distinct()
-            .join(signals.select("signal_id", "strength", "direction"), "signal_id")
-            .groupBy(key).agg(
-                F.count("*").alias("signals"),
-                F.count_if(F.col("strength").isin(*vocab.LIVE_STRENGTHS)).alias("live_signals"),
-                F.count_if(F.col("direction") == "STRENGTHENING").alias("up"),
-                F.count_if(F.col("direction") == "UNCERTAIN").alias("flat"),
-                F.count_if(F.col("direction") == "WEAKENING").alias("down")))
+    dated = documents.select("document_id", age.between(0, 7).alias("docs_7d"), age.between(0, 30).alias("docs_30d"))
+    topic_docs = (by_topic.join(provenance_rows.select("evidence_id", "document_id"), "evidence_id")
+                  .select("topic_id", "document_id").distinct().join(dated, "document_id"))
+    docs = counts_above(member, key, "topic_id", bitmaps(topic_docs, "topic_id", "document_id", ("docs_7d", "docs_30d")), "documents").drop("documents")
+    rated = signals.select(
+        "signal_id", F.col("strength").isin(*vocab.LIVE_STRENGTHS).alias("live_signals"),
+        *[(F.col("direction") == d).alias(c) for c, d in (("up", "STRENGTHENING"), ("flat", "UNCERTAIN"), ("down", "WEAKENING"))])
+    topic_sigs = (by_topic.join(signal_evidence.select("evidence_id", "signal_id"), "evidence_id")
+                  .select("topic_id", "signal_id").distinct().join(rated, "signal_id"))
+    sigs = counts_above(member, key, "topic_id", bitmaps(topic_sigs, "topic_id", "signal_id", ("live_signals", "up", "flat", "down")), "signals")
     return mix, pubs, docs, sigs
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks broadcast joins from *measured* sizes, splits skewed join partitions
 # and merges small ones, so the library never hints a broadcast by hand.
@@ -42,3 +43,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written below the checkpoint directory: lineage cut by one pass over it.
+
+    A checkpoint computes its rows twice, once to count and once to write them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,11 +7,13 @@ id, so a batch that runs twice after a lost executor leaves one result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corrobora.session import ensure_checkpoint_dir
+from corrobora.session import ensure_checkpoint_dir, written
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -74,60 +76,61 @@ def rolling_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
             .agg(F.count("*").alias("n")).select(F.col("w.end").alias("until"), "event_type", "n"))
 
 
-def read_markers(events: DataFrame, consumer: str, item: str, delay: str = "60 days") -> DataFrame:
-    """Each consumer reads an item once: later repeats within the delay drop out."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([consumer, item]).select(consumer, item)
+def mark_read(stream: DataFrame, keys: list[str], log: str, checkpoint: str, process: Callable[[DataFrame, int], None]):
+    """Start a reader that hands each item to ``process(items, batch_id)`` once, however late a repeat comes.
+
+    An item is marked only after ``process`` has returned: if it fails, the item is handed out
+    again.  The log holds a folder per batch, and a batch that runs again ignores its own, so
+    it hands out the same items.  There is no horizon and no state in memory; each batch is one
+    anti-join with the log (:func:`fold_log` keeps its files few).  Null keys are items too.
+    """
+    spark = stream.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        items = batch.select(*keys).distinct()
+        seen = logged(spark, log)
+        if seen is not None:
+            seen = seen.where(F.col("batch") != batch_id).select(*[F.col(k).alias(f"seen_{k}") for k in keys])
+            same = [items[k].eqNullSafe(seen[f"seen_{k}"]) for k in keys]
+            items = items.join(seen, reduce(and_, same), "left_anti")
+        items = written(items)
+        process(items, batch_id)
+        items.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    return (stream.select(*keys).writeStream.option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(step).start())
+
+
+def logged(spark: SparkSession, log: str) -> DataFrame | None:
+    """What a read log holds, with the batch; None before the first mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return None
+    rows = spark.read.option("basePath", log).parquet(log)
+    return rows.withColumn("batch", F.col("batch").cast("long"))
+
+
+def fold_log(spark: SparkSession, log: str, target: str, keys: list[str]) -> None:
+    """Copy a read log into one new folder, under a batch number no batch has."""
+    logged(spark, log).select(*keys).distinct().write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
-def stale_requests(requests: DataFrame, minutes: int = 120, delay: str = "10 minutes") -> DataFrame:
-    """Requests nobody started within ``minutes``, as a stream with event-time timers.
+def stale_requests(requests: DataFrame, starts: DataFrame, on: str = "request_id", minutes: int = 120,
+                   delay: str = "10 minutes") -> DataFrame:
+    """Requests that nobody started within ``minutes``, as an outer join of two streams.
 
-    ``requests(request_id, ts, kind)`` with kind 'queued' or 'started'.  The first
-    queue row counts, and a start from then until the limit.  State holds the
-    queue time and the starts seen, in whatever order they arrive; a start without
-    a queue row waits until the watermark has passed it, when no queue row before
-    it can come any more.
+    ``requests(request_id, <on>, queued_at)``, ``starts(<on>, started_at)``: a request
+    leaves, unmatched, when both watermarks have passed its limit.  Rows of either
+    side may come first; each is held no longer than the limit and the delay.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-    import pandas as pd
-
-    wait = minutes * 60_000_000
-
-    def abandoned(key: tuple, queued: int) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": [key[0]], "queued_at": [pd.Timestamp(queued, unit="us")],
-                             "reason": [f"abandoned — queued over {minutes} minutes"]})
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        queued, starts = (state.get[0], list(state.get[1])) if state.exists else (None, [])
-        if state.hasTimedOut:
-            state.remove()
-            if queued is not None:
-                yield abandoned(key, queued)
-            return
-        for frame in frames:
-            opened = [int(t.value // 1000) for t in frame[frame.kind == "queued"].ts]
-            queued = min([*opened, *([] if queued is None else [queued])], default=None)
-            starts += [int(t.value // 1000) for t in frame[frame.kind == "started"].ts]
-        watermark = state.getCurrentWatermarkMs()
-        if queued is None:
-            starts = sorted(s for s in set(starts) if s // 1000 > watermark)
-            due = starts[-1] // 1000 if starts else None
-        else:
-            starts = sorted(s for s in set(starts) if queued <= s <= queued + wait)
-            due = None if starts else (queued + wait) // 1000
-        # A timer must lie ahead of the watermark; one already behind it is due now.
-        if due is None or due <= watermark:
-            if state.exists:
-                state.remove()
-            if queued is not None and not starts:
-                yield abandoned(key, queued)
-            return
-        state.update((queued, starts))
-        state.setTimeoutTimestamp(due)
-
-    return (requests.withWatermark("ts", delay).groupBy("request_id").applyInPandasWithState(
-        step, "request_id LONG, queued_at TIMESTAMP, reason STRING", "queued LONG, starts ARRAY<LONG>", "append",
-        GroupStateTimeout.EventTimeTimeout))
+    queued = requests.withWatermark("queued_at", delay)
+    begun = starts.withWatermark("started_at", delay).select(F.col(on).alias("_of"), "started_at")
+    limit = F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    within = ((F.col(on) == F.col("_of")) & (F.col("started_at") >= F.col("queued_at"))
+              & (F.col("started_at") <= F.col("queued_at") + limit))
+    return (queued.join(begun, within, "left_outer").where("started_at IS NULL")
+            .select("request_id", "queued_at", F.lit(f"abandoned — queued over {minutes} minutes").alias("reason")))
 
 
 # --- batch twins -----------------------------------------------------------------------------

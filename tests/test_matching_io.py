@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from corrobora.operators import matching as M
@@ -131,29 +132,64 @@ def test_late_older_row_does_not_replace_a_newer_one(spark, tmp_path):
     assert [tuple(r) for r in S.current_rows(spark, str(tmp_path / "u"), ["k"], "seq").collect()] == [("k", 10, "new")]
 
 
+def _append(spark, folder, rows):
+    df = spark.createDataFrame(rows, "request_id LONG, m INT, kind STRING").withColumn("ts", F.timestamp_seconds(F.col("m") * 60 + 86400))
+    df.coalesce(1).drop("m").write.mode("append").parquet(folder)
+
+
+def _stale(spark, folder, delay="10 minutes", **options):
+    rows = S.read_table_stream(spark, folder, **options)
+    return S.stale_requests(rows.where("kind = 'queued'").select("request_id", F.col("ts").alias("queued_at")),
+                            rows.where("kind = 'started'").select("request_id", F.col("ts").alias("started_at")), minutes=120, delay=delay)
+
+
 def test_start_may_arrive_before_its_queue_row(spark, tmp_path):
     """Arrival order is not event order: 1 starts in time, 2 starts before it queues, 3 both, 9 moves the clock."""
     arrivals = [[(1, 20, "started"), (2, 5, "started"), (3, 4, "started"), (3, 30, "started")],
-                [(1, 10, "queued"), (2, 10, "queued"), (3, 10, "queued")], [(9, 900, "queued")], [(9, 901, "started")]]
+                [(1, 10, "queued"), (2, 10, "queued"), (3, 10, "queued")], [(9, 900, "queued")], [(9, 901, "started"), (8, 902, "queued")]]
     for rows in arrivals:
-        df = spark.createDataFrame(rows, "request_id LONG, m INT, kind STRING").withColumn("ts", F.timestamp_seconds(F.col("m") * 60 + 86400))
-        df.coalesce(1).drop("m").write.mode("append").parquet(str(tmp_path / "in"))
-        stream = S.stale_requests(S.read_table_stream(spark, str(tmp_path / "in")), minutes=120, delay="30 minutes")
+        _append(spark, str(tmp_path / "in"), rows)
+        stream = _stale(spark, str(tmp_path / "in"), delay="30 minutes")
         S.upsert_batches(stream, ["request_id"], "queued_at", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert {r.request_id for r in S.current_rows(spark, str(tmp_path / "t"), ["request_id"], "queued_at").collect()} == {2}
 
 
 def test_stale_request_stream(spark, tmp_path):
-    rows = [(1, 0, "queued"), (2, 0, "queued"), (2, 60, "started"), (3, 50, "queued"), (3, 300, "started"), (9, 900, "queued")]
-    df = spark.createDataFrame(rows, "request_id LONG, m INT, kind STRING").withColumn("ts", F.timestamp_seconds(F.col("m") * 60 + 86400))
-    for i, m in enumerate((0, 50, 60, 300, 900)):
-        df.where(F.col("m") == m).coalesce(1).drop("m").write.mode("append").parquet(str(tmp_path / "in"))
-    stream = S.read_table_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-    out = S.stale_requests(stream, minutes=120)
-    S.upsert_batches(out, ["request_id"], "queued_at", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    rows = [(1, 0, "queued"), (2, 0, "queued"), (2, 60, "started"), (3, 50, "queued"), (3, 300, "started"), (9, 900, "queued"), (9, 900, "started")]
+    for m in (0, 50, 60, 300, 900):
+        _append(spark, str(tmp_path / "in"), [r for r in rows if r[1] == m])
+    S.upsert_batches(_stale(spark, str(tmp_path / "in"), files_per_trigger=1), ["request_id"], "queued_at", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert {r.request_id for r in S.current_rows(spark, str(tmp_path / "t"), ["request_id"], "queued_at").collect()} == {1, 3}
 
 
+def test_items_are_handed_out_once(spark, tmp_path):
+    """Repeats a hundred days late drop out; what failed comes again; a batch that runs again hands out the same."""
+    got, fail = [], [True]
+
+    def process(items, batch_id):
+        rows = [(r.who, r.item) for r in items.collect()]
+        if ("a", 3) in rows and fail:
+            fail.clear()
+            raise ValueError("the reader broke")
+        got.append(rows)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "who STRING, item INT, day INT").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = S.read_table_stream(spark, str(tmp_path / "in"))
+        S.mark_read(stream, ["who", "item"], str(tmp_path / "log"), str(tmp_path / "c"), process).awaitTermination()
+
+    arrive([("a", 1, 0), ("a", 1, 0), ("b", 1, 1), (None, 2, 1)])
+    arrive([("a", 1, 100), ("a", 2, 100), (None, 2, 100)])
+    with pytest.raises(Exception, match="the reader broke"):
+        arrive([("a", 3, 101), ("b", 1, 101)])
+    assert [len(rows) for rows in got] == [3, 1]
+    arrive([("a", 1, 102)])
+    flat = [x for rows in got for x in rows]
+    assert sorted(flat, key=repr) == sorted([("a", 1), ("b", 1), (None, 2), ("a", 2), ("a", 3)], key=repr)
+    S.fold_log(spark, str(tmp_path / "log"), str(tmp_path / "log2"), ["who", "item"])
+    assert S.logged(spark, str(tmp_path / "log2")).count() == 5 and S.logged(spark, str(tmp_path / "none")) is None
+
+
 def test_request_status_batch(spark):
     at = lambda m: F.timestamp_seconds(F.lit(1_700_000_000 // 7200 * 7200) + F.col("m") * 60)
     req = spark.createDataFrame([(1, "u", 0), (2, "u", 110), (3, "v", 10), (4, "v", 800), (5, "w", 115)], "request_id INT, user_id STRING, m INT").withColumn("ts", at(1))

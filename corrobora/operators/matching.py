@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corrobora import vocab
 from corrobora.functions import text
-from corrobora.session import ensure_checkpoint_dir
+from corrobora.session import written
 
 
 # --- relevance to a brief -------------------------------------------------------------
@@ -21,8 +23,9 @@ def relevant(rows: DataFrame, terms: list[str], fields: list[str], order: str) -
     """Rows that hold focus words, with their ``score``; all rows if there are none.
 
     With fewer than three hits nothing is returned (the subject is not there);
-    with three to five, the six best rows by (score, order) are.  The number of
-    hits enters as a scalar subquery, so no row set is gathered anywhere.
+    with three to five, the six best rows by (score, order) are.  Texts are scored once:
+    the few rows that might be wanted are written, the scores of the others are not
+    needed again.  Rows without a hit matter only as the best six, a top-n.
     """
     words = focus_words(terms)
     if not words:
@@ -30,11 +33,17 @@ def relevant(rows: DataFrame, terms: list[str], fields: list[str], order: str) -
     blob = F.lower(F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in fields]))
     array = F.array(*[F.lit(w) for w in words])
     scored = rows.withColumn("score", text.let(blob, lambda b: F.size(F.filter(array, lambda w: F.contains(b, w)))))
-    hits = scored.where("score > 0").agg(F.count("*")).scalar()
-    enough = scored.where("score > 0").where(hits >= vocab.KEEP_AT_LEAST)
-    best = (scored.orderBy(F.desc("score"), order).limit(vocab.KEEP_AT_LEAST)
-            .where(hits.between(vocab.MIN_ON_TOPIC, vocab.KEEP_AT_LEAST - 1)))
-    return enough.unionByName(best)
+    hits = written(scored.where("score > 0"))
+    found = hits.agg(F.count("*")).scalar()
+    enough = hits.where(found >= vocab.KEEP_AT_LEAST)
+    # Three to five rows were hit: the rest of the six are the first by order without a hit.
+    few = found.between(vocab.MIN_ON_TOPIC, vocab.KEEP_AT_LEAST - 1)
+    first = rows.select(order).orderBy(order).limit(2 * vocab.KEEP_AT_LEAST)
+    pad = first.join(hits.select(order), order, "left_anti").withColumn("score", F.lit(0))
+    best = (hits.select(order, "score").unionByName(pad).where(few)
+            .orderBy(F.desc("score"), order).limit(vocab.KEEP_AT_LEAST))
+    padded = rows.join(best, order)
+    return enough.unionByName(padded.select(*enough.columns))
 
 
 # --- shingle containment ----------------------------------------------------------------
@@ -52,19 +61,52 @@ def shingles(words: Column, k: int) -> Column:
     return F.when(last >= 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def bloom(hashes: DataFrame, column: str, log2_bits: int = 23) -> Column:
+    """Bloom filter of 64-bit hashes as one array of longs, 1 MB by default, two places a hash.
+
+    A fuller filter lets more rows pass; it never loses one.
+    """
+    size = 1 << log2_bits
+    place = F.explode(F.array(*[F.pmod(h, F.lit(size)) for h in (F.col(column), F.xxhash64(F.col(column)))]))
+    words = (hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")))
+    every = hashes.sparkSession.range(size >> 6).select(F.col("id").alias("word"))
+    dense = every.join(words, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("b")).scalar()
+
+
+def in_bloom(hash_: Column, bits: Column, log2_bits: int = 23) -> Column:
+    """Whether a hash may be among those of :func:`bloom`."""
+    def bit(h: Column) -> Column:
+        place = F.pmod(h, F.lit(1 << log2_bits))
+        return F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
+    return bit(hash_) & bit(F.xxhash64(hash_))
+
+
 def shingle_matches(benchmark: DataFrame, documents: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """(item_id, doc_id, shared, total): items whose shingles a document contains.
 
-    Exact counts.  Shingles are distinct inside their document before the join,
-    so a passage repeated within one text moves once.  The benchmark side is
-    small and AQE broadcasts it; when it is not, the join is on the shingle.
+    Exact counts.  A Bloom filter of all item shingles goes to the documents, so of each
+    document only shingles that an item may hold are shuffled, as 64-bit keys, and the texts
+    of the shingles are compared in the join.  A document that holds enough of an item holds
+    one of the item's rarest ``total - needed + 1`` shingles: only (item, document) pairs that meet in one
+    of those are counted, so a passage that very many documents share is no key of the counting.
     """
     items = text.once(text.once(benchmark.select("item_id", "text"), w=words_of(F.col("text"))), s=shingles(F.col("w"), k))
-    items = items.select("item_id", F.size("s").alias("total"), F.explode("s").alias("shingle"))
+    items = items.select("item_id", F.size("s").alias("total"), F.explode("s").alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+    items = written(items)
     docs = text.once(documents.select("doc_id", "text"), w=words_of(F.col("text")))
-    docs = docs.select("doc_id", F.explode(shingles(F.col("w"), k)).alias("shingle"))
-    shared = docs.join(items, "shingle").groupBy("item_id", "doc_id").agg(
-        F.count("*").alias("shared"), F.first("total").alias("total"))
+    docs = docs.select("doc_id", F.explode(shingles(F.col("w"), k)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+    slim = written(docs.where(in_bloom(F.col("h"), bloom(items, "h"))))
+    # Rare is what few documents hold; the counts are those of the shingles that passed.
+    held = slim.groupBy("h").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "h", "shingle"))
+    rare = (items.join(held, "h", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("rank", rank)
+            .where(F.col("rank") <= F.col("total") - F.ceil(F.col("total") * F.lit(threshold)) + 1))
+    meet = slim.join(rare.select("h", "shingle", "item_id"), ["h", "shingle"]).select("item_id", "doc_id").distinct()
+    shared = (slim.join(meet.select("doc_id").distinct(), "doc_id", "left_semi").join(items, ["h", "shingle"])
+              .join(meet, ["item_id", "doc_id"], "left_semi").groupBy("item_id", "doc_id").agg(
+                  F.count("*").alias("shared"), F.first("total").alias("total")))
     return shared.where(F.col("shared") >= F.col("total") * threshold)
 
 
@@ -88,8 +130,22 @@ def pair_space(rows: DataFrame, group: list[str], claim: str) -> DataFrame:
                                    (F.sum("c") - d).alias("copies"))
 
 
+def rare_first(sets: DataFrame, tokens: DataFrame, hot: int = 256) -> DataFrame:
+    """``tokens(t)`` with ``t`` in one global order: rare tokens first, then the most frequent of ``sets(t)``, ever more frequent.
+
+    Only the ``hot`` most frequent tokens are counted out; the others are taken to be rarer
+    the longer they are.  Any order gives the same pairs, a better one fewer candidates.
+    """
+    counts = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "w").limit(hot)
+    listed = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("w"))
+    bound = text.once(tokens, listed=listed.scalar())
+    rest = F.transform(F.array_sort(F.transform(F.array_except("t", "listed"), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
+    return bound.withColumn("t", F.concat(rest, F.array_intersect("listed", "t"))).drop("listed")
+
+
 def same_fact_pairs(rows: DataFrame, group: list[str], row_id: str, claim: str,
-                    threshold: float = vocab.SAME_FACT_THRESHOLD) -> DataFrame:
+                    threshold: float = vocab.SAME_FACT_THRESHOLD, crowd: int = 4_096) -> DataFrame:
     """(a_id, b_id, shared, total): rows of one document with token Jaccard >= threshold.
 
     Exact, and without forming all pairs of a group:
@@ -98,36 +154,46 @@ def same_fact_pairs(rows: DataFrame, group: list[str], row_id: str, claim: str,
       is paired once, so n copies give n - 1 pairs;
     * of the remaining sets, only those that share one of their first
       n - ceil(t n) + 1 tokens can reach the threshold (prefix filter); tokens
-      are ordered long words first, since these are the rare ones;
-    * a pair must agree on length within the threshold before it is verified.
+      are ordered by document frequency, the rarest first;
+    * the key holds a band of lengths, so sets meet only those of a like length;
+    * the places of the shared token bound what two sets can share (positional filter);
+    * a key with more than ``crowd`` sets is dealt to as many tasks as it holds crowds.
     """
     # A digest stands for the set in keys, so no array is hashed or sorted in a shuffle.
     sets = text.once(rows.select(*group, F.col(row_id).alias("id"), F.col(claim).alias("c")), t=token_set(F.col("c")))
     sets = sets.where(F.size("t") > 0).select(*group, "id", "t", F.md5(F.array_join("t", " ")).alias("d"))
-    # Read by five branches below; written once, the texts are split once.
-    ensure_checkpoint_dir(rows.sparkSession)
-    sets = sets.checkpoint()
+    # Read by the branches below; written once, the texts are split once.
+    sets = written(sets)
     distinct = sets.groupBy(*group, "d").agg(F.min("id").alias("id"), F.first("t").alias("t"))
     copies = (sets.select(*group, "d", "id", F.size("t").alias("n"))
               .join(distinct.select(*group, "d", F.col("id").alias("a_id")), [*group, "d"]).where("id <> a_id")
               .select("a_id", F.col("id").alias("b_id"), F.col("n").alias("shared"), F.col("n").alias("total")))
     n = F.size("t")
-    ordered = F.transform(F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
-    prefix = F.slice(ordered, F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))
+    prefix = F.slice("t", F.lit(1), (n - F.ceil(n * F.lit(threshold)) + 1).cast("int"))
     # Candidates carry ids, sizes and a token hash only; the sets join back for the
     # pairs that are left, so a hash that collides costs a check, not a result.
-    keyed = distinct.select(*group, "id", n.alias("n"), F.explode(prefix).alias("p")) \
-        .select(*group, "id", "n", F.xxhash64("p").alias("p"))
-    left = keyed.select(*group, "p", F.col("id").alias("a_id"), F.col("n").alias("na"))
-    right = keyed.select(*group, "p", F.col("id").alias("b_id"), F.col("n").alias("nb"))
-    pairs = (left.join(right, [*group, "p"])
-             .where((F.col("a_id") < F.col("b_id"))
-                    & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)))
-             .select("a_id", "b_id", "na", "nb").distinct())
+    band = F.floor(F.log(n) / -math.log(threshold)).cast("int") if threshold < 1 else n
+    keyed = (rare_first(sets, distinct.select(*group, "id", "t")).select(*group, "id", n.alias("n"), band.alias("band"), F.posexplode(prefix).alias("at", "p"))
+             .withColumn("p", F.xxhash64("p")))
+    key = [*group, "p", "band"]
+    # Lengths apart by the threshold lie in one band or the next (a band more for rounding at its ends).
+    larger = keyed.withColumn("band", F.explode(F.array(F.col("band") + 1, F.col("band"), F.col("band") - 1, F.col("band") - 2)))
+    crowds = (keyed.groupBy(*key).agg(F.ceil(F.count("*") / crowd).cast("int").alias("deals")).where("deals > 1"))
+    deals = F.coalesce("deals", F.lit(1))
+    left = (keyed.join(crowds, key, "left").withColumn("deal", F.pmod(F.xxhash64("id"), deals).cast("int"))
+            .select(*key, "deal", F.col("id").alias("s_id"), F.col("n").alias("ns"), F.col("at").alias("at_s")))
+    right = (larger.join(crowds, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+             .select(*key, "deal", F.col("id").alias("l_id"), F.col("n").alias("nl"), F.col("at").alias("at_l")))
+    smaller = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s_id") < F.col("l_id")))
+    most = F.lit(1) + F.least(F.col("ns") - F.col("at_s"), F.col("nl") - F.col("at_l")) - 1
+    close_enough = most * F.lit(1 + threshold) >= (F.col("ns") + F.col("nl")) * F.lit(threshold) - F.lit(1e-6)
+    pairs = (left.join(right, [*key, "deal"])
+             .where(smaller & (F.col("ns") >= F.col("nl") * F.lit(threshold)) & close_enough)
+             .select(F.least("s_id", "l_id").alias("a_id"), F.greatest("s_id", "l_id").alias("b_id"), (F.col("ns") + F.col("nl")).alias("n")).distinct())
     near = (pairs.join(distinct.select(F.col("id").alias("a_id"), F.col("t").alias("ta")), "a_id")
             .join(distinct.select(F.col("id").alias("b_id"), F.col("t").alias("tb")), "b_id")
-            .select("a_id", "b_id", F.size(F.array_intersect("ta", "tb")).alias("shared"), "na", "nb"))
-    close = (near.withColumn("total", F.col("na") + F.col("nb") - F.col("shared"))
+            .select("a_id", "b_id", F.size(F.array_intersect("ta", "tb")).alias("shared"), "n"))
+    close = (near.withColumn("total", F.col("n") - F.col("shared"))
              .where(F.col("shared") >= F.col("total") * F.lit(threshold))
              .select("a_id", "b_id", "shared", "total"))
     return copies.unionByName(close)

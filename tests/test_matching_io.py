@@ -198,3 +198,63 @@ def test_request_status_batch(spark):
     status = S.request_status(req, st, as_of)
     assert {r.request_id: r.status for r in status.collect()} == {1: "STARTED", 2: "STARTED", 3: "FAILED", 4: "QUEUED", 5: "FAILED"}
     assert [r.request_id for r in S.next_waiting(status, as_of).collect()] == [4]
+
+
+def test_same_fact_pairs_with_a_hot_token(spark):
+    """One token in a third of all rows, which a crowd of four splits; lengths of every band."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        n = rng.choice([1, 2, 3, 5, 8, 13, 20, 21, 22, 23, 24])
+        words = [f"w{rng.randrange(30)}" for _ in range(n)]
+        rows.append((rng.randrange(2), i, " ".join(["hot", *words] if i % 3 == 0 else words)))
+    rows += [(d, 1_000 + i, t + rng.choice(["", " hot", " more"])) for i, (d, _, t) in enumerate(rows[:120])]
+    sets = [(d, i, set(t.split())) for d, i, t in rows]
+    first = {}
+    for d, i, s in sorted(sets, key=lambda x: x[1]):
+        first.setdefault((d, frozenset(s)), i)
+    df = spark.createDataFrame(rows, "doc INT, id INT, claim STRING")
+    for threshold in (0.5, 0.85, 1.0):
+        want = {(first[d, frozenset(s)], i) for d, i, s in sets if first[d, frozenset(s)] != i}
+        for ((d, s), a), ((e, t), b) in itertools.combinations(first.items(), 2):
+            if d == e and len(s & t) >= threshold * len(s | t):
+                want.add((min(a, b), max(a, b)))
+        got = [(r.a_id, r.b_id) for r in M.same_fact_pairs(df, ["doc"], "id", "claim", threshold, crowd=4).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, threshold
+
+
+def test_register_matches_brute_force(spark):
+    """Items inside, half inside and around documents; a passage in a third of all; documents without any leave early."""
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 5, 6, 12, 30])))) for i in range(30)] + [(90, None), (91, "")]
+    docs = []
+    for i in range(150):
+        text = [word() for _ in range(rng.randrange(60))]
+        if i % 3 == 0:
+            text += items[4][1].split()
+        if i % 4 == 0:
+            part = items[rng.randrange(30)][1].split()
+            text += part[rng.randrange(len(part)):] + part[:rng.randrange(len(part))]
+        docs.append((i, " ".join(text)))
+    docs += [(500, None), (501, docs[0][1])]
+    shingle = lambda t: {tuple(w[i:i + 5]) for w in [re.findall("[a-z0-9]+", (t or "").lower())] for i in range(len(w) - 4)}
+    for threshold in (0.5, 0.2, 1.0):
+        want = {}
+        for (i, a), (d, b) in itertools.product(items, docs):
+            x = shingle(a)
+            shared = len(x & shingle(b))
+            if x and shared and shared >= threshold * len(x):
+                want[i, d] = (shared, len(x))
+        got = M.shingle_matches(spark.createDataFrame(items, "item_id INT, text STRING"), spark.createDataFrame(docs, "doc_id INT, text STRING"), threshold=threshold)
+        assert {(r.item_id, r.doc_id): (r.shared, r.total) for r in got.collect()} == want
+
+
+def test_bloom_filter_loses_nothing(spark):
+    keys = spark.range(3_000).select(F.xxhash64("id").alias("h"))
+    bits = M.bloom(keys, "h", 16)
+    assert keys.where(M.in_bloom(F.col("h"), bits, 16)).count() == 3_000
+    others = spark.range(10_000, 20_000).select(F.xxhash64("id").alias("h"))
+    assert others.where(M.in_bloom(F.col("h"), bits, 16)).count() < 500
+    empty = M.bloom(keys.limit(0), "h", 16)
+    assert others.where(M.in_bloom(F.col("h"), empty, 16)).count() == 0

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from corrobora import vocab
 from corrobora.operators.distinct import bitmaps, counts_above
 from corrobora.session import ensure_checkpoint_dir, written
 
@@ -245,6 +246,50 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
+def updated_components(roots: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """The components table ``roots(id, root)`` after ``new_edges(a_id, b_id)``: the same as from all edges at once.
+
+    Known components are contracted to their roots first, so only new edges between
+    different components are worked on; a component with very many members is
+    one vertex, and its members are touched once, when they get another root.
+    """
+    known = roots.select("id", "root")
+    ends = new_edges.where("a_id <> b_id").select("a_id", "b_id")
+    for side in ("a", "b"):
+        of = known.select(F.col("id").alias(f"{side}_id"), F.col("root").alias(f"{side}_root"))
+        ends = ends.join(of, f"{side}_id", "left").withColumn(side, F.coalesce(f"{side}_root", f"{side}_id"))
+    ends = written(ends.select("a_id", "b_id", "a", "b"))
+    moved = connected_components(ends.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))).select(F.col("id").alias("root"), F.col("root").alias("to"))
+    seen = ends.select(F.col("a_id").alias("id"), F.col("a").alias("root")).unionByName(ends.select(F.col("b_id").alias("id"), F.col("b").alias("root")))
+    every = known.unionByName(seen.distinct().join(known.select("id"), "id", "left_anti"))
+    return every.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+
+
+def same_fact(judgements: DataFrame, threshold: float = vocab.SAME_FACT_THRESHOLD) -> DataFrame:
+    """(a_id, b_id) of ``judgements(a_id, b_id, same_fact, probability)`` that merge: same fact, and sure enough."""
+    return judgements.where(F.col("same_fact") & (F.col("probability") >= threshold) & (F.col("a_id") != F.col("b_id"))).select("a_id", "b_id")
+
+
+def merge_same_fact(evidence: DataFrame, judgements: DataFrame, bridges: dict[str, DataFrame], roots: DataFrame | None = None,
+                    threshold: float = vocab.SAME_FACT_THRESHOLD) -> dict[str, DataFrame]:
+    """Fold evidence rows that state the same fact into the smallest of them.
+
+    ``evidence(evidence_id, ...)``; ``bridges`` are the tables that point at ``evidence_id`` (sources,
+    signals, entities).  Judgements on rows that are not there do not count.  ``roots`` is the
+    table of earlier merges; without it they start anew.  Returns ``roots``, ``evidence``
+    without what was folded, and every bridge re-pointed, each row once.
+    """
+    present = evidence.select("evidence_id")
+    pairs = same_fact(judgements, threshold)
+    for side in ("a_id", "b_id"):
+        pairs = pairs.join(present.select(F.col("evidence_id").alias(side)), side, "left_semi")
+    now = connected_components(pairs) if roots is None else updated_components(roots, pairs)
+    now = written(now)
+    folded = now.where("id <> root").select(F.col("id").alias("evidence_id"))
+    out = {"roots": now, "evidence": evidence.join(folded, "evidence_id", "left_anti").select(*evidence.columns)}
+    return out | {name: merge_rows(now, rows, "evidence_id") for name, rows in bridges.items()}
+
+
 def merge_rows(roots: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Re-point the ``key`` of an edge table to its component root, deduplicated."""
     moved = edges.join(roots.select(F.col("id").alias(key), "root"), key, "left")

@@ -7,7 +7,8 @@ from one publisher can raise a result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from corrobora import vocab
 
@@ -128,6 +129,55 @@ def label(value: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), value), value)
 
 
+def relabelled(value: Column, kind: DataType, fields: frozenset = vocab.ENUM_FIELDS) -> Column:
+    """``value`` with every enum field inside it in its display form, however deep.
+
+    Walks the type: structs, arrays and maps with text keys.  A field named in
+    ``fields`` is relabelled if it is a text or a list of texts, else walked on; parts without
+    such fields stay as they are.
+    """
+    if not _names_enum(kind, fields):
+        return value
+    if isinstance(kind, StructType):
+        parts = [_field(value.getField(f.name), f.name, f.dataType, fields).alias(f.name)
+                 for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: relabelled(x, kind.elementType, fields))
+    inner = kind.valueType
+    named = lambda k: k.isin(*sorted(fields))
+    if isinstance(inner, StringType):
+        return F.transform_values(value, lambda k, v: F.when(named(k), label(v)).otherwise(v))
+    if isinstance(inner, ArrayType) and isinstance(inner.elementType, StringType):
+        return F.transform_values(value, lambda k, v: F.when(named(k), F.transform(v, label)).otherwise(v))
+    return F.transform_values(value, lambda k, v: relabelled(v, inner, fields))
+
+
+def _field(value: Column, name: str, kind: DataType, fields: frozenset) -> Column:
+    if name in fields and isinstance(kind, StringType):
+        return label(value)
+    if name in fields and isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+        return F.transform(value, label)
+    return relabelled(value, kind, fields)
+
+
+def _names_enum(kind: DataType, fields: frozenset) -> bool:
+    """Whether a type holds a field that may be relabelled; any map with text keys might."""
+    if isinstance(kind, StructType):
+        return any(f.name in fields or _names_enum(f.dataType, fields) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _names_enum(kind.elementType, fields)
+    if isinstance(kind, MapType):
+        texts = isinstance(kind.valueType, StringType) or isinstance(kind.valueType, ArrayType) and isinstance(kind.valueType.elementType, StringType)
+        return isinstance(kind.keyType, StringType) and (texts or _names_enum(kind.valueType, fields)) or _names_enum(kind.valueType, fields)
+    return False
+
+
+def humanised(df: DataFrame, fields: frozenset = vocab.ENUM_FIELDS) -> DataFrame:
+    """``df`` with every enum field, in whatever column and depth, in its display form."""
+    return df.select(*[_field(F.col(f"`{f.name}`"), f.name, f.dataType, fields).alias(f.name) for f in df.schema.fields])
+
+
 def clamp_direction(direction: Column) -> Column:
     """Directions outside the domain become UNCERTAIN."""
     return F.when(direction.isin(*vocab.DIRECTIONS), direction).otherwise("UNCERTAIN")

@@ -46,6 +46,30 @@ def relevant(rows: DataFrame, terms: list[str], fields: list[str], order: str) -
     return enough.unionByName(padded.select(*enough.columns))
 
 
+def input_ledger(rows: DataFrame, section: str, source: str, hit: Column) -> DataFrame:
+    """(section, input, available, passed, withheld, off_topic) of every filtered input that a section is given.
+
+    An input is off topic when it had rows and none passed.
+    """
+    per = rows.groupBy(F.col(section).alias("section"), F.col(source).alias("input")).agg(
+        F.count("*").alias("available"), F.count_if(hit).alias("passed"))
+    return per.withColumn("withheld", F.col("available") - F.col("passed")).withColumn("off_topic", (F.col("available") > 0) & (F.col("passed") == 0))
+
+
+def section_states(plan: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(section, blocked, absent): ``plan(section, input)`` lists the filtered inputs of each section.
+
+    A section is blocked when something was off topic and none of its filtered inputs has
+    a row; otherwise it is written, and ``absent`` names its inputs that are off topic.
+    """
+    given = plan.select("section", "input").distinct().join(ledger.select("section", "input", "passed", "off_topic"), ["section", "input"], "left")
+    off = F.coalesce("off_topic", F.lit(False))
+    out = given.groupBy("section").agg(F.bool_or(off).alias("any_off"), F.max(F.coalesce("passed", F.lit(0))).alias("most"),
+                                       F.array_sort(F.collect_set(F.when(off, F.col("input")))).alias("absent"))
+    blocked = F.col("any_off") & (F.col("most") == 0)
+    return out.select("section", blocked.alias("blocked"), F.when(blocked, F.lit("")).otherwise(F.array_join("absent", ",")).alias("absent"))
+
+
 # --- shingle containment ----------------------------------------------------------------
 
 def words_of(col: Column) -> Column:

@@ -35,6 +35,25 @@ def _(t):
         F.count("*").alias("available"), F.count_if(hit).alias("passed"), F.count_if(~hit).alias("withheld"))
 
 
+# Sections read two inputs each; whole inputs of some hold nothing on the subject.
+SECTIONS = """SELECT concat('S', CAST(doc_id % 97 AS STRING)) AS section, source AS input, sentence FROM doc_sentences"""
+
+
+@query("k2_blocked_sections", f"""
+WITH s AS (SELECT section, input, count(*) AS available, count(*) FILTER ({SCORE} > 0) AS passed FROM ({SECTIONS}) GROUP BY 1, 2),
+pl AS (SELECT section, input FROM (SELECT DISTINCT section FROM ({SECTIONS})), (SELECT DISTINCT source AS input FROM documents WHERE source IS NOT NULL)),
+g AS (SELECT section, bool_or(coalesce(passed = 0, false)) AS any_off, max(coalesce(passed, 0)) AS most, coalesce(string_agg(CASE WHEN passed = 0 THEN input END, ',' ORDER BY input), '') AS absent
+  FROM pl LEFT JOIN s USING (section, input) GROUP BY 1)
+SELECT section, any_off AND most = 0 AS blocked, CASE WHEN any_off AND most = 0 THEN '' ELSE absent END AS absent FROM g""")
+def _(t):
+    rows_ = t.sql(SECTIONS)
+    ledger = M.input_ledger(rows_, "section", "input", T.contains_any(F.lower("sentence"), FOCUS))
+    # Every section asks for every source; sources are a short list.
+    sources = t.documents.where("source IS NOT NULL").agg(F.collect_set("source")).scalar()
+    plan = rows_.select("section").distinct().select("section", F.explode(sources).alias("input"))
+    return M.section_states(plan, ledger)
+
+
 # --- shingles ---------------------------------------------------------------------------------
 SHINGLE = """bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM
    (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark))),

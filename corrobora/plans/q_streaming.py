@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import rules, sql as SQLF, text as T
 from corrobora.operators.refile import refile_plan
-from corrobora.plans.q_graph import REACH
+from corrobora.plans.q_graph import CLOSURE, REACH
 from corrobora.plans.q_matching import FILED, LIVE_TOPICS, PLACED, PLAN
 from corrobora.plans.q_provenance import CLASSES
 from corrobora.plans.registry import query
@@ -259,6 +259,24 @@ def _(t):
                             rules.label(F.col("direction")).alias("direction"), rules.label(F.col("pillar")).alias("pillar"))
 
 
+_NAMED = "CASE {0} WHEN 'STRONG' THEN 'Strong' WHEN 'STRONG_EMERGING' THEN 'Strong-Emerging' WHEN 'EMERGING' THEN 'Emerging' WHEN 'WEAK' THEN 'Weak' WHEN 'STRENGTHENING' THEN 'Strengthening' WHEN 'UNCERTAIN' THEN 'Uncertain' WHEN 'WEAKENING' THEN 'Weakening' ELSE {0} END"
+
+
+@query("i_labels_nested", f"""
+SELECT signal_id, {_NAMED.format('strength')} AS top, direction AS other_name, {_NAMED.format('direction')} AS in_struct, {_NAMED.format('strength')} || '|WEAKER|' || {_NAMED.format('direction')} AS in_array,
+  {_NAMED.format('strength')} || '/' || strength AS in_map, {_NAMED.format('direction')} AS in_list_of_structs, 'Open,kept' AS in_map_of_lists FROM signals""")
+def _(t):
+    deep = F.struct(F.col("direction"), F.col("direction").alias("said"), F.array("strength", F.lit("WEAKER"), "direction").alias("status"))
+    rows = t.signals.select("signal_id", "strength", deep.alias("deep"),
+                            F.create_map(F.lit("horizon"), "strength", F.lit("note"), "strength").alias("m"),
+                            F.array(F.struct(F.struct(F.col("direction").alias("gate")).alias("inner"))).alias("l"),
+                            F.create_map(F.lit("pillar"), F.array(F.lit("OPEN"), F.lit("kept"))).alias("ml"))
+    out = rules.humanised(rows)
+    return out.select("signal_id", F.col("strength").alias("top"), F.col("deep.said").alias("other_name"), F.col("deep.direction").alias("in_struct"),
+                      F.array_join("deep.status", "|").alias("in_array"), F.concat(F.col("m")["horizon"], F.lit("/"), F.col("m")["note"]).alias("in_map"),
+                      F.col("l")[0]["inner"]["gate"].alias("in_list_of_structs"), F.array_join(F.col("ml")["pillar"], ",").alias("in_map_of_lists"))
+
+
 @query("i_payload_size", """
 WITH j AS (SELECT pillar, length('{"id":' || evidence_id || ',"class":"' || class || '","topic":"' || topic_id || '"}') AS n FROM live_evidence),
 s AS (SELECT pillar, 1 + sum(n + 1) AS chars FROM j GROUP BY 1) SELECT pillar, chars, chars > 260000 AS over_budget FROM s""", longs=('chars',))
@@ -297,6 +315,59 @@ def _(t):
           GROUP BY evidence_id, registry_id) x GROUP BY evidence_id) p USING (evidence_id)""")
 
 
+# Inputs of every band, from customers.
+BANDS = """SELECT c_custkey AS k, CAST(c_custkey % 5 AS BIGINT) AS base, CAST(c_nationkey % 5 AS BIGINT) AS pubs, CAST(1 + c_nationkey % 4 AS INT) AS tier, CAST(c_custkey % 4 AS BIGINT) AS unc,
+ CASE c_custkey % 6 WHEN 0 THEN 'H0_3' WHEN 1 THEN 'H3_5' WHEN 2 THEN 'H5_10' WHEN 3 THEN 'H7_PLUS' WHEN 4 THEN 'soon' END AS horizon,
+ CASE c_nationkey % 5 WHEN 0 THEN 'STRONG' WHEN 1 THEN 'STRONG_EMERGING' WHEN 2 THEN 'EMERGING' WHEN 3 THEN 'WEAK' END AS sa,
+ CASE c_custkey % 5 WHEN 0 THEN 'WEAK' WHEN 1 THEN 'STRONG' WHEN 2 THEN 'none' WHEN 3 THEN 'EMERGING' END AS sb FROM customer"""
+
+
+@query("m_sql_calibrate", f"""
+WITH s AS (SELECT *, base + CASE WHEN pubs >= 3 THEN 2 WHEN pubs = 2 THEN 1 ELSE 0 END + CASE horizon WHEN 'H0_3' THEN 0 WHEN 'H3_5' THEN -1 WHEN 'H5_10' THEN -2 WHEN 'H7_PLUS' THEN -3 ELSE -2 END
+  - least(unc, 2) AS score FROM ({BANDS}))
+SELECT k, CASE WHEN score >= 4 THEN 'LIKELY' WHEN score >= 2 THEN 'POSSIBLE' WHEN score >= 1 THEN 'UNCERTAIN' ELSE 'SPECULATIVE' END AS plausibility,
+ CASE WHEN score >= 4 AND pubs >= 3 AND base >= 3 THEN 'HIGH' WHEN score >= 4 THEN 'MEDIUM_HIGH' WHEN score >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CAST(score AS INT) AS score FROM s""")
+def _(t):
+    SQLF.register_functions(t.spark)
+    return t.sql(f"SELECT k, f.plausibility, f.confidence, f.score FROM (SELECT k, calibrate(base, pubs, horizon, unc) AS f FROM ({BANDS}))")
+
+
+@query("m_sql_bands", f"""
+WITH r AS (SELECT *, CASE sa WHEN 'STRONG' THEN 3 WHEN 'STRONG_EMERGING' THEN 2 WHEN 'EMERGING' THEN 2 ELSE 1 END + CASE sb WHEN 'STRONG' THEN 3 WHEN 'STRONG_EMERGING' THEN 2 WHEN 'EMERGING' THEN 2 ELSE 1 END AS total FROM ({BANDS}))
+SELECT k, CASE WHEN pubs >= 3 THEN 'STRONG' WHEN pubs = 2 AND tier = 1 THEN 'STRONG_EMERGING' WHEN pubs = 2 THEN 'EMERGING' ELSE 'WEAK' END AS strength,
+ CASE WHEN pubs <= 1 AND tier >= 4 THEN 'UNCERTAIN' END AS direction, base >= 2 AND pubs >= 2 AS gate, CASE WHEN base >= 3 THEN 3 WHEN base >= 1 THEN 2 ELSE 1 END AS band,
+ greatest(1, least(3, total // 2)) AS severity, CASE WHEN base = 0 THEN 'Empty' WHEN pubs >= 3 AND unc >= 1 THEN 'Ready' ELSE 'Thin' END AS ready,
+ CASE WHEN NOT (base >= 2 AND pubs >= 2) THEN 'OPEN' WHEN horizon = 'soon' THEN horizon END AS state FROM r""")
+def _(t):
+    SQLF.register_functions(t.spark)
+    return t.sql(f"""SELECT k, signal_strength(pubs, tier) AS strength, forced_direction(pubs, tier) AS direction, gate_satisfied(base, pubs) AS gate, risk_band(base, 1, 3) AS band,
+      cross_impact_severity(sa, sb) AS severity, readiness(base, pubs, unc) AS ready,
+      gate_state(gate_satisfied(base, pubs), CASE WHEN horizon = 'soon' THEN horizon END) AS state FROM ({BANDS})""")
+
+
+def tree_functions(t):
+    assert t.nodes.columns and t.topics.columns         # reading a view creates it
+    return SQLF.register_tree_functions(t.spark, f"{t._tag}nodes", f"{t._tag}topics")
+
+
+@query("m_subtree_function", f"WITH RECURSIVE {CLOSURE} SELECT root_id, node_id, kind, depth FROM closure")
+def _(t):
+    tree_functions(t)
+    return t.sql("SELECT r.node_id AS root_id, s.node_id, s.kind, s.depth FROM nodes r, LATERAL subtree(r.node_id) s")
+
+
+@query("m_path_function", f"WITH RECURSIVE {CLOSURE} SELECT node_id, root_id AS above, depth AS distance FROM closure")
+def _(t):
+    tree_functions(t)
+    return t.sql("SELECT n.node_id, p.node_id AS above, p.distance FROM nodes n, LATERAL path_to_root(n.node_id) p")
+
+
+@query("m_node_topics_function", f"WITH RECURSIVE {REACH} SELECT node_id, topic_id, via FROM reach")
+def _(t):
+    tree_functions(t)
+    return t.sql("SELECT n.node_id, x.topic_id, x.via FROM nodes n, LATERAL node_topics(n.node_id) x")
+
+
 @query("i_ordered_insert", """
 WITH c AS (SELECT signal_id, list_sort(list_distinct([direction, strength, pillar])) AS l FROM signals)
 SELECT signal_id, array_to_string(l[1:1] || ['forecast'] || l[2:], '>') AS sections FROM c""")

@@ -109,3 +109,45 @@ def test_bands_severity_and_exact_ratio(spark):
         rules.cross_impact_severity(F.lit(None).cast("string"), F.lit("WEAK")),
         *[rules.ratio(F.lit(a), F.lit(b), 1000) for a, b in ((1, 16), (3, 16), (2, 3), (0, 0))]).first()
     assert list(r) == [1, 2, 3, 3, 1, 1, 2, 3, 3, 2, 1, 62, 188, 667, 0]
+
+
+def test_sql_functions_are_the_rules(spark):
+    """Each SQL function gives what its Column gives, nulls included."""
+    from corrobora.functions import sql as SQLF
+    names = SQLF.register_functions(spark)
+    values = {"INT": (None, 0, 1, 2, 4), "BIGINT": (None, 0, 2, 3), "STRING": (None, "STRONG", "WEAK", "OPEN", "H3_5", "x"), "BOOLEAN": (None, True, False)}
+    for name, parameters, rule in SQLF._RULES:
+        pairs = [p.split() for p in parameters.split(", ")]
+        rows = list(itertools.product(*[values[k] for _, k in pairs]))
+        df = spark.createDataFrame(rows, parameters)
+        df.createOrReplaceTempView("rule_inputs")
+        got = spark.sql(f"SELECT {name}({', '.join(p for p, _ in pairs)}) AS v FROM rule_inputs").collect()
+        want = df.select(rule(*[F.col(p) for p, _ in pairs]).alias("v")).collect()
+        plain = lambda r: tuple(r.v) if isinstance(r.v, tuple) else r.v
+        assert sorted(map(repr, map(plain, got))) == sorted(map(repr, map(plain, want))), name
+    assert len(names) == len(set(names)) == len(SQLF._RULES)
+
+
+def test_labels_at_any_depth(spark):
+    kind = ("id INT, status STRING, a STRUCT<gate: STRING, other: STRING, l: ARRAY<STRUCT<horizon: STRING, status: ARRAY<STRING>>>>, m MAP<STRING, STRING>, "
+            "d MAP<STRING, STRUCT<strength: STRING>>, n ARRAY<ARRAY<STRUCT<pillar: STRING, k: INT>>>, plain ARRAY<INT>, q MAP<INT, STRING>, `dot.ted` STRUCT<status: INT>")
+    row = (1, "OPEN", ("FIRED", "OPEN", [("H0_3", ["LOW", None, "odd"]), None]), {"status": "HIGH", "x": "HIGH", "gate": None}, {"OPEN": ("WEAK",), "n": None},
+           [[("AI", 3)], None, []], [1], {1: "OPEN"}, (5,))
+    df = spark.createDataFrame([row, (2, None, None, None, None, None, None, None, None)], kind)
+    out = rules.humanised(df)
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in df.schema]
+    got, empty = out.orderBy("id").collect()
+    assert got.status == "Open" and got.a.gate == "Fired" and got.a.other == "OPEN" and got.a.l[0].horizon == "0–3 years" and got.a.l[0].status == ["Low", None, "odd"] and got.a.l[1] is None
+    assert got.m == {"status": "High", "x": "HIGH", "gate": None} and got.d["OPEN"].strength == "Weak" and got.d["n"] is None
+    assert got.n[0][0].pillar == "Artificial Intelligence" and got.n[1] is None and got.plain == [1] and got.q == {1: "OPEN"} and got["dot.ted"].status == 5
+    assert tuple(empty) == (2,) + (None,) * 8
+
+
+def test_sections_are_blocked_only_without_any_row(spark):
+    from corrobora.operators import matching as M
+    rows = spark.createDataFrame([("s1", "a", "mast"), ("s1", "a", "no"), ("s1", "b", "no"), ("s2", "a", "no"), ("s2", "b", "no"), ("s3", "a", "mast")], "section STRING, source STRING, claim STRING")
+    ledger = M.input_ledger(rows, "section", "source", F.contains("claim", F.lit("mast")))
+    assert {(r.section, r.input): (r.available, r.passed, r.withheld, r.off_topic) for r in ledger.collect()}["s1", "b"] == (1, 0, 1, True)
+    plan = spark.createDataFrame([(s, i) for s in ("s1", "s2", "s3", "s4") for i in ("a", "b")], "section STRING, input STRING")
+    got = {r.section: (r.blocked, r.absent) for r in M.section_states(plan, ledger).collect()}
+    assert got == {"s1": (False, "b"), "s2": (True, ""), "s3": (False, ""), "s4": (False, "")}

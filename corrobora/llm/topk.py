@@ -12,9 +12,9 @@ memory is bounded by the block sizes; the best k of every block are merged per
 query.  All candidates take part in every query.
 
 Defined results: vectors that are null, empty or hold null or non-finite
-components take no part; a query meets candidates of its own length only; rows
-that repeat a vec_id are candidates each, but never for a query of that id;
-other columns are ignored.
+components take no part; a query meets candidates of its own length only; of rows
+that repeat a vec_id each is a candidate, for the others too, and each of a repeated
+query has a list of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ class TopSpec:
 
 
 def whole_vectors(vectors: DataFrame, spec: TopSpec) -> DataFrame:
-    """vec_id, v (integers) and dim of the vectors that take part."""
+    """row (a key of its own), vec_id, v (integers) and dim of the vectors that take part."""
     double = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return (vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(fine & (F.size("embedding") > 0))
-            .select("vec_id", F.transform(double, lambda x: F.floor(spec.scale * x).cast("long")).alias("v"),
+            .select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform(double, lambda x: F.floor(spec.scale * x).cast("long")).alias("v"),
                     F.size("embedding").alias("dim")))
 
 
@@ -73,8 +73,8 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[keep], score[keep]
 
 
-def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, spec: TopSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score): the k best of a block for each of its queries.
+def block_best(q_rows: np.ndarray, q: np.ndarray, x_rows: np.ndarray, x_ids: np.ndarray, x: np.ndarray, spec: TopSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, candidate, score): the k best of a block for each of its queries.
 
     The ``first`` candidates by bound are scored for every query alone.  Candidates
     whose bound still reaches the k-th of these scores come next; a run of
@@ -83,7 +83,7 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarra
     """
     exact = float(max(np.abs(q).max(initial=0), np.abs(x).max(initial=0))) ** 2 * q.shape[1] < 2 ** 52
     order = np.argsort(x_ids, kind="stable")
-    x_ids, x = x_ids[order], x[order]
+    x_rows, x_ids, x = x_rows[order], x_ids[order], x[order]
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     norms = (xf ** 2).sum(1)
     radius = norms.max()
@@ -107,29 +107,31 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarra
             near = np.maximum(near - np.float32(4e-6) * np.float32(np.sqrt(q_norm[i]) + 2 * np.sqrt(radius) + 1), 0)
             most = (q_norm[i] + radius - near.astype(np.float64) ** 2) / 2 + 1
             top = np.argpartition(-most, first)[:first] if len(most) > first else np.arange(len(most))
-            top = top[x_ids[top] != q_ids[i]]
+            top = top[x_rows[top] != q_rows[i]]
             ids, score = _best(x_ids[top], (x[top] @ q[i]).astype(np.int64), spec.k)
             known.append((ids, score))
             allowed = most >= score[-1] if len(score) == spec.k else np.ones(len(most), bool)
             allowed[top] = False
-            allowed[x_ids == q_ids[i]] = False
+            allowed[x_rows == q_rows[i]] = False
             open_rows.append(allowed)
         together = np.flatnonzero(np.logical_or.reduce(open_rows))
         scores = (q[run.start:run.stop] @ x[together].T).astype(np.int64)
         for i, allowed, (ids, score), row in zip(run, open_rows, known, scores):
             mine = allowed[together]
             ids, score = _best(np.concatenate([ids, x_ids[together[mine]]]), np.concatenate([score, row[mine]]), spec.k)
-            out.append((np.full(len(ids), q_ids[i]), ids, score))
-    return tuple(np.concatenate(v) for v in zip(*out)) if out else (q_ids[:0], x_ids[:0], np.zeros(0, np.int64))
+            out.append((np.full(len(ids), i), ids, score))
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64), x_ids[:0], np.zeros(0, np.int64))
 
 
 def _task(spec: TopSpec):
     def task(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim = key[0].as_py()
         side = table.column("is_query").to_numpy()
-        ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v"), dim)
-        query, candidate, score = block_best(ids[side], v[side], ids[~side], v[~side], spec) if (~side).any() else (ids[:0],) * 3
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(candidate, pa.int64()), "score": pa.array(score, pa.int64())})
+        rows, ids = table.column("row").to_numpy(), table.column("vec_id").to_numpy()
+        v = _matrix(table.column("v"), dim)
+        at, candidate, score = block_best(rows[side], v[side], rows[~side], ids[~side], v[~side], spec) if (~side).any() else (np.zeros(0, np.int64),) * 3
+        return pa.table({"query": pa.array(rows[side][at], pa.int64()), "query_id": pa.array(ids[side][at], pa.int64()),
+                         "vec_id": pa.array(candidate, pa.int64()), "score": pa.array(score, pa.int64())})
     return task
 
 
@@ -139,10 +141,10 @@ def top_k(vectors: DataFrame, spec: TopSpec = TopSpec()) -> DataFrame:
     queries = rows.where(F.col("vec_id") % spec.every == 0)
     blocks = lambda df, size: max(1, -(-df.count() // size))  # noqa: E731  numbers only
     n_q, n_x = blocks(queries, spec.query_block), blocks(rows, spec.candidate_block)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = queries.select("dim", own(n_q).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))).alias("j"), "vec_id", "v", F.lit(True).alias("is_query"))
-    right = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), own(n_x).alias("j"), "vec_id", "v", F.lit(False).alias("is_query"))
-    best = left.unionByName(right).groupBy("dim", "i", "j").applyInArrow(_task(spec), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    own = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    left = queries.select("dim", own(n_q).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_x - 1))).alias("j"), "row", "vec_id", "v", F.lit(True).alias("is_query"))
+    right = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), own(n_x).alias("j"), "row", "vec_id", "v", F.lit(False).alias("is_query"))
+    best = left.unionByName(right).groupBy("dim", "i", "j").applyInArrow(_task(spec), "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= spec.k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -145,20 +145,18 @@ def test_top_k(spark, blocks):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(90)]
     rows += [(100 + i, rows[0][1]) for i in range(30)]                       # ties
     rows += [(200, None), (220, []), (240, [None] * 8), (260, [float("nan")] * 8), (280, [float("inf")] * 8), (None, rows[0][1]), (300, [1.0, 2.0])]
-    rows += [rows[7], rows[20]]
+    rows += [rows[7], rows[20], rows[20], (40, rows[3][1])]                  # repeated rows and ids, queries among them
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     spec = topk.TopSpec(query_block=blocks[0], candidate_block=blocks[1], first=16, run=3)
     got = by_id(topk.top_k(df, spec), "query_id", "rank", "vec_id", "score")
     usable = [(i, np.floor(64 * np.array(np.array(v, np.float32), np.float64)).astype(int)) for i, v in rows
               if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, v in usable:
+    for at, (q, v) in enumerate(usable):
         if q % 20 == 0:
-            best = sorted(((-int(v @ x), i) for i, x in usable if i != q and len(x) == len(v)))[:20]
-            want.append([(q, k + 1, i, -s) for k, (s, i) in enumerate(best)])
-    twice = {q for q, n in Counter(q for q, _ in usable).items() if n > 1 and q % 20 == 0}
-    want = sorted((r for rs in want if rs and rs[0][0] not in twice for r in rs), key=repr)
-    assert [r for r in got if r[0] not in twice] == want
+            best = sorted(((-int(v @ x), i) for other, (i, x) in enumerate(usable) if other != at and len(x) == len(v)))[:20]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want, key=repr)
     assert topk.top_k(df.limit(0)).count() == 0
 
 

@@ -79,12 +79,76 @@ _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
              ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+def _code_point(ref: Column) -> Column:
+    """The sign of a numeric reference such as ``#233`` or ``#xE9``; what is no sign becomes U+FFFD."""
+    hexed = F.rlike(ref, F.lit("^#[xX]"))
+    digits = F.regexp_replace(F.regexp_replace(ref, "^#[xX]?", ""), "^0+(?=.)", "")
+    number = (F.when(F.length(digits) > 8, F.lit(-1).cast("long")).when(hexed, F.conv(digits, 16, 10).cast("long"))
+              .otherwise(digits.cast("long")))
+    sign = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    wide = F.lpad(F.hex(F.when(sign, number).otherwise(F.lit(0xFFFD).cast("long"))), 8, "0")
+    return F.decode(F.unhex(wide), "UTF-32")
+
+
+def numeric_references(col: Column) -> Column:
+    """Numeric character references as the signs they stand for."""
+    pattern = "&(#[xX][0-9a-fA-F]+|#[0-9]+);"
+    def spell(x: Column) -> Column:
+        refs = F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+        return F.array_join(F.zip_with(F.split(x, pattern, -1), refs, lambda part, ref: F.concat(part, F.when(ref.isNotNull(), _code_point(ref)).otherwise(""))), "")
+    return F.when(F.contains(col, F.lit("&#")), let(col, spell)).otherwise(col)
+
+
 def unescape(col: Column) -> Column:
+    col = numeric_references(col)
     for entity, char in _ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
     return col
 
 
+# A comment, a script or style with its content, a tag, a stretch of text, a lone sign.
+_MARKUP = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[a-z/!?][^>]*>|[^<]+|<"
+
+
+def tokens(html: Column) -> Column:
+    """The page as an array of tags, comments, whole scripts and styles, and stretches of text."""
+    return F.regexp_extract_all(html, F.lit(_MARKUP), F.lit(0))
+
+
+def elements(parts: Column, tags) -> Column:
+    """``array<struct<a, b>>``: first and last token of the outermost elements of the given names.
+
+    The running depth of the open element's own name tells its end, so equal tags may be
+    nested.  An element that never ends is none.
+    """
+    names = "|".join(tags)
+    name = lambda x: F.lower(F.regexp_extract(x, rf"(?i)^</?({names})\b", 1))
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit(0).alias("from"), F.lit(0).alias("at"),
+                     F.array().cast("array<struct<a:int,b:int>>").alias("found"))
+
+    def step(acc: Column, token: Column) -> Column:
+        at = acc["at"] + 1
+        def state(open_: Column, depth: Column, from_: Column, found: Column) -> Column:
+            return F.struct(open_.alias("open"), depth.alias("depth"), from_.alias("from"), at.alias("at"), found.alias("found"))
+        def moved(tag: Column) -> Column:
+            closes = F.startswith(token, F.lit("</"))
+            # a script or style is a token of its own, a tag may close itself
+            whole = F.rlike(token, F.lit(r"(?is)^<(script|style)\b.*</\1\s*>$|/>$"))
+            none = state(acc["open"], acc["depth"], acc["from"], acc["found"])
+            alone = state(F.lit(""), F.lit(0), F.lit(0), F.array_append(acc["found"], F.struct(at.alias("a"), at.alias("b"))))
+            opened = state(tag, F.lit(1), at, acc["found"])
+            deeper = state(acc["open"], acc["depth"] + F.when(closes, -1).otherwise(1), acc["from"], acc["found"])
+            ended = state(F.lit(""), F.lit(0), F.lit(0), F.array_append(acc["found"], F.struct(acc["from"].alias("a"), at.alias("b"))))
+            return (F.when(tag == "", none)
+                    .when(acc["open"] == "", F.when(closes, none).when(whole, alone).otherwise(opened))
+                    .when((tag != acc["open"]) | whole, none)
+                    .when(closes & (acc["depth"] == 1), ended).otherwise(deeper))
+        plain = state(acc["open"], acc["depth"], acc["from"], acc["found"])
+        return F.when(F.startswith(token, F.lit("<")), let(name(token), moved)).otherwise(plain)
+
+    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+
+
 def html_title(html: Column, url: Column) -> Column:
     """Text of the title element, or the url when there is none."""
     title = strip(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
@@ -92,11 +156,19 @@ def html_title(html: Column, url: Column) -> Column:
 
 
 def drop_elements(html: Column, tags) -> Column:
-    """Markup without comments and without the given elements."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in tags:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    return out
+    """Markup without comments and without the given elements, whatever is nested in them."""
+    def kept(parts: Column) -> Column:
+        def between(cut: Column) -> Column:
+            edges = F.concat(F.array(F.lit(0)), F.transform(cut, lambda c: c["b"]))
+            stops = F.concat(F.transform(cut, lambda c: c["a"]), F.array(F.size(parts) + 1))
+            return F.array_join(F.zip_with(edges, stops, lambda a, b: F.array_join(F.slice(parts, a + 1, b - a - 1), "")), " ")
+        return let(elements(parts, tags), between)
+    return F.regexp_replace(let(tokens(html), kept), r"(?s)<!--.*?-->", " ")
+
+
+def elements_text(html: Column, tag: str) -> Column:
+    """The outermost elements of a name, each as its markup."""
+    return let(tokens(html), lambda parts: F.transform(elements(parts, (tag,)), lambda c: F.array_join(F.slice(parts, c["a"], c["b"] - c["a"] + 1), "")))
 
 
 def html_text(html: Column, cap: int | None = None) -> Column:

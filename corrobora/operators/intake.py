@@ -93,7 +93,7 @@ def figure_candidates(pages: DataFrame) -> DataFrame:
                         caption.alias("caption"),
                         size(tag, "width").alias("width"), size(tag, "height").alias("height"))
 
-    figures = F.regexp_extract_all(html, F.lit(r"(?is)<figure\b.*?</figure>"), F.lit(0))
+    figures = text.elements_text(html, "figure")
     with_img = F.filter(figures, lambda f: F.rlike(f, F.lit(r"(?i)<img\s")))
     captioned = F.transform(with_img, lambda f: image(
         F.regexp_extract(f, r"(?is)<img\s[^>]*>", 0),

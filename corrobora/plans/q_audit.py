@@ -7,6 +7,7 @@ from corrobora.functions import audit as A
 from corrobora.operators import audit as U
 from corrobora.plans.registry import query
 from corrobora.plans.views import view
+from corrobora.session import written
 
 # --- the same split in SQL: lines, running headings, marker split ----------------------------
 W = r"'^\s+|\s+$', '', 'g'"
@@ -237,8 +238,9 @@ x AS (SELECT report_id, section_no, "check" FROM av WHERE "check" IN ('CITATION'
 a AS (SELECT report_id, section_no, string_agg("check", ',' ORDER BY "check") AS failures FROM x GROUP BY 1, 2)
 SELECT report_id, section_no, coalesce(failures, '') AS failures, CASE WHEN failures IS NULL THEN 'PASS' ELSE 'WITHHELD' END AS verdict FROM secs LEFT JOIN a USING (report_id, section_no)""")
 def _(t):
-    s = secs(t)
-    f = U.flagged(U.sentences(s))
+    # Both are read by several checks: split and flagged once.
+    s = written(secs(t))
+    f = written(U.flagged(U.sentences(s)))
     return U.section_verdicts(s, U.violations(f, graph(t), t.gates), U.opener_failures(s),
                               U.density(f, EVIDENCE_SECTIONS), U.structure(s, ["findings", "actions"]))
 

@@ -279,7 +279,7 @@ def _(t):
 
 # --- sources ----------------------------------------------------------------------------------
 view("domains", """
-SELECT regexp_extract(url, '://([^/]+)', 1) AS domain, min(page_id) AS registry_id, min(page_id) AS pos FROM pages WHERE page_id % 4 = 0 GROUP BY 1
+SELECT concat(regexp_extract(url, '://([^/]+)', 1), CASE WHEN page_id % 4 = 0 THEN '' ELSE '.invalid' END) AS domain, min(page_id) AS registry_id, min(page_id) AS pos FROM pages GROUP BY 1
 UNION ALL SELECT concat('example.', CASE s_suppkey % 3 WHEN 0 THEN 'com' WHEN 1 THEN 'net' ELSE 'edu' END), 100000 + s_suppkey, 100000 + s_suppkey FROM supplier
 UNION ALL SELECT 'therha.example.com', 5, 1 FROM region
 """)

@@ -193,9 +193,9 @@ def _(t):
 
 # --- refile --------------------------------------------------------------------------------------------
 FILED = """SELECT evidence_id, pillar, topic_id, concat('An order of ', segment, ' kind, urgency ', topic_id) AS claim, CAST(NULL AS DATE) AS archived_on FROM evidence WHERE NOT archived"""
-PLACED = """SELECT evidence_id, CASE evidence_id % 9 WHEN 0 THEN 'NONE' WHEN 1 THEN 'T99-1' WHEN 2 THEN concat(' ', topic_id, ' ')
+PLACED = """SELECT CASE WHEN evidence_id % 13 = 0 THEN -1 - evidence_id ELSE evidence_id END AS evidence_id, CASE evidence_id % 9 WHEN 0 THEN 'NONE' WHEN 1 THEN 'T99-1' WHEN 2 THEN concat(' ', topic_id, ' ')
    WHEN 3 THEN topic_id ELSE concat('T', CAST((nation_key + evidence_id) % 25 AS STRING), '-', CAST(1 + evidence_id % 5 AS STRING)) END AS proposed,
- CASE evidence_id % 4 WHEN 0 THEN 'ORDER of' WHEN 1 THEN '"urgency"' WHEN 2 THEN segment ELSE 'radar' END AS hook, concat('because ', segment) AS reason FROM evidence WHERE evidence_id % 13 > 0"""
+ CASE evidence_id % 4 WHEN 0 THEN 'ORDER of' WHEN 1 THEN '"urgency"' WHEN 2 THEN segment ELSE 'radar' END AS hook, concat('because ', segment) AS reason FROM evidence"""
 LIVE_TOPICS = "SELECT topic_id, pillar FROM topics WHERE NOT retired"
 PLAN = rf"""lt AS ({LIVE_TOPICS}), fe AS ({FILED}), pl AS (SELECT evidence_id, trim(proposed) AS proposed, hook, reason FROM ({PLACED})),
 jj AS (SELECT fe.*, pl.proposed, hook, reason, lt.pillar AS np, proposed = 'NONE' OR lt.pillar IS NOT NULL AS valid,
@@ -271,10 +271,10 @@ def _(t):
     return L.current_citations(L.cited_in_prose(t.reports), t.sql(FROZEN), objects(t))
 
 
-@query("b5_citation_snapshot", f"""WITH {OBJECTS}, {CITED}, fz AS (SELECT report_id, cited_id, text FROM ({FROZEN})), nw AS (SELECT report_id, cited_id, text FROM ci JOIN ob USING (cited_id) WHERE report_id IN (SELECT report_id FROM reports WHERE length(body_md) > 1500))
+@query("b5_citation_snapshot", f"""WITH {OBJECTS}, {CITED}, fz AS (SELECT report_id, cited_id, text FROM ({FROZEN})), nw AS (SELECT report_id, cited_id, text FROM ci JOIN ob USING (cited_id))
 SELECT * FROM nw UNION ALL SELECT * FROM fz WHERE report_id NOT IN (SELECT report_id FROM nw)""")
 def _(t):
-    fresh = L.freeze(t.reports.where("length(body_md) > 1500"), objects(t)).select("report_id", "cited_id", "text")
+    fresh = L.freeze(t.reports, objects(t)).select("report_id", "cited_id", "text")
     return sinks.bucketed_merge(t.sql(FROZEN), fresh)
 
 

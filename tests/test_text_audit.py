@@ -174,3 +174,26 @@ def test_removal_grows_with_the_body(spark):
     df = spark.createDataFrame([(body, bad)], "body STRING, bad ARRAY<STRING>")
     out = df.select(U.remove_sentences(F.col("body"), F.col("bad")).alias("out")).first().out
     assert len([line for line in out.split("\n") if line]) == 5_000
+
+
+def test_nested_elements_and_references(spark):
+    """Equal tags inside each other, scripts with signs of tags, tags that never end, numeric references."""
+    pages = [("<body><nav>a<nav>b</nav>c</nav>keep<NAV>x</NAV> on</body>", "keep on"), ("<aside><div><aside>in</aside></div>still in</aside>out", "out"),
+             ("<script>if (a<b) { x = '</nav>' }</script>text<style>p>q{}</style> end", "text end"), ("a < b and <nav>lost</nav> c", "a < b and c"),
+             ("<nav>never ends <p>so it stays", "never ends so it stays"), ("</nav>stray<nav/>tag", "stray tag"), ("x<!-- <nav> -->y<nav>z</nav>", "x y"),
+             ("caf&#233; &#xE9;&#x1F600; &#0; &#99999999999; &amp;#65; &#38;lt;", "café é😀 � � &#65; <"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i INT, html STRING")
+    got = {r.i: r.t for r in df.select("i", T.html_text(F.col("html")).alias("t")).collect()}
+    for i, (html, want) in enumerate(pages):
+        assert got[i] == want, (html, got[i])
+
+
+def test_nested_figures(spark):
+    html = ('<figure class="g"><figure><img src="/a.png"><figcaption>Inner</figcaption></figure><figcaption>Outer</figcaption></figure>'
+            '<figure><img src="b.png"/><figcaption>Fig &#8470; 2</figcaption></figure><header><figure><img src="c.png"></figure></header>')
+    df = spark.createDataFrame([(1, "https://x.org/p/q", html)], "page_id INT, url STRING, html STRING")
+    got = [(r.image_url, r.caption) for r in I.figure_candidates(df).orderBy("pos").collect()]
+    assert got[0][0] == "https://x.org/a.png" and got[1] == ("https://x.org/p/b.png", "Fig № 2") and len(got) == 2
+    deep = "<div>" * 3_000 + "<nav>" * 500 + "lost" + "</nav>" * 500 + "kept" + "</div>" * 3_000
+    row = spark.createDataFrame([(deep,)], "html STRING").select(T.html_text(F.col("html")).alias("t")).first()
+    assert row.t == "kept"

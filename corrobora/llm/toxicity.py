@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corrobora.llm.kernel import LOWER, flat, runs, word_bounds, word_hashes
+from corrobora.llm.storage import stored
 
 _GAP = ~((LOWER >= 0x61) & (LOWER <= 0x7A) | (LOWER >= 0x30) & (LOWER <= 0x39) | (LOWER >= 0x80))
 
@@ -52,49 +53,80 @@ def row_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield word_hashes(part, starts, ends), first
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, spec: ToxicSpec) -> list:
-    """(toxic, distinct word hashes) of the sampled rows."""
-    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {bool(r["toxic"]): r["n"] for r in marks.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") > 0, spec.sample / 2 / max(1, sizes.get(True, 0))).otherwise(spec.sample / 2 / max(1, sizes.get(False, 0)))
+def learning_rows(docs: DataFrame, labels: DataFrame, spec: ToxicSpec) -> DataFrame:
+    """(toxic, words): distinct word hashes of the sampled rows, a written table of at most ``sample`` rows.
+
+    Labelled ids are drawn first, then rows of ``docs`` among those that carry them, so a repeated
+    id brings no more rows than it is worth.
+    """
+    marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+
+    def share(rows: DataFrame) -> tuple:
+        """The part of the rows of each class that fills half of the sample."""
+        sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        part = {t: min(1.0, spec.sample / 2 / max(1, sizes.get(t, 0))) for t in (True, False)}
+        return F.when(F.col("toxic"), part[True]).otherwise(part[False]), sizes
+
+    def draw(seed: str, *columns: str):
+        return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 30)) / float(1 << 30)
+
     # At most twice ``sample`` ids and marks go to the texts, which stay in place.
-    drawn = F.broadcast(marks.where(draw < share).limit(2 * spec.sample))
-    chosen = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text")
+    drawn = F.broadcast(marks.where(draw("toxicity sample", "doc_id") < share(marks)[0]).limit(2 * spec.sample))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
+    kept = share(docs.select("doc_id").join(drawn, "doc_id"))[0]
+    chosen = rows.join(drawn, "doc_id").where(draw("toxicity rows", "row_id") < kept).select("toxic", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [np.unique(h[a:b]).tobytes() for h, first in row_words(batch.column("text")) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(words, pa.binary())], names=["toxic", "words"])
+            words = [np.unique(h[a:b]).view(np.int64) for h, first in row_words(batch.column("text")) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.int64()))], names=["toxic", "words"])
+
+    return stored(chosen.mapInArrow(task, "toxic boolean, words array<long>").limit(spec.sample))
+
 
-    return [(r["toxic"] > 0, np.frombuffer(r["words"], np.uint64)) for r in chosen.mapInArrow(task, "toxic int, words binary").collect()]
+def model_words(rows: DataFrame, spec: ToxicSpec) -> tuple[np.ndarray, int, int]:
+    """(word hashes, toxic rows, other rows): the ``most_words`` that mark toxic rows most clearly, counted in Spark."""
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_yes, n_no = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_yes or not n_no:
+        return np.zeros(0, np.uint64), n_yes, n_no
+    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
+        F.count_if("toxic").alias("yes"), F.count_if(~F.col("toxic")).alias("no"))
+    p, q = F.col("yes") / n_yes, F.col("no") / n_no
+    even = (F.col("yes") + F.col("no")) / (n_yes + n_no)
+    z = (p - q) / F.sqrt(F.greatest(even * (1 - even) * (1 / n_yes + 1 / n_no), F.lit(1e-12)))
+    good = counts.where((F.col("yes") >= spec.least_rows) & (p >= spec.lift * q)).select("word", z.alias("z")).where(F.col("z") >= spec.least_z)
+    top = good.orderBy(F.desc("z"), "word").limit(spec.most_words).collect()
+    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64)), n_yes, n_no
 
 
 class Severity:
     """Model words, their weights and the ordered thresholds."""
 
-    def __init__(self, rows: list, spec: ToxicSpec):
-        toxic = np.array([t for t, _ in rows], bool)
-        self.words, self.weights, self.thresholds = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-        if not toxic.any() or toxic.all():
+    def __init__(self, rows: DataFrame, spec: ToxicSpec):
+        """Learn from ``rows(toxic, words)``; of each row only the model words it holds come to the driver."""
+        self.words, n_yes, n_no = model_words(rows, spec)
+        self.weights, self.thresholds = np.zeros(0), np.zeros(0)
+        if not n_yes or not n_no:
             return
-        sizes = np.array([len(w) for _, w in rows])
-        vocabulary, place = np.unique(np.concatenate([w for _, w in rows]), return_inverse=True)
-        of_row = np.repeat(np.arange(len(rows)), sizes)
-        yes = np.bincount(place, toxic[of_row], len(vocabulary))
-        no = np.bincount(place, ~toxic[of_row], len(vocabulary))
-        n_yes, n_no = toxic.sum(), (~toxic).sum()
-        p, q = yes / n_yes, no / n_no
-        even = (yes + no) / (n_yes + n_no)
-        z = (p - q) / np.sqrt(np.maximum(even * (1 - even) * (1 / n_yes + 1 / n_no), 1e-12))
-        good = np.flatnonzero((yes >= spec.least_rows) & (p >= spec.lift * q) & (z >= spec.least_z))
-        good = np.sort(good[np.lexsort((good, -z[good]))][:spec.most_words])
-        self.words = vocabulary[good]
-        column = np.full(len(vocabulary), -1)
-        column[good] = np.arange(len(good))
-        at = column[place]
-        x = np.zeros((len(rows), len(good)), np.float32)
-        x[of_row[at >= 0], at[at >= 0]] = 1
+        words = self.words
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column("words")
+                place, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+                held = []
+                for a, b in zip(place[:-1].tolist(), place[1:].tolist()):
+                    mine = values[a:b]
+                    at = np.minimum(np.searchsorted(words, mine), max(0, len(words) - 1))
+                    held.append(at[words[at] == mine].astype(np.int32) if len(words) else at[:0].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(held, pa.list_(pa.int32()))], names=["toxic", "held"])
+
+        got = rows.mapInArrow(task, "toxic boolean, held array<int>").collect()
+        toxic = np.array([r["toxic"] for r in got], bool)
+        x = np.zeros((len(got), len(words)), np.float32)
+        for i, r in enumerate(got):
+            x[i, r["held"]] = 1
         held = x.sum(1)
         grade = np.where(toxic, np.clip(1 + (held >= 2) + (held >= 4), 1, 3), 0)
         self._fit(x, grade.astype(int), spec)

@@ -414,3 +414,16 @@ def test_movement_stays_in_changed_subtrees(spark):
     assert max(share.values()) - min(share.values()) < 300
     assert abs(sum(r.b == 5 for r in rows) / 20_000 - 0.3) < 0.03
     assert isinstance(rows[0], Row)
+
+
+def test_toxic_sample_is_bounded(spark):
+    """One labelled id with very many rows fills no more than its half of the sample."""
+    rows = [(1, f"plain words number {i}") for i in range(3_000)] + [(i, "you vile scum " + "word " * (i % 5)) for i in range(10, 40)] + [(i, "a calm day") for i in range(40, 90)]
+    labels = [(1, 0), *[(i, int(i < 40)) for i in range(10, 90)], (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample = toxicity.learning_rows(docs, marks, toxicity.ToxicSpec(sample=200))
+    of = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    assert sample.count() <= 200 and of[True] == 30 and of[False] <= 150
+    got = {r.doc_id: r.toxic for r in toxicity.grade_documents(docs, marks, toxicity.ToxicSpec(sample=200)).collect()}
+    assert all(got[i] == (10 <= i < 40) for i in got)

@@ -100,6 +100,19 @@ def shared_function_neighbours(topics: DataFrame) -> DataFrame:
             .select("topic_id", "neighbour_id").distinct())
 
 
+def neighbour_counts(topics: DataFrame) -> DataFrame:
+    """(topic_id, functions, neighbours): live topics with how many others share a function with them.
+
+    Counted from the members of each function as bitmaps, so the pairs themselves, whose
+    number grows with the square of a function's members, are not made.
+    """
+    uses = topics.where(~F.col("retired")).select("topic_id", F.explode("functions").alias("f")).where("f IS NOT NULL").distinct()
+    # The bit of a topic stands for it in every function; a topic is no neighbour of its own.
+    reached = counts_above(uses, "topic_id", "f", bitmaps(uses.select("f", F.col("topic_id").alias("member")), "f", "member"), "reached")
+    own = uses.groupBy("topic_id").agg(F.count("*").alias("functions"))
+    return own.join(reached, "topic_id").select("topic_id", "functions", (F.col("reached") - 1).alias("neighbours"))
+
+
 def node_rollup(nodes: DataFrame, topics: DataFrame, live_evidence: DataFrame,
                 evidence_sources: DataFrame, signal_evidence: DataFrame) -> DataFrame:
     """Distinct topics, evidence, homed evidence, documents and signals per node.

@@ -132,6 +132,21 @@ def missing_cells(options: DataFrame, scenarios: DataFrame, cells: DataFrame) ->
                        ["scope", "option_id", "scenario_id"], "left_anti")
 
 
+def stress_completeness(options: DataFrame, scenarios: DataFrame, cells: DataFrame) -> DataFrame:
+    """(scope, option_id, missing, complete): one row per option, with the scenarios of its scope that no cell covers.
+
+    The difference of two sets, so no (option, scenario) pair is made; a scope's scenarios
+    are a short list, and an option's cells are combined before they move.
+    """
+    key = ["scope", "option_id"]
+    listed = scenarios.where("scenario_id IS NOT NULL").groupBy("scope").agg(F.collect_set("scenario_id").alias("wanted"))
+    covered = cells.where("scenario_id IS NOT NULL").groupBy(*key).agg(F.collect_set("scenario_id").alias("covered"))
+    out = options.select(*key).distinct().join(listed, "scope", "left").join(covered, key, "left")
+    none = F.array().cast("array<string>")
+    missing = F.array_sort(F.array_except(F.coalesce(F.col("wanted").cast("array<string>"), none), F.coalesce(F.col("covered").cast("array<string>"), none)))
+    return out.select(*key, missing.alias("missing"), (F.size(missing) == 0).alias("complete"))
+
+
 def working_hypothesis(cells: DataFrame) -> DataFrame:
     """Per scope the option robust in most scenarios; ties go to the smallest id."""
     tally = cells.groupBy("scope", "option_id").agg(F.count_if(F.col("result") == "ROBUST").alias("robust"))

@@ -402,6 +402,17 @@ def _(t):
     return S.missing_cells(options(t), scen, stress(t))
 
 
+@query("e17_stress_completeness", f"""
+WITH {OPTIONS_CTE}, {CELLS}, sc AS (SELECT DISTINCT scope, scenario_id FROM ({STRESS}) WHERE scenario_id IS NOT NULL),
+m AS (SELECT scope, option_id, string_agg(CAST(scenario_id AS VARCHAR), ',' ORDER BY CAST(scenario_id AS VARCHAR)) AS missing FROM opts JOIN sc USING (scope)
+  WHERE (scope, option_id, scenario_id) NOT IN (SELECT (scope, option_id, scenario_id) FROM cells) GROUP BY 1, 2)
+SELECT DISTINCT scope, option_id, coalesce(missing, '') AS missing, missing IS NULL AS complete FROM opts LEFT JOIN m USING (scope, option_id)""")
+def _(t):
+    scen = t.sql(STRESS).select("scope", "scenario_id").distinct()
+    out = S.stress_completeness(options(t), scen, stress(t))
+    return out.select("scope", "option_id", F.array_join("missing", ",").alias("missing"), "complete")
+
+
 @query("e18_working_hypothesis", f"""
 WITH {OPTIONS_CTE}, {CELLS}, n AS (SELECT scope, option_id, count(*) FILTER (result = 'ROBUST') AS robust FROM cells GROUP BY 1, 2)
 SELECT scope, option_id, robust FROM n QUALIFY row_number() OVER (PARTITION BY scope ORDER BY robust DESC, option_id) = 1""")

@@ -82,6 +82,14 @@ def _(t):
     return G.shared_function_neighbours(t.topics)
 
 
+@query("f7_neighbour_counts", """
+WITH u AS (SELECT DISTINCT topic_id, unnest(functions) AS f FROM topics WHERE NOT retired),
+n AS (SELECT a.topic_id, count(DISTINCT b.topic_id) AS reached FROM u a JOIN u b USING (f) GROUP BY 1)
+SELECT topic_id, count(*) AS functions, any_value(reached) - 1 AS neighbours FROM u JOIN n USING (topic_id) WHERE f IS NOT NULL GROUP BY 1""")
+def _(t):
+    return G.neighbour_counts(t.topics)
+
+
 ROLLUP = f"""WITH RECURSIVE {REACH}
 SELECT n.node_id, n.kind, count(DISTINCT r.topic_id) AS topics, count(DISTINCT e.evidence_id) AS evidence,
        count(DISTINCT e.evidence_id) FILTER (r.via = 'home') AS evidence_home,

@@ -40,3 +40,21 @@ def test_many_items_need_several_buckets(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g STRING, item INT")
     assert counts_above(df.select(F.col("g").alias("k"), "g"), "k", "g", bitmaps(df, "g", "item"), "n").collect() == []
+
+
+def test_neighbours_are_counted_without_pairs(spark):
+    from corrobora.operators import graph as G
+    topics = [(f"t{i}", [f"f{i % 4}", f"f{i % 3}", f"f{i % 4}"] if i % 7 else [f"own{i}", None], i % 5 == 0) for i in range(40)] + [("t99", None, False)]
+    df = spark.createDataFrame(topics, "topic_id STRING, functions ARRAY<STRING>, retired BOOLEAN")
+    live = {t: {f for f in fs if f} for t, fs, gone in topics if not gone and fs}
+    want = {t: (len(fs), sum(bool(fs & live[u]) for u in live if u != t)) for t, fs in live.items()}
+    assert {r.topic_id: (r.functions, r.neighbours) for r in G.neighbour_counts(df).collect()} == want
+
+
+def test_stress_completeness_is_a_set_difference(spark):
+    from corrobora.operators import strategy as S
+    options = spark.createDataFrame([("s", "A"), ("s", "B"), ("t", "C"), ("u", "D")], "scope STRING, option_id STRING")
+    scenarios = spark.createDataFrame([("s", "S1"), ("s", "S2"), ("t", "S1"), ("t", None)], "scope STRING, scenario_id STRING")
+    cells = spark.createDataFrame([("s", "A", "S2"), ("s", "B", "S1"), ("s", "B", "S2"), ("s", "B", "S9"), ("t", "C", None)], "scope STRING, option_id STRING, scenario_id STRING")
+    got = {r.option_id: (r.missing, r.complete) for r in S.stress_completeness(options, scenarios, cells).collect()}
+    assert got == {"A": (["S1"], False), "B": ([], True), "C": (["S1"], False), "D": ([], True)}

@@ -1,24 +1,26 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element.  A line's length is its
-number of code points without those of its links, 0 where it lies in a menu, header,
-footer, sidebar, notice, advert, form, comment section or other furniture, or where
-most of it is link text; on a page that marks its article, lines outside count 0 as
-well.  Lengths are summed over a window of ``window`` lines that slides down the page.
+Markup is stripped into lines, one per block element, and lines go that lie in a menu,
+header, footer, sidebar, notice, advert, form, comment section or other furniture; on
+a page that marks its article, lines outside go as well.  A line's length is its
+number of code points; outside a marked article without those of its links, and 0 where
+most of it is link text.
+Lengths are summed over a window of ``window`` lines that slides down the page.
 Text surges at the first line whose window holds more than ``surge`` code points, on
 pages of little text more than half of their fullest window, and dives where a window
-falls to 0.  A stretch from surge to dive is kept with its link lines, and extended
-back over up to ``window`` short lines or to a heading.  A stretch that never surges
-is kept if it lies next to one that does and holds a heading or a full sentence: a
-title above the menu, a short lead or closing section.  Other short stretches,
-captions and notes scattered over the page, are left out.
+falls to 0.  Everything from the first surge to the last dive of a stretch that surged is
+kept, extended back over up to ``window`` short lines or to a heading, and to both sides over
+stretches that never surge but hold a heading or a full sentence: a title above
+the menu, a short lead or closing section.  In a marked article the stretch is kept from
+its start, so that its lists of links, captions and notes stay.
 
 Furniture is told by element names, by whole names in class, id and role, and by
 compounds of a fixed list.  An element so named that holds the page's article, or on a
 page without one most of the text, is no furniture.
 
 Defined results: null and empty pages, and pages without text, give an empty
-text; a markup that never closes ends with the page; equal rows give equal
+text; a markup that never closes ends with the page; a tag whose quotes do not pair ends
+at its first ``>``; time grows with the page, whatever its nesting; equal rows give equal
 results; columns beside page_id, url and html are ignored.
 """
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 # Element names of HTML by their role.
-SILENT = frozenset("head title script style noscript template textarea select option button svg math object embed iframe canvas audio video map datalist".split())
+SILENT = frozenset("head title script style noscript template textarea select option button svg annotation annotation-xml object embed iframe canvas audio video map datalist".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,10 +66,11 @@ _COMPOUNDS = (
 )
 FURNITURE_NAMES = FURNITURE_WORDS | {f"{x}-{y}" for first, second in _COMPOUNDS for x in first.split() for y in second.split()}
 
-OWN = frozenset({"header"})
+# Of these, the names that parts of an article carry as well.
+OWN = frozenset("header teaser search social widget hidden skip respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _RAW = re.compile(r"(?i)</(script|style|textarea|title|noscript|iframe|template)\s*>")
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _GAP = re.compile(r"\s+")
@@ -86,7 +90,7 @@ class _Line:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     furniture: bool = False
-    inside: tuple[int, ...] = ()        # numbers of the elements around it that are named as furniture
+    inside: int = 0                     # number of the innermost element around it that is named as furniture, 0: none
     article: bool = False
     heading: bool = False
 
@@ -109,33 +113,41 @@ def _is_named(attributes: str, in_article: bool) -> bool:
                for m in _ATTRIBUTE.finditer(attributes))
 
 
-def _settle(found: list[_Line], most: float) -> None:
+def _settle(found: list[_Line], parents: list[int], firm: list[bool], most: float) -> None:
     """Set ``furniture`` of each line; named elements around the article or most of the text do not count.
 
-    Elements that are furniture by their element name have negative numbers and
+    ``parents`` leads from a named element to the next one around it, which has a
+    smaller number.  Elements that are furniture by their element name (``firm``)
     give way to an article only.
     """
     size = [0 if x.furniture else len("".join(x.parts)) for x in found]
     whole = sum(n for n, x in zip(size, found) if x.article)
     clear = sum(n for n, x in zip(size, found) if not x.inside)
     free_article = any(n and x.article and not x.inside for n, x in zip(size, found))
-    held: dict[int, int] = {}
-    marked: dict[int, int] = {}
+    held, marked = [0] * len(parents), [0] * len(parents)
     for n, x in zip(size, found):
-        for k in x.inside:
-            held[k] = held.get(k, 0) + n
-            marked[k] = marked.get(k, 0) + n * x.article
-    void = {k for k in held if (whole and marked[k] == whole >= clear) or (k > 0 and not free_article and held[k] > most * sum(size))}
+        held[x.inside] += n
+        marked[x.inside] += n * x.article
+    for k in range(len(parents) - 1, 0, -1):
+        if parents[k]:
+            held[parents[k]] += held[k]
+            marked[parents[k]] += marked[k]
+    counts = [False] * len(parents)
+    for k in range(1, len(parents)):
+        void = (whole and marked[k] == whole >= clear) or (not firm[k] and not free_article and held[k] > most * sum(size))
+        counts[k] = not void or counts[parents[k]]
     for x in found:
-        x.furniture |= any(k not in void for k in x.inside)
+        x.furniture |= counts[x.inside]
 
 
 def lines(page: str, most_text: float = 0.5) -> list[_Line]:
     """The page as lines of text, one per block element, each with its place."""
     out, line = [], _Line()
-    stack: list[tuple[str, bool, bool, bool]] = []     # (name, hidden from here, named as furniture, article from here)
-    inside: list[int] = []
-    hidden = article = silent = links = named = 0
+    stack: list[tuple[str, bool, bool]] = []     # open elements: (name, hidden from here, named as furniture)
+    opened: Counter[str] = Counter()             # how many are open by name
+    blocks: list[int] = []                       # places of open block elements in the stack
+    parents, firm, inside = [0], [False], 0
+    hidden = article = silent = headings = 0
     at = 0
 
     def flush() -> None:
@@ -147,21 +159,23 @@ def lines(page: str, most_text: float = 0.5) -> list[_Line]:
     def add(text: str) -> None:
         if text and not silent:
             if not line.parts:
-                line.furniture, line.inside, line.article = hidden > 0, tuple(inside), article > 0
-                line.heading = any(x[0] in HEADINGS for x in stack)
+                line.furniture, line.inside, line.article, line.heading = hidden > 0, inside, article > 0, headings > 0
             line.parts.append(text)
-            if links:
+            if opened["a"]:
                 line.linked += len(_GAP.sub("", html.unescape(text)))
 
     def leave() -> None:
-        nonlocal hidden, article, silent, links
-        name, was_hidden, was_named, was_article = stack.pop()
-        hidden -= was_hidden
+        nonlocal hidden, article, silent, headings, inside
+        name, was_hidden, was_named = stack.pop()
+        opened[name] -= 1
+        if name in BLOCKS:
+            blocks.pop()
         if was_named:
-            inside.pop()
-        article -= was_article
+            inside = parents[inside]
+        hidden -= was_hidden
+        article -= name in ARTICLE
         silent -= name in SILENT
-        links -= name == "a"
+        headings -= name in HEADINGS
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -174,42 +188,44 @@ def lines(page: str, most_text: float = 0.5) -> list[_Line]:
             if m[0].startswith("<![CDATA["):
                 add(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        name, closing, attributes = m[2].lower(), bool(m[1]), m[3] if m[3] is not None else m[4]
         if name in BLOCKS:
             flush()
         elif name == "br":
             add(" ")
         if closing:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     leave()
                 leave()
-        elif name not in VOID and not m[3].endswith("/"):
-            if name in CLOSES_P and stack and any(x[0] == "p" for x in stack):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if not any(x[0] in BLOCKS for x in stack[k + 1:]):
-                    while len(stack) > k:
-                        leave()
+        elif name not in VOID and not attributes.endswith("/"):
+            if name in CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+                for _ in range(len(stack) - blocks[-1]):
+                    leave()
             elif name in ("li", "dd", "dt", "option") and stack and stack[-1][0] == name:
                 leave()
-            own = m[3] and name not in ("body", "html") and name not in ARTICLE
-            hides = bool(own) and _is_hidden(m[3])
-            firm = name in FURNITURE - {"form"} or (name == "header" and not article)
-            starts = firm or name == "form" or (bool(own) and _is_named(m[3], article > 0))
-            stack.append((name, hides, starts, name in ARTICLE))
-            hidden += hides
+            own = attributes and name not in ("body", "html") and name not in ARTICLE
+            hides = bool(own) and _is_hidden(attributes)
+            by_name = name in FURNITURE - {"form"} or (name == "header" and not article)
+            starts = by_name or name == "form" or (bool(own) and _is_named(attributes, article > 0))
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((name, hides, starts))
+            opened[name] += 1
             if starts:
-                named += 1
-                inside.append(-named if firm else named)
+                parents.append(inside)
+                firm.append(by_name)
+                inside = len(parents) - 1
+            hidden += hides
             article += name in ARTICLE
             silent += name in SILENT
-            links += name == "a"
+            headings += name in HEADINGS
             if name in ("script", "style", "textarea", "title", "iframe", "noscript", "template"):
                 end = next((e for e in _RAW.finditer(page, at) if e[1].lower() == name), None)
                 at = end.end() if end else len(page)
                 leave()
     flush()
-    _settle(out, most_text)
+    _settle(out, parents, firm, most_text)
     return out
 
 
@@ -220,12 +236,18 @@ def main_text(page: str | None, spec: ExtractSpec = ExtractSpec()) -> str:
     if not found:
         return ""
     marked = any(x.article and not x.furniture for _, x in found)
-    away = np.array([x.furniture or (marked and not x.article) for _, x in found])
+    found = [(t, x) for t, x in found if not x.furniture and (x.article or not marked)]
+    if not found:
+        return ""
+    return "\n".join(found[i][0] for i in _surge_to_dive(found, marked, spec))
+
+
+def _surge_to_dive(found: list[tuple[str, _Line]], marked: bool, spec: ExtractSpec) -> list[int]:
+    """Numbers of the lines from the first surge to the last dive, extended to both sides."""
     solid = np.array([len(_GAP.sub("", t)) for t, _ in found])
-    linked = np.array([x.linked for _, x in found])
-    length = np.where(away | (linked > spec.most_links * solid), 0, [max(0, len(t) - x.linked) for t, x in found])
-    sums = np.convolve(length, np.ones(spec.window, int))[:len(length) + spec.window - 1]   # sums[i]: lines i - window + 1 to i
-    ahead = sums[spec.window - 1:]                                                         # lines i to i + window - 1
+    linked = np.array([0 if marked else x.linked for _, x in found])
+    length = np.where(linked > spec.most_links * solid, 0, [max(0, len(t) - n) for (t, _), n in zip(found, linked.tolist())])
+    ahead = np.convolve(length, np.ones(spec.window, int))[spec.window - 1:]       # lines i to i + window - 1
     surge = min(spec.surge, int(ahead.max()) // 2)
     stretches: list[tuple[int, int]] = []       # from a line with text to the dive
     start = None
@@ -236,15 +258,25 @@ def main_text(page: str | None, spec: ExtractSpec = ExtractSpec()) -> str:
         if start is None and i < len(length) and length[i] > 0:
             start = i
     surges = [next((i for i in range(a, b) if length[i] > 0 and ahead[i] > surge), None) for a, b in stretches]
-    kept: list[int] = []
-    for k, ((a, b), at) in enumerate(zip(stretches, surges)):
-        if at is not None:
-            titles = [i for i in range(a, at) if found[i][1].heading and length[i] > 0]
-            kept += range(min([max(a, at - spec.window), *titles]), b)
-        elif any(x is not None for x in [*surges[max(0, k - 1):k], *surges[k + 1:k + 2]]):
-            if any(length[i] > 0 and (found[i][1].heading or _SENTENCE.search(found[i][0])) for i in range(a, b)):
-                kept += range(a, b)
-    return "\n".join(found[i][0] for i in kept if not away[i])
+    risen = [k for k, at in enumerate(surges) if at is not None]
+    if not risen:
+        return []
+
+    def speaks(k: int) -> bool:
+        return any(length[i] > 0 and (found[i][1].heading or _SENTENCE.search(found[i][0])) for i in range(*stretches[k]))
+
+    low, high = risen[0], risen[-1]
+    a, at = stretches[low][0], surges[low]
+    headings = [i for i in range(a, at) if found[i][1].heading and length[i] > 0]
+    first = a if marked else min([max(a, at - spec.window), *headings])
+    kept = [*range(first, stretches[high][1])]
+    while low and speaks(low - 1):
+        low -= 1
+        kept = [*range(*stretches[low]), *kept]
+    while high + 1 < len(stretches) and speaks(high + 1):
+        high += 1
+        kept += range(*stretches[high])
+    return kept
 
 
 def extract(pages: DataFrame, spec: ExtractSpec = ExtractSpec()) -> DataFrame:

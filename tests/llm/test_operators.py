@@ -1,6 +1,9 @@
 """Every operator on awkward rows and on empty tables, against brute force where there is one."""
 
+import html
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -106,10 +109,12 @@ MENU = "<ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ("one", "two",
 @pytest.mark.parametrize("page, want", [
     (f"<h1>Title</h1>{MENU}<p>{LONG}</p><p>{LONG}</p>", f"Title\n{LONG}\n{LONG}"),
     (f"<p>A short lead.</p>{'<div class=ad>buy</div>' * 3}<p>{LONG * 4}</p>{'<div class=ad>buy</div>' * 3}<p>The end.</p>", f"A short lead.\n{LONG * 4}\nThe end."),
-    (f"<article><h1>T</h1><p>{LONG}</p>{MENU}<p>stray note</p></article>", f"T\n{LONG}"),
+    (f"<article><h1>T</h1><p>{LONG}</p>{MENU}<p>stray note</p></article>", f"T\n{LONG}\none\ntwo\nthree\nstray note"),
+    (f"<h1>T</h1><p>{LONG}</p><p>{LONG}</p>{MENU}<div>Imprint</div>", f"T\n{LONG}\n{LONG}"),
+    (f"<h1>T</h1><p>{LONG}</p>{MENU}<p>Table</p>{MENU}<p>{LONG}</p>", f"T\n{LONG}\none\ntwo\nthree\nTable\none\ntwo\nthree\n{LONG}"),
     (f"<article><p>{LONG}</p><p><a href=x>a link</a></p><p>{LONG}</p></article>", f"{LONG}\na link\n{LONG}"),
     (f"<div>Site</div>{MENU}<h1>T</h1><p>1 May</p><p>by X</p><p>in Y</p><p>{LONG}</p>", f"T\n1 May\nby X\nin Y\n{LONG}"),
-], ids=range(5))
+], ids=range(7))
 def test_windows_decide(page, want):
     assert html_text.main_text(page) == want
 
@@ -130,6 +135,56 @@ def test_names_inside_the_article():
     assert html_text.main_text(page) == LONG
 
 
+AD = "<div class=ad>buy</div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p>{LONG}</p>{MENU}<p>Table 1: yields by year</p></article>", f"{LONG}\none\ntwo\nthree\nTable 1: yields by year"),
+    (f"<article><p>{LONG}</p>{AD * 3}<ul><li>200 g flour</li><li>2 eggs</li></ul></article>", f"{LONG}\n200 g flour\n2 eggs"),
+    (f"<article><p>One here</p>{AD * 3}<p>Two here</p>{AD * 3}<p>Three here</p></article>", "One here\nTwo here\nThree here"),
+    (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p></article>", "Let x=2 be so."),
+    (f"<article><p class='teaser'>{LONG}</p><p>{LONG}</p><div class=share>tell</div></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p title=\"abc>{LONG}</p><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<p title=don't>{LONG}</p><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+    (f"<p title='a > b'>{LONG}</p><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+], ids=range(8))
+def test_nothing_else_is_dropped(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<div class=ad>", "<b>", "<li>", "<h1>", "<p>"])
+def test_deep_nesting_takes_no_longer(tag):
+    page = (tag + "x ") * 20_000
+    began = time.perf_counter()
+    html_text.main_text(f"<article><p>{LONG}</p></article>{page}")
+    html_text.main_text(f"<article><p>{LONG}</p>{page}" + tag.replace("<", "</") * 20_000)
+    assert time.perf_counter() - began < 4
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_generated_pages(seed):
+    """Articles of known text among furniture, with the article marked."""
+    r = random.Random(seed)
+    words = lambda most: " ".join(r.choice(["rye", "caf\u00e9", "&lt;b&gt;", "of", "a", "42", "\u4e00", "R&amp;D"]) for _ in range(r.randint(1, most)))
+    block = lambda: r.choice([
+        lambda t: (f"<p>{t}</p>", [t]), lambda t: (f"<h2>{t}</h2>", [t]), lambda t: (f"<p>{t}<!-- {t} --> {t}", [f"{t} {t}"]),
+        lambda t: (f"<ul><li>{t}<li><a href='/x'>{t}</a></ul>", [t, t]), lambda t: (f"<figure><img src=x><figcaption>{t}</figcaption></figure>", [t]),
+        lambda t: (f"<table><tr><td>{t}</td><td>{t}</td></tr></table>", [t, t]), lambda t: (f"<blockquote><p>{t}<br>{t}</p></blockquote>", [f"{t} {t}"]),
+        lambda t: (f"<div class='lead x'>\n {t}\t{t}</div>", [f"{t} {t}"]),
+    ])(words(r.choice([2, 60])))
+    junk = lambda: r.choice([
+        lambda t: f"<nav>{t}</nav>", lambda t: f"<div class='ad'><p>{t}</p></div>", lambda t: f"<aside><h2>{t}</h2></aside>", lambda t: f"<form>{t}<button>{t}</button></form>",
+        lambda t: f"<script>'<p>{t}</p>'</script>", lambda t: f"<section id='comments'><p>{t}</p></section>", lambda t: f"<div class='cookie-banner'>{t}</div>"])(words(90))
+    body, want = "", []
+    for _ in range(r.randint(1, 12)):
+        markup, text = block()
+        body += markup + "".join(junk() for _ in range(r.randint(0, 4)))
+        want += text
+    tag = r.choice(["article", "main"])
+    page = f"<html><head><title>t</title></head><body>{junk()}<{tag}>{body}</{tag}>{junk()}<footer>{words(50)}</footer>"
+    assert html_text.main_text(page) == "\n".join(html.unescape(t) for t in want)
+
+
 def test_extract_rows(spark):
     rows = [(i, None if i % 2 else "u", p, "x") for i, p in enumerate([*PAGES, *PAGES])]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -7,13 +7,16 @@ the last ``depth`` bytes.  A node holds a Krichevsky-Trofimov estimate and is mi
 with its children, ``P_w = P_kt / 2 + prod(P_w of children) / 2``, over all depths.
 
 All counts come from the whole training part, and every context has a node of its
-own.  The counts are one row per gram (context and byte); a gram that only held-out
-texts hold has a row of count 0.  Tasks get the grams sorted by their last
-``_CUT`` bytes and handle whole subtrees of these, a slice at a time.  The shorter
-contexts are mixed on the driver: at most 255 choices of 256 ** (_CUT - 1) contexts,
-whatever the corpus.  This gives the code length of each gram.  The texts lie in
-chunks of about ``_CHUNK`` bytes; a chunk's distinct grams are joined with the code
-lengths and meet its texts again, so that no table of the whole tree is held anywhere.
+own.  The texts lie in chunks of about ``chunk`` bytes.  A chunk's distinct grams (context
+and byte; a gram that only held-out texts hold counts 0) are sorted by context, the last
+byte first, and packed: differences as byte planes, compressed, about 1.5 bytes a gram with
+its count, one blob for each bucket of contexts of ``_CUT`` bytes.  A bucket is
+one task: it sums its blobs as they come and grows the whole subtrees of its distinct
+grams, a slice at a time, so its memory is bounded by these and not by the chunks.  The
+shorter contexts are mixed on the driver: at most 255 choices of 256 ** (_CUT - 1) contexts,
+whatever the corpus.  In a second pass the bucket's code lengths come first, and each blob
+of a chunk is answered by an array of code lengths in its own order; these meet the
+chunk's texts, so that no table of the whole tree is held anywhere.
 
 With ``nodes`` set, only the contexts of the highest counts have nodes of their own,
 at most ``nodes`` over all depths; the others of a parent share one node.  A context
@@ -48,7 +51,8 @@ _STRETCH = 2_048
 _SLICE = 1 << 20        # bytes of text handled at once
 _HALF = np.log(0.5)
 _CUT = 3                # contexts of this many bytes are never split over tasks
-_CHUNK = 1 << 23        # bytes of text whose grams are looked up together
+_BUCKET = 1 << 24       # bytes of text to a bucket of contexts, between the bounds below
+_BUCKETS = (64, 1 << 14)
 _GRAMS = 1 << 16        # grams whose subtrees are handled at once
 
 
@@ -57,6 +61,7 @@ class TreeSpec:
     depth: int = 5
     nodes: int | None = None
     frequent: int = 1 << 19
+    chunk: int = 1 << 24
     held_out_of: int = 5
     held_out: int = 1
 
@@ -125,27 +130,78 @@ def _counted(depth: int):
     return task
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task function: number the chunks of the texts."""
-    first, done = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        _, offsets = flat(batch.column("text"))
-        chunk = first + (done + offsets[:-1]) // _CHUNK
-        done += int(offsets[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], names=["chunk", *batch.schema.names])
+def _chunked(size: int):
+    """Task function: number the chunks of the texts, of about ``size`` bytes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            _, offsets = flat(batch.column("text"))
+            chunk = first + (done + offsets[:-1]) // size
+            done += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.diff(offsets)), *batch.columns], names=["chunk", "size", *batch.schema.names])
+    return task
+
+
+def turned(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Grams with their context from the last byte down, so that sorting keeps subtrees together; its own inverse."""
+    out = keys & np.uint64(255)
+    for j in range(1, depth + 1):
+        out |= (keys >> np.uint64(8 * j) & np.uint64(255)) << np.uint64(8 * (depth + 1 - j))
+    return out
+
+
+def _stem(keys: np.ndarray, cut: int, depth: int) -> np.ndarray:
+    """Last ``cut`` bytes of the context of each turned gram."""
+    return keys >> np.uint64(8 * (depth + 1 - cut))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: pa.Scalar, many: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob.as_buffer(), 8 * many, codec="zstd"), np.uint8).reshape(8, many)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(blob: pa.Scalar, many: int) -> np.ndarray:
+    return np.cumsum(unpacked(blob, many), dtype=np.uint64)
 
 
-def _counted_chunks(depth: int):
-    """Task function: (kind, chunk, key, n) of all grams by chunk (0), and of words (1) and rows (2) of training texts.
+_PACKED = "kind int, key long, n long, bucket int, many int, grams binary, counts binary"
 
-    ``n`` counts training texts only, a gram of held-out texts alone has 0.
+
+def _packed_chunks(depth: int, cut: int, buckets: int):
+    """Task function: the packed grams of each chunk and bucket (kind 0, key: the chunk), words (1) and rows (2) of training texts.
+
+    Counts are of training texts only, a gram of held-out texts alone has 0.
     """
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("many", pa.int32()),
+                        ("grams", pa.binary()), ("counts", pa.binary())])
+
+    def blobs(chunk: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = (mixed(_stem(keys, cut, depth)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        keys, n, bucket = keys[order], n[order], bucket[order]
+        edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        pairs = list(zip(edges[:-1], edges[1:]))
+        many = len(pairs)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.zeros(many, np.int32)), pa.array(np.full(many, chunk, np.int64)), pa.array(np.zeros(many, np.int64)),
+            pa.array(bucket[edges[:-1]]), pa.array(np.diff(edges).astype(np.int32)),
+            pa.array([packed_keys(keys[a:b]) for a, b in pairs], pa.binary()), pa.array([packed(n[a:b]) for a, b in pairs], pa.binary())], schema=schema)
 
-    def rows(kind: int, chunk: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 100_000):
             k = keys[i:i + 100_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), chunk, np.int64)), pa.array(k),
-                                              pa.array(n[i:i + 100_000])], names=["kind", "chunk", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[i:i + 100_000]),
+                                              *[pa.nulls(len(k), f.type) for f in list(schema)[3:]]], schema=schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_parts, word_parts, current, n_rows = [], [], None, 0
@@ -159,14 +215,14 @@ def _counted_chunks(depth: int):
                 if a == b:
                     continue
                 if gram_parts and chunks[a] != current:
-                    yield from rows(0, current, *_merged(gram_parts))
+                    yield blobs(current, *_merged(gram_parts))
                     gram_parts = []
                 current = int(chunks[a])
                 for low, high in runs(offsets[a:b + 1] - offsets[a], _SLICE):
                     low, high = low + a, high + a
                     part = data[offsets[low]:offsets[high]]
                     text, row_ends, (starts, ends, first) = stream(part, offsets[low:high + 1] - offsets[low])
-                    keys = grams(text, row_ends, depth)
+                    keys = turned(grams(text, row_ends, depth), depth)
                     of_byte = np.repeat(learn[low:high], np.diff(row_ends, prepend=0))
                     gram_parts.append(np.unique(keys[of_byte], return_counts=True))
                     rest = np.unique(keys[~of_byte])
@@ -178,12 +234,12 @@ def _counted_chunks(depth: int):
                     if sum(len(k) for k, _ in word_parts) > 1_500_000:
                         word_parts = [_merged(word_parts)]
                         if len(word_parts[0][0]) > 750_000:
-                            yield from rows(1, 0, *word_parts.pop())
+                            yield from rows(1, *word_parts.pop())
         if gram_parts:
-            yield from rows(0, current, *_merged(gram_parts))
+            yield blobs(current, *_merged(gram_parts))
         if word_parts:
-            yield from rows(1, 0, *_merged(word_parts))
-        yield from rows(2, 0, np.zeros(1, np.uint64), np.array([n_rows], np.int64))
+            yield from rows(1, *_merged(word_parts))
+        yield from rows(2, np.zeros(1, np.uint64), np.array([n_rows], np.int64))
     return task
 
 
@@ -384,65 +440,108 @@ def _choices_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context << 8 | 1 << level | byte >> 8 - level, byte >> 7 - level & 1
 
 
-def _whole_subtrees(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, n) of rows sorted by the last ``cut`` bytes, in slices that split no such context."""
-    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        keys, n = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([n, batch.column("n").to_numpy()])
-        if len(keys) >= _GRAMS:
-            context = keys >> 8 & (1 << 8 * cut) - 1
-            at = int(np.argmax(context == context[-1]))
-            if at:
-                yield keys[:at], n[:at]
-                keys, n = keys[at:], n[at:]
-    if len(keys):
-        yield keys, n
+def _whole_subtrees(keys: np.ndarray, cut: int, depth: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``_GRAMS`` sorted grams that split no context of ``cut`` bytes."""
+    edges = np.append(np.flatnonzero(np.diff(_stem(keys, cut, depth), prepend=~np.uint64(0))), len(keys))
+    start = 0
+    while start < len(keys):
+        stop = int(edges[max(np.searchsorted(edges, start + _GRAMS, "right") - 1, np.searchsorted(edges, start, "right"))])
+        yield start, stop
+        start = stop
 
 
 def _grown(keys: np.ndarray, n: np.ndarray, cut: int, depth: int) -> tuple[_Mixture, np.ndarray, np.ndarray]:
-    choice, bit = _choices_of(keys)
+    choice, bit = _choices_of(turned(keys, depth).view(np.int64))
     times = np.repeat(n, 8).astype(np.float64)
     return _Mixture(choice.ravel(), np.where(bit.ravel(), 0, times), np.where(bit.ravel(), times, 0), None, cut, depth), choice, bit
 
 
-def _stumps(cut: int, depth: int):
-    """Task function: sums over the choices of ``cut`` bytes by their choice of ``cut - 1`` bytes."""
+_SUMMED = "bucket int, place long, many int, grams binary, counts binary, choice array<long>, log array<double>, zeros array<double>, ones array<double>"
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _whole_subtrees(batches, cut):
-            tree, _, _ = _grown(keys, n, cut, depth)
+
+def _summed(cut: int, depth: int):
+    """Task function on the blobs sorted by bucket: all grams of a bucket with their counts, a row a slice.
+
+    Each row also holds sums over the choices of ``cut`` bytes by their choice of ``cut - 1`` bytes.
+    """
+    doubles = pa.list_(pa.float64())
+    schema = pa.schema([("bucket", pa.int32()), ("place", pa.int64()), ("many", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()),
+                        ("choice", pa.list_(pa.int64())), ("log", doubles), ("zeros", doubles), ("ones", doubles)])
+
+    def rows(bucket: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for place, (a, b) in enumerate(_whole_subtrees(keys, cut, depth)):
+            tree, _, _ = _grown(keys[a:b], n[a:b], cut, depth)
             ids = tree.ids[cut]
             shorter, inverse = np.unique((ids >> 8 & (1 << 8 * (cut - 1)) - 1) << 8 | ids & 255, return_inverse=True)
-            sums = [pa.array(np.bincount(inverse, v, len(shorter))) for v in (tree.log[cut], tree.zeros, tree.ones)]
-            yield pa.RecordBatch.from_arrays([pa.array(shorter), *sums], names=["choice", "log", "zeros", "ones"])
+            sums = [np.bincount(inverse, v, len(shorter)) for v in (tree.log[cut], tree.zeros, tree.ones)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
+                (bucket, place, b - a, packed_keys(keys[a:b]), packed(n[a:b]), shorter, *sums), schema)], schema=schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, current = [], None
+        for batch in batches:
+            for bucket, many, k, n in zip(batch.column("bucket").to_pylist(), batch.column("many").to_pylist(), batch.column("grams"), batch.column("counts")):
+                if parts and bucket != current:
+                    yield from rows(current, *_merged(parts))
+                    parts = []
+                current = bucket
+                parts.append((unpacked_keys(k, many), unpacked(n, many).view(np.int64)))
+                if len(parts) > 1 and sum(len(x) for x, _ in parts) > max(1_000_000, 3 * len(parts[0][0])):
+                    parts = [_merged(parts)]
+        if parts:
+            yield from rows(current, *_merged(parts))
     return task
 
 
-def _costs(cut: int, depth: int, shorter):
-    """Task function: log10 probability of each gram."""
+def _priced(cut: int, depth: int, shorter):
+    """Task function on the sums of each bucket and then its blobs: the code lengths of each blob in its own order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, up, into = shorter.value
-        for keys, n in _whole_subtrees(batches, cut):
+
+        def costs(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
             tree, choice, bit = _grown(keys, n, cut, depth)
             at = np.searchsorted(ids, ((choice >> 8 & (1 << 8 * (cut - 1)) - 1) << 8 | choice & 255).ravel())
             one = np.clip(tree.down(up[at], into[at])[0].reshape(-1, 8), 1e-12, 1 - 1e-12)
-            cost = np.log10(np.where(bit, one, 1 - one)).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cost)], names=["key", "cost"])
+            return np.log10(np.where(bit, one, 1 - one)).sum(1).astype(np.float32)
+
+        table, current = [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for bucket, chunk, many, k, n in zip(batch.column("bucket").to_pylist(), batch.column("chunk").to_pylist(), batch.column("many").to_pylist(),
+                                                 batch.column("grams"), batch.column("counts")):
+                if bucket != current:
+                    table, current = [], bucket
+                keys = unpacked_keys(k, many)
+                if chunk is None:
+                    table.append((keys, costs(keys, unpacked(n, many).view(np.int64))))
+                    continue
+                if len(table) > 1:
+                    table = [tuple(np.concatenate(v) for v in zip(*table))]
+                known, cost = table[0]
+                out.append((chunk, many, k.as_py(), cost[np.searchsorted(known, keys)].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                                                 names=["chunk", "many", "grams", "costs"])
     return task
 
 
-def gram_costs(counts: DataFrame, depth: int) -> DataFrame:
-    """(key, cost): log10 probability of every gram of ``counts(key, n)`` under the frozen mixture of the whole tree."""
+def gram_costs(blobs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """(chunk, many, grams, costs): log10 probability of the grams of each of ``blobs`` under the frozen mixture of the whole tree."""
     cut = min(_CUT, depth)
-    last = F.shiftright("key", 8).bitwiseAND((1 << 8 * cut) - 1)
-    sorted_ = stored(counts).repartition(last).sortWithinPartitions(last)
-    table = (sorted_.mapInArrow(_stumps(cut, depth), "choice long, log double, zeros double, ones double")
+    tasks = max(1, buckets // 2)
+    sums = stored(blobs.select("bucket", "many", "grams", "counts").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+                  .mapInArrow(_summed(cut, depth), _SUMMED))
+    table = (sums.select(F.explode(F.arrays_zip("choice", "log", "zeros", "ones")).alias("x")).select("x.*")
              .groupBy("choice").agg(*[F.sum(c).alias(c) for c in ("log", "zeros", "ones")]).orderBy("choice").toArrow())
     choice, log, zeros, ones = (table.column(c).to_numpy() for c in ("choice", "log", "zeros", "ones"))
     top = _Mixture(choice, zeros, ones, log, 0, cut - 1)
-    shorter = counts.sparkSession.sparkContext.broadcast((choice, *top.down(np.zeros(len(choice)), np.ones(len(choice)))))
-    return stored(sorted_.mapInArrow(_costs(cut, depth, shorter), "key long, cost double"))
+    shorter = blobs.sparkSession.sparkContext.broadcast((choice, *top.down(np.zeros(len(choice)), np.ones(len(choice)))))
+    none = F.lit(None).cast("long")
+    both = (sums.select("bucket", "place", none.alias("chunk"), "many", "grams", "counts")
+            .union(blobs.select("bucket", none.alias("place"), F.col("key").alias("chunk"), "many", "grams", F.lit(None).cast("binary").alias("counts"))))
+    return (both.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("place").asc_nulls_last())
+            .mapInArrow(_priced(cut, depth, shorter), "chunk long, many int, grams binary, costs binary"))
 
 
 def _level(count: Column) -> Column:
@@ -548,12 +647,14 @@ def _chunk_scored(tables, depth: int):
 
     def task(texts: pa.Table, costs: pa.Table) -> pa.Table:
         words, logs = tables.value
-        keys, cost = costs.column("key").to_numpy(), costs.column("cost").to_numpy()
+        keys = np.concatenate([np.zeros(0, np.uint64), *[unpacked_keys(k, many) for k, many in zip(costs.column("grams"), costs.column("many").to_pylist())]])
+        cost = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(c.as_buffer(), np.float32) for c in costs.column("costs")]])
         order = np.argsort(keys)
-        keys, cost = keys[order].view(np.uint64), cost[order]
+        keys, cost = keys[order], cost[order]
 
         def log10(text: np.ndarray, row_ends: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0.0], np.cumsum(cost[np.searchsorted(keys, grams(text, row_ends, depth))])])
+            unique, place = np.unique(turned(grams(text, row_ends, depth), depth), return_inverse=True)
+            total = np.concatenate([[0.0], np.cumsum(cost[np.searchsorted(keys, unique)][place], dtype=np.float64)])
             return total[row_ends] - total[np.concatenate([[0], row_ends[:-1]])]
 
         return pa.table(_rows_scored(texts, log10, words, logs), names=_SCORED)
@@ -567,9 +668,11 @@ def score_documents(docs: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % spec.held_out_of == spec.held_out, F.lit(False))
     if spec.nodes is None:
         texts = stored(docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(
-            _chunked, f"chunk long, doc_id {kind}, text string, held_out boolean"))
-        in_chunks = stored(texts.select("chunk", "text", "held_out").mapInArrow(_counted_chunks(spec.depth), "kind int, chunk long, key long, n long"))
-        costs = gram_costs(in_chunks.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), spec.depth)
+            _chunked(spec.chunk), f"chunk long, size long, doc_id {kind}, text string, held_out boolean"))
+        size = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        buckets = min(max(size // _BUCKET, _BUCKETS[0]), _BUCKETS[1])
+        in_chunks = stored(texts.select("chunk", "text", "held_out").mapInArrow(_packed_chunks(spec.depth, min(_CUT, spec.depth), buckets), _PACKED))
+        found = gram_costs(in_chunks.where("kind = 0"), spec.depth, buckets).groupBy("chunk")
         counts = stored(in_chunks.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     else:
         counts = stored(docs.where(~held_out).select("text").mapInArrow(_counted(spec.depth), "kind int, key long, n long")
@@ -590,7 +693,6 @@ def score_documents(docs: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     columns = f"doc_id {kind}, words_print long, n_tokens long, frequent_known long, frequent_log double, score double, others array<long>"
     if spec.nodes is None:
         tables = spark.sparkContext.broadcast((keys[order], logs))
-        found = in_chunks.where("kind = 0").select("chunk", "key").join(costs, "key").groupBy("chunk")
         rows = stored(texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(found).applyInArrow(_chunk_scored(tables, spec.depth), columns))
     else:
         tables = spark.sparkContext.broadcast((model, keys[order], logs))

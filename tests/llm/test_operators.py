@@ -9,6 +9,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import BASE, EXAM, edge_rows
 from pyspark.sql import Row, functions as F
@@ -281,9 +282,8 @@ def test_probabilities_sum_to_one(spark):
 
 
 @pytest.mark.parametrize("depth", [1, 2, 5])
-def test_default_tree_is_whole(spark, monkeypatch, depth):
+def test_default_tree_is_whole(spark, depth):
     """Without a bound every text scores as with room for all contexts, which are more than 24,576."""
-    monkeypatch.setattr(ctw, "_CHUNK", 1 << 16)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(None, None), (7, ""), (7, "unseen \u4e00\u4e8c bytes")], docs.schema))
     if depth == 5:
@@ -291,12 +291,27 @@ def test_default_tree_is_whole(spark, monkeypatch, depth):
         assert len({t[i - d:i] for t in texts for d in range(1, 6) for i in range(d, len(t))}) > 24_576
     else:
         docs = docs.limit(40)
-    got = by_id(ctw.score_documents(docs, ctw.TreeSpec(depth=depth)), "doc_id", "n_known", "n_tokens", "base_score", "score")
+    got = by_id(ctw.score_documents(docs, ctw.TreeSpec(depth=depth, chunk=1 << 16)), "doc_id", "n_known", "n_tokens", "base_score", "score")
     want = by_id(ctw.score_documents(docs, ctw.TreeSpec(depth=depth, nodes=1 << 20)), "doc_id", "n_known", "n_tokens", "base_score", "score")
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3:] for g in got], [w[3:] for w in want], rtol=2e-4)
 
 
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_packed_grams(monkeypatch, depth):
+    """Packing is a round trip, turning is its own inverse, and slices split no context."""
+    monkeypatch.setattr(ctw, "_GRAMS", 100)
+    rng = np.random.default_rng(depth)
+    keys = np.unique(rng.integers(0, 1 << 8 * (depth + 1), 5_000, dtype=np.uint64) & np.uint64(0x0303030303FF))
+    assert (ctw.turned(ctw.turned(keys, depth), depth) == keys).all()
+    scalar = pa.array([ctw.packed_keys(keys), ctw.packed(keys)], pa.binary())
+    assert (ctw.unpacked_keys(scalar[0], len(keys)) == keys).all() and (ctw.unpacked(scalar[1], len(keys)) == keys).all()
+    stem = (keys >> np.uint64(8 * (depth + 1 - min(3, depth)))).tolist()
+    ranges = list(ctw._whole_subtrees(keys, min(3, depth), depth))
+    assert [a for a, _ in ranges] + [len(keys)] == [0] + [b for _, b in ranges]
+    assert all(b == len(keys) or stem[b - 1] != stem[b] for _, b in ranges)
+
+
 def test_scores_empty(none):
     assert ctw.score_documents(none).count() == 0
 

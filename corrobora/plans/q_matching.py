@@ -435,11 +435,14 @@ STORED = "SELECT user_id AS url, event_type AS title, CAST(event_id AS DOUBLE) A
 FRESH = "SELECT user_id + 20 AS url, event_type AS title, value AS score, CASE WHEN event_id % 2 = 0 THEN event_id END AS published, event_id AS seq FROM events WHERE event_type NOT IN ('view', 'signup')"
 
 
-@query("b1_upsert", f"""
+UPSERTED = f"""
 WITH b AS (SELECT url, arg_max(title, seq) AS title, arg_max(score, seq) AS score, arg_max(published, seq) AS published FROM ({STORED}) GROUP BY 1),
 d AS (SELECT url, arg_max(title, seq) AS title, arg_max(score, seq) AS score, arg_max(published, seq) FILTER (published IS NOT NULL) AS published FROM ({FRESH}) GROUP BY 1)
 SELECT url, CASE WHEN d.title IS NOT NULL THEN d.title ELSE b.title END AS title, CASE WHEN d.title IS NOT NULL THEN d.score ELSE b.score END AS score,
- coalesce(d.published, b.published) AS published FROM b FULL JOIN d USING (url)""")
+ coalesce(d.published, b.published) AS published FROM b FULL JOIN d USING (url)"""
+
+
+@query("b1_upsert", UPSERTED)
 def _(t):
     base = t.sql(STORED).groupBy("url").agg(F.max_by("title", "seq").alias("title"), F.max_by("score", "seq").alias("score"),
                                            F.max_by("published", F.when(F.col("published").isNotNull(), F.col("seq"))).alias("published"))

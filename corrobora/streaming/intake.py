@@ -24,7 +24,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def read_table_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet",
                       files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, with the schema of what is there now."""
+    """Parquet files of a folder as a stream, with the schema of what is there now.
+
+    ``pattern`` names files; if it is the name of one table that is itself a folder of
+    files, those are the stream.
+    """
+    table = spark._jvm.org.apache.hadoop.fs.Path(folder, pattern)
+    system = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(table) and system.getFileStatus(table).isDirectory():
+        folder, pattern = table.toString(), "*"
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:

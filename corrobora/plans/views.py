@@ -156,7 +156,10 @@ view("topics",
      _TOPICS % "array(concat('N', CAST(nation_key AS STRING)), concat('N', CAST((nation_key * 7 + 3) % 27 AS STRING)))",
      _TOPICS % "[concat('N', CAST(nation_key AS STRING)), concat('N', CAST((nation_key * 7 + 3) % 27 AS STRING))]")
 
-view("topic_sources", "SELECT DISTINCT topic_id, s_suppkey AS registry_id FROM evidence JOIN supplier ON nation_key = s_nationkey")
+# Spark joins the few topics of a nation, not its evidence, to its sources.
+view("topic_sources",
+     "SELECT DISTINCT topic_id, s_suppkey AS registry_id FROM (SELECT DISTINCT topic_id, nation_key FROM evidence) e JOIN supplier ON nation_key = s_nationkey",
+     "SELECT DISTINCT topic_id, s_suppkey AS registry_id FROM evidence JOIN supplier ON nation_key = s_nationkey")
 
 # --- text -----------------------------------------------------------------------
 view("doc_sentences",

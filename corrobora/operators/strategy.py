@@ -93,24 +93,26 @@ def match_scenarios(names: DataFrame, scenarios: DataFrame) -> DataFrame:
 
     An equal slug wins; else the earliest scenario for which one slug begins
     with the other's first twelve characters.  Prefixes are exploded, so both
-    arms of the prefix test are equi-joins.
+    arms of the prefix test are equi-joins.  Names with one slug mean the same, so a
+    slug of a scope is matched once.
     """
     want = names.withColumn("slug", text.slug(F.col("name")))
     kept = scenarios.select("scope", "slug", "pos", "scenario_id")
-    exact = want.join(kept.groupBy("scope", "slug").agg(F.max_by("scenario_id", "pos").alias("exact_id")),
-                      ["scope", "slug"], "left")
+    slugs = want.select("scope", "slug").distinct()
+    exact = kept.groupBy("scope", "slug").agg(F.max_by("scenario_id", "pos").alias("exact_id"))
     short = lambda c: F.left(c, F.lit(12))
     # The earliest scenario per prefix is settled before the join, so a short
     # name meets one row per prefix instead of every scenario it opens.
     first = lambda df: df.groupBy("scope", "p").agg(F.min(F.struct("pos", "scenario_id")).alias("b"))
     by_key = first(kept.withColumn("p", short(F.col("slug"))))
     by_key_prefix = first(kept.withColumn("p", F.explode(_prefixes(F.col("slug")))))
-    left = want.select("name_id", "scope", "slug")
-    hits = (left.withColumn("p", F.explode(_prefixes(F.col("slug")))).join(by_key, ["scope", "p"]).select("name_id", "b")
-            .unionByName(left.withColumn("p", short(F.col("slug"))).join(by_key_prefix, ["scope", "p"]).select("name_id", "b")))
-    loose = hits.groupBy("name_id").agg(F.min("b").alias("b")).select("name_id", F.col("b.scenario_id").alias("loose_id"))
-    return (exact.join(loose, "name_id", "left")
-            .select("name_id", "scope", "name", F.coalesce("exact_id", "loose_id").alias("scenario_id")))
+    # An exploded side is larger than its estimate, which would have it broadcast.
+    opened = slugs.withColumn("p", F.explode(_prefixes(F.col("slug")))).hint("merge")
+    hits = (opened.join(by_key, ["scope", "p"]).select("scope", "slug", "b")
+            .unionByName(slugs.withColumn("p", short(F.col("slug"))).join(by_key_prefix, ["scope", "p"]).select("scope", "slug", "b")))
+    loose = hits.groupBy("scope", "slug").agg(F.min("b").alias("b")).select("scope", "slug", F.col("b.scenario_id").alias("loose_id"))
+    found = exact.join(loose, ["scope", "slug"], "full_outer").select("scope", "slug", F.coalesce("exact_id", "loose_id").alias("scenario_id"))
+    return want.join(found, ["scope", "slug"], "left").select("name_id", "scope", "name", "scenario_id")
 
 
 def stress_cells(tests: DataFrame, options: DataFrame) -> DataFrame:

@@ -23,3 +23,15 @@ def test_topics_meet_sources_once(spark):
     plan = Tables(spark, SMALL).topic_sources._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join Inner, (nation_key")
     assert "Aggregate [topic_id" in plan[:join] and "Aggregate [topic_id" in plan[join:], plan
+
+
+def test_exploded_names_are_not_broadcast(spark):
+    """Estimates do not see an explosion: what was exploded goes to the driver only if an aggregate follows."""
+    plan = entry.queries()["d8_scenario_name_match"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    lines = [(len(line) - len(line.lstrip(" :+-|*")), line) for line in plan.split("== Initial Plan ==")[-1].splitlines()]
+    for at, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for deeper, inside in lines[at + 1:]:
+                if deeper <= depth or "Aggregate" in inside:
+                    break
+                assert "Generate" not in inside, plan

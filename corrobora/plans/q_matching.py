@@ -122,10 +122,21 @@ def _(t):
 PAIRS = """SELECT evidence_id AS a_id, nxt AS b_id, CASE WHEN (evidence_id + nxt) % 3 = 0 THEN 0.85E0 + CAST((evidence_id + nxt) % 4 AS DOUBLE) / 40 ELSE CAST((evidence_id + nxt) % 17 AS DOUBLE) / 20 END AS probability,
   (evidence_id + nxt) % 7 > 0 AS same_fact FROM (
   SELECT evidence_id, lead(evidence_id) OVER (PARTITION BY scope ORDER BY topic_id, evidence_id) AS nxt FROM evidence) x WHERE nxt IS NOT NULL"""
-COMP = f"""pr AS (SELECT a_id, b_id FROM ({PAIRS}) WHERE same_fact AND probability >= 0.85E0),
+
+
+def comp(pairs, sure):
+    return f"""pr AS (SELECT a_id, b_id FROM ({pairs}) WHERE same_fact AND probability >= {sure}),
 nb AS (SELECT a_id AS x, b_id AS y FROM pr UNION ALL SELECT b_id, a_id FROM pr),
 rc AS (SELECT DISTINCT x AS id, x AS root FROM nb UNION SELECT nb.y, rc.root FROM rc JOIN nb ON nb.x = rc.id),
 cc AS (SELECT id, min(root) AS root FROM rc GROUP BY 1)"""
+
+
+COMP = comp(PAIRS, "0.85E0")
+# More of the same verdicts: three in four are sure enough, so chains are long.
+CHAINED = """SELECT evidence_id AS a_id, nxt AS b_id, CAST((evidence_id + nxt) % 20 AS DOUBLE) / 20 AS probability, (evidence_id + nxt) % 7 > 0 AS same_fact FROM (
+  SELECT evidence_id, lead(evidence_id) OVER (PARTITION BY scope ORDER BY topic_id, evidence_id) AS nxt FROM evidence) x WHERE nxt IS NOT NULL"""
+SURE = 0.25
+CHAINS = comp(CHAINED, SURE)
 view("entity_evidence", """
 SELECT DISTINCT concat('ENT-', CAST(l_partkey % 997 AS STRING)) AS entity_id, l_orderkey AS evidence_id FROM lineitem
 """)
@@ -135,9 +146,13 @@ def merged(t, **bridges):
     return G.merge_same_fact(t.evidence, t.sql(PAIRS), bridges)
 
 
-@query("e21_same_fact_components", f"WITH RECURSIVE {COMP} SELECT id, root FROM cc")
+def chained(t, **bridges):
+    return G.merge_same_fact(t.evidence, t.sql(CHAINED), bridges, threshold=SURE)
+
+
+@query("e21_same_fact_components", f"WITH RECURSIVE {CHAINS} SELECT id, root FROM cc")
 def _(t):
-    return G.connected_components(G.same_fact(t.sql(PAIRS)))
+    return G.connected_components(G.same_fact(t.sql(CHAINED), SURE))
 
 
 # The same table, reached in two steps: the components of two thirds of the pairs, then the rest.
@@ -155,16 +170,16 @@ def _(t):
     return merged(t)["evidence"].select("evidence_id", "topic_id", "class")
 
 
-@query("e21_merged_sources", f"""WITH RECURSIVE {COMP}
+@query("e21_merged_sources", f"""WITH RECURSIVE {CHAINS}
 SELECT DISTINCT coalesce(root, evidence_id) AS evidence_id, document_id FROM evidence_sources LEFT JOIN cc ON id = evidence_id""")
 def _(t):
-    return merged(t, sources=t.evidence_sources)["sources"]
+    return chained(t, sources=t.evidence_sources)["sources"]
 
 
-@query("e21_merged_signal_links", f"""WITH RECURSIVE {COMP}
+@query("e21_merged_signal_links", f"""WITH RECURSIVE {CHAINS}
 SELECT DISTINCT signal_id, coalesce(root, evidence_id) AS evidence_id FROM signal_evidence LEFT JOIN cc ON id = evidence_id""")
 def _(t):
-    return merged(t, signals=t.signal_evidence)["signals"]
+    return chained(t, signals=t.signal_evidence)["signals"]
 
 
 @query("e21_merged_entity_links", f"""WITH RECURSIVE {COMP}

@@ -35,3 +35,14 @@ def test_exploded_names_are_not_broadcast(spark):
                 if deeper <= depth or "Aggregate" in inside:
                     break
                 assert "Generate" not in inside, plan
+
+
+@pytest.mark.parametrize("name", ["e21_same_fact_components", "e21_merged_sources", "e21_merged_signal_links"])
+def test_merge_takes_two_verdicts_in_three(spark, name):
+    """The merge queries work on the pairs they worked on first, not on the third of them with the surest verdicts."""
+    assert "AS DOUBLE) / 20 AS probability" in entry.oracle_sql()[name] and "probability >= 0.25)" in entry.oracle_sql()[name]
+    evidence = Tables(spark, SMALL).evidence.count()
+    if name == "e21_same_fact_components":
+        assert entry.queries()[name](spark, SMALL).count() > evidence * 0.6
+    else:
+        assert entry.queries()[name](spark, SMALL).select("evidence_id").distinct().count() < evidence * 0.6

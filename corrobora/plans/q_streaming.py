@@ -66,13 +66,14 @@ d AS (SELECT DISTINCT r.node_id, document_id, date_diff('day', retrieved_on, DAT
   JOIN evidence_sources USING (evidence_id) JOIN graph_docs USING (document_id))
 SELECT node_id, count(*) FILTER (age BETWEEN 0 AND 7) AS week, count(*) FILTER (age BETWEEN 0 AND 30) AS month FROM d GROUP BY 1""")
 def _(t):
+    # Only documents of the month count; all others of a topic are one row without a document, which tells that there are some.
     age = F.date_diff(F.lit("2001-12-31").cast("date"), F.col("retrieved_on"))
-    per_topic = (t.live_evidence.select("evidence_id", "topic_id").join(t.evidence_sources, "evidence_id")
-                 .select("topic_id", "document_id").distinct())
+    counted = t.graph_docs.select("document_id", F.when(age.between(0, 30), age).alias("age"))
+    per_topic = (t.live_evidence.select("evidence_id", "topic_id").join(t.evidence_sources, "evidence_id").join(counted, "document_id")
+                 .select("topic_id", F.when(F.col("age").isNotNull(), F.col("document_id")).alias("document_id"), "age").distinct())
     docs = (G.node_topics(t.nodes, t.topics).select("node_id", "topic_id").join(per_topic, "topic_id")
-            .select("node_id", "document_id").distinct())
-    return (docs.join(t.graph_docs.select("document_id", "retrieved_on"), "document_id").groupBy("node_id")
-            .agg(F.count_if(age.between(0, 7)).alias("week"), F.count_if(age.between(0, 30)).alias("month")))
+            .select("node_id", "document_id", "age").distinct())
+    return docs.groupBy("node_id").agg(F.count_if(F.col("age") <= 7).alias("week"), F.count_if(F.col("age") <= 30).alias("month"))
 
 
 # Every hand-out counts: an item handed out twice shows as 2.

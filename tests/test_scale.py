@@ -52,3 +52,9 @@ def test_sets_are_put_in_order_once(spark):
     """Both sides of the pairs read a written order of the words; before, each side and the crowds made it anew."""
     plan = entry.queries()["k4_same_fact_pairs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_except" not in plan and "regexp_extract_all" not in plan
+
+
+def test_only_recent_documents_meet_the_nodes(spark):
+    """Documents out of the month are folded to one row of a topic before nodes multiply them."""
+    plan = entry.queries()["l3_new_per_branch"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 30) THEN document_id" in plan or "<= 30)) THEN document_id" in plan or "isnotnull(age" in plan, plan

@@ -8,16 +8,48 @@ from corrobora import vocab
 from corrobora.functions.text import contains_any, strip
 
 
+def _by_letter(pattern: str) -> str:
+    """The same test with the words under their first letters: most places are passed by after one look.
+
+    For a pattern ``(?i)\\b(word|word|...)\\b`` whose words all begin with a plain letter.
+    """
+    words, depth, groups = [""], 0, {}
+    for c in pattern.removeprefix(r"(?i)\b(").removesuffix(r")\b"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            words.append("")
+        else:
+            words[-1] += c
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    branches = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+    return rf"(?i)\b(?=[{''.join(groups)}])(?:{branches})\b"
+
+
+# Every object reference begins with a capital letter.
+_REF = "(?=[A-Z])" + vocab.OBJECT_REF
+_ASSERTIVE = _by_letter(vocab.ASSERTIVE)
+
+
+def _boxed(sentence: Column) -> Column:
+    """Bracketed ids; the pattern runs only where there is a bracket."""
+    return F.when(F.contains(sentence, F.lit("[")), F.regexp_extract_all(sentence, F.lit(vocab.CITATION), F.lit(1))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def object_refs(sentence: Column) -> Column:
+    """Object references as they stand, repeats included."""
+    return F.regexp_extract_all(sentence, F.lit(_REF), F.lit(1))
+
+
 def citations(sentence: Column) -> Column:
     """Distinct ids a sentence cites: bracketed ids and bare object references."""
-    bracketed = F.regexp_extract_all(sentence, F.lit(vocab.CITATION), F.lit(1))
-    bare = F.regexp_extract_all(sentence, F.lit(vocab.OBJECT_REF), F.lit(1))
-    return F.array_union(bracketed, bare)
+    return F.array_union(_boxed(sentence), object_refs(sentence))
 
 
 def bracketed(sentence: Column) -> Column:
     """Distinct bracketed ids only."""
-    return F.array_distinct(F.regexp_extract_all(sentence, F.lit(vocab.CITATION), F.lit(1)))
+    return F.array_distinct(_boxed(sentence))
 
 
 def prose_ids(body: Column) -> Column:
@@ -38,7 +70,7 @@ def is_cited(sentence: Column) -> Column:
 
 
 def is_assertive(sentence: Column) -> Column:
-    return F.rlike(sentence, F.lit(vocab.ASSERTIVE))
+    return F.rlike(sentence, F.lit(_ASSERTIVE))
 
 
 def is_hedged(sentence: Column) -> Column:
@@ -48,7 +80,7 @@ def is_hedged(sentence: Column) -> Column:
 def first_word(sentence: Column) -> Column:
     """First word behind any list mark, lower case, without emphasis marks."""
     bare = F.regexp_replace(strip(sentence), vocab.LIST_PREFIX, "")
-    word = F.element_at(F.split(F.lower(bare), r"[\s,:]+"), 1)
+    word = F.element_at(F.split(F.lower(bare), r"[\s,:]+", 2), 1)
     return F.regexp_replace(word, r"^[*_]+|[*_]+$", "")
 
 
@@ -122,14 +154,17 @@ def sentences_of(block: Column) -> Column:
     lines = F.transform(F.split(block, r"\r?\n"), strip)
     kept = F.filter(lines, lambda l: (l != "") & ~F.rlike(l, F.lit(vocab.SKIP_LINE))
                     & ~F.contains(l, F.lit("http://")) & ~F.contains(l, F.lit("https://")))
-    unmarked = F.transform(kept, lambda l: F.regexp_replace(
-        F.regexp_replace(l, vocab.LIST_MARK, ""), vocab.LIST_NUMBER, ""))
-    prose = F.filter(unmarked, lambda l: ~F.rlike(l, F.lit(vocab.BOLD_HEADING)))
+    # The patterns of marks run only on what begins with such a mark.
+    begins = lambda l, *marks: F.left(l, F.lit(1)).isin(*marks)
+    unbullet = lambda l: F.when(begins(l, *"-*+"), F.regexp_replace(l, vocab.LIST_MARK, "")).otherwise(l)
+    unnumber = lambda l: F.when(begins(l, *"0123456789"), F.regexp_replace(l, vocab.LIST_NUMBER, "")).otherwise(l)
+    unmarked = F.transform(F.transform(kept, unbullet), unnumber)
+    prose = F.filter(unmarked, lambda l: ~(F.startswith(l, F.lit("**")) & F.rlike(l, F.lit(vocab.BOLD_HEADING))))
     parts = F.flatten(F.transform(prose, lambda l: F.transform(
         F.split(l, r"(?<=[.!?])\s+(?=[A-Z\[])"), strip)))
     claims = F.filter(parts, lambda p: ~F.rlike(p, F.lit(vocab.CONDITION_LABEL)))
-    bare = F.transform(claims, lambda p: strip(F.regexp_replace(
-        F.regexp_replace(p, vocab.BOLD_LABEL, ""), vocab.LABEL, "")))
+    unbold = lambda p: F.when(F.startswith(p, F.lit("**")), F.regexp_replace(p, vocab.BOLD_LABEL, "")).otherwise(p)
+    bare = F.transform(F.transform(claims, unbold), lambda p: strip(F.regexp_replace(p, vocab.LABEL, "")))
     return F.filter(bare, lambda p: F.length(p) > 25)
 
 

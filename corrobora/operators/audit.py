@@ -41,7 +41,7 @@ def sentences(sections_df: DataFrame) -> DataFrame:
             b["in_references"].alias("in_references"),
             (b["in_references"] & ((i > 0) | F.rlike(b["text"], F.lit(r"^\s*#")))).alias("inner_references"),
             s.alias("sentence")))))
-    keep = [c for c in ("report_id", "pillar", "section_no", "section_key", "title") if c in sections_df.columns]
+    keep = [c for c in ("edit_id", "report_id", "pillar", "section_no", "section_key", "title") if c in sections_df.columns]
     return sections_df.select(*keep, F.posexplode(parts).alias("pos", "p")).select(*keep, "pos", "p.*")
 
 
@@ -105,7 +105,7 @@ def class_violations(flags: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def with_first_gate(claims: DataFrame, gates: DataFrame) -> DataFrame:
-    """Claims (with a ``pillar``) bound by an open gate, and the first such gate.
+    """Claims (with a ``pillar``) and the first open gate that binds them, null if none does.
 
     A gate binds by the two letters in its id, or by naming the pillar among
     the words of what it blocks.  Both lookups hold one row per code or word.
@@ -117,13 +117,13 @@ def with_first_gate(claims: DataFrame, gates: DataFrame) -> DataFrame:
                .groupBy("pillar").agg(F.min("gate_id").alias("g2")))
     out = (claims.withColumn("code", F.left("pillar", F.lit(2))).join(by_code, "code", "left")
            .join(by_word, "pillar", "left"))
-    return out.withColumn("gate_id", F.least("g1", "g2")).where("gate_id IS NOT NULL").drop("code", "g1", "g2")
+    return out.withColumn("gate_id", F.least("g1", "g2")).drop("code", "g1", "g2")
 
 
 def gate_violations(flags: DataFrame, gates: DataFrame) -> DataFrame:
     """National gap claims made while a gate of the report's pillar is open."""
     claims = flags.where(F.col("gap_claim") & ~F.col("in_references")).select(*KEY, "pillar")
-    return with_first_gate(claims, gates).select(*KEY, "gate_id")
+    return with_first_gate(claims, gates).where("gate_id IS NOT NULL").select(*KEY, "gate_id")
 
 
 def content_words(sentence: Column) -> Column:
@@ -162,7 +162,9 @@ def sentence_findings(flags: DataFrame, graph: DataFrame, gates: DataFrame, keep
     body_cites = F.when(F.col("in_references"), F.array().cast("array<string>")).otherwise(F.col("cites"))
     # The generator is a fence: a filter behind it is not pushed into the flags,
     # which would evaluate every regex twice.
-    needed = F.struct("hedged", "construct", "unsourced", "bracketed",
+    # Hedges and construct marks matter only to a sentence with a bracketed id.
+    boxed = lambda c: F.when(F.size("bracketed") > 0, F.col(c)).alias(c)
+    needed = F.struct(boxed("hedged"), boxed("construct"), "unsourced", "bracketed",
                       (F.col("gap_claim") & ~F.col("in_references")).alias("gap"), body_cites.alias("ids"))
     slim = (flags.select(*KEY, "pillar", *keep, F.inline(F.array(needed)))
             .where((F.size("ids") > 0) | F.col("unsourced") | F.col("gap")))
@@ -382,38 +384,38 @@ def check_edits(edits: DataFrame, reports: DataFrame, graph: DataFrame, gates: D
     REJECTED; one whose original text is gone is SUPERSEDED; else APPLIED, with
     its first occurrence replaced.
     """
-    passage = edits.select(F.col("edit_id").alias("report_id"), F.lit(0).alias("section_no"),
+    passage = edits.select("edit_id", "report_id", F.lit(0).alias("section_no"),
                            F.lit(None).cast("string").alias("section_key"), F.lit("").alias("title"),
                            F.col("proposed_text").alias("text"))
-    flags = flagged(sentences(passage)).withColumnRenamed("report_id", "edit_id")
-    pillar = edits.select("edit_id", "report_id").join(reports.select("report_id", "pillar"), "report_id").select("edit_id", "pillar")
-    whole = edits.select("edit_id", F.explode(F.array_distinct(F.regexp_extract_all(
-        "proposed_text", F.lit(vocab.OBJECT_REF), F.lit(1)))).alias("cited_id"))
+    flags = flagged(sentences(passage))
+    whole = edits.select("edit_id", F.explode(F.array_distinct(A.object_refs(F.col("proposed_text")))).alias("cited_id"))
     unresolved = whole.join(graph.select("cited_id"), "cited_id", "left_anti") \
         .select("edit_id", F.lit("unresolved").alias("why")).distinct()
     # The passage check exempts only sentences that say validation is required.
     low = F.lower("sentence")
-    gap = (F.rlike("sentence", F.lit(vocab.GAP_LANGUAGE)) & ~F.contains(low, F.lit("customer validation"))
-           & ~F.contains(low, F.lit("validation required")))
+    gap = (text.contains_any(low, vocab.NATIONAL_SUBJECTS) & F.rlike("sentence", F.lit(vocab.GAP_LANGUAGE))
+           & ~F.contains(low, F.lit("customer validation")) & ~F.contains(low, F.lit("validation required")))
     whys = F.array_compact(F.array(F.when(F.col("unsourced"), "unsourced"), F.when(gap, "gate")))
-    raised = flags.select("edit_id", F.explode(whys).alias("why")).distinct()
-    gated = pillar.withColumn("why", F.lit("gate"))
-    bound = with_first_gate(gated, gates).select("edit_id", "why")
-    bare = (raised.where("why = 'unsourced'")
-            .unionByName(raised.where("why = 'gate'").join(bound.select("edit_id"), "edit_id", "left_semi")))
-    bad = (unresolved.unionByName(bare)
+    # One pass over the sentences: what may break a gate goes on with the rest and meets the gates there.
+    raised = flags.select("edit_id", "report_id", F.explode(whys).alias("why")).distinct()
+    raised = with_first_gate(raised.join(reports.select("report_id", "pillar"), "report_id", "left"), gates) \
+        .where("why <> 'gate' OR gate_id IS NOT NULL").select("edit_id", "why")
+    bad = (unresolved.unionByName(raised)
            .groupBy("edit_id").agg(F.array_sort(F.collect_set("why")).alias("problems")))
-    # Bodies go to the edits that are left, keyed by report; a rejected edit asks for none.
-    judged = edits.join(bad, "edit_id", "left").withColumn("wants", F.when(F.col("problems").isNull(), F.col("report_id")))
-    out = judged.join(reports.select(F.col("report_id").alias("wants"), "body_md"), "wants", "left").drop("wants")
-    at = F.instr("body_md", F.col("original_text"))
-    present = (F.coalesce("original_text", F.lit("")) != "") & (F.coalesce(at, F.lit(0)) > 0)
-    status = (F.when(F.col("problems").isNotNull(), "REJECTED").when(~present, "SUPERSEDED").otherwise("APPLIED"))
-    body = F.concat(F.substring("body_md", F.lit(1), at - 1), F.col("proposed_text"),
-                    F.substring("body_md", at + F.length("original_text"), F.length("body_md")))
-    return out.select("edit_id", "report_id", status.alias("status"),
+    # Bodies go to the edits that are left; a rejected edit stays with its report, so that no key gathers all of them.
+    judged = edits.join(bad, "edit_id", "left").withColumnRenamed("report_id", "of")
+    out = judged.join(reports.select("report_id", "body_md"), (F.col("of") == F.col("report_id")) & F.col("problems").isNull(), "left")
+    # One search a body: what stands before the passage, and by its bytes what stands behind.
+    out = out.withColumn("head", F.call_function("substring_index", F.col("body_md"), F.col("original_text"), F.lit(1)))
+    present = (F.col("original_text") != "") & (F.octet_length("head") < F.octet_length("body_md"))
+    out = out.withColumn("status", F.when(F.col("problems").isNotNull(), "REJECTED")
+                         .when(F.coalesce(present, F.lit(False)), "APPLIED").otherwise("SUPERSEDED"))
+    raw = F.col("body_md").cast("binary")
+    tail = F.substring(raw, F.octet_length("head") + F.octet_length("original_text") + 1, F.octet_length("body_md"))
+    body = F.concat("head", "proposed_text", tail.cast("string"))
+    return out.select("edit_id", F.col("of").alias("report_id"), "status",
                       F.coalesce(F.array_join("problems", ","), F.lit("")).alias("problems"),
-                      F.when(status == "APPLIED", body).alias("new_body"))
+                      F.when(F.col("status") == "APPLIED", body).alias("new_body"))
 
 
 def embed_figures(reports: DataFrame, figures: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from corrobora.operators import audit as U
 from corrobora.plans.views import Tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -58,3 +60,20 @@ def test_only_recent_documents_meet_the_nodes(spark):
     """Documents out of the month are folded to one row of a topic before nodes multiply them."""
     plan = entry.queries()["l3_new_per_branch"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "<= 30) THEN document_id" in plan or "<= 30)) THEN document_id" in plan or "isnotnull(age" in plan, plan
+
+
+def test_edits_are_judged_in_one_pass_and_searched_once(spark):
+    """Before, each kind of problem flagged all sentences anew, and a body was searched for every use of the place."""
+    plan = entry.queries()["h18_edit_check"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ought to") == 1 and "instr(" not in plan and plan.count("substring_index(body_md") == 1, plan
+
+
+def test_edit_replaces_the_first_of_its_passages(spark):
+    reports = spark.createDataFrame([(1, "ASIA", "é über a — a.")], "report_id int, pillar string, body_md string")
+    edits = spark.createDataFrame([("x", 1, "a", "ö"), ("y", 1, "ü", "u"), ("z", 1, "zz", "u"), ("e", 1, "", "u"), ("n", 1, None, "u"), ("o", 2, "a", "u")],
+                                  "edit_id string, report_id int, original_text string, proposed_text string")
+    graph = spark.createDataFrame([], "cited_id string, kind string, class string")
+    gates = spark.createDataFrame([], "gate_id string, status string, blocks string")
+    got = {r["edit_id"]: (r["status"], r["new_body"]) for r in U.check_edits(edits, reports, graph, gates).collect()}
+    gone = ("SUPERSEDED", None)
+    assert got == {"x": ("APPLIED", "é über ö — a."), "y": ("APPLIED", "é uber a — a."), "z": gone, "e": gone, "n": gone, "o": gone}

@@ -77,3 +77,20 @@ def test_edit_replaces_the_first_of_its_passages(spark):
     got = {r["edit_id"]: (r["status"], r["new_body"]) for r in U.check_edits(edits, reports, graph, gates).collect()}
     gone = ("SUPERSEDED", None)
     assert got == {"x": ("APPLIED", "é über ö — a."), "y": ("APPLIED", "é uber a — a."), "z": gone, "e": gone, "n": gone, "o": gone}
+
+
+def test_a_pruned_report_is_judged_by_its_new_sentences(spark, monkeypatch):
+    """A later round asks only for sentences that the cut made; before, every round flagged all of them."""
+    judged, flagged = [], U.flagged
+    monkeypatch.setattr(U, "flagged", lambda rows: (judged.append(rows.count()), flagged(rows))[1])
+    assert entry.queries()["h11_prune"](spark, SMALL).where("removed > 0").count() > 0
+    assert len(judged) == 3 and judged[1] * 10 < judged[0] and judged[2] * 10 < judged[0], judged
+
+
+def test_prose_ids_are_found_once_for_all_reference_lines(spark):
+    body = "Text [EV-1].\n\n## References\n\n[EV-1] a\n[EV-2] b\n[EV-3; EV-1] c"
+    row = spark.createDataFrame([(body,)], "b string").select(U.drop_orphan_references(F.col("b")).alias("b"))
+    assert row.first()["b"] == body.replace("[EV-2] b\n", "")
+    plan = row._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan[plan.index("filter(split("):]
+    assert "OPT-[A-Z]" not in inner[:inner.index("arrays_overlap")], plan

@@ -38,3 +38,19 @@ def counts_above(members: DataFrame, key: str, group: str, bits: DataFrame, name
     merged = (members.select(key, group).distinct().join(bits, group) if key != group else bits.join(members.select(key).distinct(), key))
     merged = merged.groupBy(key, "bucket").agg(*[F.bitmap_or_agg(c).alias(c) for c in columns])
     return merged.groupBy(key).agg(*[F.sum(F.bitmap_count(c)).alias(name if c == ITEMS else c) for c in columns])
+
+
+def counts_by_sets(members: DataFrame, key: str, group: str, pairs: DataFrame, item: str, marks: tuple, name: str) -> DataFrame:
+    """What ``counts_above`` over ``bitmaps`` gives, for items that mostly lie in the same few sets of groups.
+
+    Items of one set of groups are counted together before the keys multiply them, so no
+    item is numbered or put in order.  Items with sets of their own stay one row each and key.
+    """
+    one = (pairs.where(F.col(item).isNotNull() & F.col(group).isNotNull()).groupBy(item)
+           .agg(F.array_sort(F.collect_set(group)).alias("set"), *[F.max(m).alias(m) for m in marks]))
+    sets = one.groupBy("set").agg(F.count("*").alias(name), *[F.count_if(m).alias(m) for m in marks])
+    sums = [name, *marks]
+    above = members.select(key).distinct().withColumn(group, F.col(key)) if key == group else members.select(key, group).distinct()
+    met = (sets.select("*", F.explode("set").alias("in")).join(above.select(F.col(key).alias("at"), F.col(group).alias("in")), "in")
+           .groupBy("at", "set").agg(*[F.first(c).alias(c) for c in sums]))
+    return met.groupBy(F.col("at").alias(key)).agg(*[F.sum(c).alias(c) for c in sums])

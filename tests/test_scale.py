@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corrobora.operators import audit as U
+from corrobora.operators import audit as U, distinct as D
 from corrobora.plans.views import Tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -94,3 +94,20 @@ def test_prose_ids_are_found_once_for_all_reference_lines(spark):
     plan = row._jdf.queryExecution().optimizedPlan().toString()
     inner = plan[plan.index("filter(split("):]
     assert "OPT-[A-Z]" not in inner[:inner.index("arrays_overlap")], plan
+
+
+def test_counts_by_sets_are_the_counts_of_bitmaps(spark):
+    pairs = spark.createDataFrame([("a", "g1", True), ("a", "g2", True), ("b", "g1", False), ("b", "g1", False), ("c", "g2", True), (None, "g1", True), ("d", None, True)],
+                                  "item string, g string, even boolean")
+    members = spark.createDataFrame([("k", "g1"), ("k", "g2"), ("l", "g2"), ("m", "g3")], "k string, g string")
+    for key, above in (("k", members), ("g", members.select("g"))):
+        ours = D.counts_by_sets(above, key, "g", pairs, "item", ("even",), "n").collect()
+        theirs = D.counts_above(above, key, "g", D.bitmaps(pairs, "g", "item", ("even",)), "n").collect()
+        assert sorted(map(tuple, (r.asDict().values() for r in ours))) == sorted((r[key], r["n"], r["even"]) for r in theirs) != []
+
+
+@pytest.mark.parametrize("name", ["e25_branch_readiness"])
+def test_readiness_puts_no_item_in_order(spark, name):
+    """Before, documents and signals were numbered over a range, which computes them twice, and old documents met the evidence."""
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "monotonically_increasing_id" not in plan, plan

@@ -106,7 +106,7 @@ def test_counts_by_sets_are_the_counts_of_bitmaps(spark):
         assert sorted(map(tuple, (r.asDict().values() for r in ours))) == sorted((r[key], r["n"], r["even"]) for r in theirs) != []
 
 
-@pytest.mark.parametrize("name", ["e25_branch_readiness"])
+@pytest.mark.parametrize("name", ["e25_branch_readiness", "e26_topic_readiness"])
 def test_readiness_puts_no_item_in_order(spark, name):
     """Before, documents and signals were numbered over a range, which computes them twice, and old documents met the evidence."""
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()

@@ -72,7 +72,6 @@ def figure_candidates(pages: DataFrame) -> DataFrame:
     Captioned figures come first, then plain images, then the social-card image.
     Row-local: arrays of structs, no shuffle.
     """
-    html = text.drop_elements(F.col("html"), ("nav", "footer", "header", "aside", "script", "style"))
     attr = lambda tag, name: text.unescape(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
     size = lambda tag, name: F.try_to_number(
         F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']?\s*(\d{{1,9}})(?:px)?\s*[\"'\s/>]", 1), F.lit("")),
@@ -93,31 +92,37 @@ def figure_candidates(pages: DataFrame) -> DataFrame:
                         caption.alias("caption"),
                         size(tag, "width").alias("width"), size(tag, "height").alias("height"))
 
-    figures = text.elements_text(html, "figure")
-    with_img = F.filter(figures, lambda f: F.rlike(f, F.lit(r"(?i)<img\s")))
-    captioned = F.transform(with_img, lambda f: image(
-        F.regexp_extract(f, r"(?is)<img\s[^>]*>", 0),
-        text.squash(text.unescape(F.regexp_replace(
-            F.regexp_extract(f, r"(?is)<figcaption\b[^>]*>(.*?)</figcaption>", 1), "(?s)<[^>]+>", " ")))))
-    images = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<img\s[^>]*>"), F.lit(0)),
-                         lambda t: image(t, F.lit("")))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0)),
-                     lambda m: F.rlike(m, F.lit(r"(?i)(property|name)\s*=\s*[\"'](og|twitter):image[\"']")))
     null_int = F.lit(None).cast("int")
-    cards = F.transform(metas, lambda m: F.struct(
-        attr(m, "content").alias("src"), F.lit("social card image").alias("alt"), F.lit("").alias("caption"),
-        null_int.alias("width"), null_int.alias("height")))
-    found = F.transform(F.concat(captioned, images, cards), lambda c: F.struct(
-        F.when((c["src"] != "") & ~F.startswith(c["src"], F.lit("data:")),
-               text.absolute_url(F.col("url"), c["src"])).alias("image_url"),
-        c["alt"].alias("alt"), c["caption"].alias("caption"), c["width"].alias("width"), c["height"].alias("height")))
+
+    def images_of(html: Column) -> Column:
+        with_img = F.filter(text.elements_text(html, "figure"), lambda f: F.rlike(f, F.lit(r"(?i)<img\s")))
+        captioned = F.transform(with_img, lambda f: image(
+            F.regexp_extract(f, r"(?is)<img\s[^>]*>", 0),
+            text.squash(text.unescape(F.regexp_replace(
+                F.regexp_extract(f, r"(?is)<figcaption\b[^>]*>(.*?)</figcaption>", 1), "(?s)<[^>]+>", " ")))))
+        images = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<img\s[^>]*>"), F.lit(0)),
+                             lambda t: image(t, F.lit("")))
+        metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0)),
+                         lambda m: F.rlike(m, F.lit(r"(?i)(property|name)\s*=\s*[\"'](og|twitter):image[\"']")))
+        cards = F.transform(metas, lambda m: F.struct(
+            attr(m, "content").alias("src"), F.lit("social card image").alias("alt"), F.lit("").alias("caption"),
+            null_int.alias("width"), null_int.alias("height")))
+        return F.transform(F.concat(captioned, images, cards), lambda c: F.struct(
+            F.when((c["src"] != "") & ~F.startswith(c["src"], F.lit("data:")),
+                   text.absolute_url(F.col("url"), c["src"])).alias("image_url"),
+            c["alt"].alias("alt"), c["caption"].alias("caption"), c["width"].alias("width"), c["height"].alias("height")))
+
+    def first_of_each(kept: Column) -> Column:
+        return text.let(F.transform(kept, lambda c: c["image_url"]), lambda urls: F.filter(
+            kept, lambda c, i: F.array_position(urls, c["image_url"]) == i + 1))
+
     big = lambda n: n.isNull() | (n >= vocab.MIN_IMAGE_EDGE) | (n == 0)
+    # The furniture is dropped once a page, and its images are found once, not once an image.
+    found = text.let(text.drop_elements(F.col("html"), ("nav", "footer", "header", "aside", "script", "style")), images_of)
     kept = F.filter(found, lambda c: F.coalesce(
         F.startswith(c["image_url"], F.lit("http")) & ~F.rlike(c["image_url"], F.lit(vocab.JUNK_IMAGE))
         & big(c["width"]) & big(c["height"]), F.lit(False)))
-    urls = F.transform(kept, lambda c: c["image_url"])
-    first = F.filter(kept, lambda c, i: F.array_position(urls, c["image_url"]) == i + 1)
-    return pages.select("page_id", F.posexplode(first).alias("pos", "c")).select("page_id", "pos", "c.*")
+    return pages.select("page_id", F.posexplode(text.let(kept, first_of_each)).alias("pos", "c")).select("page_id", "pos", "c.*")
 
 
 def map_domains(urls: DataFrame, domains: DataFrame, fallback, ignore=()) -> DataFrame:

@@ -111,3 +111,9 @@ def test_readiness_puts_no_item_in_order(spark, name):
     """Before, documents and signals were numbered over a range, which computes them twice, and old documents met the evidence."""
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan and "monotonically_increasing_id" not in plan, plan
+
+
+def test_a_page_is_cut_into_tags_once(spark):
+    """Once for its furniture and once for its figures; before, anew for every use of what was found, and for every image of a page."""
+    plan = entry.queries()["c15_figure_candidates"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|<[a-z/!?][^>]*>|") == 2, plan.count("|<[a-z/!?][^>]*>|")

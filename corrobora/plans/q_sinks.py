@@ -39,7 +39,7 @@ SELECT * FROM nw UNION ALL SELECT * FROM fz WHERE report_id NOT IN (SELECT repor
 def _(t):
     """Citations frozen earlier, then those of the reports at hand, written twice."""
     path = f"{S.work_dir(t.spark, 'citations')}/frozen"
-    fresh = L.freeze(t.reports, objects(t)).select("report_id", "cited_id", "text")
+    fresh = written(L.freeze(t.reports, objects(t)).select("report_id", "cited_id", "text"))
     for rows in (t.sql(FROZEN), fresh, fresh):
         sinks.write_citations(rows, path, buckets=16)
     return t.spark.read.parquet(path).select("report_id", "cited_id", "text")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corrobora.session import ensure_checkpoint_dir
+from corrobora.session import written
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], order: str, keep: tuple = ()) -> DataFrame:
@@ -81,16 +81,17 @@ def write_citations(frozen: DataFrame, path: str, buckets: int = 256) -> None:
 
     Reports hash into a fixed number of folders, since a folder per report
     would be millions of small files.  Only folders that the frame touches are
-    read, merged and written; the merged rows are cut from what they replace
-    with a checkpoint.
+    read, merged and written.  The frame is worked out once, and the merged rows are cut
+    from what they replace by a written table.
     """
     spark = frozen.sparkSession
     bucket = F.pmod(F.xxhash64("report_id"), F.lit(buckets))
     out = frozen
     if any(n.startswith("bucket=") for n in _names(spark, path)):
-        ensure_checkpoint_dir(spark)
+        frozen = written(frozen)
         touched = frozen.select(bucket.alias("bucket")).distinct()
-        out = bucketed_merge(spark.read.parquet(path).join(touched, "bucket", "left_semi"), frozen).checkpoint()
+        out = bucketed_merge(spark.read.parquet(path).join(touched, "bucket", "left_semi"), frozen)
+        out = written(out)
     (out.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from corrobora.operators import audit as U, distinct as D
 from corrobora.plans.views import Tables
+from corrobora.sources import sinks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -117,3 +118,18 @@ def test_a_page_is_cut_into_tags_once(spark):
     """Once for its furniture and once for its figures; before, anew for every use of what was found, and for every image of a page."""
     plan = entry.queries()["c15_figure_candidates"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("|<[a-z/!?][^>]*>|") == 2, plan.count("|<[a-z/!?][^>]*>|")
+
+
+def test_citations_are_worked_out_once(spark, tmp_path):
+    """A frame merged into folders that are there is read once; before, also for its folders, its reports and the checkpoint."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(n: int) -> str:
+        made.add(1)
+        return f"text {n}"
+
+    rows = spark.range(1, 21, 1, 1).select(F.col("id").alias("report_id"), F.lit("EV-1").alias("cited_id"), F.udf(text, "string")("id").alias("text"))
+    for times in (1, 2):
+        sinks.write_citations(rows, f"{tmp_path}/frozen", buckets=4)
+        assert made.value == 20 * times
+    assert spark.read.parquet(f"{tmp_path}/frozen").count() == 20

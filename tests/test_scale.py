@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corrobora.operators import audit as U, distinct as D
+from corrobora.plans import q_audit
 from corrobora.plans.views import Tables
 from corrobora.sources import sinks
 
@@ -133,3 +134,12 @@ def test_citations_are_worked_out_once(spark, tmp_path):
         sinks.write_citations(rows, f"{tmp_path}/frozen", buckets=4)
         assert made.value == 20 * times
     assert spark.read.parquet(f"{tmp_path}/frozen").count() == 20
+
+
+def test_only_flags_that_are_read_are_written(spark, monkeypatch):
+    """The table of flags under the section checks; before, it held those of other checks too."""
+    tables, keep = [], q_audit.written
+    monkeypatch.setattr(q_audit, "written", lambda df: (tables.append(df.columns), keep(df))[1])
+    entry.queries()["h17_section_verdicts"](spark, SMALL)
+    assert len(tables) == 2 and {"unsourced", "gap_claim", "assertive"} <= set(tables[1])
+    assert not {"recommendation", "meta", "condition", "exempt", "cited"} & set(tables[1])

@@ -1,12 +1,13 @@
 """Steps whose work must follow the input, and tables as they lie on a cluster."""
 
+import datetime
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corrobora.operators import audit as U, distinct as D
+from corrobora.operators import audit as U, distinct as D, readiness as R
 from corrobora.plans import q_audit
 from corrobora.plans.views import Tables
 from corrobora.sources import sinks
@@ -115,6 +116,34 @@ def test_readiness_puts_no_item_in_order(spark, name):
     assert "RepartitionByExpression" not in plan and "monotonically_increasing_id" not in plan, plan
 
 
+@pytest.mark.parametrize("name", ["e25_branch_readiness", "e26_topic_readiness"])
+def test_readiness_meets_the_sources_in_one_pass(spark, name):
+    """Lines are read for the documents and for the sources; before, both once for publishers and once more for recent documents, with repeats dropped first."""
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2, plan
+
+
+def test_a_topic_counts_its_sources_and_signals_once(spark):
+    """Against counts by hand; before, a topic was joined to itself as its only member, and signals met their evidence by its id."""
+    day = datetime.date(2020, 1, 31)
+    evidence = spark.createDataFrame([(1, "t", "A", "UAE", "s1"), (2, "t", "B", None, "s1"), (3, "t", "C", "UAE", "s2"), (4, "u", "C", "X", "s2"), (5, "v", "A", "X", None)],
+                                     "evidence_id int, topic_id string, class string, env_layer string, signal_id string")
+    sources = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "lost"), (4, "c"), (4, "d"), (4, "e"), (4, "f"), (9, "g")], "evidence_id int, document_id string")
+    documents = spark.createDataFrame([("a", 1, day), ("b", 1, day - datetime.timedelta(31)), ("c", None, day - datetime.timedelta(8)), ("d", 7, day - datetime.timedelta(30)),
+                                       ("e", 7, None), ("f", 2, day + datetime.timedelta(1)), ("g", 3, day)], "document_id string, registry_id int, retrieved_on date")
+    signals = spark.createDataFrame([("s1", "STRONG", "WEAKENING"), ("s2", "WEAK", "STRENGTHENING")], "signal_id string, strength string, direction string")
+    spine = spark.createDataFrame([("t",), ("u",), ("v",), ("w",)], "topic_id string")
+    above = spark.createDataFrame([("n", "t"), ("n", "u"), ("m", "u"), ("m", "u")], "node_id string, topic_id string")
+    wanted = ("evidence", "class_a", "national", "publishers", "docs_7d", "docs_30d", "signals", "live_signals", "up", "down")
+    links = evidence.select("signal_id", "evidence_id")
+    for member, key, rows in ((None, "topic_id", spine), (above, "node_id", above.select("node_id").distinct())):
+        for signal_evidence in (None, links):
+            parts = R.readiness_measures(member, key, evidence, sources, documents, signal_evidence, signals, F.lit(day), 7)
+            got = {r[key]: tuple(r[c] for c in wanted) for r in R.readiness(rows, key, parts).collect()}
+            assert got == ({"t": (3, 1, 2, 1, 1, 2, 2, 1, 1, 1), "u": (1, 0, 0, 1, 0, 2, 1, 0, 1, 0), "v": (1, 1, 0, 0, 0, 0, 0, 0, 0, 0), "w": (0,) * 10}
+                           if member is None else {"n": (4, 1, 2, 2, 1, 3, 2, 1, 1, 1), "m": (1, 0, 0, 1, 0, 2, 1, 0, 1, 0)}), (key, got)
+
+
 def test_a_page_is_cut_into_tags_once(spark):
     """Once for its furniture and once for its figures; before, anew for every use of what was found, and for every image of a page."""
     plan = entry.queries()["c15_figure_candidates"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()

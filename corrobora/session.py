@@ -45,12 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a table written below the checkpoint directory: lineage cut by one pass over it.
 
-    A checkpoint computes its rows twice, once to count and once to write them.
+    A checkpoint computes its rows twice, once to count and once to write them.  ``options`` go to
+    the writer (``compression="zstd"`` for long texts).
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cuts/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

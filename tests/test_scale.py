@@ -90,6 +90,35 @@ def test_a_pruned_report_is_judged_by_its_new_sentences(spark, monkeypatch):
     assert len(judged) == 3 and judged[1] * 10 < judged[0] and judged[2] * 10 < judged[0], judged
 
 
+def test_a_pruned_report_leaves_one_text_a_round(spark, monkeypatch):
+    """What the cut settles is written once, as one body, and goes no further; before, each round wrote and
+    shuffled every original, body and sentence."""
+    tables, written = [], U.written
+    monkeypatch.setattr(U, "written", lambda df, **o: (tables.append(written(df, **o)), tables[-1])[1])
+    entry.queries()["h11_prune"](spark, SMALL)
+    first, second = tables
+    assert first.where("NOT open AND (original IS NOT NULL OR keys IS NOT NULL)").count() == 0
+    assert second.count() == first.where("open").count() < first.count() / 10
+    plan = entry.queries()["h11_prune"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "key" not in plan[plan.index("collect_set("):].splitlines()[0]
+
+
+def test_what_a_cut_brings_to_light_is_judged_in_the_next_round(spark):
+    """The first cut closes a reference that nothing carries; the second takes it out, or the report comes back."""
+    loose = "hostile crews were seen at every mast last year"
+    sound = "\n".join(f"- Masts of the {k} were kept by all of the crews [EV-1]." for k in ("north", "south", "east", "west"))
+    body = f"## Findings\n{sound}\n- It may hold that masts fall on the coast [EV-{loose}77].\n- {loose}\n"
+    reports = spark.createDataFrame([(1, "ASIA", body), (2, "ASIA", f"## Findings\n{sound}")], "report_id int, pillar string, body_md string")
+    templates = spark.createDataFrame([("Findings", "findings")], "title string, section_key string")
+    graph = spark.createDataFrame([("EV-1", "evidence", "A")], "cited_id string, kind string, class string")
+    gates = spark.createDataFrame([], "gate_id string, status string, blocks string")
+    got = {n: {r["report_id"]: r for r in U.prune(reports, templates, graph, gates, rounds=n).collect()} for n in (0, 1, 2)}
+    assert [got[n][1]["reason"] for n in (0, 1, 2)] == ["failures left", "failures left", None]
+    assert [got[n][1]["removed"] for n in (0, 1, 2)] == [0, 1, 2] and got[0][1]["body_md"] == got[1][1]["body_md"] == body
+    assert got[2][1]["body_md"] == f"## Findings\n{sound}" and (got[2][1]["n_before"], got[2][1]["n_after"]) == (6, 4)
+    assert all(got[n][2]["kept"] and got[n][2]["removed"] == 0 for n in (0, 1, 2))
+
+
 def test_prose_ids_are_found_once_for_all_reference_lines(spark):
     body = "Text [EV-1].\n\n## References\n\n[EV-1] a\n[EV-2] b\n[EV-3; EV-1] c"
     row = spark.createDataFrame([(body,)], "b string").select(U.drop_orphan_references(F.col("b")).alias("b"))

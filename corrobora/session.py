@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Whether a query that has ended leaves its shuffle files behind.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Add the library's settings to a session builder."""
@@ -49,9 +52,15 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     """``df`` as a table written below the checkpoint directory: lineage cut by one pass over it.
 
     A checkpoint computes its rows twice, once to count and once to write them.  ``options`` go to
-    the writer (``compression="zstd"`` for long texts).
+    the writer (``compression="zstd"`` for long texts).  What was shuffled for the table is deleted
+    when it is written, not when the driver happens to collect its garbage.
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cuts/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = df.sparkSession.conf.get(SHUFFLE_CLEANUP, "false")
+    df.sparkSession.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        df.sparkSession.conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,14 @@
 
 import datetime
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corrobora.operators import audit as U, distinct as D, readiness as R
+from corrobora import session
+from corrobora.operators import audit as U, distinct as D, matching as M, readiness as R
 from corrobora.plans import q_audit
 from corrobora.plans.views import Tables
 from corrobora.sources import sinks
@@ -59,6 +61,43 @@ def test_sets_are_put_in_order_once(spark):
     assert "array_except" not in plan and "regexp_extract_all" not in plan
 
 
+def test_only_texts_of_pairs_are_written(spark, monkeypatch):
+    """A digest and hashes stand for the words until pairs are found, and candidates are shuffled once; before, the words
+    of all sets were written twice, and each side of the pairs was shuffled by itself."""
+    tables, plans, written = [], [], M.written
+    monkeypatch.setattr(M, "written", lambda df, **o: (plans.append(df), tables.append(written(df, **o)), tables[-1])[2])
+    rows = spark.createDataFrame([(d, 10 * d + i, c) for d in range(40) for i, c in enumerate([f"only {d} masts", f"of {d} crews and 5 ships"])]
+                                 + [(1, 1000, "x y z a b c d e f g"), (1, 1001, "x y z a b c d e f g h"), (2, 1002, "x y z a b c d e f g")], "doc int, id int, c string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = M.same_fact_pairs(rows, ["doc"], "id", "c").collect()
+        joined = next(p for p in plans if p.columns == ["a_id", "b_id", "n"])
+        joined.collect()
+        assert "ReusedExchange" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [tuple(r) for r in got] == [(1000, 1001, 10, 11)]
+    texts = [t for t in tables if "string" in dict(t.dtypes).values()]
+    assert [sorted(r["id"] for r in t.collect()) for t in texts] == [[1000, 1001]]
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    """Before, what was shuffled for a table stayed on disk until the driver happened to collect its garbage."""
+    shuffled = spark.range(1000).groupBy(F.pmod("id", F.lit(7)).alias("k")).agg(F.count("*").alias("n"))
+    setting = spark.conf.get(session.SHUFFLE_CLEANUP, "false")
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {b for b in str(manager.getAllBlocks().mkString(" ")).split() if b.startswith("shuffle_")}
+    before = kept()
+    table = session.written(shuffled)
+    for _ in range(50):
+        if not kept() - before:
+            break
+        time.sleep(0.1)
+    assert not kept() - before
+    assert table.count() == 7 and spark.conf.get(session.SHUFFLE_CLEANUP, "false") == setting
+
+
 def test_only_recent_documents_meet_the_nodes(spark):
     """Documents out of the month are folded to one row of a topic before nodes multiply them."""
     plan = entry.queries()["l3_new_per_branch"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
